@@ -61,3 +61,20 @@ def n_words(text: Column) -> Column:
 
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pieces(batches, text: int, most: int = 4_000_000):
+    """Arrow batches cut so that their text columns hold about most bytes, which bounds what a task has in memory."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(256, batch.num_rows - at)
+            while n > 1 and batch.column(text).slice(at, n).nbytes > most:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n

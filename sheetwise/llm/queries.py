@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .mixing import op7_entropy_mix
 from .near_dedup import op6_minmax_near_dedup
+from .pii import op4_checked_pii
+from .quality import op3_mcd_quality
 from .repeats import op5_interval_tree_dedup
 from .sharding import op2_byte_prefix_shards
 
 QUERIES = {
     "op2_byte_prefix_shards": op2_byte_prefix_shards,
+    "op3_mcd_quality": op3_mcd_quality,
+    "op4_checked_pii": op4_checked_pii,
     "op5_interval_tree_dedup": op5_interval_tree_dedup,
     "op6_minmax_near_dedup": op6_minmax_near_dedup,
     "op7_entropy_mix": op7_entropy_mix,
