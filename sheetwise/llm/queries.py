@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .mixing import op7_entropy_mix
 from .near_dedup import op6_minmax_near_dedup
+from .neighbours import op1_one_bit_neighbours
 from .pii import op4_checked_pii
 from .quality import op3_mcd_quality
 from .repeats import op5_interval_tree_dedup
 from .sharding import op2_byte_prefix_shards
 
 QUERIES = {
+    "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_byte_prefix_shards": op2_byte_prefix_shards,
     "op3_mcd_quality": op3_mcd_quality,
     "op4_checked_pii": op4_checked_pii,
