@@ -9,6 +9,7 @@ from .pii import op4_checked_pii
 from .quality import op3_mcd_quality
 from .repeats import op5_interval_tree_dedup
 from .sharding import op2_byte_prefix_shards
+from .toxicity import op9_knn_toxicity
 
 QUERIES = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_interval_tree_dedup": op5_interval_tree_dedup,
     "op6_minmax_near_dedup": op6_minmax_near_dedup,
     "op7_entropy_mix": op7_entropy_mix,
+    "op9_knn_toxicity": op9_knn_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
