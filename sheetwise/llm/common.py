@@ -78,3 +78,37 @@ def pieces(batches, text: int, most: int = 4_000_000):
                 n //= 2
             yield batch.slice(at, n)
             at += n
+
+
+#: Matches whose places are summed up one after the other; arrays of this many are then joined.
+CHUNK = 128
+
+
+def located(text: Column, pattern: str) -> Column:
+    """(start, end, text) of each match of a pattern, in order, in code points; null if there is none.
+
+    Splitting at a pattern gives the gaps between its matches, whose lengths give the places.
+    """
+    span = "array<struct<start:int,end:int,text:string>>"
+
+    def step(a: Column, x: Column) -> Column:
+        return let(a["at"] + F.length(x["g"]), lambda s: let(s + F.length(x["m"]), lambda e: F.struct(
+            e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("text")))).alias("out")
+        )))
+
+    def chunked(pairs: Column) -> Column:
+        # Chunks keep the copying of growing arrays short.
+        chunks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK)), lambda k: F.slice(pairs, k, F.lit(CHUNK)))
+        return F.flatten(F.aggregate(
+            chunks, F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{span}>").alias("out")),
+            lambda a, c: let(
+                F.aggregate(c, F.struct(a["at"].alias("at"), F.lit([]).cast(span).alias("out")), step),
+                lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")),
+            ),
+        )["out"])
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return let(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), chunked)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, located, table
 
 #: Fixed patterns. They match what the plain forms in the comments match, leftmost and without overlap, but possessively and
 #: only from where a match can begin, so that a long text takes time in proportion to its length and no deep stack.
@@ -38,7 +38,6 @@ FOR = {
 }
 AGAINST = "example|sample|version|serial|isbn|invoice|beispiel|exemple|ejemplo"
 REACH, STEP, ACCEPT = 40, 0.2, 0.5
-CHUNK = 128
 
 
 def _digits(m: Column) -> Column:
@@ -81,25 +80,6 @@ def _valid(kind: str, m: Column) -> Column:
 def _spans(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind, in order, with their scores; positions in code points, end exclusive."""
     rank = list(PATTERNS).index(kind)
-    pattern = F.lit(PATTERNS[kind])
-
-    def placed(gaps: Column, found: Column) -> Column:
-        # A match begins where the gaps and matches before it end. Chunks keep the copying of growing arrays short.
-        step = lambda a, x: let(a["at"] + F.length(x["g"]), lambda s: F.struct(
-            (s + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(x["m"])).alias("end"), x["m"].alias("text")))).alias("out"),
-        ))
-        span = "array<struct<start:int,rank:int,end:int,text:string>>"
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-
-        def chunked(p: Column) -> Column:
-            chunks = F.transform(F.sequence(F.lit(1), F.size(p), F.lit(CHUNK)), lambda k: F.slice(p, k, F.lit(CHUNK)))
-            return F.flatten(F.aggregate(
-                chunks, F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{span}>").alias("out")),
-                lambda a, c: let(F.aggregate(c, F.struct(a["at"].alias("at"), F.lit([]).cast(span).alias("out")), step), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out"))),
-            )["out"])
-
-        return let(pairs, chunked)
 
     def scored(s: Column) -> Column:
         around = F.lower(F.concat(
@@ -107,12 +87,9 @@ def _spans(kind: str, text: Column) -> Column:
         ))
         word = lambda ws: around.rlike(rf"(?<!\p{{L}})(?:{ws})(?!\p{{L}})")
         score = F.lit(PRIOR[kind]) + F.when(word(FOR[kind]), STEP).otherwise(0.0) - F.when(word(AGAINST), STEP).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.round(score, 2).alias("score"))
+        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.round(score, 2).alias("score"))
 
-    found = let(
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda m: F.when(F.size(m) > 0, F.filter(placed(F.split(text, PATTERNS[kind], -1), m), lambda s: _valid(kind, s["text"]))),
-    )
+    found = F.filter(located(text, PATTERNS[kind]), lambda s: _valid(kind, s["text"]))
     spans = F.transform(found, scored)
     if kind not in BASE:
         spans = F.filter(spans, lambda s: s["score"] >= ACCEPT)

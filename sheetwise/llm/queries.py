@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import op7_entropy_mix
 from .near_dedup import op6_minmax_near_dedup
 from .neighbours import op1_one_bit_neighbours
+from .pieces import op8_transducer_pieces
 from .pii import op4_checked_pii
 from .quality import op3_mcd_quality
 from .repeats import op5_interval_tree_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_interval_tree_dedup": op5_interval_tree_dedup,
     "op6_minmax_near_dedup": op6_minmax_near_dedup,
     "op7_entropy_mix": op7_entropy_mix,
+    "op8_transducer_pieces": op8_transducer_pieces,
     "op9_knn_toxicity": op9_knn_toxicity,
 }
 
