@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+
+from .common import pieces as by_bytes
 from .common import table
 
 #: Where the vocabulary is; a parameter of every function here.
@@ -146,7 +147,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         t = Transducer(model.value)
-        for b in common.pieces(batches, at, BYTES):
+        for b in by_bytes(batches, at, BYTES):
             ids = [x and t.encode(x) if x is not None else None for x in b.column(at).to_pylist()]
             flat, ends, null = array("i"), [0], []
             for x in ids:
@@ -168,7 +169,7 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         t = Transducer(model.value)
-        for b in common.pieces(batches, at, BYTES):
+        for b in by_bytes(batches, at, BYTES):
             text = [None if x is None else t.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*rows.columns, "text"])
 
@@ -186,7 +187,7 @@ def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches):
         t = Transducer(model.value)
         fallback = set(t.m["bytes"].values())
-        for b in common.pieces(batches, 1, BYTES):
+        for b in by_bytes(batches, 1, BYTES):
             ids, n, nb, digests, texts, same = [], [], [], [], [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = t.encode(x)
