@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from .common import pieces as by_bytes
 from .common import table
 
@@ -143,7 +142,8 @@ def _shared(spark: SparkSession, path: str):
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """docs with a text column -> with ids array<int>. Null text: null; empty text: no ids. Rows, repeated or not, are encoded one by one, whole."""
     model = _shared(docs.sparkSession, path)
-    at = docs.columns.index("text")
+    docs = docs.drop("ids")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         t = Transducer(model.value)
@@ -155,23 +155,23 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 ends.append(len(flat))
                 null.append(x is None)
             got = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]), mask=pa.array(null))
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*docs.columns, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*names, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.drop("ids").mapInArrow(run, f"{schema}, ids array<int>") if "ids" in docs.columns else docs.mapInArrow(run, f"{schema}, ids array<int>")
+    return docs.mapInArrow(run, f"{schema}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """rows with an ids column -> with text: what the ids spell; null for null, ids outside the vocabulary raise."""
     model = _shared(rows.sparkSession, path)
     rows = rows.drop("text")
-    at = rows.columns.index("ids")
+    names, at = rows.columns, rows.columns.index("ids")
 
     def run(batches):
         t = Transducer(model.value)
         for b in by_bytes(batches, at, BYTES):
             text = [None if x is None else t.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*rows.columns, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{schema}, text string")

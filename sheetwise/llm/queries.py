@@ -9,6 +9,7 @@ from .pieces import op8_transducer_pieces
 from .pii import op4_checked_pii
 from .quality import op3_mcd_quality
 from .repeats import op5_interval_tree_dedup
+from .secrets import op10_forest_secrets
 from .sharding import op2_byte_prefix_shards
 from .toxicity import op9_knn_toxicity
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_entropy_mix": op7_entropy_mix,
     "op8_transducer_pieces": op8_transducer_pieces,
     "op9_knn_toxicity": op9_knn_toxicity,
+    "op10_forest_secrets": op10_forest_secrets,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,15 +1,64 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline. Each takes and returns whole documents: doc_id, text, lang, source, n_chars."""
 
 from __future__ import annotations
 
 import uuid
 
-from .common import shared_dir, table
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from .common import n_words, shared_dir, table
+from .mixing import mix
+from .near_dedup import near_duplicates
+from .pieces import encode
+from .pii import find_pii, redacted
+from .quality import quality_rules
 
+#: A row of documents: its id and its text. Rows alike in both fare alike.
+KEY = F.xxhash64("doc_id", "text")
 
-def run(spark, sf_dir):
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality rules reject."""
+    judged = quality_rules(docs.select(F.struct("doc_id", KEY.alias("key")).alias("id"), "text", "lang", "source")).where("kept")
+    keep = judged.select(F.col("id.key").alias("key")).distinct()
+    return docs.withColumn("key", KEY).join(keep, "key", "left_semi").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one of smallest id; of rows with that id, one."""
+    found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
+    keep = found.where("kept").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the names of its kinds."""
+    clean = find_pii(docs).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    sized = docs.select(KEY.alias("key"), "source", n_words(F.col("text")).alias("size"))
+    taken = mix(sized).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    # After near_dedup no two rows are alike; elsewhere such rows share their copies, rounded up.
+    each = F.ceil(F.col("copies") / F.col("rows")).cast("int")
+    many = docs.withColumn("key", KEY).join(taken, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), each)))
+    return many.select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids: the text as SentencePiece ids."""
+    coded = encode(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("tokens", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every stage before it is a Parquet table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
