@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, stored, table
+from .common import blocks_for, pieces, stored, table
 
 #: Bytes of the grams whose least hash names a window.
 GRAM = 32
@@ -62,69 +62,64 @@ def runs(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """(name, lo, hi, inner): the runs of window starts lo..hi whose windows share their least gram hash, the name.
 
     A window's name depends on its bytes alone, so equal windows, wherever they start, lie in runs of one name. inner:
-    the name occurs twice in the run's bytes, without which no window repeats within the run.
+    a window may repeat within the run; false only where none does.
     """
     grams = min(GRAM, width)
     h = _rolling(b, grams)
     m = _sliding_min(h, width - grams + 1)
     lo = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     hi = np.concatenate([lo[1:], [len(m)]]) - 1
-    # Where a run's name occurs: only at positions whose hash equals the least one of some window around.
     name = m[lo]
+    # A window that repeats within its run gives the run a period, so that the name is the first gram of one of its
+    # windows and, later in the text, the last gram of another.
     span = width - grams
-    at = np.flatnonzero((h == m[np.minimum(np.arange(len(h)), len(m) - 1)]) | (h == m[np.maximum(np.arange(len(h)) - span, 0)]))
-    inner = np.zeros(len(lo), bool)
-    # Equal hashes close together are rare: look only at runs whose name is found at two of those positions.
-    order = np.argsort(h[at], kind="stable")
-    same = h[at][order]
-    again = np.flatnonzero(same[1:] == same[:-1])
-    if len(again):
-        left, right, what = at[order][again], at[order][again + 1], same[again]
-        for x, y, v in zip(left, right, what):
-            k = np.searchsorted(lo, max(0, y - span - 0), side="left")
-            for r in (k - 1, k):
-                if 0 <= r < len(lo) and name[r] == v and lo[r] <= x and y <= hi[r] + span:
-                    inner[r] = True
+    starts, ends = np.flatnonzero(h[: len(m)] == m), np.flatnonzero(h[span:] == m)
+    first, last = np.full(len(lo), len(h)), np.zeros(len(lo), np.int64)
+    first[np.searchsorted(lo, starts[::-1], side="right") - 1] = starts[::-1]
+    last[np.searchsorted(lo, ends, side="right") - 1] = ends + span
+    inner = last > first
     return name, lo, hi, inner
 
 
 def _scan(width: int):
-    """(id, text) -> one row a run: its name, its place, the digest of its bytes and of its document's."""
+    """(id, text) -> one row a run: hashes of its document, its name and its bytes, and its place as one number."""
 
     def make(batches):
-        for batch in batches:
-            ids, docs, names, los, his, inners, digests = [], [], [], [], [], [], []
+        for batch in pieces(batches, 1):
+            ids, docs, names, places, digests = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = t.as_buffer() if t.is_valid else None
                 if raw is None or raw.size < width:
                     continue
-                b = np.frombuffer(raw, np.uint8)
-                name, lo, hi, inner = runs(b, width)
+                name, lo, hi, inner = runs(np.frombuffer(raw, np.uint8), width)
                 view = memoryview(raw)
                 ids += [i] * len(lo)
-                docs += [xxhash.xxh3_64_intdigest(raw) - 2**63] * len(lo)
+                docs.append(np.full(len(lo), _text_hash(raw)))
                 names.append(name.view(np.int64))
-                los.append(lo)
-                his.append(hi)
-                inners.append(inner)
-                digests += [xxhash.xxh3_128_digest(view[x : y + width]) for x, y in zip(lo.tolist(), hi.tolist())]
+                places.append((lo << 32) + ((hi - lo) << 1) + inner)
+                digests += [xxhash.xxh3_64_intdigest(view[x : y + width]) for x, y in zip(lo.tolist(), hi.tolist())]
             if ids:
                 cat = np.concatenate
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(cat(names)), pa.array(cat(los).astype(np.int32)), pa.array(cat(his).astype(np.int32)), pa.array(cat(inners)), pa.array(digests, pa.binary())],
-                    names=["id", "doc", "name", "lo", "hi", "inner", "digest"],
+                    [pa.array(ids, pa.int64()), pa.array(cat(docs)), pa.array(cat(names)), pa.array(cat(places)), pa.array(np.array(digests, _U).view(np.int64))],
+                    names=["id", "doc", "name", "place", "digest"],
                 )
 
     return make
 
 
-def suffix_intervals(texts: list[bytes], starts: list[int], width: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """The repeat groups of a block: (length, [(text, start), ...]) with every occurrence.
+def _text_hash(raw) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - 2**63
+
+
+def suffix_intervals(texts: list[bytes], starts: list[int], width: int):
+    """The repeat groups of a block: ((text, start) of its sorted suffixes, [(length, first, last), ...]) part by part.
 
     starts[k] windows of texts[k] take part, from its first byte on. Suffixes whose first width bytes occur once are
     left out by a hash; of the rest, those that some byte before them or the start of their text tells apart on the left
-    form the sparse suffix array. Its common-prefix lengths are scanned with a stack: every interval of the tree,
-    down to width, is a group that can't be extended to the right; groups that all extend to the left are not reported.
+    form the sparse suffix array. Its common-prefix lengths are scanned with a stack: every interval of the tree, down to
+    width, is a group that can't be extended to the right, given by its range of suffixes, which are all its occurrences;
+    groups that all extend to the left are not reported.
     """
     hashes, text, place, before = [], [], [], []
     for k, (t, n) in enumerate(zip(texts, starts)):
@@ -134,6 +129,7 @@ def suffix_intervals(texts: list[bytes], starts: list[int], width: int) -> list[
         place.append(np.arange(n, dtype=np.int32))
         before.append(np.concatenate([[-1], b[: n - 1].astype(np.int16)]).astype(np.int16))
     h, text, place, before = map(np.concatenate, (hashes, text, place, before))
+    del hashes
     order = np.argsort(h, kind="stable")
     h = h[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -141,37 +137,45 @@ def suffix_intervals(texts: list[bytes], starts: list[int], width: int) -> list[
     left = before[order]
     low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
     want = (count > 1) & ((low != high) | (low < 0))
-    groups = []
     for f, n in zip(first[want].tolist(), count[want].tolist()):
         own = order[f : f + n]
-        groups += _tree([(int(text[o]), int(place[o])) for o in own], texts, width)
-    return groups
-
-
-def _common(a: bytes, i: int, b: bytes, j: int) -> int:
-    """Length of the common prefix of a[i:] and b[j:]."""
-    n = min(len(a) - i, len(b) - j)
-    x, y = np.frombuffer(a, np.uint8, n, i), np.frombuffer(b, np.uint8, n, j)
-    if a[i : i + n] == b[j : j + n]:
-        return n
-    return int(np.argmax(x != y))
+        at = list(zip(text[own].tolist(), place[own].tolist()))
+        keys = [texts[k][p:] for k, p in at]
+        rank = sorted(range(n), key=keys.__getitem__)
+        at, keys, byte = [at[r] for r in rank], [keys[r] for r in rank], before[own[rank]]
+        lcp = [_common(x, y, width) for x, y in zip(keys, keys[1:])]
+        yield at, _tree(lcp, byte, width)
+
+
+def _common(x: bytes, y: bytes, low: int) -> int:
+    """Length of the common prefix; 0 if it is less than low."""
+    if x[:low] != y[:low]:
+        return 0
+    high = min(len(x), len(y))
+    if x[:high] == y[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if x[low:mid] == y[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
 
 
-def _tree(at: list[tuple[int, int]], texts: list[bytes], width: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """The common-prefix intervals of at least width over these suffixes, by a stack scan of their sorted order."""
-    at = sorted(at, key=lambda o: texts[o[0]][o[1] :])
-    lcp = [_common(texts[x[0]], x[1], texts[y[0]], y[1]) for x, y in zip(at, at[1:])] + [0]
-    groups, stack = [], []  # of (length, first index)
-    for k, n in enumerate(lcp):
+def _tree(lcp: list[int], before: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(length, first, last) of the common-prefix intervals of at least width, by a stack scan of the sorted suffixes."""
+    # Suffixes up to each place that are told apart from the one before by the byte on their left, or start a text.
+    apart = np.cumsum(np.concatenate([[0], (before[1:] != before[:-1])])).tolist()
+    begins = np.cumsum(before < 0).tolist()
+    groups, stack = [], []  # of (length, first)
+    for k, n in enumerate([*lcp, 0]):
         start = k
         while stack and stack[-1][0] > n:
             length, start = stack.pop()
-            if length >= width:
-                own = at[start : k + 1]
-                left = {texts[d][p - 1] if p else -1 for d, p in own}
-                if len(left) > 1 or -1 in left:
-                    groups.append((length, own))
-        if not stack or stack[-1][0] < n:
+            if length >= width and (apart[k] > apart[start] or begins[k] > (begins[start - 1] if start else 0)):
+                groups.append((length, start, k))
+        if n and (not stack or stack[-1][0] < n):
             stack.append((n, start))
     return groups
 
@@ -192,35 +196,40 @@ def _block(width: int):
 
     def make(p: pd.DataFrame) -> pd.DataFrame:
         cover: dict[int, list[tuple[int, int]]] = {}
-        for length, where in suffix_intervals(p["bytes"].tolist(), p["windows"].tolist(), width):
-            for k, at in where:
-                cover.setdefault(k, []).append((at, at + length))
+        for at, groups in suffix_intervals(p["bytes"].tolist(), p["windows"].tolist(), width):
+            longest = np.zeros(len(at), np.int64)
+            for length, first, last in sorted(groups):
+                longest[first : last + 1] = length
+            for (k, x), length in zip(at, longest.tolist()):
+                if length:
+                    cover.setdefault(k, []).append((x, x + length))
         own = [(k, *x) for k, c in cover.items() for x in merged(c)]
-        k = [x[0] for x in own]
-        return pd.DataFrame({"name": p["name"].to_numpy()[k], "digest": p["digest"].to_numpy()[k], "x": [x[1] for x in own], "y": [x[2] for x in own]}) if own else pd.DataFrame({"name": pd.Series(dtype="int64"), "digest": pd.Series(dtype=object), "x": pd.Series(dtype="int32"), "y": pd.Series(dtype="int32")})
+        k, x, y = map(list, zip(*own)) if own else ([], [], [])
+        return pd.DataFrame({"name": p["name"].to_numpy()[k], "digest": p["digest"].to_numpy()[k], "x": np.array(x, np.int32), "y": np.array(y, np.int32)})
 
     return make
 
 
 def _passages(width: int):
-    """(id, doc, text, list of runs) -> the bytes of each run."""
+    """(doc, text, list of runs) -> the bytes of each run."""
 
     def make(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1, 1_000_000):
             names, digests, texts, windows, hot = [], [], [], [], []
             for d, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = t.as_buffer()
-                if xxhash.xxh3_64_intdigest(raw) - 2**63 != d:
+                if _text_hash(raw) != d:  # another text under the same id
                     continue
                 view = memoryview(raw)
                 for r in own:
+                    lo, n = r["place"] >> 32, (r["place"] & 0xFFFFFFFF) >> 1
                     names.append(r["name"])
                     digests.append(r["digest"])
-                    texts.append(bytes(view[r["lo"] : r["hi"] + width]))
-                    windows.append(r["hi"] - r["lo"] + 1)
+                    texts.append(view[lo : lo + n + width])
+                    windows.append(n + 1)
                     hot.append(r["hot"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()), pa.array(windows, pa.int32()), pa.array(hot, pa.bool_())],
+                [pa.array(names, pa.int64()), pa.array(digests, pa.int64()), pa.array(texts, pa.binary()), pa.array(windows, pa.int32()), pa.array(hot, pa.bool_())],
                 names=["name", "digest", "bytes", "windows", "hot"],
             )
 
@@ -231,14 +240,15 @@ def _windows(width: int):
     """Passages -> a row for every window: its offset and two independent hashes."""
 
     def make(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2, 500_000):
+            cols = [[], [], [], [], []]
             for name, digest, t, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 b = np.frombuffer(t, np.uint8)
                 one, two = _rolling(b, width)[:n], _rolling(b ^ np.uint8(0x5A), width)[:n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, name)), pa.array([digest] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    names=["name", "digest", "x", "one", "two"],
-                )
+                for c, x in zip(cols, (np.full(n, name), np.full(n, digest), np.arange(n, dtype=np.int32), one.view(np.int64), two.view(np.int64))):
+                    c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["name", "digest", "x", "one", "two"])
 
     return make
 
@@ -268,36 +278,38 @@ def repeated_stretches(docs: DataFrame, width: int = 400) -> DataFrame:
 
     doc is a hash of the document's text. Stretches of one document may overlap.
     """
-    spark = docs.sparkSession
-    found = stored(docs.mapInArrow(_scan(width), "id long, doc long, name long, lo int, hi int, inner boolean, digest binary"), "runs")
+    found = stored(docs.mapInArrow(_scan(width), "id long, doc long, name long, place long, digest long"), "runs")
+    # Most names occur once, in a run that doesn't repeat within itself: nothing of theirs goes further.
+    shared = found.groupBy("name").agg(F.count("*").alias("n"), F.max(F.col("place") % 2).alias("inner")).where("n > 1 OR inner = 1").select("name")
+    found = stored(found.join(shared.hint("shuffle_hash"), "name", "left_semi"), "shared")
     # Runs with equal bytes are one passage; what comes twice is repeated whole, with no need of its bytes.
-    passages = found.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "doc", "lo", "hi", "inner")).alias("at"))
-    passages = stored(passages, "passages")
-    kinds = passages.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    passages = stored(found.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "doc", "place")).alias("at")), "passages")
+    kinds = passages.groupBy("name").agg(F.count("*").alias("kinds"))
     # A passage can repeat in part if another has its name, or within itself.
-    several = passages.join(kinds, "name").select("name", "digest", "at", (F.col("kinds") > HOT).alias("hot"))
-    alone = passages.where("at.inner").join(kinds, "name", "left_anti").select("name", "digest", "at", F.lit(False).alias("hot"))
-    ask = several.union(alone).select(
-        F.col("at.id").alias("id"), F.col("at.doc").alias("doc"), F.struct("name", "digest", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "hot").alias("r")
+    ask = passages.join(kinds, "name").where("kinds > 1 OR n = 1 AND at.place % 2 = 1").select(
+        F.col("at.id").alias("id"), F.col("at.doc").alias("doc"), F.struct("name", "digest", F.col("at.place").alias("place"), (F.col("kinds") > HOT).alias("hot")).alias("r")
     )
-    lists = ask.groupBy("id", "doc").agg(F.collect_list("r").alias("r"))
-    key = lambda c: F.coalesce(c, F.lit(-(2**63)))
-    texts = lists.withColumn("k", key(F.col("id"))).hint("shuffle_hash").join(docs.select(key(F.col("id")).alias("k"), "text"), "k").select("doc", "text", "r")
-    parts = texts.mapInArrow(_passages(width), "name long, digest binary, bytes binary, windows int, hot boolean").dropDuplicates(["name", "digest"])
-    parts = stored(parts, "parts")
+    lists = ask.groupBy(_key(F.col("id")).alias("k"), "doc").agg(F.collect_list("r").alias("r"))
+    texts = docs.select(_key(F.col("id")).alias("k"), "text").join(lists.hint("shuffle_hash"), "k").select("doc", "text", "r")
+    parts = stored(texts.mapInArrow(_passages(width), "name long, digest long, bytes binary, windows int, hot boolean"), "parts")
     size = parts.where("not hot").agg(F.sum(F.length("bytes"))).first()[0] or 0
     block = F.pmod(F.xxhash64("name"), F.lit(blocks_for(size, BLOCK_BYTES)))
-    cool = parts.where("not hot").groupBy(block.alias("block")).applyInPandas(_block(width), "name long, digest binary, x int, y int")
+    cool = parts.where("not hot").groupBy(block.alias("block")).applyInPandas(_block(width), "name long, digest long, x int, y int")
     # Names that very many passages share: their windows are counted, with partial counts before the shuffle.
-    grams = parts.where("hot").select("name", "digest", "bytes", "windows").mapInArrow(_windows(width), "name long, digest binary, x int, one long, two long")
+    grams = parts.where("hot").dropDuplicates(["name", "digest"]).select("name", "digest", "bytes", "windows").mapInArrow(_windows(width), "name long, digest long, x int, one long, two long")
     again = grams.groupBy("name", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     warm = grams.join(again, ["name", "one", "two"]).select("name", "digest", "x", (F.col("x") + width).alias("y"))
-    twice = passages.where("n > 1").select("name", "digest", F.lit(0).alias("x"), (F.col("at.hi") - F.col("at.lo") + width).alias("y"))
-    cover = cool.union(warm).union(twice).groupBy("name", "digest").agg(F.collect_list(F.struct("x", "y")).alias("c"))
-    own = found.join(cover, ["name", "digest"]).select("id", "doc", "lo", F.explode("c").alias("c"))
+    length = F.shiftright(F.col("at.place").bitwiseAND(0xFFFFFFFF), 1) + width
+    twice = passages.where("n > 1").select("name", "digest", F.lit(0).alias("x"), length.cast("int").alias("y"))
+    cover = cool.union(warm).union(twice).groupBy("name", "digest").agg(F.collect_set(F.struct("x", "y")).alias("c"))
+    own = found.join(cover, ["name", "digest"]).select("id", "doc", F.shiftright("place", 32).cast("int").alias("lo"), F.explode("c").alias("c"))
     return own.select("id", "doc", (F.col("lo") + F.col("c.x")).alias("x"), (F.col("lo") + F.col("c.y")).alias("y"))
 
 
+def _key(c):
+    return F.coalesce(c, F.lit(-(2**63)))
+
+
 def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     """docs (id, text) -> (id, n_bytes, n_removed, n_spans, kept_sha256): repeats of width bytes taken out, first ones too.
 
@@ -306,19 +318,18 @@ def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
     cover = repeated_stretches(docs, width).groupBy("id", "doc").agg(F.collect_list(F.struct("x", "y")).alias("c"))
-    key = lambda c: F.coalesce(c, F.lit(-(2**63)))
     # Different texts under one id are told apart in _removed's input by their hash.
-    lists = cover.groupBy(key(F.col("id")).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("doc", "c"))).alias("m"))
-    joined = docs.withColumn("k", key(F.col("id"))).join(lists.hint("shuffle_hash"), "k", "left").select("id", "text", "m")
+    lists = cover.groupBy(_key(F.col("id")).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("doc", "c"))).alias("m"))
+    joined = docs.withColumn("k", _key(F.col("id"))).join(lists.hint("shuffle_hash"), "k", "left").select("id", "text", "m")
     return joined.mapInArrow(_pick, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _pick(batches):
     """Of the stretches of an id, those of the text at hand."""
-    for batch in batches:
+    for batch in pieces(batches, 1):
         own = []
         for t, m in zip(batch.column(1), batch.column(2).to_pylist()):
-            own.append(dict(m).get(xxhash.xxh3_64_intdigest(t.as_buffer()) - 2**63) if m and t.is_valid else None)
+            own.append(dict(m).get(_text_hash(t.as_buffer())) if m and t.is_valid else None)
         kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
         yield from _removed([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, kind)], names=["id", "text", "own"])])
 
