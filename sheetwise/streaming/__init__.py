@@ -1,0 +1 @@
+"""There is no unbounded data in drawing packages, so no streaming operator is offered."""
