@@ -14,15 +14,17 @@ from .pieces import encode
 from .pii import find_pii, redacted
 from .quality import quality_rules
 
-#: A row of documents: its id and its text. Rows alike in both fare alike.
-KEY = F.xxhash64("doc_id", "text")
+
+def _key():
+    """A row of documents: its id and its text. Rows alike in both fare alike."""
+    return F.xxhash64("doc_id", "text")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
-    judged = quality_rules(docs.select(F.struct("doc_id", KEY.alias("key")).alias("id"), "text", "lang", "source")).where("kept")
+    judged = quality_rules(docs.select(F.struct("doc_id", _key().alias("key")).alias("id"), "text", "lang", "source")).where("kept")
     keep = judged.select(F.col("id.key").alias("key")).distinct()
-    return docs.withColumn("key", KEY).join(keep, "key", "left_semi").select(*docs.columns)
+    return docs.withColumn("key", _key()).join(keep, "key", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +42,11 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sized = docs.select(KEY.alias("key"), "source", n_words(F.col("text")).alias("size"))
+    sized = docs.select(_key().alias("key"), "source", n_words(F.col("text")).alias("size"))
     taken = mix(sized).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     # After near_dedup no two rows are alike; elsewhere such rows share their copies, rounded up.
     each = F.ceil(F.col("copies") / F.col("rows")).cast("int")
-    many = docs.withColumn("key", KEY).join(taken, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), each)))
+    many = docs.withColumn("key", _key()).join(taken, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), each)))
     return many.select(*docs.columns)
 
 
