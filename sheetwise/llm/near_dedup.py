@@ -9,17 +9,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import blocks_for, cut, pieces, stored, table
 from .graph import components
 
 #: Permutations; each gives a minimum and a maximum. Two of them make a band of four values, so at a similarity of 0.8
 #: a pair shares none of the 32 bands with a chance of about (1 - 0.8^4)^32, 5 in 100 million.
 PERMUTATIONS = 64
 BAND = 2
-#: Candidates whose signatures agree in less than this share are left unconfirmed: five standard deviations under 0.8.
-SCREEN = 0.6
-#: Members of one bucket that a task compares at a time.
+#: Bits of a set's parity sketch. Two sketches differ in at most as many bits as the sets differ in members, so that a
+#: large difference rules a pair out for certain.
+PARITY = 2048
+#: Members of one bucket that are compared at a time, and rows of such comparisons that a task gets, about.
 CHUNK = 1024
+TASK_ROWS = 40_000
 #: Words whose hashes a task remembers.
 KNOWN = 500_000
 
@@ -62,11 +64,16 @@ def signature(s: np.ndarray) -> np.ndarray:
     """Minimum and maximum of a non-empty set under each permutation, (PERMUTATIONS, 2)."""
     low, high = np.full(PERMUTATIONS, 2**64 - 1, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
     for k in range(0, len(s), 4096):
-        x = _mixed(s[None, k : k + 4096] * _MUL[:, None] + _ADD[:, None])
+        x = s[None, k : k + 4096] * _MUL[:, None] + _ADD[:, None]  # s is hashed already
         low, high = np.minimum(low, x.min(axis=1)), np.maximum(high, x.max(axis=1))
     return np.stack([low, high], axis=1)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each of PARITY classes of hashes: whether the set has an odd number of them."""
+    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
 def bands(sig: np.ndarray) -> np.ndarray:
     """A hash for each band of BAND permutations, distinct between bands."""
     rows = sig.reshape(PERMUTATIONS // BAND, 2 * BAND)
@@ -76,7 +83,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def _fingerprints(n: int):
     def make(batches):
         known: dict[bytes, int] = {}
-        for b in batches:
+        for b in pieces(batches, 1):
             ids, counts, digests, sketches, hashes = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingles(t.as_py(), n, known)
@@ -85,7 +92,7 @@ def _fingerprints(n: int):
                 if len(s):
                     sig = signature(s)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sketches.append(sig.astype(np.uint8).tobytes())
+                    sketches.append(parity(s))
                     hashes.append(bands(sig).view(np.int64))
                 else:
                     digests.append(None)
@@ -102,7 +109,7 @@ def _fingerprints(n: int):
 def _sets(n: int):
     def make(batches):
         known: dict[bytes, int] = {}
-        for b in batches:
+        for b in pieces(batches, 2):
             ids, sets = [], []
             for i, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = shingles(t.as_py(), n, known).tobytes()
@@ -116,7 +123,7 @@ def _sets(n: int):
 
 def _confirm(percent: int):
     def make(batches):
-        for b in batches:
+        for b in pieces(batches, 3):
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -127,27 +134,36 @@ def _confirm(percent: int):
     return make
 
 
-def _across(p: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one chunk pair of a bucket that lie in different components and whose signatures are close."""
-    sketch = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(len(p), -1)
-    ids, comp, left = p["id"].to_numpy(), p["comp"].to_numpy(), p["left"].to_numpy()
-    rows, cols = np.flatnonzero(left), np.flatnonzero(p["right"].to_numpy())
-    a, b = [], []
-    for i in rows:
-        c = cols[comp[cols] != comp[i]]
-        if len(c):
-            c = c[(sketch[c] == sketch[i]).mean(axis=1) >= SCREEN]
-            a += [ids[i]] * len(c)
-            b += ids[c].tolist()
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
+def _across(percent: int):
+    """The pairs of chunk pairs of buckets that lie in different components and whose sketches don't rule them out."""
+
+    def make(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["bucket", "i", "j"], kind="stable")
+        sketch = np.frombuffer(b"".join(p["sketch"]), np.uint64).reshape(len(p), -1)
+        ids, comp, left, right, n = (p[c].to_numpy() for c in ("id", "comp", "left", "right", "n"))
+        cell = p[["bucket", "i", "j"]].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(p)]])
+        a, b = [], []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            cols = lo + np.flatnonzero(right[lo:hi])
+            for i in lo + np.flatnonzero(left[lo:hi]):
+                c = cols[comp[cols] != comp[i]]
+                if len(c):
+                    differ = np.bitwise_count(sketch[c] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                    c = c[(100 + percent) * differ <= (100 - percent) * (n[c] + n[i])]
+                    a += [ids[i]] * len(c)
+                    b += ids[c].tolist()
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64").drop_duplicates()
+
+    return make
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs (id, text) -> (id, n_shingles, component_id, kept).
 
     Documents whose sets of lower-cased (A-Z) word shingles have 100 * intersection >= percent * union are linked.
-    Equal sets are one class from the start. Classes that share a band first meet the smallest class of their buckets;
-    what then still lies in different components of one bucket is compared chunk by chunk, so that no link between
+    Equal sets are one class from the start. Classes that share a band first meet the one of their buckets that has most
+    partners, then that of most partners outside its component; what then still lies in different components of one bucket is compared chunk by chunk, so that no link between
     different components is left out and a group of n near copies costs n confirmations, not n squared.
     Null or wordless text: empty set, linked with nothing. Null id: component null, not kept, and no one's partner.
     Repeated rows: the same class. Fewer words than a shingle: all of them are one. Empty input: no rows.
@@ -157,10 +173,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = prints.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     reps = cut(classes)
     # One row a class: its first document's bands. A document with two texts can be the first of two classes.
-    tagged = prints.join(reps.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d AND id = rep")).select("digest", "rep", "sketch", "bands").dropDuplicates(["digest"])
+    tagged = prints.join(reps.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d AND id = rep")).select("digest", "rep", "n", "sketch", "bands").dropDuplicates(["digest"])
     banded = tagged.select("rep", "digest", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("bucket", "head")
-    members = stored(banded.join(heads, "bucket").select("bucket", "rep", "digest", "head"), "members")
+    several = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket", "m")
+    members = stored(banded.join(several, "bucket").select("bucket", "rep", "digest", "m"), "members")
+    # How many partners a class has over all its buckets: what others were copied from has most.
+    degrees = cut(members.groupBy("rep").agg(F.sum("m").alias("degree")))
     needed = members.select(F.col("rep").alias("id"), "digest").distinct()
     sets = stored(
         needed.hint("shuffle_hash").join(named, "id").select("id", "digest", "text").mapInArrow(_sets(shingle), "id long, set binary").dropDuplicates(["id"]), "sets"
@@ -171,8 +189,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         close = pairs.join(s, "a").join(t, "b").select("a", "b", "x", "y")
         return close.mapInArrow(_confirm(percent), "a long, b long")
 
-    first = members.where("head < rep").groupBy("rep").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    links = cut(confirmed(first))
+    def towards_heads(comps: DataFrame | None) -> DataFrame:
+        """One pair for each class: with the class of most partners among the heads of its buckets.
+
+        Given components, a bucket's head is sought outside the component of its first head, and meets those outside its own.
+        """
+        rated = members.join(degrees, "rep").select("bucket", "rep", F.struct("degree", (-F.col("rep")).alias("o")).alias("d"))
+        if comps is None:
+            heads = rated.groupBy("bucket").agg(F.max("d").alias("h")).select("bucket", "h", F.lit(None).cast("long").alias("hc"))
+            met = rated.join(heads, "bucket").where(F.col("rep") != -F.col("h.o"))
+        else:
+            rated = rated.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            # The two components of most partners in each bucket.
+            best = rated.groupBy("bucket", "comp").agg(F.max("d").alias("d")).groupBy("bucket").agg(F.max(F.struct("d", "comp")).alias("one"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+            others = rated.join(best.select("bucket", F.col("one.comp").alias("c1")), "bucket").where("comp <> c1")
+            heads = others.groupBy("bucket").agg(F.max(F.struct("d", "comp")).alias("t")).select("bucket", F.col("t.d").alias("h"), F.col("t.comp").alias("hc"))
+            met = rated.join(heads, "bucket").where("comp <> hc")
+        pairs = met.groupBy("rep").agg(F.max("h").alias("h")).select(F.col("rep"), (-F.col("h.o")).alias("head"))
+        return pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+
+    links = cut(confirmed(towards_heads(None)))
+    comps = cut(components(links))
+    links = cut(links.union(confirmed(towards_heads(comps))))
     comps = cut(components(links))
 
     # What is left: buckets whose members lie in several components.
@@ -185,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "bucket", F.col("big.comp").alias("big"), F.ceil(F.col("big.m") / CHUNK).alias("bigs"), F.ceil((F.col("all") - F.col("big.m")) / CHUNK).alias("rests")
     )
     # Members of the largest component meet the others, and the others meet each other; both sides in chunks.
-    dealt = placed.join(most, "bucket").join(tagged.select("rep", "sketch").dropDuplicates(["rep"]), "rep")
+    dealt = placed.join(most, "bucket").join(tagged.select("rep", "n", "sketch").dropDuplicates(["rep"]), "rep")
     salt = lambda n: F.pmod(F.xxhash64("rep", "bucket"), n)
     row = lambda i, j, left, right: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(left).alias("left"), F.lit(right).alias("right"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -195,9 +233,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.transform(upto(F.col("bigs")), lambda i: row(i, mine, False, True)),
         F.transform(upto(F.col("rests")), lambda j: row(-1 - F.least(mine, j), F.greatest(mine, j), True, True)),
     )
-    cells = dealt.select("bucket", F.col("rep").alias("id"), "comp", "sketch", F.explode(F.when(F.col("comp") == F.col("big"), as_big).otherwise(as_rest)).alias("c")).select("bucket", "id", "comp", "sketch", "c.*")
-    # Only cells that hold two components.
-    pairs = cells.groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+    cells = dealt.select("bucket", F.col("rep").alias("id"), "comp", "n", "sketch", F.explode(F.when(F.col("comp") == F.col("big"), as_big).otherwise(as_rest)).alias("c")).select("bucket", "id", "comp", "n", "sketch", "c.*")
+    tasks = blocks_for(placed.count(), TASK_ROWS)
+    # A cell holds 2 * CHUNK rows at most, about; a task gets whole cells.
+    pairs = cells.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_across(percent), "a long, b long").distinct()
     more = cut(confirmed(cut(pairs)))
     comps = comps if more.isEmpty() else cut(components(links.union(more)))
 
