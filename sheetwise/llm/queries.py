@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .mixing import op7_entropy_mix
 from .near_dedup import op6_minmax_near_dedup
 from .neighbours import op1_one_bit_neighbours
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_forest_secrets": op10_forest_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_byte_prefix_shards": oracles.SHARDS, "op6_minmax_near_dedup": oracles.NEAR_DUPLICATES}
