@@ -12,7 +12,15 @@ NUMBER = r"[-+]?[0-9]*\.?[0-9]+"
 UNITS = {"point": 1.0, "inch": 72.0, "mm": 72 / 25.4, "px96": 0.75}
 EPOCH_1601 = 11_644_473_600  # seconds from 1601 to 1970
 LAYOUT = {"i16": (2, True), "u16": (2, False), "i32": (4, True), "u32": (4, False), "u8": (1, False)}
-TIME_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy-MM-dd"]
+#: Tried in this order. Fixed values.
+TIME_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "MM/dd/yyyy HH:mm:ss", "yyyyMMddHHmmss", "yyyy-MM-dd", "MM/dd/yyyy"]
+#: Flag bits. Fixed values.
+MEANING = {0x1: "NONE", 0x2: "SEAL", 0x4: "STAMP", 0x8: "LABEL", 0x10: "REDLINE", 0x20: "RESERVED1", 0x40: "RESERVED2"}
+ORIENTATION = {0x1: "ALWAYS_IN_SYNC", 0x2: "ALWAYS_DIFFERENT", 0x4: "DECOUPLED"}
+ALIGNMENT = {
+    0x1: "ALIGN_CENTER", 0x2: "ALIGN_TITLE_BLOCK", 0x4: "ALIGN_TOP", 0x8: "ALIGN_BOTTOM", 0x10: "ALIGN_LEFT", 0x20: "ALIGN_RIGHT",
+    0x40: "ALIGN_TOP_LEFT", 0x80: "ALIGN_TOP_RIGHT", 0x100: "ALIGN_BOTTOM_LEFT", 0x200: "ALIGN_BOTTOM_RIGHT", 0x400: "ALIGN_NONE",
+}
 
 
 def _some(x) -> Column:
@@ -58,7 +66,7 @@ def aspect_match(a: Column, b: Column) -> Column:
 
 
 def size_bucket(kb: Column) -> Column:
-    return F.when(kb < 5, "tiny").when(kb < 50, "small").when(kb < 200, "medium").otherwise("large")
+    return F.when(kb < 5, "likely empty/invisible").when(kb < 50, "minimal content").when(kb < 200, "some content").otherwise("significant content")
 
 
 def within(actual: Column, expected: Column, tol: float = 0.001) -> Column:
@@ -179,8 +187,8 @@ def to_filetime(t: Column) -> Column:
 
 
 def format_guid(hex32: Column) -> Column:
-    """8-4-4-4-12 groups of 32 hex digits, upper case, in braces."""
-    return F.concat(F.lit("{"), F.regexp_replace(F.upper(hex32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit("}"))
+    """8-4-4-4-12 groups of 32 hex digits, lower case, in braces."""
+    return F.concat(F.lit("{"), F.regexp_replace(F.lower(hex32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit("}"))
 
 
 def parse_guid(s: Column) -> Column:
@@ -292,4 +300,4 @@ def line_width(w: Column) -> Column:
 
 
 def dash(name: Column) -> Column:
-    return F.when(name == "dashed", F.array(F.lit(6), F.lit(3))).when(name == "dotted", F.array(F.lit(1), F.lit(2)))
+    return F.when(name == "dashed", F.array(F.lit(3), F.lit(3))).when(name == "dotted", F.array(F.lit(1), F.lit(2)))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words in a type name that mark geometry.
-GEOMETRY_WORDS = "line|polyline|polygon|circle|ellipse|arc|bezier|polytriangle|contour|point|vertex"
+#: Words in a type name that mark geometry. Fixed values.
+GEOMETRY_WORDS = "polytriangle|polyline|line|polygon|circle|ellipse|bezier|rectangle|contour"
 
 
 def unify_fields(ops: DataFrame, synonyms: dict[str, list[str]], default_type: str = "unknown") -> DataFrame:

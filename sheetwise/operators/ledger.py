@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Planned steps with and without preprocessing. Fixed values.
+PREPROCESSED = ["Extract W2D binary files", "Parse W2D opcodes", "Generate XPS XML pages", "Create DWFX archive", "Extract XPS pages", "Parse XPS XML", "Generate PDF"]
+DIRECT = ["Extract XPS pages directly", "Parse XPS XML", "Generate PDF"]
 IMAGES = ["png", "jpg", "jpeg", "tif", "tiff", "gif", "bmp"]
 
 
@@ -17,8 +20,8 @@ def route(members: DataFrame, is_stream: Column, is_page: Column) -> DataFrame:
     """(file, member) -> file, format, needs_preprocessing, plan. Both kinds are Mixed, and pages win."""
     m = members.groupBy("file").agg(F.bool_or(is_stream).alias("streams"), F.bool_or(is_page).alias("pages"))
     kind = F.when(F.col("streams") & F.col("pages"), "Mixed").when(F.col("pages"), "XPS").when(F.col("streams"), "W2D").otherwise("Unknown")
-    steps = lambda *x: F.array(*map(F.lit, x))
-    plan = F.when(F.col("pages"), steps("extract", "convert")).when(F.col("streams"), steps("preprocess", "extract", "convert")).otherwise(F.lit([]).cast("array<string>"))
+    steps = lambda x: F.array(*map(F.lit, x))
+    plan = F.when(F.col("streams") & ~F.col("pages"), steps(PREPROCESSED)).otherwise(steps(DIRECT))
     return m.select("file", kind.alias("format"), (F.col("streams") & ~F.col("pages")).alias("needs_preprocessing"), plan.alias("plan"))
 
 
@@ -37,12 +40,13 @@ def token_counts(docs: DataFrame, tokens: dict[str, str], totals: dict[str, list
 
 
 def content_labels(paths: Column, texts: Column, fills: Column, strokes: Column) -> Column:
-    """The labels whose rules hold; Unknown if none does."""
-    tier = F.when(paths > 1000, "Complex paths").when(paths > 100, "Moderate paths").when(paths > 0, "Simple paths")
-    text = F.when(texts > 50, "Text heavy").when(texts > 0, "Some text")
-    balance = F.when(fills > strokes * 2, "Mostly fills").when(strokes > fills * 2, "Mostly strokes")
-    found = F.array_compact(F.array(tier, text, balance))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Unknown")))
+    """The labels of complexity (none up to 10 paths), of text and of balance. The texts and limits are fixed values."""
+    tier = (
+        F.when(paths > 1000, "Technical Drawing (High complexity)").when(paths > 100, "Technical Drawing (Medium complexity)").when(paths > 10, "Simple Diagram")
+    )
+    text = F.when(texts > 100, "Contains significant text").when(texts > 0, "Contains some text").otherwise("Minimal or no text")
+    balance = F.when(fills > strokes * 2, "Predominantly filled shapes").when(strokes > fills * 2, "Predominantly line drawings").otherwise("Mix of fills and strokes")
+    return F.coalesce(F.array_compact(F.array(tier, text, balance)), F.array(F.lit("Unknown")))
 
 
 def batch_summary(runs: DataFrame) -> DataFrame:

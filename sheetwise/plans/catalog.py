@@ -147,7 +147,7 @@ def p4_problems(spark, sf_dir):
 
 
 @query("""SELECT page_id AS file, CASE WHEN s AND p THEN 'Mixed' WHEN p THEN 'XPS' WHEN s THEN 'W2D' ELSE 'Unknown' END AS format, s AND NOT p AS needs_preprocessing,
-CASE WHEN p THEN 'extract,convert' WHEN s THEN 'preprocess,extract,convert' ELSE '' END AS plan
+CASE WHEN s AND NOT p THEN 'Extract W2D binary files,Parse W2D opcodes,Generate XPS XML pages,Create DWFX archive,Extract XPS pages,Parse XPS XML,Generate PDF' ELSE 'Extract XPS pages directly,Parse XPS XML,Generate PDF' END AS plan
 FROM (SELECT page_id, bool_or(regexp_matches(m, '[?]')) AS s, bool_or(regexp_matches(m, '[.](net|org)')) AS p FROM (SELECT page_id, unnest(string_split(url, '/')) AS m FROM pages) GROUP BY 1)""")
 def p5_route(spark, sf_dir):
     m = V.read(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), F.explode(F.split("url", "/")).alias("member"))
@@ -159,7 +159,7 @@ def p6_until_end(spark, sf_dir):
     return D.until_end(V.v_ops(spark, sf_dir), F.col("op") == "reset_state").select("drawing_id", "seq", "op")
 
 
-@query("SELECT CASE WHEN size < 500 THEN 'tiny' WHEN size < 5000 THEN 'small' WHEN size < 20000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n FROM v_types GROUP BY 1", TYPES)
+@query("SELECT CASE WHEN size < 500 THEN 'likely empty/invisible' WHEN size < 5000 THEN 'minimal content' WHEN size < 20000 THEN 'some content' ELSE 'significant content' END AS bucket, count(*) AS n FROM v_types GROUP BY 1", TYPES)
 def p7_size_bucket(spark, sf_dir):
     return V.v_types(spark, sf_dir).groupBy(S.size_bucket(F.col("size") / 100).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -174,8 +174,9 @@ def counts(spark, sf_dir):
     return L.token_counts(docs, TOKENS, {"n_all": list(TOKENS)})
 
 
-@query("""SELECT doc_id, CASE WHEN l = '' THEN 'Unknown' ELSE l END AS labels FROM (SELECT doc_id, concat_ws(',', CASE WHEN n_the > 1000 THEN 'Complex paths' WHEN n_the > 100 THEN 'Moderate paths' WHEN n_the > 0 THEN 'Simple paths' END,
- CASE WHEN n_of > 50 THEN 'Text heavy' WHEN n_of > 0 THEN 'Some text' END, CASE WHEN n_and > n_de * 2 THEN 'Mostly fills' WHEN n_de > n_and * 2 THEN 'Mostly strokes' END) AS l FROM counts)""", COUNTS_SQL)
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN n_the > 1000 THEN 'Technical Drawing (High complexity)' WHEN n_the > 100 THEN 'Technical Drawing (Medium complexity)' WHEN n_the > 10 THEN 'Simple Diagram' END,
+ CASE WHEN n_of > 100 THEN 'Contains significant text' WHEN n_of > 0 THEN 'Contains some text' ELSE 'Minimal or no text' END,
+ CASE WHEN n_and > n_de * 2 THEN 'Predominantly filled shapes' WHEN n_de > n_and * 2 THEN 'Predominantly line drawings' ELSE 'Mix of fills and strokes' END) AS labels FROM counts""", COUNTS_SQL)
 def p8_content_labels(spark, sf_dir):
     return counts(spark, sf_dir).select("doc_id", F.array_join(L.content_labels(F.col("n_the"), F.col("n_of"), F.col("n_and"), F.col("n_de")), ",").alias("labels"))
 
@@ -638,11 +639,11 @@ def f14_timestamps(spark, sf_dir):
     t = F.col("o_orderdate").cast("timestamp")
     ft = S.to_filetime(t)
     back = S.from_filetime(ft.bitwiseAND(0xFFFFFFFF), F.shiftright(ft, 32))
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format(t, "yyyy/MM/dd HH:mm:ss")).otherwise("no time")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format(t, "MM/dd/yyyy HH:mm:ss")).otherwise("no time")
     return V.read(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(back).alias("unix"), ft.alias("filetime"), F.unix_seconds(S.parse_ts(text)).alias("parsed"))
 
 
-@query("SELECT p_partkey, '{' || upper(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)) || '}' AS guid, h AS parsed FROM hx", HEX_SQL)
+@query("SELECT p_partkey, '{' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '}' AS guid, h AS parsed FROM hx", HEX_SQL)
 def f15_guid(spark, sf_dir):
     g = S.format_guid(F.md5("p_name"))
     return V.read(spark, sf_dir, "part").select("p_partkey", g.alias("guid"), S.parse_guid(g).alias("parsed"))
@@ -698,9 +699,9 @@ def f22_text_hygiene(spark, sf_dir):
     return V.read(spark, sf_dir, "documents").select("doc_id", F.when(F.ascii(t) < 256, S.decode_text(F.encode(t, "UTF-16LE"))).otherwise(t).alias("wide"), S.escape_text(F.substring("text", 1, 200)).alias("escaped"))
 
 
-@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size & 1 <> 0 THEN 'visible' END, CASE WHEN p_size & 2 <> 0 THEN 'locked' END, CASE WHEN p_size & 4 <> 0 THEN 'left' END, CASE WHEN p_size & 8 <> 0 THEN 'top' END) AS flags FROM part")
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size & 1 <> 0 THEN 'NONE' END, CASE WHEN p_size & 2 <> 0 THEN 'SEAL' END, CASE WHEN p_size & 4 <> 0 THEN 'STAMP' END, CASE WHEN p_size & 8 <> 0 THEN 'LABEL' END, CASE WHEN p_size & 16 <> 0 THEN 'REDLINE' END, CASE WHEN p_size & 32 <> 0 THEN 'RESERVED1' END, CASE WHEN p_size & 64 <> 0 THEN 'RESERVED2' END) AS flags FROM part")
 def f23_flags(spark, sf_dir):
-    return V.read(spark, sf_dir, "part").select("p_partkey", F.array_join(S.decode_flags(F.col("p_size"), {1: "visible", 2: "locked", 4: "left", 8: "top"}), ",").alias("flags"))
+    return V.read(spark, sf_dir, "part").select("p_partkey", F.array_join(S.decode_flags(F.col("p_size"), S.MEANING), ",").alias("flags"))
 
 
 @query("SELECT p_partkey, (p_partkey >> 8) & 255 AS major, p_partkey & 255 AS minor FROM part")
@@ -721,7 +722,7 @@ def f26_arc_points(spark, sf_dir):
     return d.select("id", F.col("i").cast("long").alias("i"), q(F.col("p.x"), 100).alias("x"), q(F.col("p.y"), 100).alias("y"))
 
 
-@query("SELECT drawing_id, seq, CAST(floor(greatest(0.1, k * 0.01) * 1000 + 0.5) AS BIGINT) AS width, CASE k % 3 WHEN 0 THEN '6,3' WHEN 1 THEN '1,2' END AS dash FROM v_ops", OPS)
+@query("SELECT drawing_id, seq, CAST(floor(greatest(0.1, k * 0.01) * 1000 + 0.5) AS BIGINT) AS width, CASE k % 3 WHEN 0 THEN '3,3' WHEN 1 THEN '1,2' END AS dash FROM v_ops", OPS)
 def f27_stroke(spark, sf_dir):
     name = F.when(F.col("k") % 3 == 0, "dashed").when(F.col("k") % 3 == 1, "dotted").otherwise("solid")
     return V.v_ops(spark, sf_dir).select("drawing_id", "seq", q(S.line_width(F.col("k"))).alias("width"), F.array_join(S.dash(name), ",").alias("dash"))
