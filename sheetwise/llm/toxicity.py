@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import cut, pieces, table
 
 #: Labelled examples of each class in the index, and held back from it for calibration, at most: what is broadcast is bounded
 #: by these and by TERMS.
@@ -134,19 +135,24 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a[0]), float(a[1])
 
 
-def fit(labelled: DataFrame) -> tuple[Index, tuple[float, float], np.ndarray] | None:
-    """An index, its calibration and the examples' ids, from labelled (id, text, label).
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, tuple[float, float], np.ndarray] | None:
+    """An index, its calibration and the examples' ids, from docs (id, text) and labels (id, label).
 
-    Of each class, the EXAMPLES + CALIBRATION rows of smallest id hash, so that the same rows come out on every run; the
-    classes are weighed back to their own shares when votes are calibrated.
+    Of each class, the EXAMPLES + CALIBRATION labelled documents of smallest id hash, so that the same come out on every
+    run; they are chosen by id alone, and only their texts are fetched. The classes are weighed back to their own shares
+    when votes are calibrated.
     """
-    rows = labelled.where("label in (0, 1) and id is not null")
+    rows = cut(labels.select(F.col("id").cast("long").alias("id"), "label").where("label in (0, 1) and id is not null").join(docs.select("id").distinct(), "id", "left_semi").distinct())
     shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return None
-    own = []
+    chosen = None
     for y in sorted(shares):
-        own += [(r["id"], r["text"], y) for r in rows.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).select("id", "text").limit(EXAMPLES + CALIBRATION).collect()]
+        own = rows.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES + CALIBRATION)
+        chosen = own if chosen is None else chosen.union(own)
+    # Twice EXAMPLES + CALIBRATION ids at most.
+    texts = docs.join(F.broadcast(chosen), "id").select("id", "text", "label").collect()
+    own = sorted(((r["id"], r["text"] or "", r["label"]) for r in texts), key=lambda r: (r[2], zlib.crc32(str(r[0]).encode()), r))
     p = pd.DataFrame(own, columns=["id", "text", "label"])
     p["nth"] = p.groupby("label").cumcount()
     # Every sixth row calibrates, however few there are.
@@ -161,8 +167,8 @@ def fit(labelled: DataFrame) -> tuple[Index, tuple[float, float], np.ndarray] |
     return index, curve, train["id"].to_numpy()[index.order]
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """docs (id, text) -> id, score, votes and evidence: the ids and cosines of the nearest labelled examples.
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (id, text) and labels (id, label 0 or 1; others are ignored) -> id, score, votes and evidence: the ids and cosines of the nearest labelled examples.
 
     A text's VOTERS nearest examples vote with the squares of their cosines; a logistic curve, fitted on labelled rows held
     back from the index, turns the vote into a probability. A labelled document is never its own evidence; copies are.
@@ -170,7 +176,8 @@ def toxicity(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     rows: score 0, no evidence. Repeated rows score alike. Texts are taken whole. Empty input: no rows.
     """
     spark = docs.sparkSession
-    model = fit(labelled)
+    named = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    model = fit(named, labels)
     shared = spark.sparkContext.broadcast(model and (vars(model[0]), *model[1:]))
 
     def score(batches):
@@ -194,7 +201,6 @@ def toxicity(docs: DataFrame, labelled: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores), pa.array(votes), pa.array(seen, kind)], names=["id", "score", "vote", "evidence"])
 
-    named = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return named.mapInArrow(score, "id long, score double, vote double, evidence array<struct<id:long,cosine:double>>")
 
 
@@ -207,5 +213,5 @@ def op9_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels of three quarters of them."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")).where(~held_out(F.col("id")))
-    scored = toxicity(docs, docs.join(labels, "id"))
+    scored = toxicity(docs, labels)
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
