@@ -6,6 +6,7 @@ import hashlib
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units (a word with the blanks before it) that a task remembers, and the longest of them.
-KNOWN, LONGEST = 300_000, 48
+KNOWN, LONGEST = 600_000, 48
 BYTES = 2_000_000
 
 
@@ -41,17 +42,44 @@ def compile_model(path: str) -> dict:
     }
 
 
+class _Known(dict):
+    """Encoded units by text; a unit that is asked for and not known is encoded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit):
+        ids = self.make(unit)
+        if len(unit) <= LONGEST:
+            if len(self) > KNOWN:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class Transducer:
     """The composition of normaliser, pieces and byte fallback.
 
     A state is a place in the text and the last piece read. From it an arc leads over every piece that the text goes on
     with, or over a character without a piece, as its bytes. In a unigram model an arc costs its piece's negative score.
     In a BPE model arcs cost nothing, but two pieces follow each other only if merging their joint text gives just these
-    two; one path is left then, that of the merges.
+    two; one path is left then, that of the merges. Ids are 32-bit little-endian bytes here.
     """
 
     def __init__(self, model: dict):
-        self.m, self.known, self.pairs = model, {}, {}
+        self.m, self.pairs = model, {}
+        self.known = _Known(self._unit)
+        #: Pieces as a tree of characters; a node's own piece is under the empty string.
+        self.tree: dict = {}
+        for p, k in model["ids"].items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = k
+        self.text = {k: p for p, k in model["ids"].items()}
+        self.is_byte = np.zeros(len(model["score"]), bool)
+        self.is_byte[list(model["bytes"].values())] = True
 
     def normal(self, text: str) -> str:
         if self.m["squeeze"]:
@@ -70,64 +98,97 @@ class Transducer:
             k = -best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def follows(self, a: str, b: str) -> bool:
-        key = (a, b)
+    def follows(self, a: int, b: int) -> bool:
+        """Whether piece b can be read after piece a, or at a start if a is -1."""
+        key = (a << 24) + b
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > KNOWN:
+            if len(self.pairs) > KNOWN // 2:
                 self.pairs.clear()
-            got = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
+            x, y = self.text.get(a, ""), self.text[b]
+            got = self.pairs[key] = self.merged(x + y) == ([x, y] if x else [y])
         return got
 
     def _fallback(self, c: str) -> list[int]:
         by = self.m["bytes"]
-        return [by[x] for x in c.encode()] if by else [self.m["unknown"]]
+        return [by[x] for x in c.encode("utf-8", "surrogatepass")] if by else [self.m["unknown"]]
+
+    def _arcs(self, unit: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the pieces that the unit goes on with, the shortest first."""
+        out, node = [], self.tree
+        for j in range(at, len(unit)):
+            node = node.get(unit[j])
+            if node is None:
+                break
+            if "" in node:
+                out.append((j + 1, node[""]))
+        return out
 
     def path(self, unit: str) -> list[int]:
         """The shortest path over one unit."""
-        ids, longest, n, bpe, score = self.m["ids"], self.m["longest"], len(unit), self.m["bpe"], self.m["score"]
+        return self._free(unit) if self.m["bpe"] else self._cheapest(unit)
+
+    def _free(self, unit: str) -> list[int]:
+        """The one path of a BPE model. Its arcs cost nothing, so the first path found is the shortest; long arcs are tried first."""
+        n, out, tried = len(unit), [], set()
+        stack = [(0, -1, None)]  # place, last piece, arcs left to try
+        while stack[-1][0] < n:
+            at, last, arcs = stack[-1]
+            if arcs is None:
+                arcs = self._arcs(unit, at)
+                stack[-1] = (at, last, arcs)
+                if not arcs:
+                    # A character without a piece: no merge crosses it.
+                    out.append(None)
+                    stack.append((at + 1, -1, None))
+                    continue
+            while arcs:
+                end, piece = arcs.pop()
+                if (end, piece) not in tried and self.follows(last, piece):
+                    out.append(piece)
+                    stack.append((end, piece, None))
+                    break
+            else:
+                tried.add((at, last))
+                stack.pop()
+                out.pop()
+        ids = []
+        for (at, _, _), k in zip(stack, out):
+            ids += self._fallback(unit[at]) if k is None else [k]
+        return ids
+
+    def _cheapest(self, unit: str) -> list[int]:
+        """The path of least negative score, by relaxing arcs from left to right."""
+        n, score = len(unit), self.m["score"]
         cost, back = [float("inf")] * (n + 1), [None] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            if cost[i] == float("inf"):
-                continue
-            last = back[i][1] if back[i] else None
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = unit[i:j]
-                k = ids.get(p)
-                if k is not None:
-                    if bpe:
-                        # A piece is read whole only if its own merges lead to it.
-                        if cost[j] > cost[i] and self.follows(last or "", p):
-                            cost[j], back[j] = cost[i], (i, p, k)
-                    elif cost[i] - score[k] < cost[j]:
-                        cost[j], back[j] = cost[i] - score[k], (i, p, k)
-            if unit[i] not in ids:
-                # Ten below the worst score, as unknown characters cost; in a BPE model nothing else leads there.
-                c = cost[i] if bpe else cost[i] + 10 - min(score)
-                if c < cost[i + 1]:
-                    cost[i + 1], back[i + 1] = c, (i, None, None)
+            for j, k in self._arcs(unit, i):
+                if cost[i] - score[k] < cost[j]:
+                    cost[j], back[j] = cost[i] - score[k], (i, k)
+            # Ten below the worst score, as unknown characters cost.
+            if unit[i] not in self.m["ids"] and cost[i] + 10 - min(score) < cost[i + 1]:
+                cost[i + 1], back[i + 1] = cost[i] + 10 - min(score), (i, None)
         out, at = [], n
         while at:
-            i, _, k = back[at]
+            i, k = back[at]
             out.append(self._fallback(unit[i:at]) if k is None else [k])
             at = i
         return [x for o in reversed(out) for x in o]
 
-    def encode(self, text: str | None) -> array:
-        out = array("i")
+    def _unit(self, unit: str) -> bytes:
+        return array("i", self.path(unit)).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
         text = self.normal(text or "")
+        if not text:
+            return b""
+        if not self.m["units"]:
+            return self._unit(text)
         known = self.known
-        for u in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.m["units"] else [text][: len(text)]:
-            ids = known.get(u)
-            if ids is None:
-                ids = array("i", self.path(u))
-                if len(u) <= LONGEST:
-                    if len(known) > KNOWN:
-                        known.clear()
-                    known[u] = ids
-            out += ids
-        return out
+        if text[0] == SPACE and SPACE * 2 not in text:
+            return b"".join([known[SPACE + w] for w in text[1:].split(SPACE)])
+        return b"".join([known[u] for u in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)])
 
     def decode(self, ids) -> str:
         out = self.m["out"]
@@ -135,6 +196,13 @@ class Transducer:
         return text[1:] if self.m["prefix"] and text[:1] == " " else text
 
 
+def _transducer(model: dict) -> Transducer:
+    """The transducer of a broadcast model, kept with it, so that a worker's tasks share what it knows."""
+    if "_built" not in model:
+        model["_built"] = Transducer(model)
+    return model["_built"]
+
+
 def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(compile_model(path))
 
@@ -146,15 +214,12 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
-        t = Transducer(model.value)
+        t = _transducer(model.value)
         for b in by_bytes(batches, at, BYTES):
-            ids = [x and t.encode(x) if x is not None else None for x in b.column(at).to_pylist()]
-            flat, ends, null = array("i"), [0], []
-            for x in ids:
-                flat += x or array("i")
-                ends.append(len(flat))
-                null.append(x is None)
-            got = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]), mask=pa.array(null))
+            ids = [None if x is None else t.encode(x) for x in b.column(at).to_pylist()]
+            ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)], dtype=np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(x or b"" for x in ids))])
+            got = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in ids]))
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*names, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -168,7 +233,7 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     names, at = rows.columns, rows.columns.index("ids")
 
     def run(batches):
-        t = Transducer(model.value)
+        t = _transducer(model.value)
         for b in by_bytes(batches, at, BYTES):
             text = [None if x is None else t.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "text"])
@@ -185,17 +250,17 @@ def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
     model = _shared(docs.sparkSession, path)
 
     def run(batches):
-        t = Transducer(model.value)
-        fallback = set(t.m["bytes"].values())
+        t = _transducer(model.value)
         for b in by_bytes(batches, 1, BYTES):
             ids, n, nb, digests, texts, same = [], [], [], [], [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = t.encode(x)
-                back = t.decode(got)
+                raw = t.encode(x)
+                got = np.frombuffer(raw, "<i4")
+                back = t.decode(got.tolist())
                 ids.append(i)
                 n.append(len(got))
-                nb.append(sum(1 for k in got if k in fallback))
-                digests.append(hashlib.sha256(got.tobytes()).hexdigest())
+                nb.append(int(t.is_byte[got].sum()))
+                digests.append(hashlib.sha256(raw).hexdigest())
                 texts.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 same.append(back == (x or ""))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nb, pa.int64()), pa.array(digests), pa.array(texts), pa.array(same)], names=["id", "n_tokens", "n_bytes", "ids_sha256", "text_sha256", "round_trip"])
