@@ -166,22 +166,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     partners, then that of most partners outside its component; what then still lies in different components of one bucket is compared chunk by chunk, so that no link between
     different components is left out and a group of n near copies costs n confirmations, not n squared.
     Null or wordless text: empty set, linked with nothing. Null id: component null, not kept, and no one's partner.
-    Repeated rows: the same class. Fewer words than a shingle: all of them are one. Empty input: no rows.
+    Repeated rows: the same class. Different texts under one id: each row by its own text. Fewer words than a shingle: all of them are one. Empty input: no rows.
     """
     named = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     prints = stored(named.mapInArrow(_fingerprints(shingle), "id long, n long, digest binary, sketch binary, bands array<long>"), "prints")
-    classes = prints.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = cut(classes)
-    # One row a class: its first document's bands. A document with two texts can be the first of two classes.
-    tagged = prints.join(reps.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d AND id = rep")).select("digest", "rep", "n", "sketch", "bands").dropDuplicates(["digest"])
+    classes = prints.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"))
+    # Classes go by numbers of their own: a document with two texts can be the first of two classes.
+    reps = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
+    # One row a class: its first document's bands.
+    tagged = prints.join(reps.select(F.col("digest").alias("d"), "first", "rep"), F.expr("digest = d AND id = first")).select("digest", "rep", "n", "sketch", "bands").dropDuplicates(["digest"])
     banded = tagged.select("rep", "digest", F.explode("bands").alias("bucket"))
     several = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket", "m")
     members = stored(banded.join(several, "bucket").select("bucket", "rep", "digest", "m"), "members")
     # How many partners a class has over all its buckets: what others were copied from has most.
     degrees = cut(members.groupBy("rep").agg(F.sum("m").alias("degree")))
-    needed = members.select(F.col("rep").alias("id"), "digest").distinct()
+    needed = members.select("rep", "digest").distinct().join(reps.select("rep", F.col("first").alias("id")), "rep")
     sets = stored(
-        needed.hint("shuffle_hash").join(named, "id").select("id", "digest", "text").mapInArrow(_sets(shingle), "id long, set binary").dropDuplicates(["id"]), "sets"
+        needed.hint("shuffle_hash").join(named, "id").select("rep", "digest", "text").mapInArrow(_sets(shingle), "id long, set binary").dropDuplicates(["id"]), "sets"
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -240,7 +241,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     more = cut(confirmed(cut(pairs)))
     comps = comps if more.isEmpty() else cut(components(links.union(more)))
 
-    by_class = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("root"))
+    # A component goes by the smallest id in it.
+    linked = reps.join(comps.withColumnRenamed("id", "rep"), "rep").select("rep", "first", "comp")
+    roots = linked.join(linked.groupBy("comp").agg(F.min("first").alias("root")), "comp").select("rep", "root")
+    by_class = reps.join(roots, "rep", "left").select("digest", F.coalesce("root", "first").alias("root"))
     out = prints.select("id", "n", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -28,10 +28,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of smallest id; of rows with that id, one."""
-    found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
-    keep = found.where("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each near-duplicate group: the one of smallest id, of several texts with that id that of least key.
+
+    Rows are judged by their texts, whatever their ids: different texts under one id or under none stay, unless they are
+    near copies. A row without an id represents its group only where none has one. Rows alike in id and text are one.
+    """
+    keyed = docs.withColumn("key", _key())
+    found = near_duplicates(keyed.select(F.col("key").alias("id"), "text")).select(F.col("id").alias("key"), "component_id").distinct()
+    rows = keyed.select("key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    keep = found.join(rows, "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("key")).distinct()
+    return keyed.join(keep, "key", "left_semi").dropDuplicates(["key", "doc_id", "text"]).select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

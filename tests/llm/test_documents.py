@@ -15,6 +15,7 @@ from sheetwise.llm.near_dedup import near_duplicates, op6_minmax_near_dedup
 from sheetwise.llm.pii import PATTERNS, find_pii, joined, op4_checked_pii, redacted
 from sheetwise.llm.repeats import without_repeats
 from sheetwise.llm.sharding import shard_by_bytes
+from sheetwise.llm.stages import near_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -241,6 +242,35 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((str(r["id"]), r["component_id"], r["kept"]) for r in got) == [("2", 2, True), ("3", 3, True), ("3", 3, True), ("None", None, False)]
 
 
+def test_near_duplicates_under_one_id(spark):
+    rng = random.Random(3)
+    text = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    one, two = text(), text()
+    rows = [(6, " ".join(one)), (6, " ".join(two)), (7, near(one, 40)), (8, near(two, 90)), (9, near(two, 10))]
+    got = near_duplicates(frame(spark, rows), shingle=4).collect()
+    assert sorted((r["id"], r["component_id"], r["kept"]) for r in got) == [(6, 6, True), (6, 6, True), (7, 6, False), (8, 6, False), (9, 6, False)]
+
+
+def test_stage_keeps_texts_without_own_ids(spark):
+    rng = random.Random(4)
+    text = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    a, b, c, d, e = (text() for _ in range(5))
+    full = " ".join
+    rows = [
+        (None, full(a)), (None, full(b)), (None, near(b, 5)),  # two groups without an id
+        (5, full(c)), (None, near(c, 50)), (4, near(c, 70)),  # smallest id stays
+        (7, full(d)), (7, full(e)), (7, full(e)), (8, near(e, 9)),  # two texts under one id
+        (9, None), (10, ""),
+    ]
+    docs = frame(spark, rows).select(F.col("id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    got = [(r["doc_id"], r["text"]) for r in near_dedup(spark, docs, SF).collect()]
+    assert len([t for i, t in got if i is None and t in (full(b), near(b, 5))]) == 1
+    want = [(None, full(a)), (4, near(c, 70)), (7, full(d)), (7, full(e)), (9, None), (10, "")]
+    assert sorted((x for x in got if x[1] not in (full(b), near(b, 5))), key=str) == sorted(want, key=str)
+
+
 # Mixing
 
 
