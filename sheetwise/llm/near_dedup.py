@@ -235,7 +235,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.transform(upto(F.col("rests")), lambda j: row(-1 - F.least(mine, j), F.greatest(mine, j), True, True)),
     )
     cells = dealt.select("bucket", F.col("rep").alias("id"), "comp", "n", "sketch", F.explode(F.when(F.col("comp") == F.col("big"), as_big).otherwise(as_rest)).alias("c")).select("bucket", "id", "comp", "n", "sketch", "c.*")
-    tasks = blocks_for(placed.count(), TASK_ROWS)
+    # A member is repeated for each opposite chunk, so tasks are counted by these repeats.
+    repeats = F.when(F.col("comp") == F.col("big"), F.col("rests")).otherwise(F.col("bigs") + F.col("rests"))
+    tasks = blocks_for(placed.join(most, "bucket").agg(F.sum(repeats)).first()[0] or 0, TASK_ROWS)
     # A cell holds 2 * CHUNK rows at most, about; a task gets whole cells.
     pairs = cells.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_across(percent), "a long, b long").distinct()
     more = cut(confirmed(cut(pairs)))

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sheetwise.llm import near_dedup as near_dedup_module
 from sheetwise.llm import quality, repeats
 from sheetwise.llm.mixing import mix
 from sheetwise.llm.near_dedup import near_duplicates, op6_minmax_near_dedup
@@ -242,6 +243,26 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((str(r["id"]), r["component_id"], r["kept"]) for r in got) == [("2", 2, True), ("3", 3, True), ("3", 3, True), ("None", None, False)]
 
 
+def test_tasks_of_a_large_bucket_are_bounded(spark, monkeypatch):
+    rows = [(k, " ".join([f"w{j}" for j in range(60)] + [f"v{k}_{j}" for j in range(40)])) for k in range(400)]
+    monkeypatch.setattr(near_dedup_module, "CHUNK", 8)
+    monkeypatch.setattr(near_dedup_module, "TASK_ROWS", 64)
+    across = near_dedup_module._across
+
+    def bounded(percent):
+        compare = across(percent)
+
+        def make(p):
+            assert len(p) <= 4 * 64, len(p)
+            return compare(p)
+
+        return make
+
+    monkeypatch.setattr(near_dedup_module, "_across", bounded)
+    got = near_duplicates(frame(spark, rows), shingle=4).collect()
+    assert len(got) == 400 and all(r["component_id"] == r["id"] and r["kept"] for r in got)
+
+
 def test_near_duplicates_under_one_id(spark):
     rng = random.Random(3)
     text = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
