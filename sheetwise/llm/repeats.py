@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks_for, pieces, stored, table
@@ -19,6 +19,10 @@ GRAM = 32
 BLOCK_BYTES = 2_000_000
 #: Distinct passages with one name above which they are compared by window hashes instead of in one suffix array.
 HOT = 1000
+#: Bytes of the suffixes of a name's passages above which they are compared by window hashes, too.
+SUFFIX_BYTES = 100_000_000
+#: Windows of a passage that are hashed at a time.
+WINDOWS = 200_000
 
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15)
@@ -242,11 +246,16 @@ def _windows(width: int):
     def make(batches):
         for batch in pieces(batches, 2, 500_000):
             cols = [[], [], [], [], []]
-            for name, digest, t, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                b = np.frombuffer(t, np.uint8)
-                one, two = _rolling(b, width)[:n], _rolling(b ^ np.uint8(0x5A), width)[:n]
-                for c, x in zip(cols, (np.full(n, name), np.full(n, digest), np.arange(n, dtype=np.int32), one.view(np.int64), two.view(np.int64))):
-                    c.append(x)
+            for name, digest, t, windows in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                for at in range(0, windows, WINDOWS):
+                    n = min(WINDOWS, windows - at)
+                    b = np.frombuffer(t, np.uint8)[at : at + n + width - 1]
+                    one, two = _rolling(b, width), _rolling(b ^ np.uint8(0x5A), width)
+                    for c, x in zip(cols, (np.full(n, name), np.full(n, digest), np.arange(at, at + n, dtype=np.int32), one.view(np.int64), two.view(np.int64))):
+                        c.append(x)
+                    if n == WINDOWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["name", "digest", "x", "one", "two"])
+                        cols = [[], [], [], [], []]
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["name", "digest", "x", "one", "two"])
 
@@ -284,10 +293,11 @@ def repeated_stretches(docs: DataFrame, width: int = 400) -> DataFrame:
     found = stored(found.join(shared.hint("shuffle_hash"), "name", "left_semi"), "shared")
     # Runs with equal bytes are one passage; what comes twice is repeated whole, with no need of its bytes.
     passages = stored(found.groupBy("name", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "doc", "place")).alias("at")), "passages")
-    kinds = passages.groupBy("name").agg(F.count("*").alias("kinds"))
+    windows = F.shiftright(F.col("at.place").bitwiseAND(0xFFFFFFFF), 1) + 1
+    kinds = passages.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(windows.cast("double") * (windows / 2 + width)).alias("suffixes"))
     # A passage can repeat in part if another has its name, or within itself.
     ask = passages.join(kinds, "name").where("kinds > 1 OR n = 1 AND at.place % 2 = 1").select(
-        F.col("at.id").alias("id"), F.col("at.doc").alias("doc"), F.struct("name", "digest", F.col("at.place").alias("place"), (F.col("kinds") > HOT).alias("hot")).alias("r")
+        F.col("at.id").alias("id"), F.col("at.doc").alias("doc"), F.struct("name", "digest", F.col("at.place").alias("place"), F.expr(f"kinds > {HOT} OR suffixes > {SUFFIX_BYTES}").alias("hot")).alias("r")
     )
     lists = ask.groupBy(_key(F.col("id")).alias("k"), "doc").agg(F.collect_list("r").alias("r"))
     texts = docs.select(_key(F.col("id")).alias("k"), "text").join(lists.hint("shuffle_hash"), "k").select("doc", "text", "r")
@@ -295,10 +305,14 @@ def repeated_stretches(docs: DataFrame, width: int = 400) -> DataFrame:
     size = parts.where("not hot").agg(F.sum(F.length("bytes"))).first()[0] or 0
     block = F.pmod(F.xxhash64("name"), F.lit(blocks_for(size, BLOCK_BYTES)))
     cool = parts.where("not hot").groupBy(block.alias("block")).applyInPandas(_block(width), "name long, digest long, x int, y int")
-    # Names that very many passages share: their windows are counted, with partial counts before the shuffle.
+    # Names of very many or very long passages: their windows are counted, with partial counts before the shuffle.
     grams = parts.where("hot").dropDuplicates(["name", "digest"]).select("name", "digest", "bytes", "windows").mapInArrow(_windows(width), "name long, digest long, x int, one long, two long")
     again = grams.groupBy("name", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    warm = grams.join(again, ["name", "one", "two"]).select("name", "digest", "x", (F.col("x") + width).alias("y"))
+    # Windows of a passage that touch are one stretch.
+    along = Window.partitionBy("name", "digest").orderBy("x")
+    starts = F.coalesce(F.col("x") - F.lag("x").over(along) > width, F.lit(True)).cast("int")
+    warm = grams.join(again, ["name", "one", "two"]).select("name", "digest", "x", starts.alias("s")).withColumn("s", F.sum("s").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    warm = warm.groupBy("name", "digest", "s").agg(F.min("x").alias("x"), (F.max("x") + width).alias("y")).drop("s")
     length = F.shiftright(F.col("at.place").bitwiseAND(0xFFFFFFFF), 1) + width
     twice = passages.where("n > 1").select("name", "digest", F.lit(0).alias("x"), length.cast("int").alias("y"))
     cover = cool.union(warm).union(twice).groupBy("name", "digest").agg(F.collect_set(F.struct("x", "y")).alias("c"))

@@ -186,6 +186,28 @@ def test_repeats(spark, monkeypatch, hot):
     assert without_repeats(frame(spark, [])).count() == 0
 
 
+def test_long_periods_copy_few_suffixes(spark, monkeypatch):
+    block = repeats._block
+
+    def bounded(width):
+        compare = block(width)
+
+        def make(p):
+            copied = sum(n * (len(t) - n / 2) for t, n in zip(p["bytes"], p["windows"]))
+            assert copied <= 200_000_000, copied
+            return compare(p)
+
+        return make
+
+    monkeypatch.setattr(repeats, "_block", bounded)
+    monkeypatch.setattr(repeats, "WINDOWS", 30_000, raising=False)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    period = text(40)
+    rows = [(1, "a" * 200_000), (2, text(500) + "a" * 420 + text(30)), (3, text(100) + period * 1000 + text(700)), (4, text(900)), (5, "b" * 401)]
+    assert sorted(map(tuple, without_repeats(frame(spark, rows)).collect()), key=str) == brute_repeats(rows, 400)
+
+
 def test_maximal_groups_have_all_occurrences():
     texts = [b"xxABCDEFGHyy", b"zABCDEFGHq", b"ABCDEq"]
     found = {}
