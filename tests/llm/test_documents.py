@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,32 +177,22 @@ def brute_repeats(rows, w):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize("most, depths", [(2_000_000, 3), (1, 2), (1, 0)])
+def test_repeats(spark, monkeypatch, most, depths):
     rng = random.Random(1)
     text = lambda n: "".join(rng.choice("abcdefgh éü\n") for _ in range(n))
     p, s = text(700), text(450)
     rows = [(0, "a" * 3000), (1, None), (2, ""), (3, text(300) + p + text(50)), (4, p + text(300)), (5, s + p[:420] + s), (6, text(900)), (6, text(500)), (7, "ab" * 600), (8, "x" * 399), (9, "x" * 399), (None, s), (10, p[100:520] + p[50:600]), (11, "ab" * 199 + "c"), (12, text(100) + "a" * 400), (13, p), (13, p)]
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "NAME_BYTES", most)
+    monkeypatch.setattr(repeats, "DEPTHS", depths)
     assert sorted(map(tuple, without_repeats(frame(spark, rows)).collect()), key=str) == brute_repeats(rows, 400)
     assert without_repeats(frame(spark, [])).count() == 0
 
 
-def test_long_periods_copy_few_suffixes(spark, monkeypatch):
-    block = repeats._block
-
-    def bounded(width):
-        compare = block(width)
-
-        def make(p):
-            copied = sum(n * (len(t) - n / 2) for t, n in zip(p["bytes"], p["windows"]))
-            assert copied <= 200_000_000, copied
-            return compare(p)
-
-        return make
-
-    monkeypatch.setattr(repeats, "_block", bounded)
-    monkeypatch.setattr(repeats, "WINDOWS", 30_000, raising=False)
+@pytest.mark.parametrize("most", [100_000, 2_000_000])
+def test_long_periods(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "NAME_BYTES", most)
+    monkeypatch.setattr(repeats, "WINDOWS", 30_000)
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     period = text(40)
@@ -208,16 +200,43 @@ def test_long_periods_copy_few_suffixes(spark, monkeypatch):
     assert sorted(map(tuple, without_repeats(frame(spark, rows)).collect()), key=str) == brute_repeats(rows, 400)
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "".join(random.Random(6).choice("abcdefgh") for _ in range(500))])
+def test_a_megabyte_of_one_period_needs_little_memory(unit):
+    import tracemalloc
+
+    t = (unit * 1_000_000)[:1_000_000].encode()
+    tracemalloc.start()
+    got = repeats._block(400)(pd.DataFrame({"name": [1], "digest": [2], "bytes": [t], "windows": [len(t) - 399]}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[["x", "y"]].to_numpy().tolist() == [[0, len(t)]] and peak < 500_000_000, peak
+
+
+def test_query_follows_brute_force(spark, texts):
+    got = sorted(map(tuple, repeats.op5_interval_tree_dedup(spark, SF).collect()), key=str)
+    assert got == brute_repeats(list(texts.items()), 400)
+
+
 def test_maximal_groups_have_all_occurrences():
     texts = [b"xxABCDEFGHyy", b"zABCDEFGHq", b"ABCDEq"]
-    found = {}
-    for at, groups in repeats.suffix_intervals(texts, [len(t) - 3 for t in texts], 4):
-        for length, first, last in groups:
-            k, p = at[first]
-            found[texts[k][p : p + length]] = sorted(at[first : last + 1])
+    text, at, groups = repeats.suffix_intervals(texts, [len(t) - 3 for t in texts], 4)
+    found = {texts[text[f]][at[f] : at[f] + n]: sorted(zip(text[f : last + 1].tolist(), at[f : last + 1].tolist())) for n, f, last in groups}
     assert found == {b"ABCDEFGH": [(0, 2), (1, 1)], b"ABCDE": [(0, 2), (1, 1), (2, 0)]}
 
 
+def test_sorted_suffixes_and_common_prefixes():
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))).encode() for _ in range(rng.randint(1, 6))]
+        b, ends = np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+        order, levels = repeats.sorted_suffixes(b, ends)
+        suffix = lambda x: bytes(b[x : ends[x]])
+        got = [suffix(x) for x in order]
+        assert sorted(order) == list(range(len(b))) and got == sorted(got)
+        want = [len(re.match(b"(?s)(.*).*\\0\\1", x + b"\0" + y).group(1)) for x, y in zip(got, got[1:])]
+        assert repeats.common_prefixes(b, ends, levels, order[:-1], order[1:]).tolist() == want
+
+
 # Near duplicates
 
 
