@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,16 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the session's, or one in the warehouse where it names none."""
     sc = spark.sparkContext
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc.getCheckpointDir()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -80,8 +75,31 @@ def pieces(batches, text: int, most: int = 4_000_000):
             at += n
 
 
-#: Matches whose places are summed up one after the other; arrays of this many are then joined.
+#: Items that are carried through one after the other; arrays of this many are then joined.
 CHUNK = 128
+#: Code points of the slices that a text is cut into, to reach its places without reading it from the start.
+SLICE = 4096
+
+
+def carried(items: Column, start: Column, step, kind: str) -> Column:
+    """What step makes of each item, in order: step(state, item) -> (state, output); outputs are of type kind.
+
+    Chunks keep the copying of growing arrays short, so that time follows the number of items.
+    """
+    none = F.lit([]).cast(f"array<{kind}>")
+
+    def one(a: Column, x: Column) -> Column:
+        return let(step(a["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    chunks = F.transform(F.sequence(F.lit(1), F.size(items), F.lit(CHUNK)), lambda k: F.slice(items, k, F.lit(CHUNK)))
+    whole = F.aggregate(
+        chunks, F.struct(start.alias("state"), F.lit([]).cast(f"array<array<{kind}>>").alias("out")),
+        lambda a, c: let(
+            F.aggregate(c, F.struct(a["state"].alias("state"), none.alias("out")), one),
+            lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")),
+        ),
+    )
+    return F.when(F.size(items) > 0, F.flatten(whole["out"])).otherwise(none)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -89,26 +107,31 @@ def located(text: Column, pattern: str) -> Column:
 
     Splitting at a pattern gives the gaps between its matches, whose lengths give the places.
     """
-    span = "array<struct<start:int,end:int,text:string>>"
 
-    def step(a: Column, x: Column) -> Column:
-        return let(a["at"] + F.length(x["g"]), lambda s: let(s + F.length(x["m"]), lambda e: F.struct(
-            e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("text")))).alias("out")
+    def step(at: Column, x: Column) -> Column:
+        return let(at + F.length(x["g"]), lambda s: let(s + F.length(x["m"]), lambda e: F.struct(
+            e.alias("state"), F.struct(s.alias("start"), e.alias("end"), x["m"].alias("text")).alias("out")
         )))
 
-    def chunked(pairs: Column) -> Column:
-        # Chunks keep the copying of growing arrays short.
-        chunks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK)), lambda k: F.slice(pairs, k, F.lit(CHUNK)))
-        return F.flatten(F.aggregate(
-            chunks, F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{span}>").alias("out")),
-            lambda a, c: let(
-                F.aggregate(c, F.struct(a["at"].alias("at"), F.lit([]).cast(span).alias("out")), step),
-                lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")),
-            ),
-        )["out"])
-
     def placed(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        return let(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), chunked)
+        return let(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda p: carried(p, F.lit(0), step, "struct<start:int,end:int,text:string>"))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)))
+
+
+def sliced(text: Column) -> Column:
+    """A text as slices of SLICE code points, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}+"), F.lit(0))
+
+
+def part(slices: Column, start: Column, end: Column) -> Column:
+    """The code points from start up to end of a sliced text; reads only the slices that hold them. Beyond the end: nothing."""
+    first, last = F.floor(start / SLICE).cast("int"), F.floor((end - 1) / SLICE).cast("int")
+    at = F.pmod(start, F.lit(SLICE)) + 1
+    there = lambda i: F.coalesce(F.get(slices, i), F.lit(""))
+    return F.when(end <= start, "").when(first == last, F.substring(there(first), at, end - start)).otherwise(F.concat(
+        F.substring(there(first), at, F.lit(SLICE)),
+        F.array_join(F.slice(slices, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(there(last), F.lit(1), F.pmod(end - 1, F.lit(SLICE)) + 1),
+    ))

@@ -154,6 +154,33 @@ def test_checks_and_context(spark):
     assert got == {1: "iban:5:32", 2: "", 3: "ssn:4:15", 4: "", 5: ""}
 
 
+def test_ibans_end_where_their_country_says(spark):
+    rows = [
+        (1, "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF"), (2, "GB82 WEST 1234 5698 7654 32 DUE 2024"), (3, "NO9386011117947 x"), (4, "DE89 3704 0044 0532 0130 01"),
+        (5, "an example iban DE89370400440532013000, a sample"), (6, "example GB82WEST12345698765432"), (7, "ssn 123-45-6789, a sample"), (8, "XX89370400440532013000"),
+    ]
+    got = {r["id"]: r["s"] for r in find_pii(frame(spark, rows)).select("id", joined(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "iban:5:32", 2: "iban:0:27", 3: "iban:0:15", 4: "", 5: "", 6: "", 7: "", 8: ""}
+
+
+def test_many_matches_and_empty_tables(spark):
+    from time import perf_counter
+
+    text = "é1.2.3.4 to a@b.cd, " * 40_000
+    began = perf_counter()
+    r = find_pii(frame(spark, [(1, text)])).select(F.size("spans").alias("n"), redacted(F.col("text"), F.col("spans")).alias("t")).first()
+    assert r["n"] == 80_000 and r["t"] == "é<IP> to <EMAIL>, " * 40_000
+    assert perf_counter() - began < 60
+    odd = spark.createDataFrame([("x", "s")], "text string, spans string")
+    assert find_pii(odd.where("false")).count() == 0 and find_pii(odd).first()["spans"] == []
+
+
+def test_redaction_across_slices(spark):
+    texts = ["x" * n + " a@b.cd " + "é" * m + " +1 (555) 123-4567" for n in (0, 4090, 4095, 4096, 9000) for m in (1, 4080, 12288)]
+    got = {r["id"]: r["t"] for r in find_pii(frame(spark, list(enumerate(texts)))).select("id", redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: t.replace("a@b.cd", "<EMAIL>").replace("+1 (555) 123-4567", "<PHONE>") for i, t in enumerate(texts)}
+
+
 def test_redaction(spark):
     rows = [(1, "to a@b.cd, +1 (555) 123-4567."), (2, "none"), (3, None), (4, "😀 a@b.cd")]
     got = {r["id"]: r["t"] for r in find_pii(frame(spark, rows)).select("id", redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
