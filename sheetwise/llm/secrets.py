@@ -8,20 +8,26 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, located, table
+from .common import cut, let, located, part, sliced, table
 
-#: Runs of 16 and more of the characters that keys, tokens and hashes are written in.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: Code points of context on each side.
 REACH = 32
-#: Labelled findings of each class that the forest is fitted on, at most.
-FINDINGS = 2000
-TREES, DEPTH, SEED = 20, 6, 7
+#: Labelled findings of each class that the forest is fitted on, at most; made-up ones of each form.
+FINDINGS, MADE = 6000, 250
+TREES, DEPTH, SEED = 30, 8, 7
 THRESHOLD = 0.5
+#: A value seen in so many different surroundings, and in as many as this share of its texts, is wording and no secret.
+SURROUNDINGS, VARIETY = 5, 0.5
 
-NAMED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|credential|bearer|auth\w*|(?:api|access|private|client)[_-]?key)"
+NAMED = r"(?i:token|secret|passw(?:or)?d|pwd|credential|bearer|auth|(?:api|access|private|client)[_-]?key)"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 HARMLESS = r"(?i)(?:sha\d*|md5|commit|checksum|digest|uuid|revision|example|sample|card|order|invoice)"
+#: A name of a secret, what assigns it, and a value of 6 characters or more.
+_NAME = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9_.-]{{0,24}}?{NAMED}[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]*[=:][ \t]*[\"'`]?"
+_VALUE = r"[^\s\"'`,;<>(){}\[\]]{6,}+"
+#: Runs of 16 and more of the characters that keys, tokens and hashes are written in.
+_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+CANDIDATE = f"{_NAME}{_VALUE}|{_RUN}"
 #: Parts of names and prose that random strings lack.
 DICTIONARY = (
     "the and for with that this from have not you all was are name file data test user value type class index list page image style "
@@ -29,7 +35,7 @@ DICTIONARY = (
     "ing tion ment ent der und sch ung eur que les des con ado ara ión ter her ere est ver ein ich ati ous ble"
 ).split()
 
-FEATURES = ["length", "digits", "uppers", "symbols", "hex", "distinct", "changes", "words", "path", "named", "assigned", "quoted", "harmless"]
+FEATURES = ["length", "vowels", "dots", "digits", "uppers", "symbols", "hex", "distinct", "changes", "words", "path", "named", "assigned", "quoted", "harmless"]
 
 
 def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -39,7 +45,7 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
     flag = lambda c: c.cast("double")
     known = F.lower(F.regexp_replace(value, f"(?i)(?:{'|'.join(sorted(DICTIONARY, key=len, reverse=True))})", ""))
     return {
-        "length": F.least(n, F.lit(200.0)),
+        "length": F.least(n, F.lit(200.0)), "vowels": share("(?i)[aeiou]"), "dots": share("[.:]"),
         "digits": share("[0-9]"), "uppers": share("[A-Z]"), "symbols": share("[^A-Za-z0-9]"), "hex": share("[0-9a-f]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
         "changes": share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
@@ -51,41 +57,78 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs (key, text) -> key, start, end, value, before, after: a row for each candidate, with its neighbouring words."""
+    """docs (key, text) -> key, start, end, value, before, after: a row for each candidate, with its neighbouring words.
+
+    A candidate is what is assigned to a secret's name, from 6 characters on, or else a run of 16 and more key characters.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    before = lambda s: F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
-    rows = F.transform(located(text, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("value"), before(s).alias("before"), F.substring(text, s["end"] + 1, F.lit(REACH)).alias("after")))
-    return docs.select("key", F.explode(rows).alias("c")).select("key", "c.*")
 
+    def rows(slices: Column) -> Column:
+        def row(m: Column) -> Column:
+            named = F.regexp_extract(m["text"], f"^{_NAME}({_VALUE})$", 1)
+            value = F.when(named != "", named).otherwise(m["text"])
+            start = m["end"] - F.length(value)
+            return F.struct(
+                start.alias("start"), m["end"].alias("end"), value.alias("value"),
+                part(slices, F.greatest(start - REACH, F.lit(0)), start).alias("before"), part(slices, m["end"], m["end"] + REACH).alias("after"),
+            )
 
-def labelled_findings(found: DataFrame) -> DataFrame:
-    """(value, before, after, label) for found candidates whose surroundings tell, and for made-up ones of both kinds.
+        return F.transform(located(text, CANDIDATE), row)
+
+    return docs.select("key", F.explode(let(sliced(text), rows)).alias("c")).select("key", "c.*")
+
+
+def planted(spark: SparkSession, seed: int = 0, forms: int = MADE) -> DataFrame:
+    """(value, before, after, label): made-up findings whose labels are known because they were made so, forms of each kind.
 
-    Assigned to a secret's name, in quotes and of mixed characters: a secret. Letters only, digits only, or without an
-    assignment and full of words: none. Both are seen in neutral surroundings as well, so that the strings count too.
-    The made-up ones keep both classes present whatever the corpus: digests as secrets, names, dates and paths as none.
+    Secrets: digests, keys and passwords, assigned or not. Others: digests that surroundings name as such, names, paths, dates, card numbers,
+    placeholders, and code or prose that is assigned to a secret's name. Both kinds come in the same surroundings as well.
     """
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    secret = F.col("before").rlike(NAMED + r"\S{0,12}\s*" + ASSIGNED) & mixed & F.col("after").rlike("^[\"'`]")
-    plain = ~mixed & ~F.col("before").rlike(ASSIGNED)
-    own = found.select("value", "before", "after", F.when(secret, 1).when(plain, 0).alias("label")).where("label is not null").distinct()
-    both = [
-        F.struct(F.col("before").alias("before"), F.col("after").alias("after")),
-        F.struct(F.when(F.col("label") == 1, "export ").otherwise('token = "').alias("before"), F.when(F.col("label") == 1, " ").otherwise('"').alias("after")),
+    i = F.col("i")
+    base = spark.range(forms).select(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).alias("i"))
+    num = lambda k, n: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n)).cast("int")
+    pick = lambda k, xs: F.get(F.array(*map(F.lit, xs)), num(k, len(xs)))
+    word = lambda k: pick(k, DICTIONARY)
+    raw = lambda k: F.base64(F.unhex(F.sha2(F.concat(i, F.lit(k)), 256)))
+    secret_name = pick("n", ["token", "api_key", "secret", "password", "AWS_SECRET_ACCESS_KEY", "client-key", "db_passwd", "access_key", "auth_token"])
+    sign = pick("s", [" = ", "=", ": ", ":", " : "])
+    quote = pick("q", ['"', "'", "", "`"])
+    named = F.concat(pick("p", ["", "export ", "the ", "  ", "final "]), secret_name, sign, quote)
+    plain = F.concat(word("b"), F.lit(" "), word("c"), F.lit(" "))
+    after = pick("a", [" ", "\n", " and ", ", "])
+    secrets = [
+        F.sha1(F.concat(i, F.lit("h"))), raw("r"), F.upper(F.substring(F.regexp_replace(raw("u"), "[^A-Za-z0-9]", "Q"), 1, 20)),
+        F.substring(F.regexp_replace(raw("m"), "[^A-Za-z0-9]", "x"), 1, 32), F.md5(F.concat(i, F.lit("d"))),
+        F.concat(F.initcap(word("w")), pick("y", ["!", "@", "#", "$", "_", "-"]), num("z", 9000).cast("string"), word("v")),
+        F.substring(raw("t"), 1, 12),
     ]
-    own = own.withColumn("c", F.explode(F.array(*both))).select("value", "c.before", "c.after", "label")
-    base = found.sparkSession.range(120).select(F.col("id").cast("string").alias("i"))
-    word = lambda k: F.get(F.array(*map(F.lit, DICTIONARY)), (F.abs(F.xxhash64("i", F.lit(k))) % len(DICTIONARY)).cast("int"))
-    made = base.select("i", F.explode(F.array(*[
-        F.struct(v.alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(y).alias("label")) for v, b, a, y in (
-            (F.sha1("i"), 'password: "', '"', 1), (F.sha1(F.concat("i", F.lit("x"))), "key ", " ", 1),
-            (F.base64(F.unhex(F.sha2("i", 256))), "api_key=", "\n", 1), (F.upper(F.substring(F.base64(F.unhex(F.sha2(F.concat("i", F.lit("y")), 256))), 1, 20)), "secret = '", "'", 1),
-            (F.concat_ws("_", *map(word, range(6))), "password = ", " ", 0), (F.concat(*map(word, range(10, 18))), "the ", " of", 0),
-            (F.concat_ws("/", *map(word, range(20, 26)), "i"), "https://", ".html", 0), (F.concat(F.lit("2024-01-01-"), "i", F.lit("-"), word(30), word(31)), "log ", ".txt", 0),
-            (F.sha1(F.concat("i", F.lit("z"))), "commit sha1 ", " by", 0),
-        )
-    ])).alias("c")).select("c.*")
-    return own.union(made)
+    wording = [
+        F.concat_ws("_", *map(word, "123456")), F.concat(word("1"), F.initcap(word("2")), F.initcap(word("3")), F.initcap(word("4")), F.initcap(word("5")), F.initcap(word("6"))),
+        F.concat_ws("/", *map(word, "123456"), i), F.concat(F.lit("2024-01-"), (num("d", 20) + 10).cast("string"), F.lit("-"), word("1"), F.lit("-"), word("2")),
+        F.lpad((F.xxhash64(i).bitwiseAND(2**52 - 1)).cast("string"), 16, "4"), F.concat_ws("-", *map(word, "1234567")),
+    ]
+    filler = [
+        pick("f", ["changeme", "xxxxxxxx", "required", "optional", "undefined", "********", "os.environ", "getpass", "string", "your-token-here", "<redacted>", "placeholder", "disabled", "request.form"]),
+        F.concat(word("1"), word("2"), word("3")), F.concat(word("1"), F.lit("."), word("2"), word("3")), F.concat_ws("_", word("1"), word("2"), word("3")),
+    ]
+    digest = pick("g", ["commit ", "sha1: ", "md5 ", "checksum: ", "revision ", "digest = ", "uuid "])
+    kinds = [(v, named, F.concat(quote, after), 1) for v in secrets] + [(v, plain, after, 1) for v in secrets[1:4]]
+    kinds += [(v, plain, after, 0) for v in wording] + [(v, named, F.concat(quote, after), 0) for v in [*filler, *wording[:2]]]
+    kinds += [(v, F.concat(plain, digest), after, 0) for v in (secrets[0], secrets[4])]
+    kinds += [(wording[2], F.lit("https://"), F.lit(".html"), 0), (wording[4], F.lit("card "), after, 0)]
+    each = F.explode(F.array(*[F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(y).alias("label")) for v, b, a, y in kinds]))
+    return base.select(each.alias("c")).select("c.*")
+
+
+def labelled_findings(found: DataFrame) -> DataFrame:
+    """(value, before, after, label): planted findings, and found values (key, value, before, after) that too many surroundings share to be secrets.
+
+    No label follows from a name, an assignment or a character class of the corpus, so that the forest learns none of them by rote.
+    """
+    seen = found.groupBy("value", "before", "after").agg(F.count("*").alias("n"))
+    wide = seen.groupBy("value").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= SURROUNDINGS) & (F.col("kinds") >= VARIETY * F.col("n")))
+    own = seen.join(wide.select("value"), "value", "left_semi").select("value", "before", "after", F.lit(0).alias("label"))
+    return own.union(planted(found.sparkSession))
 
 
 def fit_forest(labelled: DataFrame) -> RandomForestClassificationModel:
@@ -104,8 +147,9 @@ def fit_forest(labelled: DataFrame) -> RandomForestClassificationModel:
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """docs (id, text) -> id, n_candidates, n_secrets, spans (secret:start:end, in code points), scores.
 
-    labelled: findings that people have judged; without, those that labelled_findings takes from docs. Null and empty
-    texts: no candidates. Repeated rows: the same result for each. Long texts are searched whole. Empty input: no rows.
+    labelled: findings that people have judged (value, before, after, label); without, those of labelled_findings. Null and empty
+    texts: no candidates. Repeated rows, and rows alike in id and text: the same result for each. Long texts are searched whole. Candidates with equal
+    scores keep the order of the text. Only id and text are read, so other columns can have any name. Empty input: no rows.
     """
     keyed = docs.select("id", "text", F.xxhash64("id", "text").alias("key"))
     found = cut(candidates(keyed.select("key", "text")).distinct())

@@ -4,13 +4,14 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheetwise.llm import toxicity as TX
 from sheetwise.llm.neighbours import nearest, op1_one_bit_neighbours
 from sheetwise.llm.pieces import MODEL, Transducer, compile_model, decode, encode, op8_transducer_pieces
-from sheetwise.llm.secrets import op10_forest_secrets, scan_secrets
+from sheetwise.llm.secrets import FEATURES, features, fit_forest, op10_forest_secrets, planted, scan_secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,14 +102,31 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_secrets(spark):
-    rows = [(1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'), (2, "internationalisation of responsibilities"), (3, None), (4, ""), (5, "card 4111111111111111 in https://a.b/some/long_page_name_of_things.html"), (1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b')]
-    got = sorted((r["id"], r["n_secrets"], r["spans"]) for r in scan_secrets(spark.createDataFrame(rows, "id long, text string")).collect())
-    assert got == [(1, 1, "secret:11:51"), (1, 1, "secret:11:51"), (2, 0, ""), (3, 0, ""), (4, 0, ""), (5, 0, "")]
+    rows = [
+        (1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'), (2, "internationalisation of responsibilities"), (3, None), (4, ""),
+        (5, "card 4111111111111111 in https://a.b/some/long_page_name_of_things.html"), (1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'),
+        (6, 'password = "S3cr!t7pass"'), (7, "password: required for the page"), (8, "é" * 5000 + ' db_passwd="Tr0ub4dor&3"'),
+    ]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "id long, text string, value string, key int")
+    got = sorted((r["id"], r["n_secrets"], r["spans"]) for r in scan_secrets(df).collect())
+    assert got == [(1, 1, "secret:11:51"), (1, 1, "secret:11:51"), (2, 0, ""), (3, 0, ""), (4, 0, ""), (5, 0, ""), (6, 1, "secret:12:23"), (7, 0, ""), (8, 1, "secret:5012:5023")]
+    assert scan_secrets(df.where("id > 99")).count() == 0
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in op10_forest_secrets(spark, SF).collect():
         assert (r["n_secrets"] > 0) == ('token = "' in docs[r["doc_id"]].lower())
 
 
+def test_secrets_planted_anew(spark):
+    """Precision and recall on findings that the forest has not seen."""
+    new = planted(spark, seed=99, forms=60).where(F.length("value") >= 6).withColumn("id", F.monotonically_increasing_id())
+    model = fit_forest(planted(spark))
+    rated = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(new.select("label", *[c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after")).items()])))
+    n = {(r["label"], r["prediction"]): r["count"] for r in rated.groupBy("label", "prediction").count().collect()}
+    precision, recall = n[1, 1.0] / (n[1, 1.0] + n.get((0, 1.0), 0)), n[1, 1.0] / (n[1, 1.0] + n.get((1, 0.0), 0))
+    print(precision, recall)
+    assert precision >= 0.9 and recall >= 0.9, n
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "pii", "mixing", "tokens"]
