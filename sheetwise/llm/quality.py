@@ -13,17 +13,24 @@ MOST_REPEATED = 20  # percent of the words
 SYMBOLS = "#*$%&|<>"
 SHINGLE = 5
 
-#: The transformed statistics, in thousandths, and the deviation below which none counts, whatever its group's spread.
+#: The transformed statistics, in thousandths, and the standard deviations of the target that every covariance is regularised
+#: by (as in minimum regularised covariance determinants): its square is added to the diagonal. Most documents have no
+#: symbol and no repeated line or window, so that half of a group often lies on one hyperplane, where a plain determinant is 0 and any
+#: document off it would be infinitely far. What these deviations say is how much of a symbol or a repeat is ordinary.
 FEATURES = {"f_length": 120, "f_symbols": 40, "f_lines": 100, "f_repeats": 150}
 #: Squared Mahalanobis distance beyond which a document goes: the 0.99999 quantile of chi-square with 4 degrees.
 CUTOFF = 28.47
 #: Share of a group that the covariance determinant is taken over, and what makes that covariance consistent for normal
 #: data: share / P(chi-square with 6 degrees <= the median of chi-square with 4).
 SHARE, CONSISTENT = 0.5, 2.11
-#: Concentration steps over all rows.
-STEPS = 4
-#: Groups up to which their estimates (about 200 bytes each) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_GROUPS = 50_000
+#: Rows that the least determinant finds within the 0.975 quantile of chi-square with 4 degrees give the final estimate, with its own factor.
+INNER, INNER_CONSISTENT = 11.14, 1.0645
+#: Concentration steps at most, from each start; they end when no determinant falls by more than this share any more.
+STEPS, SETTLED = 12, 1e-6
+#: Starts from parts of a group, dealt by a hash of the statistics, besides those from the whole of it.
+PARTS = 4
+#: Groups up to which their estimates (about 700 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 
 
 def _covered(pairs: Column) -> Column:
@@ -93,55 +100,103 @@ def _cholesky(cov) -> dict[tuple[int, int], Column]:
     return low
 
 
-def _factored(moments: DataFrame) -> DataFrame:
-    """Group sums (n, s_i, q_ij) -> means m_i and the factor l_ij of the consistent covariance plus the least spreads."""
-    floors, p = list(FEATURES.values()), len(FEATURES)
+_P = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+_SUMS = ["n", *[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _PAIRS]]
+_ESTIMATE = [*[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]]
+
+
+def _factored(moments: DataFrame, consistent: float) -> DataFrame:
+    """Group sums (n, s_i, q_ij) -> means m_i, the factor l_ij of the regularised covariance, and the logarithm of its determinant."""
+    floors = list(FEATURES.values())
     n = F.col("n").cast("double")
-    out = moments.select("*", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(p)])
-    cov = lambda i, j: CONSISTENT * (F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) + (floors[i] ** 2 if i == j else 0.0)
+    out = moments.select("*", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(_P)])
+    cov = lambda i, j: consistent * (F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) + (floors[i] ** 2 if i == j else 0.0)
     for (i, j), x in _cholesky(cov).items():
         out = out.withColumn(f"l{i}{j}", x)
-    return out.select("grp", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return out.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(1, _P)), F.log("l00")))
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
+def _distance(of=F.col) -> Column:
+    """Squared Mahalanobis distance by forward substitution; of(name) is a part of the estimate."""
     ys: list[Column] = []
     for i, f in enumerate(FEATURES):
-        y = F.col(f) - F.col(f"m{i}")
+        y = F.col(f) - of(f"m{i}")
         for k in range(i):
-            y = y - F.col(f"l{i}{k}") * ys[k]
-        ys.append(y / F.col(f"l{i}{i}"))
+            y = y - of(f"l{i}{k}") * ys[k]
+        ys.append(y / of(f"l{i}{i}"))
     return sum((y * y for y in ys[1:]), ys[0] * ys[0])
 
 
-def outliers(rows: DataFrame, keep: Column) -> DataFrame:
-    """rows (grp and the features) -> with distance, from its group's location and scatter.
-
-    Only rows with keep count for the estimates. They start at the medians; every concentration step sorts all rows of a
-    group into bins of distance (an eighth of an octave wide), takes the nearest bins that hold SHARE of the rows, and
-    computes mean and covariance from their sums. Sums are of whole thousandths: exact, in any order. Binned sums are all that is
-    shuffled, at most some 400 rows a group from each task. Groups of any size work: the least spreads keep every factor regular.
-    """
-    p = len(FEATURES)
+def _moments() -> list[Column]:
     f = list(FEATURES)
-    used = rows.where(keep)
-    start = used.groupBy("grp").agg(*[F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(f)])
-    floors = list(FEATURES.values())
-    start = cut(start.select("grp", *[f"m{i}" for i in range(p)], *[F.lit(float(floors[i]) if i == j else 0.0).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]))
-    small = start.count() <= BROADCAST_GROUPS
+    return [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(f)], *[F.sum(F.col(f[i]) * F.col(f[j])).alias(f"q{i}{j}") for i, j in _PAIRS]]
+
+
+def _starts(used: DataFrame) -> DataFrame:
+    """(grp, start, estimate): medians with the target's spreads, medians with half the range of the middle half, means with the covariance of all, and those of PARTS parts."""
+    spread = list(FEATURES.values())
+    quart = used.groupBy("grp").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, c in enumerate(FEATURES)])
+    middle = [F.get(f"p{i}", F.lit(1)).alias(f"m{i}") for i in range(_P)]
+    diagonal = lambda of: [(of(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS]
+    half = lambda i: 0.7413 * (F.get(f"p{i}", F.lit(2)) - F.get(f"p{i}", F.lit(0)))
+    plain = quart.select("grp", F.lit(0).alias("start"), *middle, *diagonal(lambda i: F.lit(float(spread[i]))))
+    ranged = quart.select("grp", F.lit(1).alias("start"), *middle, *diagonal(lambda i: F.sqrt(half(i) * half(i) + spread[i] ** 2)))
+    parts = cut(used.groupBy("grp", F.pmod(F.xxhash64(*FEATURES), F.lit(PARTS)).cast("int").alias("part")).agg(*_moments()))
+    of_parts = _factored(parts, 1.0).select("grp", (3 + F.col("part")).alias("start"), *_ESTIMATE)
+    whole = _factored(parts.groupBy("grp").agg(*[F.sum(c).alias(c) for c in _SUMS]), 1.0).select("grp", F.lit(2).alias("start"), *_ESTIMATE)
+    return plain.union(ranged).union(whole).union(of_parts)
+
+
+def _halves(used: DataFrame, now: DataFrame) -> DataFrame:
+    """(grp, start, sums): the sums over the nearest SHARE of each group's rows by each of its estimates.
+
+    Rows are binned by distance, an eighth of an octave wide, and a group's bins are summed from the nearest on. Of the bin in which SHARE is
+    reached, every row counts with the same weight, such that just SHARE of the group's weight is taken. Binned sums are all that is
+    shuffled, some 400 rows a group and start from each task.
+    """
+    d = used.join(now, "grp").withColumn("e", F.explode("e"))
+    of = lambda c: F.col(f"e.{c}")
+    binned = d.select("grp", of("start").alias("start"), *FEATURES, F.floor(8 * F.log2(_distance(of) + 2.0**-20)).cast("int").alias("bin")).groupBy("grp", "start", "bin").agg(*_moments())
+    own = W.partitionBy("grp", "start")
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    room = SHARE * F.sum("n").over(own) - before
+    weight = F.least(F.lit(1.0), F.col("room") / F.col("n"))
+    return binned.withColumn("room", room).where("room > 0").groupBy("grp", "start").agg(*[F.sum(F.col(c) * weight).alias(c) for c in _SUMS])
+
+
+def robust_estimates(used: DataFrame) -> DataFrame:
+    """rows (grp and the features) -> grp, its location m_i, the factor l_ij of its scatter, and the logarithm of the least determinant found.
+
+    Minimum covariance determinants: from several starts, concentration steps take the nearest half of a group by the last
+    estimate, of which each step can only lower the determinant, until none falls any more. The start with the least determinant
+    wins, ties to the first; rows within INNER of it give the final estimate. Sums are of whole thousandths. Groups of any size work.
+    """
+    state = cut(_starts(used).withColumn("logdet", F.lit(None).cast("double")))
+    small = state.select("grp").distinct().count() <= BROADCAST_GROUPS
     hint = F.broadcast if small else (lambda x: x)
-    now = start
+    packed = lambda st: hint(st.groupBy("grp").agg(F.collect_list(F.struct("start", *_ESTIMATE)).alias("e")))
+    live, done = state, None
     for _ in range(STEPS):
-        d = used.join(hint(now), "grp").withColumn("d", _distance())
-        binned = d.withColumn("bin", F.floor(8 * F.log2(F.col("d") + 2.0**-20)).cast("int")).groupBy("grp", "bin").agg(
-            F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(f)],
-            *[F.sum(F.col(f[i]) * F.col(f[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)],
-        )
-        near = W.partitionBy("grp").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-        binned = binned.withColumn("before", F.coalesce(F.sum("n").over(near), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy("grp")))
-        sums = binned.where(F.col("before") < SHARE * F.col("all")).groupBy("grp").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(p)], *[f"q{i}{j}" for i in range(p) for j in range(i + 1)]]])
-        now = cut(_factored(sums))
+        new = _factored(_halves(used, packed(live)), CONSISTENT).select("grp", "start", *_ESTIMATE, "logdet")
+        new = cut(new.join(live.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]))
+        over = F.coalesce(F.col("logdet") >= F.col("was") + F.log(F.lit(1 - SETTLED)), F.lit(False))
+        ended = new.where(over).drop("was")
+        done = ended if done is None else done.union(ended)
+        live = new.where(~over).drop("was")
+        if live.isEmpty():
+            break
+    last = done.union(live)
+    best = cut(last.groupBy("grp").agg(F.min(F.struct("logdet", "start", *_ESTIMATE)).alias("b")).select("grp", *[F.col(f"b.{c}").alias(c) for c in [*_ESTIMATE, "logdet"]]))
+    inner = used.join(hint(best), "grp").where(_distance() <= INNER).groupBy("grp").agg(*_moments())
+    final = _factored(inner, INNER_CONSISTENT).select("grp", *_ESTIMATE)
+    return final.join(best.select("grp", "logdet"), "grp")
+
+
+def outliers(rows: DataFrame, keep: Column) -> DataFrame:
+    """rows (grp and the features) -> with distance, from its group's location and scatter. Only rows with keep count for these."""
+    now = cut(robust_estimates(rows.where(keep)))
+    hint = F.broadcast if now.count() <= BROADCAST_GROUPS else (lambda x: x)
     # A group without rows to estimate from rejects none.
     return rows.join(hint(now), "grp", "left").withColumn("distance", F.coalesce(_distance(), F.lit(0.0))).drop(*[c for c in now.columns if c != "grp"])
 
@@ -151,7 +206,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     kept: the base rules hold, and the document's transformed statistics are no outlier among those of its language and
     source. Null and empty texts fail for want of words. Null lang or source is a value of its own. Repeated rows count
-    each. Very long texts are taken whole. Empty input: no rows.
+    each; equal distances share a weight where only some of them fit into a half. Very long texts are taken whole. Only id, text, lang and
+    source are read, so other columns can have any name. Empty input: no rows.
     """
     stats = statistics(F.col("text"))
     grp = F.concat(*[x for c in ("lang", "source") for x in (F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\u0001"))])
