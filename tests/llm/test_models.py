@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheetwise.llm import toxicity as TX
-from sheetwise.llm.neighbours import nearest, op1_one_bit_neighbours
+from sheetwise.llm.neighbours import centres, encode as encode_vectors, estimates, nearest, op1_one_bit_neighbours, rotation
 from sheetwise.llm.pieces import MODEL, Transducer, compile_model, decode, encode, op8_transducer_pieces
 from sheetwise.llm.secrets import FEATURES, features, fit_forest, op10_forest_secrets, planted, scan_secrets
 
@@ -19,19 +19,41 @@ SF = "/root/testdata/sf0.001"
 def brute_nearest(rows, asked, top):
     out = {}
     for q, v in asked.items():
-        score = sorted(((-float((np.array(x) * np.array(v)).sum()), i) for i, x in rows.items() if i != q))[:top]
-        out[q] = [i for _, i in score]
+        out[q] = sorted(((-float((np.array(x) * np.array(v)).sum()), i) for i, x in rows.items() if i != q))[:top]
     return out
 
 
-def test_recall(spark):
+def test_query_against_brute_force(spark):
+    """Recall, and of what is found the scores, ranks and ties."""
     rows = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     want = brute_nearest(rows, {q: v for q, v in rows.items() if q % 20 == 0}, 20)
     got = {}
     for r in op1_one_bit_neighbours(spark, SF).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert r["score"] == float((np.array(rows[r["vec_id"]]) * np.array(rows[r["query_id"]])).sum())
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    assert all(v == sorted(v) and len({i for _, i in v}) == 20 for v in got.values())
     hits = sum(len(set(got[q]) & set(want[q])) for q in want)
-    assert set(got) == set(want) and all(len(v) == 20 for v in got.values()) and hits >= 0.95 * 20 * len(want)
+    assert set(got) == set(want) and hits >= 0.9 * 20 * len(want), hits / 20 / len(want)
+
+
+def test_bounds_hold_and_rule_out():
+    """The bounds hold as often as they should, and few rows reach the line of the 20 best."""
+    rng = np.random.default_rng(2)
+    x, q = rng.standard_normal((20000, 64)), rng.standard_normal((40, 64))
+    turn, cents = rotation(64), centres(x[:4096], 8)
+    cell = np.argmax(x @ cents.T - (cents * cents).sum(1) / 2, axis=1)
+    codes, norm, align = encode_vectors(x, cents[cell], turn)
+    words = np.ascontiguousarray(codes.view(np.uint64).T)
+    held, kept, found = [], [], []
+    for v in q:
+        est, err = estimates(words, norm, align, (cents @ v)[cell], v, turn)
+        true = x @ v
+        line = np.sort(true)[-20]
+        held.append(np.mean(np.abs(est - true) <= err))
+        kept.append(np.mean(est + err >= line))
+        found.append(np.mean((est + err >= line)[true >= line]))
+    assert np.mean(held) > 0.93 and np.mean(kept) < 0.2 and np.mean(found) > 0.93, (np.mean(held), np.mean(kept), np.mean(found))
 
 
 def test_neighbours_of_odd_rows(spark):
