@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, pieces, table
 
-#: Labelled examples of each class in the index, and held back from it for calibration, at most: what is broadcast is bounded
-#: by these and by TERMS.
+#: Labelled examples of each class in the index, and held back from it for calibration, at most, and the bytes of text that an
+#: example has at most: what is gathered and broadcast is bounded by these. Longer labelled texts are scored, not learnt from.
 EXAMPLES, CALIBRATION = 2500, 500
-#: Terms of an example, at most: those of largest weight. Terms that fewer examples hold say nothing about others.
-TERMS, LEAST_EXAMPLES = 1500, 2
+EXAMPLE_BYTES = 20_000
+#: Terms that fewer examples hold say nothing about others.
+LEAST_EXAMPLES = 2
 #: Chi-square with one degree that a term's examples must reach against the labels; others only blur cosines.
 TELLING = 10.8
 #: Voters; examples in a block of the index; blocks that are searched before any is skipped.
@@ -38,25 +38,13 @@ def terms(text: str | None) -> Counter:
 class Index:
     """Examples as an inverted index: for every term, its examples by block, and its largest weight in each block."""
 
-    def __init__(self, counts: list[Counter], labels: np.ndarray):
-        df = Counter(w for c in counts for w in c)
-        toxic = Counter(w for c, y in zip(counts, labels) if y for w in c)
-        n, t = len(counts), int(labels.sum())
-
-        def telling(w: str) -> bool:
-            """Whether the term's toxic examples differ in number from its share, by more than chance."""
-            expected = df[w] * t / n
-            spread = expected * (1 - t / n) * (n - df[w]) / max(1, n - 1)
-            return spread <= 0 or (toxic[w] - expected) ** 2 >= TELLING * spread
-
-        common = sorted(w for w, k in df.items() if k >= LEAST_EXAMPLES)
-        self.words = {w: i for i, w in enumerate([w for w in common if telling(w)] or common)}
-        self.idf = np.array([np.log((len(counts) + 1) / (df[w] + 1)) for w in self.words])
-        vectors = [self.vector(c, TERMS) for c in counts]
+    def __init__(self, words: list[str], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        """vectors: terms, by their place in words, and weights of each example, of length 1."""
+        self.words, self.idf = {w: i for i, w in enumerate(words)}, np.asarray(idf, float)
         # Examples of one language, and of like words, come into the same blocks: by their heaviest common terms.
         first = [min(k[np.argsort(self.idf[k])[:4]].tolist(), default=0) if len(k) else 0 for k, _ in vectors]
-        order = np.lexsort((np.arange(len(counts)), labels, first))
-        self.order, self.labels = order, labels[order]
+        order = np.lexsort((np.arange(len(vectors)), labels, first))
+        self.order, self.labels = order, np.asarray(labels)[order]
         term = np.concatenate([vectors[o][0] for o in order] or [np.empty(0, int)])
         example = np.repeat(np.arange(len(order)), [len(vectors[o][0]) for o in order])
         weight = np.concatenate([vectors[o][1] for o in order] or [np.empty(0)])
@@ -69,15 +57,12 @@ class Index:
         np.maximum.at(self.most, cell, self.weight)
         self.most = self.most.reshape(len(self.words), self.blocks)
 
-    def vector(self, c: Counter, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, c: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Known terms in order, and their weights (1 + ln tf) * idf, scaled to length 1."""
         k = np.array([self.words[w] for w in c if w in self.words], int)
         v = (1 + np.log(np.array([n for w, n in c.items() if w in self.words], float))) * self.idf[k]
         keep = v > 0
         k, v = k[keep], v[keep]
-        if most and len(k) > most:
-            top = np.argsort(-v, kind="stable")[:most]
-            k, v = k[top], v[top]
         by = np.argsort(k)
         k, v = k[by], v[by]
         return k, v / (np.sqrt((v * v).sum()) or 1.0)
@@ -135,32 +120,63 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a[0]), float(a[1])
 
 
+def _counted(batches):
+    """(id, label, held, text) -> a row for each term of a text, with its count."""
+    for batch in pieces(batches, 3, BYTES):
+        out = []
+        for i, y, h, t in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            out += [(i, y, h, w, n) for w, n in terms(t).items()]
+        ids, labels, held, words, counts = zip(*out) if out else ((),) * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(held, pa.bool_()), pa.array(words, pa.string()), pa.array(counts, pa.int32())], names=["id", "label", "held", "term", "tf"]
+        )
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, tuple[float, float], np.ndarray] | None:
     """An index, its calibration and the examples' ids, from docs (id, text) and labels (id, label).
 
-    Of each class, the EXAMPLES + CALIBRATION labelled documents of smallest id hash, so that the same come out on every
-    run; they are chosen by id alone, and only their texts are fetched. The classes are weighed back to their own shares
+    Of each class, the EXAMPLES + CALIBRATION labelled documents of smallest id hash among those of EXAMPLE_BYTES at most, so that the same come
+    out on every run; they are chosen by id alone, and only their texts are read. Terms are counted, rated against the labels and weighed as
+    tables; weights of the terms that tell labels apart are all that reaches the driver. The classes are weighed back to their own shares
     when votes are calibrated.
     """
-    rows = cut(labels.select(F.col("id").cast("long").alias("id"), "label").where("label in (0, 1) and id is not null").join(docs.select("id").distinct(), "id", "left_semi").distinct())
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES)
+    rows = cut(labels.select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and id is not null").join(short.select("id").distinct(), "id", "left_semi").distinct())
     shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return None
     chosen = None
     for y in sorted(shares):
         own = rows.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES + CALIBRATION)
+        # Every sixth row calibrates, however few there are.
+        nth = F.row_number().over(W.orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id")) - 1
+        own = own.withColumn("held", (nth > 0) & (nth % ((EXAMPLES + CALIBRATION) // CALIBRATION) == 0))
         chosen = own if chosen is None else chosen.union(own)
-    # Twice EXAMPLES + CALIBRATION ids at most.
-    texts = docs.join(F.broadcast(chosen), "id").select("id", "text", "label").collect()
-    own = sorted(((r["id"], r["text"] or "", r["label"]) for r in texts), key=lambda r: (r[2], zlib.crc32(str(r[0]).encode()), r))
-    p = pd.DataFrame(own, columns=["id", "text", "label"])
-    p["nth"] = p.groupby("label").cumcount()
-    # Every sixth row calibrates, however few there are.
-    held = (p["nth"] % ((EXAMPLES + CALIBRATION) // CALIBRATION) == 0) & (p["nth"] > 0)
-    train = p[~held]
-    index = Index([terms(t) for t in train["text"]], train["label"].to_numpy())
-    cal = p[held] if held.any() else train
-    votes = np.array([index.vote(*index.nearest(*index.vector(terms(t)), VOTERS)) for t in cal["text"]])
+    # Twice EXAMPLES + CALIBRATION ids at most; of several texts of an id, the first.
+    chosen = cut(chosen)
+    texts = short.join(F.broadcast(chosen), "id").groupBy("id", "label", "held").agg(F.min("text").alias("text"))
+    counted = cut(texts.mapInArrow(_counted, "id long, label int, held boolean, term string, tf int"))
+    examples = chosen.orderBy("label", F.crc32(F.col("id").cast("string").cast("binary")), "id").toPandas()
+    train = examples[~examples["held"].astype(bool)].reset_index(drop=True)
+    n, t = len(train), int(train["label"].sum())
+    seen = counted.where("not held").groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("toxic")).where(F.col("df") >= LEAST_EXAMPLES)
+    # Whether a term's toxic examples differ in number from its share, by more than chance.
+    expected = F.col("df") * (t / n)
+    spread = expected * (1 - t / n) * (n - F.col("df")) / max(1, n - 1)
+    telling = seen.where((spread <= 0) | (F.pow(F.col("toxic") - expected, 2) >= TELLING * spread))
+    vocabulary = cut((seen if telling.isEmpty() else telling).select("term", F.log((n + 1) / (F.col("df") + 1)).alias("idf")))
+    weighed = counted.join(vocabulary, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf")).where("w > 0").toPandas()
+    known = vocabulary.orderBy("term").toPandas()
+    place = {w: i for i, w in enumerate(known["term"])}
+    none, vectors = (np.empty(0, int), np.empty(0)), {}
+    for i, own in weighed.groupby("id"):
+        k, v = own["term"].map(place).to_numpy(), own["w"].to_numpy()
+        by = np.argsort(k)
+        vectors[i] = (k[by], v[by] / np.sqrt((v * v).sum()))
+    index = Index(known["term"].tolist(), known["idf"].to_numpy(), [vectors.get(i, none) for i in train["id"]], train["label"].to_numpy())
+    held = examples[examples["held"].astype(bool)]
+    cal = held if len(held) else train
+    votes = np.array([index.vote(*index.nearest(*vectors.get(i, none), VOTERS)) for i in cal["id"]])
     y = cal["label"].to_numpy()
     weight = np.array([shares[c] / max(1, (y == c).sum()) for c in y])
     curve = _calibrate(votes, y, weight * len(y) / weight.sum())
@@ -172,8 +188,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A text's VOTERS nearest examples vote with the squares of their cosines; a logistic curve, fitted on labelled rows held
     back from the index, turns the vote into a probability. A labelled document is never its own evidence; copies are.
+    The space of the cosines holds the terms that tell labels apart; in it they are exact, and equal ones are settled by the index's order.
     Null and empty texts, and texts without known terms, get the score of a vote at the examples' own share. No labelled
-    rows: score 0, no evidence. Repeated rows score alike. Texts are taken whole. Empty input: no rows.
+    rows: score 0, no evidence. Repeated rows score alike. Texts are taken whole. Only id, text and label are read, so other columns can
+    have any name. Empty input: no rows.
     """
     spark = docs.sparkSession
     named = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))

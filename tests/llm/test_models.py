@@ -96,8 +96,11 @@ def test_index_is_exact():
     rng = random.Random(1)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
     counts = [Counter(rng.choices(words, k=rng.randint(0, 40))) for _ in range(500)]
-    index = TX.Index(counts, np.array([rng.randint(0, 1) for _ in counts]))
-    vectors = [index.vector(counts[o], TX.TERMS) for o in index.order]
+    seen = Counter(w for c in counts for w in c)
+    idf = [np.log(501 / (seen[w] + 1)) for w in words]
+    plain = TX.Index(words, idf, [], np.empty(0, int))
+    index = TX.Index(words, idf, [plain.vector(c) for c in counts], np.array([rng.randint(0, 1) for _ in counts]))
+    vectors = [index.vector(counts[o]) for o in index.order]
     for c in counts[:60]:
         k, v = index.vector(c)
         full = np.array([sum(v[list(k).index(t)] * w for t, w in zip(*x) if t in set(k)) for x in vectors])
@@ -123,6 +126,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in TX.toxicity(df, df.where("id < 0")).collect()} == {0.0}
 
 
+def test_toxicity_of_odd_rows(spark):
+    rows = [(1, "good words here", 0), (2, "bad words here", 1), (2, "bad words here", 1), (3, None, 1), (4, "w " * 30000, 1), (None, "bad", 1), (5, "", 7), (6, "other", None)]
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "id long, text string, label int, term string, score double")
+    got = TX.toxicity(df, df).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["id"] == 2}) == 1
+    assert TX.toxicity(df.where("false"), df).count() == 0
+
+
+def test_vote_and_calibration():
+    index = TX.Index(["a"], [1.0], [(np.array([0]), np.array([1.0]))] * 4, np.array([0, 0, 0, 1]))
+    near = np.flatnonzero(index.labels == 1)
+    assert index.vote(near, np.array([0.9])) > 0.99 and abs(index.vote(np.empty(0, int), np.empty(0)) - 0.25) < 1e-9
+    rng = np.random.default_rng(3)
+    x = rng.random(4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(6 * x - 3)))).astype(int)
+    a, b = TX._calibrate(x, y, np.ones(4000))
+    assert abs(a - 6) < 0.6 and abs(b + 3) < 0.4
+
+
 def test_secrets(spark):
     rows = [
         (1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'), (2, "internationalisation of responsibilities"), (3, None), (4, ""),
