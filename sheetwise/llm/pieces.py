@@ -59,125 +59,142 @@ class _Known(dict):
 
 
 class Transducer:
-    """The composition of normaliser, pieces and byte fallback.
-
-    A state is a place in the text and the last piece read. From it an arc leads over every piece that the text goes on
-    with, or over a character without a piece, as its bytes. In a unigram model an arc costs its piece's negative score.
-    In a BPE model arcs cost nothing, but two pieces follow each other only if merging their joint text gives just these
-    two; one path is left then, that of the merges. Ids are 32-bit little-endian bytes here.
+    """The composition of normaliser, pieces and byte fallback, over the tropical semiring.
+
+    Its arcs read the raw text: the normaliser's arc from a blank to U+2581 is composed into the tree of pieces, so that both
+    lead on alike, and its initial arc puts a blank before the text. To a place in the text an arc leads over every piece
+    that the text up to there ends with, or over a character without a piece, as its bytes. Every place keeps the last piece of its cheapest path, which the
+    weight of the next arc depends on: in a unigram model that is the piece's negative score; in a BPE model it is 0 if merging the joint
+    text of the two pieces gives just these two, else infinite. As merging a beginning of a text gives one result, just one path
+    to each place is finite then. No arc crosses two characters that no piece holds side by side, so that texts are cut there; words that
+    begin alike share the states of their beginnings. Ids are 32-bit little-endian bytes here.
     """
 
     def __init__(self, model: dict):
         self.m, self.pairs = model, {}
         self.known = _Known(self._unit)
-        #: Pieces as a tree of characters; a node's own piece is under the empty string.
+        self.normaliser = {" ": SPACE}
+        #: The pieces' symbols from the last to the first, composed with the normaliser, as a tree; a node's own piece is under the empty string.
         self.tree: dict = {}
         for p, k in model["ids"].items():
             node = self.tree
-            for c in p:
+            for c in reversed(p):
                 node = node.setdefault(c, {})
             node[""] = k
+        self._compose(self.tree)
+        back = {written: read for read, written in self.normaliser.items()}
+        plain = lambda c: back.get(c, c)
+        #: Characters that some piece holds side by side.
+        self.joined = {plain(x) + plain(y) for p in model["ids"] for x, y in zip(p, p[1:])}
+        #: Beginnings of units, and the cheapest way to their ends: its cost, its last piece, and where that begins.
+        self.begun: dict = {}
         self.text = {k: p for p, k in model["ids"].items()}
         self.is_byte = np.zeros(len(model["score"]), bool)
         self.is_byte[list(model["bytes"].values())] = True
+        # Ten below the worst score, as unknown characters cost.
+        self.unknown = 0.0 if model["bpe"] else 10 - min(model["score"])
+
+    def _compose(self, node: dict) -> None:
+        for c, below in list(node.items()):
+            if c:
+                self._compose(below)
+        for read, written in self.normaliser.items():
+            if written in node:
+                node[read] = node[written]
 
     def normal(self, text: str) -> str:
+        """What the normaliser's stateful arcs leave to read: blanks at the ends and runs of blanks, if squeezed, and the initial blank."""
+        text = text.replace(SPACE, " ")
         if self.m["squeeze"]:
             text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (SPACE if self.m["prefix"] else "") + text.replace(" ", SPACE)
+        return (" " if self.m["prefix"] else "") + text if text else ""
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best-scored pair first, the leftmost of equals. For short texts."""
-        ids, score, parts = self.m["ids"], self.m["score"], list(text)
-        while True:
-            best = max(((score[ids[a + b]], -k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
+        ids, score, parts, never = self.m["ids"], self.m["score"], list(text), float("-inf")
+        rate = lambda x: score[ids[x]] if x in ids else never
+        pairs = [rate(a + b) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == never:
+                break
+            k = pairs.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
-    def follows(self, a: int, b: int) -> bool:
-        """Whether piece b can be read after piece a, or at a start if a is -1."""
-        key = (a << 24) + b
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > KNOWN // 2:
-                self.pairs.clear()
-            x, y = self.text.get(a, ""), self.text[b]
-            got = self.pairs[key] = self.merged(x + y) == ([x, y] if x else [y])
-        return got
+            del pairs[k]
+            if k:
+                pairs[k - 1] = rate(parts[k - 1] + parts[k])
+            if k < len(pairs):
+                pairs[k] = rate(parts[k] + parts[k + 1])
+        return parts
+
+    def weight(self, a: int, b: int) -> float:
+        """The weight of reading piece b after piece a, or at a start if a is -1; kept for BPE models."""
+        if not self.m["bpe"]:
+            return -self.m["score"][b]
+        if len(self.pairs) > KNOWN:
+            self.pairs.clear()
+        x, y = self.text.get(a, ""), self.text[b]
+        w = self.pairs[(a << 24) + b] = 0.0 if self.merged(x + y) == ([x, y] if x else [y]) else float("inf")
+        return w
 
     def _fallback(self, c: str) -> list[int]:
         by = self.m["bytes"]
         return [by[x] for x in c.encode("utf-8", "surrogatepass")] if by else [self.m["unknown"]]
 
-    def _arcs(self, unit: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the pieces that the unit goes on with, the shortest first."""
-        out, node = [], self.tree
-        for j in range(at, len(unit)):
-            node = node.get(unit[j])
-            if node is None:
-                break
-            if "" in node:
-                out.append((j + 1, node[""]))
-        return out
-
     def path(self, unit: str) -> list[int]:
-        """The shortest path over one unit."""
-        return self._free(unit) if self.m["bpe"] else self._cheapest(unit)
-
-    def _free(self, unit: str) -> list[int]:
-        """The one path of a BPE model. Its arcs cost nothing, so the first path found is the shortest; long arcs are tried first."""
-        n, out, tried = len(unit), [], set()
-        stack = [(0, -1, None)]  # place, last piece, arcs left to try
-        while stack[-1][0] < n:
-            at, last, arcs = stack[-1]
-            if arcs is None:
-                arcs = self._arcs(unit, at)
-                stack[-1] = (at, last, arcs)
-                if not arcs:
-                    # A character without a piece: no merge crosses it.
-                    out.append(None)
-                    stack.append((at + 1, -1, None))
-                    continue
-            while arcs:
-                end, piece = arcs.pop()
-                if (end, piece) not in tried and self.follows(last, piece):
-                    out.append(piece)
-                    stack.append((end, piece, None))
-                    break
-            else:
-                tried.add((at, last))
-                stack.pop()
-                out.pop()
-        ids = []
-        for (at, _, _), k in zip(stack, out):
-            ids += self._fallback(unit[at]) if k is None else [k]
-        return ids
-
-    def _cheapest(self, unit: str) -> list[int]:
-        """The path of least negative score, by relaxing arcs from left to right."""
-        n, score = len(unit), self.m["score"]
-        cost, back = [float("inf")] * (n + 1), [None] * (n + 1)
-        cost[0] = 0.0
-        for i in range(n):
-            for j, k in self._arcs(unit, i):
-                if cost[i] - score[k] < cost[j]:
-                    cost[j], back[j] = cost[i] - score[k], (i, k)
-            # Ten below the worst score, as unknown characters cost.
-            if unit[i] not in self.m["ids"] and cost[i] + 10 - min(score) < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] + 10 - min(score), (i, None)
+        """The shortest path over one unit, by relaxing the arcs into each place from left to right."""
+        n, tree, known, begun = len(unit), self.tree, self.pairs, self.begun
+        least = 0.0 if self.m["bpe"] else float("-inf")
+        short = n <= LONGEST
+        if len(begun) > KNOWN:
+            begun.clear()
+        best = [(0.0, -1, 0)]
+        for j in range(1, n + 1):
+            state = begun.get(unit[:j]) if short else None
+            if state is None:
+                i, node, arcs = j, tree.get(unit[j - 1]), []
+                alone = node is not None and "" in node
+                while node is not None:
+                    i -= 1
+                    if "" in node:
+                        arcs.append((i, node[""]))
+                    node = node.get(unit[i - 1]) if i else None
+                # A character without a piece is read as its bytes: no merge crosses it.
+                state = (float("inf"), -1, j - 1) if alone else (best[j - 1][0] + self.unknown, -1, j - 1)
+                for i, k in reversed(arcs):
+                    c, a, _ = best[i]
+                    # No weight is below the least, so that nothing is won where the way is as short already.
+                    if c + least < state[0]:
+                        w = known.get((a << 24) + k)
+                        if w is None:
+                            w = self.weight(a, k)
+                        if c + w < state[0]:
+                            state = (c + w, k, i)
+                if short:
+                    begun[unit[:j]] = state
+            best.append(state)
         out, at = [], n
         while at:
-            i, k = back[at]
-            out.append(self._fallback(unit[i:at]) if k is None else [k])
+            _, k, i = best[at]
+            out += [k] if k >= 0 else self._fallback(unit[i:at])[::-1]
             at = i
-        return [x for o in reversed(out) for x in o]
+        return out[::-1]
+
+    def cuts(self, unit: str) -> list[str]:
+        """The parts of a unit between characters that no piece holds side by side."""
+        at, out, joined = 0, [], self.joined
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in joined:
+                out.append(unit[at:k])
+                at = k
+        return [*out, unit[at:]]
 
     def _unit(self, unit: str) -> bytes:
-        return array("i", self.path(unit)).tobytes()
+        parts = self.cuts(unit)
+        if len(parts) == 1:
+            return array("i", self.path(unit)).tobytes()
+        known = self.known
+        return b"".join([known[p] for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         text = self.normal(text or "")
@@ -186,9 +203,9 @@ class Transducer:
         if not self.m["units"]:
             return self._unit(text)
         known = self.known
-        if text[0] == SPACE and SPACE * 2 not in text:
-            return b"".join([known[SPACE + w] for w in text[1:].split(SPACE)])
-        return b"".join([known[u] for u in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)])
+        if text[0] == " " and "  " not in text:
+            return b"".join([known[" " + w] for w in text[1:].split(" ")])
+        return b"".join([known[u] for u in re.findall(" +[^ ]*|[^ ]+", text)])
 
     def decode(self, ids) -> str:
         out = self.m["out"]
@@ -208,7 +225,10 @@ def _shared(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with a text column -> with ids array<int>. Null text: null; empty text: no ids. Rows, repeated or not, are encoded one by one, whole."""
+    """docs with a text column -> with ids array<int>. Null text: null; empty text: no ids.
+
+    Rows, repeated or not, are encoded one by one, whole; of paths that cost the same, the one whose last piece begins first wins. A column named ids is replaced, other columns stay. Empty input: no rows.
+    """
     model = _shared(docs.sparkSession, path)
     docs = docs.drop("ids")
     names, at = docs.columns, docs.columns.index("text")
@@ -227,7 +247,10 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """rows with an ids column -> with text: what the ids spell; null for null, ids outside the vocabulary raise."""
+    """rows with an ids column -> with text: what the ids spell; null for null, ids outside the vocabulary raise.
+
+    A column named text is replaced, other columns stay. Empty input: no rows.
+    """
     model = _shared(rows.sparkSession, path)
     rows = rows.drop("text")
     names, at = rows.columns, rows.columns.index("ids")
@@ -245,7 +268,8 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
 def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """docs (id, text) -> id, n_tokens, n_bytes (byte-fallback tokens), ids_sha256 (little-endian 32-bit ids), text_sha256 (of the decoded text), round_trip.
 
-    A text that holds U+2581 comes back with a blank instead; every other text comes back as it was. Null: as empty.
+    A text that holds U+2581 comes back with a blank instead; every other text comes back as it was. Null: as empty. Repeated rows give the same result each. Only id and text are read, so other
+    columns can have any name. Empty input: no rows.
     """
     model = _shared(docs.sparkSession, path)
 

@@ -78,10 +78,29 @@ def test_pieces_equal_the_library(spark):
 
 
 def test_unigram_path():
-    scores = {"▁": -3.0, "a": -2.0, "b": -2.0, "ab": -3.5, "▁a": -2.5}
+    """The cheapest of all ways to cut a text, and unknown characters."""
+    from itertools import product
+
+    scores = {"▁": -3.0, "a": -2.0, "b": -2.0, "ab": -3.5, "▁a": -2.5, "bab": -4.1, "▁ab": -5.5}
     ids = {p: i for i, p in enumerate(scores)}
-    t = Transducer({"bpe": False, "prefix": True, "squeeze": False, "ids": ids, "score": [*scores.values(), *[0.0] * 9], "longest": 2, "unknown": 9, "bytes": {}, "units": True, "out": []})
-    assert t.path("▁ab") == [ids["▁a"], ids["b"]] and t.path("▁c") == [ids["▁"], 9]
+    t = Transducer({"bpe": False, "prefix": True, "squeeze": False, "ids": ids, "score": [*scores.values(), *[0.0] * 9], "longest": 3, "unknown": 9, "bytes": {}, "units": True, "out": []})
+    assert t.path(" ab") == [ids["▁a"], ids["b"]] == t.path("▁ab") and t.path(" c") == [ids["▁"], 9]
+    for n in range(1, 8):
+        for letters in product("ab", repeat=n):
+            text = "▁" + "".join(letters)
+            best = {0: 0.0}
+            for j in range(1, len(text) + 1):
+                best[j] = min(best[i] - scores[text[i:j]] for i in range(j) if text[i:j] in scores)
+            assert abs(-sum([*scores.values()][k] for k in t.path(text)) - best[len(text)]) < 1e-9
+
+
+def test_tokens_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2), (1, "a b", "x", 2), (2, None, None, None)], "id long, text string, ids string, tree int")
+    got = encode(df).collect()
+    assert len(got) == 3 and got[0]["ids"] == got[1]["ids"] != [] and got[2]["ids"] is None and got[0]["tree"] == 2
+    back = decode(encode(df)).orderBy("id")
+    assert [r["text"] for r in back.collect()] == ["a b", "a b", None] and back.columns == ["id", "tree", "ids", "text"]
+    assert encode(df.where("false")).count() == 0 and decode(encode(df.where("false"))).count() == 0
 
 
 def test_round_trips(spark):
