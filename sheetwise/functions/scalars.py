@@ -222,28 +222,84 @@ def decode_count(data: Column, encoding: str) -> Column:
     return F.when(first == 255, decode_int(data, 1, {"ff_u16": "u16", "ff_i32": "i32"}[encoding])).otherwise(first)
 
 
+_PAIR = r"\(\s*(-?[0-9]+)\s*,\s*(-?[0-9]+)\s*\)"
+#: What is sought in the text of each uncounted shape, and what a counted one needs. Fixed values.
+_SOUGHT = {"line": (_PAIR + r"\s*" + _PAIR, 4), "circle": (_PAIR + r"\s+(-?[0-9]+)", 3), "ellipse": (_PAIR + r"\s+(-?[0-9]+)\s*,\s*(-?[0-9]+)", 4)}
+_LEAST = {"polyline": 1, "polytriangle": 3}
+_EXPECTED = {"line": "'(x1,y1)(x2,y2)'", "circle": "'(x,y) radius'", "ellipse": "'(x,y) major,minor'", "polyline": "vertex count", "polytriangle": "vertex count"}
+
+
 def parse_ascii_geom(kind: str, s: Column) -> Column:
-    """(values, error) of a textual line, polyline, circle, ellipse or polytriangle."""
-    nums = F.transform(F.regexp_extract_all(s, F.lit(r"-?[0-9]+"), F.lit(0)), lambda x: x.try_cast("long"))
-    n = F.size(nums)
-    ok = {"line": n == 4, "circle": (n == 3) | (n == 5), "ellipse": (n == 4) | (n == 5) | (n == 7), "polyline": (n >= 4) & (n % 2 == 0), "polytriangle": (n >= 6) & (n % 2 == 0)}[kind]
-    ok = F.coalesce(ok, F.lit(False))
-    return F.struct(F.when(ok, nums).alias("values"), F.when(~ok, F.lit(f"malformed {kind}")).alias("error"))
+    """(values, error) of a textual line, circle, ellipse, polyline or polytriangle.
+
+    A line is two points in brackets, a circle a point and a radius, an ellipse a point and two axes: the first such place of the text
+    counts. The other two begin with a count, followed by as many points as it says. values are x, y, x, y, ..., then radius or axes;
+    error is null if there are values. Numbers beyond 64 bits are an error.
+    """
+    trimmed = F.regexp_replace(s, r"^\s+|\s+$", "")
+    invalid = F.concat(F.lit(f"Invalid ASCII {kind} format: expected {_EXPECTED[kind]}, got: "), trimmed)
+    if kind in _SOUGHT:
+        pattern, n = _SOUGHT[kind]
+        nums = F.array(*[F.regexp_extract(s, pattern, k + 1).try_cast("long") for k in range(n)])
+        error = F.when(~s.rlike(pattern), invalid)
+        if kind == "circle":
+            error = error.when(nums[2] < 0, F.concat(F.lit("Invalid radius: "), nums[2].cast("string"), F.lit(". Radius must be non-negative.")))
+        if kind == "ellipse":
+            error = error.when((nums[2] < 0) | (nums[3] < 0), F.concat(F.lit("Invalid axes: major="), nums[2].cast("string"), F.lit(", minor="), nums[3].cast("string"), F.lit(". Axes must be non-negative.")))
+    else:
+        count = F.regexp_extract(s, r"^\s*([0-9]+)", 1)
+        axis = lambda k: F.regexp_extract_all(s, F.lit(_PAIR), F.lit(k))
+        points = F.zip_with(axis(1), axis(2), lambda x, y: F.array(x.try_cast("long"), y.try_cast("long")))
+        nums, least = F.flatten(points), _LEAST[kind]
+        few = "Must be at least 1." if least == 1 else f"Polytriangle requires at least {least} vertices."
+        error = (
+            F.when(count == "", invalid)
+            .when(count.try_cast("long") < least, F.concat(F.lit("Invalid vertex count: "), count.try_cast("long").cast("string"), F.lit(f". {few}")))
+            .when(F.coalesce(count.try_cast("long") != F.size(points), F.lit(True)), F.concat(F.lit("Vertex count mismatch: expected "), count, F.lit(" vertices, found "), F.size(points).cast("string")))
+        )
+    error = F.when(s.isNull(), "no text").otherwise(error.when(F.exists(nums, lambda x: x.isNull()), "number out of range"))
+    return F.struct(F.when(error.isNull(), nums).alias("values"), error.alias("error"))
 
 
 def parse_meta(name: str, s: Column) -> Column:
-    """The fields of a metadata text: PlotInfo, Units, InkedArea, or a quoted single value."""
+    """The fields of a metadata text, null where it is malformed.
+
+    PlotInfo: show or hide, rotation, unit mm or in, paper, printable area, six numbers. Units: a quoted name and six numbers. InkedArea: just
+    four points in brackets. View: two points, or a quoted name. NamedView: two points and a name. Others: a value, quoted or not.
+    """
+    body = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\)+$", "") if name != "InkedArea" else s
+    tokens = F.split(F.regexp_replace(body, r"^\s+|\s+$", ""), r"\s+")
+    numbers = lambda ts: F.transform(ts, lambda x: x.try_cast("double"))
+    whole = lambda ns, n: (F.size(ns) == n) & F.forall(ns, lambda x: x.isNotNull())
     if name == "PlotInfo":
-        p = F.split(F.trim(s), r"\s+")
-        m = F.transform(F.slice(p, 8, 6), lambda x: x.try_cast("double"))
-        num = lambda i, t="double": F.get(p, F.lit(i)).try_cast(t)
-        return F.when(num(1, "int").isin(0, 90, 180, 270), F.struct((num(0, "int") == 1).alias("show"), num(1, "int").alias("rotation"), F.get(p, F.lit(2)).alias("unit"), num(3).alias("width"), num(4).alias("height"), F.when(F.size(m) == 6, m).alias("matrix")))
+        flag, unit = F.lower(F.get(tokens, F.lit(0))), F.lower(F.get(tokens, F.lit(2)))
+        ns = numbers(F.concat(F.slice(tokens, 2, 1), F.slice(tokens, 4, 12)))
+        num = lambda i: F.get(ns, F.lit(i))
+        fine = flag.isin("show", "hide") & unit.isin("mm", "in") & whole(ns, 13)
+        return F.when(fine, F.struct(
+            (flag == "show").alias("show"), num(0).alias("rotation"), unit.alias("unit"), num(1).alias("width"), num(2).alias("height"),
+            F.slice(ns, 4, 4).alias("area"), F.slice(ns, 8, 6).alias("matrix"),
+        ))
     if name == "Units":
-        return F.struct(F.regexp_extract(s, r"^\s*(\S+)", 1).alias("name"), parse_matrix(F.regexp_extract(s, r"\(([^)]*)\)", 1)).alias("matrix"))
+        ns = numbers(F.split(F.regexp_extract(body, r'^"[^"]*"\s*(.*?)\s*$', 1), r"\s+"))
+        return F.when(body.rlike(r'^"[^"]*"') & whole(ns, 6), F.struct(F.regexp_extract(body, r'^"([^"]*)"', 1).alias("name"), ns.alias("matrix")))
     if name == "InkedArea":
-        pts = number_pairs(s, 1.0)
-        return F.when(F.size(pts) == 4, pts)
-    return F.nullif(F.trim(F.regexp_replace(s, "^[\"']|[\"']$", "")), F.lit(""))
+        xs, ys = (F.regexp_extract_all(s, F.lit(_PAIR), F.lit(k)) for k in (1, 2))
+        return F.when(F.size(xs) == 4, F.zip_with(xs, ys, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))))
+    if name in ("View", "NamedView"):
+        point = r"(-?[0-9]+)\s*,\s*(-?[0-9]+)"
+        named = r"(?:'([^']*)'|\"([^\"]*)\"|(\S+))"
+        pattern = rf"^\s*{point}\s+{point}" + (rf"\s+{named}" if name == "NamedView" else "") + r"\s*$"
+        at = lambda k: F.regexp_extract(body, pattern, k).try_cast("long")
+        box = F.when(body.rlike(pattern), F.array(*[at(k) for k in range(1, 5)]))
+        if name == "NamedView":
+            own = F.concat(*[F.regexp_extract(body, pattern, k) for k in (5, 6, 7)])
+            return F.when(box.isNotNull(), F.struct(box.alias("box"), own.alias("name")))
+        quoted = r"^\s*(?:'([^']*)'|\"([^\"]*)\")\s*$"
+        own = F.when(body.rlike(quoted), F.concat(F.regexp_extract(body, quoted, 1), F.regexp_extract(body, quoted, 2)))
+        return F.when(box.isNotNull() | own.isNotNull(), F.struct(box.alias("box"), own.alias("name")))
+    quoted = r"^(?:\"([^\"]*)\"|'([^']*)').*$"
+    return F.nullif(F.when(body.rlike(quoted), F.concat(F.regexp_extract(body, quoted, 1), F.regexp_extract(body, quoted, 2))).otherwise(F.trim(body)), F.lit(""))
 
 
 def number_pairs(s: Column, scale: float = 1.0) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
+from .joins import small
+
 #: Words in a type name that mark geometry. Fixed values.
 GEOMETRY_WORDS = "polytriangle|polyline|line|polygon|circle|ellipse|bezier|rectangle|contour"
 
@@ -21,10 +24,21 @@ def unify_fields(ops: DataFrame, synonyms: dict[str, list[str]], default_type: s
     return ops.select(*[c for c in ops.columns if c not in drop and c not in unified], *[v.alias(k) for k, v in unified.items()])
 
 
-def classify(ops: DataFrame, rules: DataFrame, default: str = "Uncategorized") -> DataFrame:
-    """ops with category: that of the rule (type, category, priority) of least priority for its type. rules is a small fixed table."""
+def rules_table(spark: SparkSession) -> DataFrame:
+    """The fixed categories as rules (type, category, priority)."""
+    return spark.createDataFrame(T.RULES, "type string, category string, priority int")
+
+
+def implemented_table(spark: SparkSession) -> DataFrame:
+    """The types that are implemented."""
+    return spark.createDataFrame([(x,) for x in T.IMPLEMENTED], "type string")
+
+
+def classify(ops: DataFrame, rules: DataFrame | None = None, default: str = T.DEFAULT_CATEGORY) -> DataFrame:
+    """ops with category: that of the rule (type, category, priority) of least priority for its type; the fixed categories without rules."""
+    rules = rules_table(ops.sparkSession) if rules is None else rules
     best = rules.groupBy("type").agg(F.min_by("category", "priority").alias("category"))
-    return ops.join(F.broadcast(best), "type", "left").withColumn("category", F.coalesce("category", F.lit(default)))
+    return ops.join(small(best), "type", "left").withColumn("category", F.coalesce("category", F.lit(default)))
 
 
 def is_geometry(kind: Column, mode: str = "words", types: list[str] | None = None) -> Column:
@@ -73,12 +87,12 @@ def coverage(ops: DataFrame, impl: list[str]) -> DataFrame:
 
 def covered(ops: DataFrame, impl: DataFrame) -> DataFrame:
     """Records whose type is implemented."""
-    return ops.join(F.broadcast(impl), "type", "left_semi")
+    return ops.join(small(impl), "type", "left_semi")
 
 
 def missing(ops: DataFrame, impl: DataFrame, above: int = 0) -> DataFrame:
     """Types not implemented, with category and occurrences, where there are more than above."""
-    return ops.join(F.broadcast(impl), "type", "left_anti").groupBy("category", "type").agg(F.count("*").alias("n")).where(F.col("n") > above)
+    return ops.join(small(impl), "type", "left_anti").groupBy("category", "type").agg(F.count("*").alias("n")).where(F.col("n") > above)
 
 
 def unique_to_file(ops: DataFrame) -> DataFrame:

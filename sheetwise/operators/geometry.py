@@ -70,9 +70,12 @@ def segments(points: DataFrame, filled: Column | None = None) -> DataFrame:
 
 
 def coord_profile(points: DataFrame) -> DataFrame:
-    """For each field of each drawing: least and largest value and their number."""
-    long = points.select("drawing_id", F.expr("stack(2, 'x', x, 'y', y) as (field, value)"))
-    return long.groupBy("drawing_id", "field").agg(F.min("value").alias("least"), F.max("value").alias("largest"), F.count("value").alias("n"))
+    """For each field of each drawing: least and largest value, their number, and whether a record with a relative flag is among them."""
+    flag = F.col("relative") if "relative" in points.columns else F.lit(None).cast("boolean")
+    long = points.select("drawing_id", flag.alias("relative"), F.expr("stack(2, 'x', x, 'y', y) as (field, value)"))
+    return long.groupBy("drawing_id", "field").agg(
+        F.min("value").alias("least"), F.max("value").alias("largest"), F.count("value").alias("n"), F.coalesce(F.bool_or("relative"), F.lit(False)).alias("relative")
+    )
 
 
 def flat_colours(vertices: DataFrame, n: int = 3) -> DataFrame:

@@ -6,10 +6,13 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
+from .joins import small
+
 #: Planned steps with and without preprocessing. Fixed values.
 PREPROCESSED = ["Extract W2D binary files", "Parse W2D opcodes", "Generate XPS XML pages", "Create DWFX archive", "Extract XPS pages", "Parse XPS XML", "Generate PDF"]
 DIRECT = ["Extract XPS pages directly", "Parse XPS XML", "Generate PDF"]
@@ -33,6 +36,12 @@ def member_profile(members: DataFrame) -> DataFrame:
     return per.withColumn("image_share", F.coalesce(F.try_divide(images, F.sum("bytes").over(w)), F.lit(0.0)))
 
 
+def token_patterns(mode: str = "space") -> dict[str, str]:
+    """Patterns of the fixed content operators: after any space and before one or the end, or after a blank and before a blank or line end."""
+    after, before = {"space": (r"[ \t\n\x0B\f\r]", r"(?:[ \t\n\x0B\f\r]|$)"), "literal": (" ", r"[ \n]")}[mode]
+    return {name: f"{after}{t}{before}" for name, t in T.TOKENS.items()}
+
+
 def token_counts(docs: DataFrame, tokens: dict[str, str], totals: dict[str, list[str]]) -> DataFrame:
     """How often each token's pattern matches in text, and the sums of named tokens."""
     out = docs.select("*", *[F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias(k) for k, p in tokens.items()])
@@ -83,13 +92,40 @@ def contradictions(new: DataFrame, old: DataFrame) -> DataFrame:
     return both
 
 
-def merge_claims(state: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims, conflicts): new claims appended, both sides of a contradiction challenged, each contradiction a row with two edges."""
-    found = contradictions(new, state)
-    hit = found.select(F.col("new_claim").alias("claim")).union(found.select("old_claim")).distinct().withColumn("_hit", F.lit(True))
-    claims = state.unionByName(new).join(hit, "claim", "left").withColumn("status", F.when(F.col("_hit"), "challenged").otherwise(F.col("status"))).drop("_hit")
-    edge = lambda a, b: F.struct(F.col(a).alias("from"), F.col(b).alias("to"), F.lit("contradicts").alias("relation"))
-    return claims, found.select("new_claim", "old_claim", "claim_type", F.array(edge("new_claim", "old_claim"), edge("old_claim", "new_claim")).alias("edges"))
+def first_contradictions(claims: DataFrame) -> DataFrame:
+    """claims (claim, pos, subject, claim_type, statement) -> (claim, other): the first earlier claim that contradicts each one.
+
+    Of a subject and type, two claims decide: the first, and the first that states something else. A later claim contradicts
+    the first if it differs from it, else the second. Two grouped minima and joins: no pairs, and a crowded key is
+    combined before it is shuffled.
+    """
+    keys = ["subject", "claim_type"]
+    at = F.struct("pos", "claim", "statement")
+    first = claims.groupBy(*keys).agg(F.min(at).alias("one"))
+    told = claims.join(first, keys)
+    second = told.where(F.col("statement") != F.col("one.statement")).groupBy(*keys).agg(F.min(at).alias("two"))
+    both = told.join(second, keys)
+    other = F.when(F.col("statement") != F.col("one.statement"), F.col("one.claim")).when(F.col("two.pos") < F.col("pos"), F.col("two.claim"))
+    return both.select("claim", "claim_type", other.alias("other")).where("other is not null")
+
+
+def merge_claims(state: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(claims, conflicts, counters): new claims are appended in the order of claim, after those of the state.
+
+    A new claim that contradicts one before it, of the state or new, makes a conflict with the first such; both are challenged. A conflict has two edges.
+    counters: attempted, accepted, rejected, contradictions, conflict_nodes.
+    """
+    all_ = state.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    found = first_contradictions(all_.withColumn("pos", F.struct("_new", "claim"))).join(new.select("claim"), "claim", "left_semi")
+    hit = found.select("claim").union(found.select("other")).distinct().withColumn("_hit", F.lit(True))
+    marked = all_.join(hit, "claim", "left").withColumn("status", F.when(F.col("_hit"), "challenged").otherwise(F.col("status"))).drop("_hit")
+    edge = lambda to: F.struct(F.col("claim").alias("from"), F.col(to).alias("to"), F.lit("contradicts").alias("relation"))
+    conflicts = found.select("claim", "other", "claim_type", F.array("other", "claim").alias("affected"), F.array(edge("other"), edge("claim")).alias("edges"))
+    # A rejected claim is challenged by its own conflict; what a later one challenges was accepted before.
+    judged = new.select("claim").join(found.select("claim", F.lit(True).alias("_hit")).distinct(), "claim", "left")
+    n, hits = F.count("*"), F.count_if("_hit")
+    counters = judged.agg(n.alias("attempted"), (n - hits).alias("accepted"), hits.alias("rejected"), hits.alias("contradictions"), hits.alias("conflict_nodes"))
+    return marked.drop("_new"), conflicts, counters
 
 
 def distinct_subjects(claims: DataFrame) -> DataFrame:
@@ -101,12 +137,22 @@ def check_fields(rows: DataFrame, key: str, kind: str, fields: list[str], allowe
     """(key, format, field) for each field that is set though the table allowed (format, field) lacks it."""
     pairs = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
     long = rows.select(key, F.col(kind).alias("format"), F.expr(f"stack({len(fields)}, {pairs}) as (field, value)")).where("value is not null")
-    return long.join(F.broadcast(allowed), ["format", "field"], "left_anti").select(key, "format", "field")
+    return long.join(small(allowed), ["format", "field"], "left_anti").select(key, "format", "field")
+
+
+def codes_table(spark: SparkSession, kind: str) -> DataFrame:
+    """(code, name) of the fixed units, line patterns or markers, as kind says: unit, line_pattern or marker."""
+    return spark.createDataFrame([(k, n) for x, k, n in T.CODES if x == kind], "code long, name string")
+
+
+def allowed_table(spark: SparkSession) -> DataFrame:
+    """(format, field) of the fields that a block of each fixed format may set."""
+    return spark.createDataFrame(T.ALLOWED, "format string, field string")
 
 
 def decode_codes(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """df with the names of its codes, from a small fixed table."""
-    return df.join(F.broadcast(dim), key, how)
+    """df with the names of its codes."""
+    return df.join(small(dim), key, how)
 
 
 def apply_guarded(df: DataFrame, fn: Callable[[dict], int], keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import tables as T
 from ..operators import distribution as D
 from ..operators import geometry as G
 from ..operators import ledger as L
@@ -40,18 +41,10 @@ def lit_rows(spark, rows, ddl: str) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
 
 
-OPS, TYPES, PTS, RUNS, CLAIMS, DIMS, PATHS = V.OPS_SQL, V.TYPES_SQL, V.PTS_SQL, V.RUNS_SQL, V.CLAIMS_SQL, V.DIMS_SQL, V.PATHS_SQL
-IMPL = ["view", "click", "purchase"]
-RULES = [("view", "Rendering", 2), ("view", "State", 1), ("click", "Geometry", 1), ("purchase", "Attributes", 1), ("error", "Error", 1)]
-RULES_SQL = "cats AS (SELECT *, CASE type WHEN 'view' THEN 'State' WHEN 'click' THEN 'Geometry' WHEN 'purchase' THEN 'Attributes' WHEN 'error' THEN 'Error' ELSE 'Uncategorized' END AS category FROM v_types)"
-
-
-def rules(spark):
-    return lit_rows(spark, RULES, "type string, category string, priority int")
-
-
-def impl(spark):
-    return lit_rows(spark, [(x,) for x in IMPL], "type string")
+OPS, TYPES, NAMES, PTS, RUNS, CLAIMS, DIMS, PATHS, CONTENT = V.OPS_SQL, V.TYPES_SQL, V.NAMES_SQL, V.PTS_SQL, V.RUNS_SQL, V.CLAIMS_SQL, V.DIMS_SQL, V.PATHS_SQL, V.CONTENT_SQL
+values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+RULES = f"cats AS (SELECT v_names.*, coalesce(category, 'Uncategorized') AS category FROM v_names LEFT JOIN {values([r[:2] for r in T.RULES])} r(name, category) ON type = name)"
+IMPL = f"impl AS (SELECT * FROM {values([(x,) for x in T.IMPLEMENTED])} i(type))"
 
 
 # Sources and sinks
@@ -75,11 +68,13 @@ def s3_explode_members(spark, sf_dir):
 
 @query("SELECT drawing_id, seq, op AS type, dx AS x, dy AS y FROM v_ops", OPS)
 def s4_ops_json_records(spark, sf_dir):
-    # The array that a record file holds, made from the ops and read back with the reader's schema.
-    ops = V.v_ops(spark, sf_dir).select("drawing_id", F.struct("seq", F.col("op").alias("type"), F.array(F.array("dx", "dy")).alias("points")).alias("r"))
-    arrays = ops.groupBy("drawing_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list("r")), lambda r: F.struct(r["type"].alias("type"), r["points"].alias("points")))).alias("value"))
-    recs = arrays.select("drawing_id", F.posexplode(F.from_json("value", f"array<{R.OPS_SCHEMA}>")).alias("seq", "r"))
-    return recs.select("drawing_id", (F.col("seq") + 1).cast("long").alias("seq"), "r.type", F.col("r.points")[0][0].alias("x"), F.col("r.points")[0][1].alias("y"))
+    # Record files of arrays of 500 records at most, one a line, as large drawings come; the reader's fields opcode and count carry the place.
+    path = _scratch(spark, "records")
+    record = F.struct(F.col("drawing_id").alias("opcode"), F.col("seq").alias("count"), F.col("op").alias("type"), F.array(F.array("dx", "dy")).alias("points"))
+    ops = V.v_ops(spark, sf_dir).select("drawing_id", F.floor(F.col("seq") / 500).alias("part"), record.alias("r"))
+    ops.groupBy("drawing_id", "part").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").write.text(path)
+    p = F.col("points")[0]
+    return R.read_ops_json(spark, path, lines=True).select(F.col("opcode").alias("drawing_id"), F.col("count").alias("seq"), "type", p[0].alias("x"), p[1].alias("y"))
 
 
 @query("""SELECT page_id, 'link' AS kind, CAST(i - 1 AS BIGINT) AS ord, l[i] AS value FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)
@@ -90,6 +85,34 @@ def s5_markup(spark, sf_dir):
     return row(links, "link", "href").union(row(heads, "heading", "heading"))
 
 
+@query("""SELECT drawing_id AS file, shape_id AS page, 'page' AS kind, CAST(0 AS BIGINT) AS ord, CAST(100 + shape_id % 500 AS VARCHAR) AS a, CASE WHEN shape_id % 2 = 0 THEN '300' ELSE '792' END AS b FROM v_pts WHERE pt = 0
+UNION ALL SELECT drawing_id, shape_id, 'path', pt, 'M ' || x || ',' || y, CASE WHEN pt % 2 = 0 THEN 'a > ' || pt ELSE NULL END FROM v_pts
+UNION ALL SELECT drawing_id, shape_id, 'glyphs', pt, 'x < "' || x || '" & é', CAST(y AS VARCHAR) FROM v_pts WHERE pt % 3 > 0""", PTS)
+def s5_page_markup(spark, sf_dir):
+    # Pages with a path and glyphs for each point; quotes of both kinds, entities, brackets in values, empty texts.
+    t = lambda c: c.cast("string")
+    path = lambda p: F.concat(F.lit('<Path Data="M '), t(p["x"]), F.lit(","), t(p["y"]), F.lit('"'), F.when(p["pt"] % 2 == 0, F.concat(F.lit(" Name='a > "), t(p["pt"]), F.lit("'"))).otherwise(""), F.lit("/>"))
+    text = lambda p: F.when(p["pt"] % 3 > 0, F.concat(F.lit("x &lt; &quot;"), t(p["x"]), F.lit("&quot; &amp; &#233;"))).otherwise("")
+    glyph = lambda p: F.concat(F.lit('<x:Glyphs UnicodeString="'), text(p), F.lit("\" OriginX='"), t(p["y"]), F.lit("'></x:Glyphs>"))
+    height = F.when(F.col("shape_id") % 2 == 0, ' Height="300"').otherwise("")
+    xml = F.concat(F.lit("<!-- <Path Data='no'/> --><FixedPage Width='"), t(100 + F.col("shape_id") % 500), F.lit("'"), height, F.lit("><Canvas>"), F.array_join(F.transform("p", lambda p: F.concat(path(p), glyph(p))), ""), F.lit("</Canvas></FixedPage>"))
+    m = R.read_markup(V.v_shapes(spark, sf_dir).select(F.col("drawing_id").alias("file"), F.col("shape_id").alias("page"), xml.alias("xml")))
+    row = lambda df, kind, o, a, b: df.select("file", "page", F.lit(kind).alias("kind"), o.cast("long").alias("ord"), a.alias("a"), b.alias("b"))
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    return row(m["pages"], "page", F.lit(0), whole("width"), whole("height")).union(row(m["paths"], "path", F.col("ord"), F.col("data"), F.col("name"))).union(row(m["glyphs"], "glyphs", F.col("ord"), F.col("unicode_string"), F.col("origin_x")))
+
+
+@query("""SELECT p_partkey AS file, p_name AS page, CAST(p_size AS BIGINT) AS plot_order, p_size || '.5' AS paper_width, CASE WHEN p_size % 2 = 0 THEN 'mm' END AS paper_units, CAST(i AS BIGINT) AS ord, ['brand', 'type', 'brand'][i + 1] AS name, [p_brand, p_type, p_name][i + 1] AS value FROM part, (SELECT unnest(range(3)) AS i)""")
+def s6_descriptor_properties(spark, sf_dir):
+    t = lambda c: F.col(c).cast("string")
+    prop = lambda name, c: F.concat(F.lit(f'<e:Property name="{name}" value="'), F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"/>'))
+    units = F.when(F.col("p_size") % 2 == 0, ' units="mm"').otherwise("")
+    xml = F.concat(F.lit('<e:Page xmlns:e="urn:e" name="'), F.col("p_name"), F.lit('" plotOrder="'), t("p_size"), F.lit('"><e:Paper width="'), t("p_size"), F.lit('.5"'), units, F.lit('/><e:Paper width="0"/>'), prop("brand", "p_brand"), prop("type", "p_type"), prop("brand", "p_name"), F.lit("</e:Page>"))
+    d = R.read_descriptor(V.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), xml.alias("xml")))
+    page = d["page"].select("file", F.col("name").alias("page"), F.col("plot_order").cast("long").alias("plot_order"))
+    return page.join(d["paper"].select("file", "paper_width", "paper_units"), "file").join(d["properties"].withColumn("ord", F.col("ord").cast("long")), "file")
+
+
 @query("""SELECT page_id AS file, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<meta ([a-z]+)="([^"]*)"')) AS BIGINT) AS properties FROM pages""")
 def s6_descriptor(spark, sf_dir):
     return V.read(spark, sf_dir, "pages").select(
@@ -101,8 +124,8 @@ def s6_descriptor(spark, sf_dir):
 @query("SELECT run % 10 AS bucket, count(*) AS steps, CAST(sum(bytes) AS BIGINT) AS bytes FROM v_runs GROUP BY 1", RUNS)
 def s7_ledger(spark, sf_dir):
     path = _scratch(spark, "ledger")
-    R.write_ledger(V.v_runs(spark, sf_dir).withColumn("bucket", F.col("run") % 10).withColumnRenamed("run", "id").withColumnRenamed("bucket", "run"), path)
-    return spark.read.parquet(path).groupBy(F.col("run").cast("long").alias("bucket")).agg(F.count("*").alias("steps"), F.sum("bytes").alias("bytes"))
+    R.write_ledger(V.v_runs(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy((F.col("run") % 10).alias("bucket")).agg(F.count("*").alias("steps"), F.sum("bytes").alias("bytes"))
 
 
 @query("SELECT type, count(*) AS n FROM v_types GROUP BY 1", TYPES)
@@ -113,11 +136,10 @@ def s8_report(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder where the session keeps shared files."""
-    import tempfile
+    """A new folder where the session keeps shared files: that of checkpoints, or else the warehouse."""
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -130,15 +152,15 @@ def p1_unify_fields(spark, sf_dir):
     return D.unify_fields(ops, {"type": ["kind", "name"], "x": ["start_x", "point1_x"]})
 
 
-@query("SELECT file, seq, type, category FROM cats", TYPES, RULES_SQL)
+@query("SELECT file, seq, type, category FROM cats", NAMES, RULES)
 def p2_classify(spark, sf_dir):
-    return D.classify(V.v_types(spark, sf_dir), rules(spark)).select("file", "seq", "type", "category")
+    return D.classify(V.v_names(spark, sf_dir)).select("file", "seq", "type", "category")
 
 
-@query("SELECT type, regexp_matches(type, '(?i)(line|click|point)') AS by_words, type IN ('click', 'purchase') AS by_list, count(*) AS n FROM v_types GROUP BY ALL", TYPES)
+@query("SELECT type, regexp_matches(type, '(?i)(polytriangle|polyline|line|polygon|circle|ellipse|bezier|rectangle|contour)') AS by_words, type IN ('line', 'wedge') AS by_list, count(*) AS n FROM v_names GROUP BY ALL", NAMES)
 def p3_is_geometry(spark, sf_dir):
-    t = V.v_types(spark, sf_dir)
-    return t.groupBy("type").agg(F.count("*").alias("n")).select("type", F.col("type").rlike("(?i)(line|click|point)").alias("by_words"), D.is_geometry(F.col("type"), "list", ["click", "purchase"]).alias("by_list"), "n")
+    t = V.v_names(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+    return t.select("type", D.is_geometry(F.col("type")).alias("by_words"), D.is_geometry(F.col("type"), "list", ["line", "wedge"]).alias("by_list"), "n")
 
 
 @query("SELECT file, seq, type FROM v_types WHERE type LIKE 'unknown%' OR type = 'error'", TYPES)
@@ -187,9 +209,9 @@ def p9_quarantine(spark, sf_dir):
     return bad.select("drawing_id", "seq", F.array_join("errors", ",").alias("errors"))
 
 
-@query("SELECT drawing_id, shape_id, kind, n FROM (SELECT drawing_id, shape_id, CASE shape_id % 4 WHEN 0 THEN 'polygon' WHEN 1 THEN 'quad' WHEN 2 THEN 'bezier' ELSE 'polyline' END AS kind, shape_id % 7 AS n FROM v_pts WHERE pt = 0) WHERE CASE kind WHEN 'polygon' THEN n >= 3 WHEN 'quad' THEN n = 4 WHEN 'bezier' THEN n >= 4 ELSE n >= 1 END", PTS)
+@query("SELECT drawing_id, shape_id, kind, n FROM (SELECT drawing_id, shape_id, CASE shape_id % 4 WHEN 0 THEN 'polygon' WHEN 1 THEN 'quad' WHEN 2 THEN 'bezier' ELSE 'polyline' END AS kind, shape_id % 33 AS n FROM v_pts WHERE pt = 0) WHERE CASE kind WHEN 'polygon' THEN n >= 3 WHEN 'quad' THEN n = 4 WHEN 'bezier' THEN n >= 4 ELSE n >= 1 END", PTS)
 def p10_drawable(spark, sf_dir):
-    p = V.v_pts(spark, sf_dir).where(F.col("pt") < F.col("shape_id") % 7).groupBy("drawing_id", "shape_id").agg(F.collect_list(F.struct("pt", "x", "y")).alias("points"))
+    p = V.v_pts(spark, sf_dir).where(F.col("pt") < F.col("shape_id") % 33).groupBy("drawing_id", "shape_id").agg(F.collect_list(F.struct("pt", "x", "y")).alias("points"))
     kind = F.get(F.array(*map(F.lit, ("polygon", "quad", "bezier", "polyline"))), (F.col("shape_id") % 4).cast("int"))
     return G.drawable(p.withColumn("kind", kind).withColumn("text", F.lit(None).cast("string"))).select("drawing_id", "shape_id", "kind", F.size("points").cast("long").alias("n"))
 
@@ -203,14 +225,14 @@ def p11_within(spark, sf_dir):
 # Joins
 
 
-@query("SELECT file, seq, type FROM v_types WHERE type IN ('view', 'click', 'purchase')", TYPES)
+@query("SELECT file, seq, type FROM v_names WHERE type IN (SELECT type FROM impl)", NAMES, IMPL)
 def j1_covered(spark, sf_dir):
-    return D.covered(V.v_types(spark, sf_dir), impl(spark)).select("file", "seq", "type")
+    return D.covered(V.v_names(spark, sf_dir), D.implemented_table(spark)).select("file", "seq", "type")
 
 
-@query("SELECT category, type, count(*) AS n FROM cats WHERE type NOT IN ('view', 'click', 'purchase') GROUP BY ALL HAVING count(*) > 100", TYPES, RULES_SQL)
+@query("SELECT category, type, count(*) AS n FROM cats WHERE type NOT IN (SELECT type FROM impl) GROUP BY ALL HAVING count(*) > 3", NAMES, RULES, IMPL)
 def j2_missing(spark, sf_dir):
-    return D.missing(D.classify(V.v_types(spark, sf_dir), rules(spark)), impl(spark), above=100)
+    return D.missing(D.classify(V.v_names(spark, sf_dir)), D.implemented_table(spark), above=3)
 
 
 @query("SELECT t AS type, min(file) AS file FROM (SELECT type || '/' || (size % 1000) AS t, file FROM v_types) GROUP BY 1 HAVING count(DISTINCT file) = 1", TYPES)
@@ -238,6 +260,16 @@ def j6_resolve_refs(spark, sf_dir):
     return ST.resolve_refs(ops, "key", "name")
 
 
+@query(f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, u.name AS unit, p.name AS pattern, m.name AS marker FROM lineitem
+LEFT JOIN {values([(k, n) for x, k, n in T.CODES if x == "unit"])} u(code, name) ON u.code = l_linenumber LEFT JOIN {values([(k, n) for x, k, n in T.CODES if x == "line_pattern"])} p(code, name) ON p.code = CAST(l_quantity AS BIGINT)
+LEFT JOIN {values([(k, n) for x, k, n in T.CODES if x == "marker"])} m(code, name) ON m.code = l_orderkey % 9""")
+def j4_fixed_codes(spark, sf_dir):
+    rows = V.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").cast("long").alias("quantity"), (F.col("l_orderkey") % 9).alias("symbol"))
+    for key, kind, name in (("line", "unit", "unit"), ("quantity", "line_pattern", "pattern"), ("symbol", "marker", "marker")):
+        rows = L.decode_codes(rows, L.codes_table(spark, kind).withColumnsRenamed({"code": key, "name": name}), key)
+    return rows.select("l_orderkey", "line", "unit", "pattern", "marker")
+
+
 PAGES_SQL = "sizes AS (SELECT * FROM (VALUES " + ", ".join(f"({2 * k + o}, '{n}', {w}, {h})" for k, (n, a, b) in enumerate(G.PAGES) for o, (w, h) in enumerate(((a, b), (b, a)))) + ") AS t(k, name, w, h))"
 
 
@@ -252,13 +284,30 @@ def j8_contradictions(spark, sf_dir):
     return L.contradictions(c.where("claim % 2 = 1"), c.where("claim % 2 = 0")).select("new_claim", "old_claim", "subject", "claim_type", "new_statement", "old_statement")
 
 
-@query("""SELECT claim, CASE WHEN claim IN (SELECT new_claim FROM f) OR claim IN (SELECT old_claim FROM f) THEN 'challenged' ELSE status END AS status FROM v_claims""", CLAIMS,
-       "f AS (SELECT a.claim AS new_claim, b.claim AS old_claim FROM v_claims a JOIN v_claims b ON a.subject = b.subject AND a.claim_type = b.claim_type AND a.statement <> b.statement WHERE a.claim % 2 = 1 AND b.claim % 2 = 0)")
+#: The first claim before each new (odd) one, of the state (even) or new, on the same subject and type that states something else.
+FIRST_SQL = """f AS (SELECT claim, claim_type, other FROM (SELECT a.claim, a.claim_type, b.claim AS other, row_number() OVER (PARTITION BY a.claim ORDER BY b.claim % 2, b.claim) AS r
+ FROM v_claims a JOIN v_claims b ON a.subject = b.subject AND a.claim_type = b.claim_type AND a.statement <> b.statement AND (b.claim % 2 = 0 OR b.claim < a.claim) WHERE a.claim % 2 = 1) WHERE r = 1)"""
+
+
+@query("""SELECT claim, CASE WHEN claim IN (SELECT claim FROM f) OR claim IN (SELECT other FROM f) THEN 'challenged' ELSE status END AS status FROM v_claims""", CLAIMS, FIRST_SQL)
 def j9_merge_claims(spark, sf_dir):
     c = V.v_claims(spark, sf_dir)
     return L.merge_claims(c.where("claim % 2 = 0"), c.where("claim % 2 = 1"))[0].select("claim", "status")
 
 
+@query("SELECT claim, other, claim_type, other || '>' || claim AS edges FROM f", CLAIMS, FIRST_SQL)
+def j9_conflicts(spark, sf_dir):
+    c = V.v_claims(spark, sf_dir)
+    found = L.merge_claims(c.where("claim % 2 = 0"), c.where("claim % 2 = 1"))[1]
+    return found.select("claim", "other", "claim_type", F.array_join(F.transform("edges", lambda e: e["to"].cast("string")), ">").alias("edges"))
+
+
+@query("SELECT n AS attempted, n - k AS accepted, k AS rejected, k AS contradictions, k AS conflict_nodes FROM (SELECT (SELECT count(*) FROM v_claims WHERE claim % 2 = 1) AS n, (SELECT count(*) FROM f) AS k)", CLAIMS, FIRST_SQL)
+def j9_counters(spark, sf_dir):
+    c = V.v_claims(spark, sf_dir)
+    return L.merge_claims(c.where("claim % 2 = 0"), c.where("claim % 2 = 1"))[2]
+
+
 BOX_SQL = "box AS (SELECT drawing_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, max(x) - min(x) AS width, max(y) - min(y) AS height, count(*) AS points, count(DISTINCT shape_id) AS shapes FROM v_pts GROUP BY 1)"
 
 
@@ -269,10 +318,13 @@ def j10_compare_pages(spark, sf_dir):
     return G.compare_pages(G.bbox(V.v_pts(spark, sf_dir)), pages).select("drawing_id", "match", q(F.col("percent")).alias("percent"), q(F.col("scale_x")).alias("scale_x"), q(F.col("scale_y")).alias("scale_y"))
 
 
-@query("SELECT o_orderkey, o_orderstatus AS format, 'o_totalprice' AS field FROM orders WHERE o_orderstatus = 'O' AND o_totalprice IS NOT NULL UNION ALL SELECT o_orderkey, o_orderstatus, 'o_orderpriority' FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority IS NOT NULL UNION ALL SELECT o_orderkey, o_orderstatus, f FROM orders, (VALUES ('o_custkey')) t(f) WHERE o_orderstatus NOT IN ('O', 'F', 'P') AND o_custkey IS NOT NULL UNION ALL SELECT o_orderkey, o_orderstatus, 'o_totalprice' FROM orders WHERE o_orderstatus NOT IN ('O', 'F', 'P') AND o_totalprice IS NOT NULL")
+@query(f"""SELECT o_orderkey, format, field FROM (SELECT o_orderkey, [{", ".join(f"'{f}'" for f in T.FORMATS)}][o_custkey % {len(T.FORMATS)} + 1] AS format, field FROM orders,
+ (SELECT unnest([{", ".join(f"'{f}'" for f in T.FIELDS)}]) AS field, unnest(range({len(T.FIELDS)})) AS k) WHERE (o_orderkey + k) % 5 < 2) WHERE (format, field) NOT IN (SELECT (f, x) FROM {values(T.ALLOWED)} a(f, x))""")
 def j11_check_fields(spark, sf_dir):
-    allowed = lit_rows(spark, [("F", "o_custkey"), ("F", "o_totalprice"), ("F", "o_orderpriority"), ("O", "o_custkey"), ("P", "o_custkey"), ("P", "o_totalprice")], "format string, field string")
-    return L.check_fields(V.read(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus", ["o_custkey", "o_totalprice", "o_orderpriority"], allowed)
+    # Each order is a block of some format that sets two of five fields.
+    own = [F.when((F.col("o_orderkey") + k) % 5 < 2, F.lit(k)).alias(f) for k, f in enumerate(T.FIELDS)]
+    kind = F.get(F.array(*map(F.lit, T.FORMATS)), (F.col("o_custkey") % len(T.FORMATS)).cast("int"))
+    return L.check_fields(V.read(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), *own), "o_orderkey", "kind", T.FIELDS, L.allowed_table(spark))
 
 
 # Aggregations
@@ -283,9 +335,9 @@ def a1_type_counts(spark, sf_dir):
     return D.type_counts(V.v_types(spark, sf_dir)).withColumn("percent", q(F.col("percent")))
 
 
-@query("SELECT file, category, n, CAST(floor(100.0 * n / sum(n) OVER (PARTITION BY file) * 1000 + 0.5) AS BIGINT) AS percent FROM (SELECT file, category, count(*) AS n FROM cats GROUP BY ALL)", TYPES, RULES_SQL)
+@query("SELECT file, category, n, CAST(floor(100.0 * n / sum(n) OVER (PARTITION BY file) * 1000 + 0.5) AS BIGINT) AS percent FROM (SELECT file, category, count(*) AS n FROM cats GROUP BY ALL)", NAMES, RULES)
 def a2_category_counts(spark, sf_dir):
-    return D.type_counts(D.classify(V.v_types(spark, sf_dir), rules(spark)), "category").withColumn("percent", q(F.col("percent")))
+    return D.type_counts(D.classify(V.v_names(spark, sf_dir)), "category").withColumn("percent", q(F.col("percent")))
 
 
 @query("SELECT type, size % 10 AS code, count(*) AS n, arg_min('size ' || size, file * 100000000 + seq) AS sample FROM v_types WHERE type = 'error' GROUP BY ALL", TYPES)
@@ -293,15 +345,16 @@ def a3_problem_groups(spark, sf_dir):
     return D.problem_groups(V.v_types(spark, sf_dir).withColumn("code", F.col("size") % 10).withColumn("message", F.concat(F.lit("size "), F.col("size").cast("string"))))
 
 
-@query("SELECT type, " + ", ".join(f"nullif(count(*) FILTER (file = {k}), 0) AS file_{k}" for k in range(1, 6)) + " FROM v_types WHERE file BETWEEN 1 AND 5 GROUP BY 1", TYPES)
+@query("SELECT type, " + ", ".join(f"nullif(count(*) FILTER (file % 5 = {k}), 0) AS file_{k}" for k in range(5)) + " FROM v_names GROUP BY 1", NAMES)
 def a4_compare_files(spark, sf_dir):
-    p = D.compare_files(V.v_types(spark, sf_dir), [1, 2, 3, 4, 5])
-    return p.select("type", *[F.col(str(k)).alias(f"file_{k}") for k in range(1, 6)])
+    # Every file takes part, in one of five groups.
+    p = D.compare_files(V.v_names(spark, sf_dir).withColumn("file", F.col("file") % 5), list(range(5)))
+    return p.select("type", *[F.col(str(k)).alias(f"file_{k}") for k in range(5)])
 
 
-@query("SELECT file, count(*) AS total, count(*) FILTER (type IN ('view', 'click', 'purchase')) AS covered, CAST(floor(100.0 * count(*) FILTER (type IN ('view', 'click', 'purchase')) / count(*) * 1000 + 0.5) AS BIGINT) AS percent FROM v_types GROUP BY ROLLUP (file)", TYPES)
+@query("SELECT file, count(*) AS total, count(*) FILTER (type IN (SELECT type FROM impl)) AS covered, CAST(floor(100.0 * count(*) FILTER (type IN (SELECT type FROM impl)) / count(*) * 1000 + 0.5) AS BIGINT) AS percent FROM v_names GROUP BY ROLLUP (file)", NAMES, IMPL)
 def a5_coverage(spark, sf_dir):
-    return D.coverage(V.v_types(spark, sf_dir), IMPL).withColumn("percent", q(F.col("percent")))
+    return D.coverage(V.v_names(spark, sf_dir), T.IMPLEMENTED).withColumn("percent", q(F.col("percent")))
 
 
 @query("SELECT file, count(*) FILTER (type = 'click') AS n, CAST(floor(CASE WHEN sum(size) = 0 THEN 0 ELSE count(*) FILTER (type = 'click') / (CAST(sum(size) AS BIGINT) / 1048576.0) END * 1000 + 0.5) AS BIGINT) AS per_mb FROM v_types GROUP BY 1", TYPES)
@@ -315,6 +368,21 @@ def a7_bbox(spark, sf_dir):
     return G.bbox(V.v_pts(spark, sf_dir)).withColumn("aspect", q(F.col("aspect")))
 
 
+@query("""SELECT mode, drawing_id, min(x - r) AS min_x, max(x + r + w) AS max_x, min(y - r) AS min_y, max(y + r + h) AS max_y, count(*) AS points, count(DISTINCT shape_id) AS shapes FROM (
+ SELECT drawing_id, shape_id, m.mode, CASE WHEN m.mode = 'repaired' AND pt = 31 THEN x ELSE CASE WHEN pt = 31 THEN x + 4294967296 ELSE x END END AS x, y,
+  CASE WHEN m.mode IN ('all', 'relative', 'repaired') AND pt % 5 = 3 THEN 7 ELSE 0 END AS r, CASE WHEN m.mode IN ('all', 'relative', 'repaired') AND pt % 5 = 4 THEN 11 ELSE 0 END AS w, CASE WHEN m.mode IN ('all', 'relative', 'repaired') AND pt % 5 = 4 THEN 3 ELSE 0 END AS h
+ FROM v_pts, (VALUES ('all'), ('vertices'), ('anchors'), ('relative'), ('repaired')) m(mode) WHERE m.mode <> 'vertices' OR pt % 5 < 3) GROUP BY ALL""", PTS)
+def a7_bbox_modes(spark, sf_dir):
+    # Points have the five roles in turn; the last of a shape has wrapped around 32 bits.
+    role = F.get(F.array(*map(F.lit, ("vertex", "start", "end", "center", "position"))), (F.col("pt") % 5).cast("int"))
+    p = V.v_pts(spark, sf_dir).withColumns({
+        "role": role, "x": F.when(F.col("pt") == 31, F.col("x") + 2**32).otherwise(F.col("x")), "radius": F.when(F.col("pt") % 5 == 3, 7),
+        "w": F.when(F.col("pt") % 5 == 4, 11), "h": F.when(F.col("pt") % 5 == 4, 3),
+    })
+    each = [G.bbox(p, m).select(F.lit(m).alias("mode"), "drawing_id", "min_x", "max_x", "min_y", "max_y", "points", "shapes") for m in ("all", "vertices", "anchors", "relative", "repaired")]
+    return D.reduce(DataFrame.union, each)
+
+
 @query("SELECT nation AS file, CAST(floor(avg(width) * 1000 + 0.5) AS BIGINT) AS width, CAST(floor(avg(height) * 1000 + 0.5) AS BIGINT) AS height, count(*) AS pages, CAST(floor(avg(width) / avg(height) * 1000 + 0.5) AS BIGINT) AS ratio FROM v_dims GROUP BY 1", DIMS)
 def a8_page_summary(spark, sf_dir):
     return G.page_summary(V.v_dims(spark, sf_dir).withColumnRenamed("nation", "file")).withColumns({c: q(F.col(c)) for c in ("width", "height", "ratio")})
@@ -327,9 +395,11 @@ def a9_member_profile(spark, sf_dir):
     return L.member_profile(m).withColumn("image_share", q(F.col("image_share")))
 
 
-@query("SELECT *, n_the + n_of + n_and + n_de AS n_all FROM counts", COUNTS_SQL)
+@query("SELECT *, " + ", ".join(" + ".join(ts) + f" AS {k}" for k, ts in T.TOKEN_TOTALS.items()) + " FROM (SELECT drawing_id, shape_id, mode, "
+       + ", ".join(f"CAST(len(regexp_extract_all(text, CASE mode WHEN 'space' THEN '[ \\t\\n\\x0B\\f\\r]{t}(?:[ \\t\\n\\x0B\\f\\r]|$)' ELSE ' {t}[ \\n]' END)) AS BIGINT) AS {name}" for name, t in T.TOKENS.items()) + " FROM v_content, (VALUES ('space'), ('literal')) m(mode))", CONTENT)
 def a10_token_counts(spark, sf_dir):
-    return counts(spark, sf_dir)
+    c = V.v_content(spark, sf_dir)
+    return L.token_counts(c.withColumn("mode", F.lit("space")), L.token_patterns(), T.TOKEN_TOTALS).union(L.token_counts(c.withColumn("mode", F.lit("literal")), L.token_patterns("literal"), T.TOKEN_TOTALS))
 
 
 @query("SELECT run AS batch, count(*) AS total, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, string_agg(ordinal || ':' || CASE WHEN ok THEN 'success' ELSE 'failed' END, ',' ORDER BY ordinal, ok) AS statuses FROM v_runs GROUP BY 1", RUNS)
@@ -349,14 +419,20 @@ def a13_flat_colours(spark, sf_dir):
     return G.flat_colours(v).withColumns({c: q(F.col(c)) for c in "rgb"})
 
 
+@query("SELECT * FROM (SELECT drawing_id, shape_id, pt AS part, " + ", ".join(f"CAST(floor(({c} + lead({c}) OVER w) / 2 * 1000 + 0.5) AS BIGINT) AS {n}" for c, n in (("x % 256", "r"), ("y % 256", "g"), ("pt % 256", "b"))) + " FROM v_pts WINDOW w AS (PARTITION BY drawing_id, shape_id ORDER BY pt)) WHERE r IS NOT NULL", PTS)
+def a13_flat_segments(spark, sf_dir):
+    v = V.v_pts(spark, sf_dir).select("drawing_id", "shape_id", "pt", (F.col("x") % 256).alias("r"), (F.col("y") % 256).alias("g"), (F.col("pt") % 256).alias("b"))
+    return G.flat_colours(v, 2).withColumns({c: q(F.col(c)) for c in "rgb"})
+
+
 @query("SELECT run AS file, count(*) AS images, CAST(sum(bytes) AS BIGINT) AS bytes FROM v_runs WHERE ok GROUP BY 1", RUNS)
 def a14_image_totals(spark, sf_dir):
     return L.image_totals(V.v_runs(spark, sf_dir).withColumnRenamed("run", "file"), F.col("ok"))
 
 
-@query("SELECT drawing_id, 'x' AS field, min(x) AS least, max(x) AS largest, count(x) AS n FROM v_pts GROUP BY 1 UNION ALL SELECT drawing_id, 'y', min(y), max(y), count(y) FROM v_pts GROUP BY 1", PTS)
+@query("SELECT drawing_id, 'x' AS field, min(x) AS least, max(x) AS largest, count(x) AS n, bool_or(shape_id % 100 = 0) AS relative FROM v_pts GROUP BY 1 UNION ALL SELECT drawing_id, 'y', min(y), max(y), count(y), bool_or(shape_id % 100 = 0) FROM v_pts GROUP BY 1", PTS)
 def a15_coord_profile(spark, sf_dir):
-    return G.coord_profile(V.v_pts(spark, sf_dir))
+    return G.coord_profile(V.v_pts(spark, sf_dir).withColumn("relative", F.col("shape_id") % 100 == 0))
 
 
 @query("SELECT file, type, count(*) AS n, CAST(grouping_id(file, type) AS BIGINT) AS level FROM v_types GROUP BY ROLLUP (file, type)", TYPES)
@@ -467,8 +543,11 @@ def w12_rank_types(spark, sf_dir):
     return D.rank_types(V.v_types(spark, sf_dir), 3).withColumns({"percent": q(F.col("percent")), "rank": F.col("rank").cast("long")})
 
 
-@query("""SELECT drawing_id, shape_id, CAST(c - 1 AS BIGINT) AS pt, ['M', 'l', 'H', 'v', 'L', 'h', 'Z'][c] AS cmd, [x0, x0 + x1, x2, x2, x4, x4 + x5, x0][c] AS x, [y0, y0 + y1, y0 + y1, y0 + y1 + y3, y4, y4, y0][c] AS y FROM (SELECT drawing_id, shape_id, """
-       + ", ".join(f"max({c}) FILTER (pt = {k}) AS {c}{k}" for k in range(6) for c in "xy") + " FROM v_pts GROUP BY ALL), (SELECT unnest(range(1, 8)) AS c)", PTS)
+@query("""SELECT drawing_id, shape_id, pt, cmd, CASE WHEN cmd = 'Z' THEN last_value(CASE WHEN cmd IN ('M', 'm') THEN x END IGNORE NULLS) OVER w ELSE x END AS x, CASE WHEN cmd = 'Z' THEN last_value(CASE WHEN cmd IN ('M', 'm') THEN y END IGNORE NULLS) OVER w ELSE y END AS y
+FROM (SELECT *, CAST(sum(CASE WHEN cmd IN ('v', 'Z') THEN 0 ELSE px END) OVER (PARTITION BY drawing_id, shape_id, sx ORDER BY pt) AS BIGINT) AS x, CAST(sum(CASE WHEN cmd IN ('H', 'h', 'Z') THEN 0 ELSE py END) OVER (PARTITION BY drawing_id, shape_id, sy ORDER BY pt) AS BIGINT) AS y
+ FROM (SELECT *, count(*) FILTER (cmd IN ('M', 'L', 'H')) OVER w AS sx, count(*) FILTER (cmd IN ('M', 'L')) OVER w AS sy
+  FROM (SELECT drawing_id, shape_id, pt, cmd, x AS px, y AS py FROM v_cmds UNION ALL SELECT drawing_id, shape_id, 32, 'Z', 0, 0 FROM v_cmds WHERE pt = 0) WINDOW w AS (PARTITION BY drawing_id, shape_id ORDER BY pt)))
+ WINDOW w AS (PARTITION BY drawing_id, shape_id ORDER BY pt)""", PATHS)
 def w13_path_vertices(spark, sf_dir):
     return ST.path_vertices(V.v_paths(spark, sf_dir)).select("drawing_id", "shape_id", F.col("pt").cast("long").alias("pt"), "cmd", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
@@ -584,19 +663,19 @@ def f6_affine(spark, sf_dir):
     return V.v_pts(spark, sf_dir).select("drawing_id", "shape_id", "pt", x.cast("long").alias("mx"), y.cast("long").alias("my"))
 
 
-@query("SELECT drawing_id, shape_id, CASE WHEN shape_id % 3 = 0 THEN NULL ELSE x END AS a, CASE WHEN shape_id % 3 = 0 THEN NULL ELSE y END AS f FROM v_pts WHERE pt = 0", PTS)
+@query("SELECT drawing_id, shape_id, pt, CASE WHEN (shape_id + pt) % 3 = 0 THEN NULL ELSE x END AS a, CASE WHEN (shape_id + pt) % 3 = 0 THEN NULL ELSE y END AS f FROM v_pts", PTS)
 def f7_parse_matrix(spark, sf_dir):
-    p = V.v_pts(spark, sf_dir).where("pt = 0")
-    text = F.when(F.col("shape_id") % 3 == 0, F.concat_ws(",", "x", "y")).otherwise(F.concat(F.col("x").cast("string"), F.lit(", 0,0, 1,0 ,"), F.col("y").cast("string")))
+    p = V.v_pts(spark, sf_dir)
+    text = F.when((F.col("shape_id") + F.col("pt")) % 3 == 0, F.concat_ws(",", "x", "y")).otherwise(F.concat(F.col("x").cast("string"), F.lit(", 0,0, 1,0 ,"), F.col("y").cast("string")))
     m = S.parse_matrix(text)
-    return p.select("drawing_id", "shape_id", F.get(m, F.lit(0)).cast("long").alias("a"), F.get(m, F.lit(5)).cast("long").alias("f"))
+    return p.select("drawing_id", "shape_id", "pt", F.get(m, F.lit(0)).cast("long").alias("a"), F.get(m, F.lit(5)).cast("long").alias("f"))
 
 
-@query("""SELECT drawing_id, shape_id, 'M' || printf('%.2f', 2.0 * x0 - y0 + 10) || ',' || printf('%.2f', x0 + 3.0 * y0 - 5) || ' l ' || x1 || ',' || y1 || ' H' || printf('%.2f', 2.0 * x2 + 10) || ' v ' || y3 || ' L' || printf('%.2f', 2.0 * x4 - y4 + 10) || ',' || printf('%.2f', x4 + 3.0 * y4 - 5) || ' h ' || x5 || ' Z' AS path FROM (SELECT drawing_id, shape_id, """
-       + ", ".join(f"max({c}) FILTER (pt = {k}) AS {c}{k}" for k in range(6) for c in "xy") + " FROM v_pts GROUP BY ALL)", PTS)
+@query("""SELECT drawing_id, shape_id, md5(string_agg(CASE WHEN cmd IN ('M', 'L') THEN cmd || printf('%.2f', 2.0 * x - y + 10) || ',' || printf('%.2f', x + 3.0 * y - 5) WHEN cmd = 'H' THEN cmd || printf('%.2f', 2.0 * x + 10)
+ ELSE cmd || ' ' || CASE cmd WHEN 'v' THEN CAST(y AS VARCHAR) WHEN 'h' THEN CAST(x AS VARCHAR) ELSE x || ',' || y END END, ' ' ORDER BY pt) || ' Z') AS path FROM v_cmds GROUP BY ALL""", PATHS)
 def f8_transform_path(spark, sf_dir):
     m = F.array(*map(F.lit, (2.0, 1.0, -1.0, 3.0, 10.0, -5.0)))
-    return V.v_paths(spark, sf_dir).select("drawing_id", "shape_id", S.transform_path(F.col("data"), m).alias("path"))
+    return V.v_paths(spark, sf_dir).select("drawing_id", "shape_id", F.md5(S.transform_path(F.col("data"), m)).alias("path"))
 
 
 HEX_SQL = "hx AS (SELECT p_partkey, md5(p_name) AS h FROM part)"
@@ -658,20 +737,44 @@ def f16_decode_fixed(spark, sf_dir):
     return V.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), d["u8"].alias("u8"), d["i16"].alias("i16"), d["u32"].alias("u32"))
 
 
-@query("SELECT drawing_id, shape_id, x AS x1, y AS y1, CASE WHEN shape_id % 2 = 1 THEN 'malformed polytriangle' END AS error FROM v_pts WHERE pt = 0", PTS)
+@query("""SELECT drawing_id, shape_id, kind, CASE WHEN e IS NULL THEN n END AS n, CASE WHEN e IS NULL THEN CAST(total AS BIGINT) END AS total, e AS error FROM (
+SELECT drawing_id, shape_id, kind, 64 AS n, sx + sy AS total, CASE v WHEN 1 THEN 'Vertex count mismatch: expected 33 vertices, found 32' WHEN 2 THEN CASE kind WHEN 'polyline' THEN 'Invalid vertex count: 0. Must be at least 1.' ELSE 'Invalid vertex count: 0. Polytriangle requires at least 3 vertices.' END
+  WHEN 3 THEN 'Invalid ASCII ' || kind || ' format: expected vertex count, got: ' || t END AS e
+ FROM (SELECT drawing_id, shape_id, shape_id % 4 AS v, sum(x) AS sx, sum(y) AS sy, string_agg('(' || x || ', ' || y || ')', ' ' ORDER BY pt) AS t FROM v_pts GROUP BY ALL), (VALUES ('polyline'), ('polytriangle')) k(kind)
+UNION ALL SELECT drawing_id, shape_id, kind, CASE kind WHEN 'circle' THEN 3 ELSE 4 END, x0 + y0 + CASE kind WHEN 'line' THEN x1 + y1 WHEN 'circle' THEN x1 ELSE x1 + y1 END,
+  CASE kind WHEN 'line' THEN CASE WHEN v = 3 THEN 'Invalid ASCII line format: expected ''(x1,y1)(x2,y2)'', got: ' || x0 || ' ' || y0 END
+   WHEN 'circle' THEN CASE WHEN v = 3 THEN 'Invalid ASCII circle format: expected ''(x,y) radius'', got: ' || x0 || ' ' || y0 WHEN x1 < 0 THEN 'Invalid radius: ' || x1 || '. Radius must be non-negative.' END
+   ELSE CASE WHEN v = 3 THEN 'Invalid ASCII ellipse format: expected ''(x,y) major,minor'', got: ' || x0 || ' ' || y0 WHEN x1 < 0 OR y1 < 0 THEN 'Invalid axes: major=' || x1 || ', minor=' || y1 || '. Axes must be non-negative.' END END
+ FROM (SELECT drawing_id, shape_id, (shape_id + pt) % 4 AS v, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v_pts WINDOW w AS (PARTITION BY drawing_id, shape_id ORDER BY pt)), (VALUES ('line'), ('circle'), ('ellipse')) k(kind) WHERE x1 IS NOT NULL)""", PTS)
 def f17_ascii_geometry(spark, sf_dir):
-    p = V.v_pts(spark, sf_dir).where("pt = 0")
-    s = F.concat(F.lit("("), F.col("x").cast("string"), F.lit(","), F.col("y").cast("string"), F.lit(") (1, 2)"), F.when(F.col("shape_id") % 2 == 0, " (3,-4)").otherwise(""))
-    line = S.parse_ascii_geom("line", F.regexp_extract(s, r"^\S+ \S+ \S+", 0))["values"]
-    return p.select("drawing_id", "shape_id", line[0].alias("x1"), line[1].alias("y1"), S.parse_ascii_geom("polytriangle", s)["error"].alias("error"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size % 4 < 4 THEN (p_size % 4) * 90 END AS rotation, 'mm' AS unit, CAST(p_size AS BIGINT) AS width, p_name AS name, p_size AS inked FROM part")
+    # All points of a shape as counted texts, right or not, and each of its segments as a line, circle and ellipse.
+    t = lambda c: c.cast("string")
+    pick = lambda v, *xs: F.get(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), v.cast("int"))
+    points = F.array_join(F.transform("p", lambda p: F.concat(F.lit("("), t(p["x"]), F.lit(", "), t(p["y"]), F.lit(")"))), " ")
+    counted = V.v_shapes(spark, sf_dir).select("drawing_id", "shape_id", F.concat(pick(F.col("shape_id") % 4, " 32 ", "33 ", "0 ", ""), points).alias("line"))
+    pair = F.concat(F.lit("( "), t(F.col("x")), F.lit(","), t(F.col("y")), F.lit(" )"))
+    v, bare = (F.col("shape_id") + F.col("pt")) % 4 == 3, F.concat(F.lit(" "), t(F.col("x")), F.lit(" "), t(F.col("y")))
+    each = G.segments(V.v_pts(spark, sf_dir)).select("drawing_id", "shape_id", *[F.when(v, bare).otherwise(F.concat(pair, rest)).alias(k) for k, rest in (
+        ("line", F.concat(F.lit("("), t(F.col("to_x")), F.lit(" ,"), t(F.col("to_y")), F.lit(")"))), ("circle", F.concat(F.lit("  "), t(F.col("to_x")))), ("ellipse", F.concat(F.lit(" "), t(F.col("to_x")), F.lit(" , "), t(F.col("to_y")))))])
+    got = lambda df, kind, c: df.select("drawing_id", "shape_id", F.lit(kind).alias("kind"), S.parse_ascii_geom(kind, F.col(c)).alias("g")).select("drawing_id", "shape_id", "kind", F.size("g.values").alias("n"), F.aggregate("g.values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("g.error").alias("error"))
+    rows = [got(counted, k, "line") for k in ("polyline", "polytriangle")] + [got(each, k, k) for k in ("line", "circle", "ellipse")]
+    return D.reduce(DataFrame.union, rows).withColumn("n", F.nullif(F.col("n"), F.lit(-1)))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 < 4 THEN p_size % 2 = 0 END AS show, CASE WHEN p_size % 5 < 4 THEN (p_size % 4) * 90 END AS rotation, CASE WHEN p_size % 5 < 4 THEN p_size + 0.5 END AS width, CASE WHEN p_size % 5 < 4 THEN 4 END AS area, CASE WHEN p_size % 5 < 4 THEN p_size END AS tx,
+ CASE WHEN p_size % 3 = 0 THEN p_name END AS unit, CASE WHEN p_size % 3 > 0 THEN p_size END AS inked, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 2 * p_size END AS view_x, CASE WHEN p_size % 2 = 1 THEN p_name END AS view_name, 3 - p_size AS named_y, p_brand AS named FROM part""")
 def f18_parse_meta(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    plot = S.parse_meta("PlotInfo", F.concat(F.lit("1 "), ((F.col("p_size") % 4) * 90).cast("string"), F.lit(" mm "), size, F.lit(" 20 0 0 1 0 0 1 0 0")))
-    area = S.parse_meta("InkedArea", F.concat_ws(" ", size, F.lit("1, 2 3, 4 5, 6 7")))
-    return V.read(spark, sf_dir, "part").select("p_partkey", plot["rotation"].alias("rotation"), plot["unit"].alias("unit"), plot["width"].cast("long").alias("width"), S.parse_meta("SourceFilename", F.concat(F.lit("'"), F.col("p_name"), F.lit("'"))).alias("name"), F.get(area, F.lit(0))["x"].cast("int").alias("inked"))
+    z, t = F.col("p_size"), lambda c: c.cast("string")
+    plot = S.parse_meta("PlotInfo", F.concat_ws(" ", F.when(z % 2 == 0, "Show").otherwise("hide"), t((z % 4) * 90), F.when(z % 5 < 4, "mm").otherwise("feet"), F.concat(t(z), F.lit(".5")), F.lit("20 0 0 5 6 1 0 0 1"), t(z), F.lit("0)")))
+    units = S.parse_meta("Units", F.concat(F.lit('"'), F.col("p_name"), F.lit('" 1 0 0 1 0'), F.when(z % 3 == 0, " 7)").otherwise(")")))
+    area = S.parse_meta("InkedArea", F.concat(F.lit("("), t(z), F.lit(", 1) (2,3)(4 ,5)"), F.when(z % 3 > 0, " (6,7))").otherwise(")")))
+    name = S.parse_meta("SourceFilename", F.concat(F.lit(' "'), F.col("p_name"), F.lit('")')))
+    view = S.parse_meta("View", F.when(z % 2 == 0, F.concat(F.lit(" -1,-2 "), t(2 * z), F.lit(" , 9)"))).otherwise(F.concat(F.lit(" '"), F.col("p_name"), F.lit("' )"))))
+    named = S.parse_meta("NamedView", F.concat(F.lit(" 1,"), t(3 - z), F.lit(" 4,5 '"), F.col("p_brand"), F.lit("')")))
+    return V.read(spark, sf_dir, "part").select(
+        "p_partkey", plot["show"].alias("show"), plot["rotation"].cast("int").alias("rotation"), plot["width"].alias("width"), F.nullif(F.size(plot["area"]), F.lit(-1)).alias("area"), plot["matrix"][4].cast("int").alias("tx"),
+        units["name"].alias("unit"), area[0]["x"].cast("int").alias("inked"), name.alias("name"), view["box"][2].cast("int").alias("view_x"), view["name"].alias("view_name"), named["box"][1].cast("int").alias("named_y"), named["name"].alias("named"),
+    )
 
 
 @query("SELECT doc_id, CAST(len(n) // 2 AS BIGINT) AS pairs, CASE WHEN len(n) > 1 THEN CAST(n[1] AS DOUBLE) * 2 END AS first_x, CASE WHEN len(n) > 1 THEN CAST(n[2] AS DOUBLE) * 2 END AS first_y FROM (SELECT doc_id, regexp_extract_all(text, '[-+]?[0-9]*\\.?[0-9]+') AS n FROM documents)")
@@ -693,10 +796,12 @@ def f21_text_box(spark, sf_dir):
     return V.read(spark, sf_dir, "documents").select("doc_id", q(b["width"], 10).alias("width"), b["height"].cast("int").alias("height"))
 
 
-@query("SELECT doc_id, left(text, 50) AS wide, replace(replace(replace(left(text, 200), '\\', '\\\\'), '(', '\\('), ')', '\\)') AS escaped FROM documents")
+@query("SELECT doc_id, md5(text) AS decoded, length(text) AS n, md5(replace(replace(replace(text, '\\', '\\\\'), '(', '\\('), ')', '\\)')) AS escaped FROM documents")
 def f22_text_hygiene(spark, sf_dir):
-    t = F.substring("text", 1, 50)
-    return V.read(spark, sf_dir, "documents").select("doc_id", F.when(F.ascii(t) < 256, S.decode_text(F.encode(t, "UTF-16LE"))).otherwise(t).alias("wide"), S.escape_text(F.substring("text", 1, 200)).alias("escaped"))
+    # Whole texts, as UTF-16LE where their first character is a narrow one, else as UTF-8.
+    raw = F.when(F.ascii("text") < 256, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-8"))
+    back = S.decode_text(raw)
+    return V.read(spark, sf_dir, "documents").select("doc_id", F.md5(back).alias("decoded"), F.length(back).cast("long").alias("n"), F.md5(S.escape_text(F.col("text"))).alias("escaped"))
 
 
 @query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size & 1 <> 0 THEN 'NONE' END, CASE WHEN p_size & 2 <> 0 THEN 'SEAL' END, CASE WHEN p_size & 4 <> 0 THEN 'STAMP' END, CASE WHEN p_size & 8 <> 0 THEN 'LABEL' END, CASE WHEN p_size & 16 <> 0 THEN 'REDLINE' END, CASE WHEN p_size & 32 <> 0 THEN 'RESERVED1' END, CASE WHEN p_size & 64 <> 0 THEN 'RESERVED2' END) AS flags FROM part")

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
+
+#: Type names that rows are given in turn: those of the fixed tables, and one that none has.
+NAMES = list(dict.fromkeys([name for name, _, _ in T.RULES] + T.IMPLEMENTED + ["unmapped"]))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,15 +53,34 @@ def v_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.abs(F.round("c_acctbal").cast("long")).alias("width"), (F.col("c_custkey") % 900 + 100).alias("height"), F.col("c_nationkey").cast("long").alias("nation"))
 
 
+def v_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_types with type taken from NAMES by size."""
+    return v_types(spark, sf_dir).withColumn("type", F.get(F.array(*map(F.lit, NAMES)), (F.col("size") % len(NAMES)).cast("int")))
+
+
+def v_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drawing_id, shape_id, p: the points (pt, x, y) of each shape in order."""
+    return v_pts(spark, sf_dir).groupBy("drawing_id", "shape_id").agg(F.sort_array(F.collect_list(F.struct("pt", "x", "y"))).alias("p"))
+
+
+#: Commands of a path's points in turn, after the first.
+TURNS = "m l H v L h".split()
+
+
 def v_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """drawing_id, shape_id, data: path texts from the first six points of each shape."""
-    p = v_pts(spark, sf_dir).where("pt < 6").groupBy("drawing_id", "shape_id").agg(F.sort_array(F.collect_list(F.struct("pt", "x", "y"))).alias("p"))
-    xy = lambda i, c: F.get("p", F.lit(i))[c].cast("string")
-    text = F.concat(
-        F.lit("M "), xy(0, "x"), F.lit(","), xy(0, "y"), F.lit(" l "), xy(1, "x"), F.lit(","), xy(1, "y"), F.lit(" H "), xy(2, "x"), F.lit(" v "), xy(3, "y"),
-        F.lit(" L "), xy(4, "x"), F.lit(","), xy(4, "y"), F.lit(" h "), xy(5, "x"), F.lit(" Z"),
-    )
-    return p.select("drawing_id", "shape_id", text.alias("data"))
+    """drawing_id, shape_id, data: path texts from all points of each shape, closed."""
+    cmd = lambda p: F.when(p["pt"] == 0, "M").otherwise(F.get(F.array(*map(F.lit, TURNS)), (p["pt"] % 6).cast("int")))
+    x, y = (lambda p: p["x"].cast("string")), (lambda p: p["y"].cast("string"))
+    args = lambda p: F.when(F.upper(cmd(p)) == "H", x(p)).when(F.upper(cmd(p)) == "V", y(p)).otherwise(F.concat(x(p), F.lit(","), y(p)))
+    text = F.array_join(F.transform("p", lambda p: F.concat_ws(" ", cmd(p), args(p))), " ")
+    return v_shapes(spark, sf_dir).select("drawing_id", "shape_id", F.concat(text, F.lit(" Z")).alias("data"))
+
+
+def v_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drawing_id, shape_id, text: a content stream of each shape, a point and an operator a line."""
+    token = lambda p: F.get(F.array(*map(F.lit, T.TOKENS.values())), F.pmod(p["x"] + p["y"], F.lit(len(T.TOKENS))).cast("int"))
+    text = F.array_join(F.transform("p", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), token(p))), "\n")
+    return v_shapes(spark, sf_dir).select("drawing_id", "shape_id", text.alias("text"))
 
 
 OPS_SQL = """v_ops AS (SELECT drawing_id, seq, op, a, k, a % 201 - 100 AS dx, (a // 201) % 201 - 100 AS dy FROM (
@@ -72,6 +96,6 @@ PTS_SQL = """v_pts AS (SELECT CAST(label AS BIGINT) AS drawing_id, vec_id AS sha
 RUNS_SQL = "v_runs AS (SELECT l_orderkey AS run, CAST(l_linenumber AS BIGINT) AS ordinal, l_shipdate AS time, l_returnflag <> 'R' AS ok, CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes FROM lineitem)"
 CLAIMS_SQL = "v_claims AS (SELECT p_partkey AS claim, p_brand AS subject, p_type AS claim_type, p_name AS statement, 'active' AS status FROM part)"
 DIMS_SQL = "v_dims AS (SELECT c_custkey AS id, abs(CAST(round(c_acctbal) AS BIGINT)) AS width, c_custkey % 900 + 100 AS height, CAST(c_nationkey AS BIGINT) AS nation FROM customer)"
-PATHS_SQL = PTS_SQL + """, v_paths AS (SELECT drawing_id, shape_id, 'M ' || max(x) FILTER (pt = 0) || ',' || max(y) FILTER (pt = 0) || ' l ' || max(x) FILTER (pt = 1) || ',' || max(y) FILTER (pt = 1)
-  || ' H ' || max(x) FILTER (pt = 2) || ' v ' || max(y) FILTER (pt = 3) || ' L ' || max(x) FILTER (pt = 4) || ',' || max(y) FILTER (pt = 4) || ' h ' || max(x) FILTER (pt = 5) || ' Z' AS data
-  FROM v_pts WHERE pt < 6 GROUP BY ALL)"""
+NAMES_SQL = TYPES_SQL + f""", v_names AS (SELECT file, seq, size, [{', '.join(f"'{n}'" for n in NAMES)}][size % {len(NAMES)} + 1] AS type FROM v_types)"""
+PATHS_SQL = PTS_SQL + f""", v_cmds AS (SELECT *, CASE WHEN pt = 0 THEN 'M' ELSE [{', '.join(f"'{c}'" for c in TURNS)}][pt % 6 + 1] END AS cmd FROM v_pts)"""
+CONTENT_SQL = PTS_SQL + f""", v_content AS (SELECT drawing_id, shape_id, string_agg(x || ' ' || y || ' ' || [{', '.join(f"'{t}'" for t in T.TOKENS.values())}][((x + y) % {len(T.TOKENS)} + {len(T.TOKENS)}) % {len(T.TOKENS)} + 1], chr(10) ORDER BY pt) AS text FROM v_pts GROUP BY ALL)"""

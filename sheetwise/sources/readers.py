@@ -34,27 +34,63 @@ def explode_members(manifests: DataFrame, file: str = "file", members: str = "al
     return manifests.select(file, F.posexplode(members).alias("ordinal", "member")).withColumn("member", F.translate("member", "\\", "/"))
 
 
-def read_ops_json(spark: SparkSession, path: str) -> DataFrame:
-    """Op records of files that hold a JSON array each: file, seq (the place in the array), and the record's fields."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"array<{OPS_SCHEMA}>").alias("r"))
-    return whole.select("file", F.posexplode("r").alias("seq", "r")).select("file", F.col("seq").cast("long").alias("seq"), "r.*")
+def _ops_texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    texts = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("file"), "value")
+    return texts.withColumn("r", F.from_json("value", f"array<{OPS_SCHEMA}>"))
+
+
+def read_ops_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Op records of files that hold a JSON array each, or one a line: file, seq (the place in the array), and the record's fields.
+
+    Arrays that do not parse give no records here; malformed_ops_json lists them. An array is one row while it is parsed: large
+    drawings come as several arrays, one a line.
+    """
+    return _ops_texts(spark, path, lines).select("file", F.posexplode("r").alias("seq", "r")).select("file", F.col("seq").cast("long").alias("seq"), "r.*")
+
+
+def malformed_ops_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, value, error) of the texts that hold no JSON array of records."""
+    return _ops_texts(spark, path, lines).where("r is null").select("file", "value", F.lit("no JSON array of records").alias("error"))
+
+
+#: Entities that every XML text may use. Fixed values; & comes last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def unescaped(s: Column) -> Column:
+    """An attribute's text without entities, numeric ones included."""
+    number = r"&#(?:[0-9]+|x[0-9A-Fa-f]+);"
+    code = lambda e: F.when(e.startswith("&#x"), F.lpad(F.regexp_extract(e, "x([0-9A-Fa-f]+)", 1), 8, "0")).otherwise(F.lpad(F.hex(F.regexp_extract(e, "([0-9]+)", 1).cast("long")), 8, "0"))
+    char = lambda e: F.decode(F.unhex(code(e)), "UTF-32")
+    parts = F.zip_with(F.split(s, number, -1), F.regexp_extract_all(s, F.lit(number), F.lit(0)), lambda gap, e: F.concat(gap, F.coalesce(char(e), F.lit(""))))
+    out = F.when(F.contains(s, F.lit("&#")), F.array_join(parts, "")).otherwise(s)
+    for entity, c in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(c))
+    return out
 
 
 def read_markup(pages: DataFrame) -> dict[str, DataFrame]:
     """pages (file, page, xml) -> pages, paths and glyphs, with the defaults of absent attributes; glyphs without text are left out.
 
-    Plain XPath over each page; every element is named by local name, so that a default namespace does not matter.
+    Elements are found by local name, whatever their prefix, by patterns that know quotes of both kinds, so that a value may hold
+    a bracket; comments are skipped and entities of values resolved. It is no validating parser: DTDs and CDATA are not read.
     """
-    def attr(tag: str, name: str) -> Column:
-        # One value for each element, empty where it is absent: names of elements and of attributes are fixed.
-        n = F.xpath_int("xml", F.lit(f"count(//*[local-name()='{tag}'])"))
-        return F.when(n > 0, F.transform(F.regexp_extract_all("xml", F.lit(rf"(<(?:\w+:)?{tag}\b[^>]*>)"), F.lit(1)), lambda e: F.regexp_extract(e, rf'\b{name}\s*=\s*"([^"]*)"', 1)))
+    xml = F.regexp_replace("xml", r"(?s)<!--.*?-->", "")
+    quoted = r"(?:\"[^\"]*\"|'[^']*')"
+
+    def elements(tag: str) -> Column:
+        return F.regexp_extract_all(xml, F.lit(rf"<(?:[\w.-]+:)?{tag}(?=[\s/>])((?:[^>\"']|{quoted})*)>"), F.lit(1))
+
+    def value(element: Column, name: str) -> Column:
+        attrs = F.regexp_extract_all(element, F.lit(rf"[\w:.-]+\s*=\s*{quoted}"), F.lit(0))
+        own = F.get(F.filter(attrs, lambda a: a.rlike(rf"^{name}\s*=")), F.lit(0))
+        return unescaped(F.regexp_extract(own, r"(?s)=\s*.(.*).$", 1))
 
-    size = lambda name, d: F.coalesce(F.regexp_extract("xml", rf'<(?:\w+:)?FixedPage\b[^>]*\b{name}\s*=\s*"([^"]*)"', 1).try_cast("double"), F.lit(d))
     def rows(tag: str, names: dict[str, str]) -> DataFrame:
-        z = F.arrays_zip(*[attr(tag, a).alias(k) for k, a in names.items()])
-        return pages.select("file", "page", F.posexplode(z).alias("ord", "e")).select("file", "page", "ord", *[F.nullif(F.col(f"e.{k}"), F.lit("")).alias(k) for k in names])
+        found = pages.select("file", "page", F.posexplode(elements(tag)).alias("ord", "e"))
+        return found.select("file", "page", "ord", *[F.nullif(value(F.col("e"), a), F.lit("")).alias(k) for k, a in names.items()])
 
+    size = lambda name, d: F.coalesce(value(F.get(elements("FixedPage"), F.lit(0)), name).try_cast("double"), F.lit(d))
     paths = rows("Path", {"data": "Data", "fill": "Fill", "stroke": "Stroke", "stroke_thickness": "StrokeThickness", "opacity": "Opacity", "name": "Name"})
     glyphs = rows("Glyphs", {"unicode_string": "UnicodeString", "origin_x": "OriginX", "origin_y": "OriginY", "fill": "Fill", "font_size": "FontRenderingEmSize", "font_uri": "FontUri"})
     return {
@@ -83,9 +119,10 @@ def read_descriptor(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_ledger(steps: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The steps of every run, failed ones too, by run. One file a run: rows are dealt out by run first."""
-    steps.repartition("run").write.mode("overwrite").partitionBy("run").format(fmt).save(path)
+def write_ledger(steps: DataFrame, path: str, fmt: str = "parquet", buckets: int = 64, files: int = 16) -> None:
+    """The steps of every run, failed ones too. A run's rows lie in one folder, bucket=its hash modulo buckets, in one of as many as files files."""
+    dealt = steps.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)))
+    dealt.repartition("bucket", F.pmod(F.xxhash64("run", F.lit(1)), F.lit(files))).sortWithinPartitions("bucket", "run").write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from sheetwise.functions import scalars as S
+from sheetwise.functions import tables as T
 from sheetwise.operators import distribution as D
 from sheetwise.operators import geometry as G
+from sheetwise.operators import ledger as L
 from sheetwise.sources import readers as R
 
 
@@ -29,8 +31,26 @@ def test_counts(spark):
 
 
 def test_ascii_lines(spark):
-    r = one(spark, *[S.parse_ascii_geom("line", F.lit(s)) for s in ("(100,200)(300,400)", "(-100,-50)(150,-200)", "( 0 , 0 ) ( 0 , 0 )", "(1,2)")])
-    assert [x["values"] for x in r] == [[100, 200, 300, 400], [-100, -50, 150, -200], [0, 0, 0, 0], None] and r[3]["error"]
+    r = one(spark, *[S.parse_ascii_geom("line", F.lit(s)) for s in ("(100,200)(300,400)", "(-100,-50)(150,-200)", "  ( 0 , 0 ) ( 1000 , 1000 )  ", " 100,200,300,400", "9 9 x 9 9")])
+    assert [x["values"] for x in r] == [[100, 200, 300, 400], [-100, -50, 150, -200], [0, 0, 1000, 1000], None, None]
+    assert r[3]["error"] == "Invalid ASCII line format: expected '(x1,y1)(x2,y2)', got: 100,200,300,400" and r[4]["error"]
+
+
+def test_counted_ascii_geometry(spark):
+    r = one(spark, *[S.parse_ascii_geom("polyline", F.lit(s)) for s in (" 3 (100,200) (300,400) (500,600)", " 1 (500,750)", " 5 (100,200) (300,400)", "0 (1,2)", "(1,2)", None)])
+    assert [x["values"] for x in r] == [[100, 200, 300, 400, 500, 600], [500, 750], None, None, None, None] and all(x["error"] for x in r[2:])
+    r = one(spark, *[S.parse_ascii_geom("polytriangle", F.lit(s)) for s in (" 3 (0,0) (100,0) (50,100)", "2 (0,0) (1,1)", "3 (99999999999999999999,0) (1,1) (2,2)")])
+    assert r[0]["values"] == [0, 0, 100, 0, 50, 100] and "at least 3" in r[1]["error"] and r[2]["error"] == "number out of range"
+    r = one(spark, *[S.parse_ascii_geom(k, F.lit(s)) for k, s in (("circle", " (500,300) 100"), ("circle", "(1,2) -5"), ("ellipse", " (400,300) 150,100"), ("ellipse", "(1,2) 3"))])
+    assert r[0]["values"] == [500, 300, 100] and "radius: -5" in r[1]["error"] and r[2]["values"] == [400, 300, 150, 100] and r[3]["error"]
+
+
+def test_fixed_tables():
+    kinds = {c: sum(c == x for _, x, _ in T.RULES) for c in T.CATEGORIES}
+    assert kinds["Text"] == 6 and kinds["Image"] == 18 and kinds["State"] == 3 and len({n for n, _, _ in T.RULES}) == len(T.RULES)
+    assert len(T.FIELDS) == 36 and len(T.FORMATS) == 15 and len(T.LINE_PATTERNS) == 36
+    allowed = set(T.ALLOWED)
+    assert ("Null", "Block_Guid") not in allowed and ("Signature", "Parent_Block_Guid") in allowed and ("Graphics_HDR", "Password") not in allowed and ("Global", "Last_Sync_Time") in allowed
 
 
 def test_colours(spark):
@@ -39,7 +59,7 @@ def test_colours(spark):
 
 
 def test_text_and_meta(spark):
-    r = one(spark, S.escape_text(F.lit("a(b)\\c")), S.parse_meta("Units", F.lit("mm (1,0,0,1,2,3)")), S.number_pairs(F.lit("1 -2.5,3")), S.parse_guid(F.lit("{00112233-4455-6677-8899-AABBCCDDEEFF}")), S.parse_ts(F.lit("03/04/2020 05:06:07")), S.decode_text(F.unhex(F.lit("680069"))))
+    r = one(spark, S.escape_text(F.lit("a(b)\\c")), S.parse_meta("Units", F.lit(' "mm" 1 0 0 1 2 3)')), S.number_pairs(F.lit("1 -2.5,3")), S.parse_guid(F.lit("{00112233-4455-6677-8899-AABBCCDDEEFF}")), S.parse_ts(F.lit("03/04/2020 05:06:07")), S.decode_text(F.unhex(F.lit("680069"))))
     assert r[0] == "a\\(b\\)\\\\c" and r[1]["name"] == "mm" and r[1]["matrix"] == [1, 0, 0, 1, 2, 3] and [tuple(x) for x in r[2]] == [(1, -2.5)]
     assert r[3] == "00112233445566778899aabbccddeeff" and r[4].day == 4 and r[5] is not None
 
@@ -74,3 +94,54 @@ def test_ops_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"type": "line_16r", "points": [[1, 2]]},\n {"opcode": 5, "relative": true}]')
     got = R.read_ops_json(spark, str(tmp_path)).orderBy("seq").collect()
     assert [r["seq"] for r in got] == [0, 1] and got[0]["points"] == [[1, 2]] and got[1]["relative"]
+
+
+def test_malformed_records_are_listed(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"type": "line_16r"}]')
+    (tmp_path / "b.json").write_text("{oops")
+    assert R.read_ops_json(spark, str(tmp_path)).count() == 1
+    bad = R.malformed_ops_json(spark, str(tmp_path)).collect()
+    assert len(bad) == 1 and bad[0]["file"].endswith("b.json") and bad[0]["value"] == "{oops" and bad[0]["error"]
+
+
+def test_markup_quotes_and_entities(spark):
+    xml = """<!-- <Path Data='x'/> --><x:FixedPage Width='5'><Path Data='a > b' Fill = "it's &lt;&amp;lt;&#65;&#x263A;"/><PathGeometry Data="no"/></x:FixedPage>"""
+    p = R.read_markup(spark.createDataFrame([("f", 1, xml)], "file string, page int, xml string"))["paths"].collect()
+    assert [(r["data"], r["fill"]) for r in p] == [("a > b", "it's <&lt;A\u263a")]
+
+
+def claims(spark, rows):
+    return spark.createDataFrame(rows, "claim long, subject string, claim_type string, statement string, status string")
+
+
+def test_merge_claims_follows_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice("xy"), rng.choice("pqr"), "accepted") for i in range(60)]
+    old, new = rows[:20], rows[20:]
+    seen, status, conflicts = list(old), {r[0]: r[4] for r in rows}, []
+    for c in new:
+        other = next((e for e in seen if e[1:3] == c[1:3] and e[3] != c[3]), None)
+        if other:
+            conflicts.append((c[0], other[0]))
+            status[c[0]] = status[other[0]] = "challenged"
+        seen.append(c)
+    merged, found, counters = L.merge_claims(claims(spark, old), claims(spark, new))
+    assert {r["claim"]: r["status"] for r in merged.collect()} == status
+    got = found.collect()
+    assert sorted((r["claim"], r["other"]) for r in got) == conflicts and all([e["to"] for e in r["edges"]] == [r["other"], r["claim"]] for r in got)
+    assert tuple(counters.first()) == (40, 40 - len(conflicts), *[len(conflicts)] * 3)
+
+
+def test_contradictions_of_lists(spark):
+    ddl = "claim long, subjects array<string>, claim_type string, statement string"
+    new, old = spark.createDataFrame([(1, ["a", "b", "c"], "x", "p")], ddl), spark.createDataFrame([(2, ["c", "b"], "x", "q"), (3, ["a"], "y", "q"), (4, ["a"], "x", "p")], ddl)
+    assert [(r["old_claim"], r["overlap"]) for r in L.contradictions(new, old).collect()] == [(2, ["b", "c"])]
+
+
+def test_large_tables_are_not_broadcast(spark):
+    from sheetwise.operators.joins import small
+
+    assert "broadcast" in small(spark.range(5), 5)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in small(spark.range(6), 5)._jdf.queryExecution().logical().toString().lower()
