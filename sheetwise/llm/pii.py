@@ -111,6 +111,12 @@ def _spans(kind: str, text: Column, slices: Column) -> Column:
     return F.coalesce(F.when(hint & (text.rlike("[0-9]") if kind != "email" else F.lit(True)), spans), F.lit([]).cast("array<struct<start:int,rank:int,end:int,score:double>>"))
 
 
+def pii_spans(text: Column) -> Column:
+    """The spans of a text: array of (start, rank, end, score), by start and rank of the kind."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return let(sliced(whole), lambda s: F.sort_array(F.concat(*[_spans(k, whole, s) for k in PATTERNS])))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """docs with a text column -> with spans: array of (start, rank, end, score), by start and rank of the kind.
 
@@ -119,8 +125,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     may overlap; those with one start come in the order of kinds. Long texts are searched whole: matches are placed by the gaps between them and their
     context is read from slices of the text, so that time follows the length of a text, however many matches it has.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("spans", let(sliced(text), lambda s: F.sort_array(F.concat(*[_spans(k, text, s) for k in PATTERNS]))))
+    return docs.withColumn("spans", pii_spans(F.col("text")))
 
 
 def joined(spans: Column) -> Column:

@@ -205,3 +205,29 @@ def test_pipeline(spark):
     assert out.count() == seen[4].count() and out.where("n_tokens <> size(ids)").isEmpty()
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
     assert seen[1].join(labels, "doc_id").count() >= 0.9 * labels.count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows, clashing columns, a very long text, and an empty table, through all stages."""
+    rng = random.Random(12)
+    text = lambda n=120: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b = text(), text()
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (1, b, "en", "s"), (None, text(), None, None), (3, None, "en", "s"), (4, "", "en", "t"), (5, text(40000), "de", None), (6, a + " more", "en", "s"), (7, "mail a@b.cd " + text(), "en", "t")]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, spans string, key string, id int, copies int, _stage_key int"
+    docs = spark.createDataFrame([(*r, 7, "sp", "k", 9, 5, 3) for r in rows], ddl)
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.count() == 0 and empty.columns == docs.columns, name
+        out = stage(spark, seen, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(tuple(r)[5:] == ("sp", "k", 9, 5, 3) for r in rows), name
+        seen = spark.createDataFrame(rows, docs.schema)
+        if name == "near_dedup":
+            assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "5", "7", "None"]
+    assert "<EMAIL>" in next(r["text"] for r in seen.collect() if r["doc_id"] == 7)
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.where("false"), SF).count() == 0
+    got = last(spark, docs, SF).collect()
+    assert len(got) == 9 and all(r["n_tokens"] == len(r["ids"] or []) for r in got)
