@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, table
+from .common import cut, n_words, parts, table
 
 #: The weights of the sources in the order of their names, repeating.
 CYCLE = (5, 2, 1)
@@ -17,31 +17,41 @@ MOST = 3
 STEPS = 60
 #: A source is settled when its tokens are this near to its target, as a share.
 NEAR = 1e-9
+#: Sources up to which their states (about 80 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_SOURCES = 50_000
 #: Rows of one size within a source that are ranked together.
 CELL_ROWS = 2000
 
 
+def _before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with the sums over all rows before each, in an order: within range partitions, plus those of the partitions before."""
+    ranged = cut(rows.repartitionByRange(parts(rows.sparkSession), *order).withColumn("_pid", F.spark_partition_id()))
+    own = W.partitionBy("_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    # One row a partition: their number is a setting, not a function of the data.
+    totals = ranged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t{k}") for k, v in sums.items()])
+    over = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("_pid", *[F.coalesce(F.sum(f"_t{k}").over(over), F.lit(0)).alias(f"_t{k}") for k in sums])
+    inside = ranged.withColumns({k: F.coalesce(F.sum(v).over(own), F.lit(0)) for k, v in sums.items()})
+    return inside.join(F.broadcast(starts), "_pid").select(*rows.columns, *[(F.col(k) + F.col(f"_t{k}")).alias(k) for k in sums])
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> with target: weighted shares of the whole, none above MOST times its own size.
 
     Sources come by code point, null last. What a capped source can't take is shared again by weight; the end of that is
-    one level t with target = min(MOST * size, t * weight), found by sorting on the level at which each source is full.
+    one level t with target = min(MOST * size, t * weight), found in the order of the levels at which each source is full.
+    Both orders are running sums over range partitions; two sums and one level are all that the driver sees.
     """
-    byname = W.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in CYCLE]), ((F.row_number().over(byname) - 1) % len(CYCLE) + 1).cast("int"))
-    full = W.orderBy("level", F.col("source").asc_nulls_last())
-    every = W.partitionBy()
-    return (
-        sizes.withColumn("weight", w)
-        .withColumn("cap", MOST * F.col("source_size").cast("double"))
-        .withColumn("level", F.col("cap") / F.col("weight"))
-        .withColumn("rest", F.sum("weight").over(full.rowsBetween(W.currentRow, W.unboundedFollowing)))
-        .withColumn("taken", F.coalesce(F.sum("cap").over(full.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("t", (F.sum(F.col("source_size").cast("double")).over(every) - F.col("taken")) / F.col("rest"))
-        # The first source, in this order, that its share doesn't fill sets the level.
-        .withColumn("t", F.min(F.when(F.col("level") > F.col("t"), F.struct("level", "t"))).over(every)["t"])
-        .select("source", "source_size", F.least("cap", F.coalesce(F.col("t") * F.col("weight"), F.col("cap"))).alias("target"))
-    )
+    byname = F.col("source").asc_nulls_last()
+    w = F.element_at(F.array(*[F.lit(x) for x in CYCLE]), (F.col("nth") % len(CYCLE) + 1).cast("int"))
+    named = _before(sizes, [byname], nth=F.lit(1).cast("long")).withColumn("weight", w.cast("long")).withColumn("cap", MOST * F.col("source_size")).drop("nth")
+    leveled = cut(_before(named.withColumn("level", F.col("cap").cast("double") / F.col("weight")), [F.col("level"), byname], taken=F.col("cap"), spent=F.col("weight")))
+    every = leveled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    t = (F.lit(float(every["size"] or 0)) - F.col("taken")) / (F.lit(every["weight"]) - F.col("spent"))
+    # The first source, in this order, that its share doesn't fill sets the level; without any, all are full.
+    found = leveled.agg(F.min(F.when(F.col("level") > t, F.struct("level", t.alias("t")))).alias("f")).first()["f"]
+    target = F.col("cap").cast("double") if found is None else F.least(F.col("cap").cast("double"), F.lit(found["t"]) * F.col("weight"))
+    return leveled.select("source", "source_size", target.alias("target"))
 
 
 def _sum(x: Column) -> Column:
@@ -61,7 +71,8 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
         (F.col("target") < F.col("source_size") * MOST * (1 - 1e-12)).alias("open"),
         F.lit(0.0).alias("tilt"), F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi"),
     )
-    state = cut(state.coalesce(1))
+    state = cut(state)
+    hint = F.broadcast if state.count() <= BROADCAST_SOURCES else (lambda x: x)
     cells = cells.withColumnRenamed("source", "s")
     for _ in range(STEPS):
         x = F.col("size") / F.col("mean")
@@ -70,7 +81,7 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
         tokens = F.col("n") * F.col("size") * rate
         went = F.when(rate < MOST, tokens * x).otherwise(0.0)
         sums = (
-            cells.join(F.broadcast(state.where("open")), F.expr("s <=> source"))
+            cells.join(hint(state.where("open")), F.expr("s <=> source"))
             .groupBy("source").agg(_sum(tokens).cast("double").alias("got"), _sum(went).cast("double").alias("slope"))
         ).withColumnRenamed("source", "s")
         step = state.join(sums, F.expr("s <=> source"), "left")
@@ -83,7 +94,7 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
         state = cut(step.select(
             "source", "target", "mean", (F.col("open") & ~done).alias("open"),
             F.when(done | ~F.col("open"), F.col("tilt")).when(inside, F.col("next")).otherwise((F.col("lo") + F.col("hi")) / 2).alias("tilt"), "lo", "hi",
-        ).coalesce(1))
+        ))
         if state.where("open").isEmpty():
             break
     return state.select("source", "tilt", "mean", "target")
@@ -110,12 +121,13 @@ def mix(docs: DataFrame) -> DataFrame:
     Newton's method finds the tilts from the sums over (source, size, n); rounding carries what is left from the large
     sizes to the small, so that a source misses its target by less than its small documents. Documents of one size
     share the copies by a hash of their key. Null source: a source of its own, the last. Null size: 0. Documents of
-    size 0 are never taken. Repeated rows count each. Empty input: no rows. Other columns named as ours are replaced.
+    size 0 are never taken. Repeated rows count each; of rows alike in all, any may be taken more often. Long documents count by their size
+    alone. Only key, source and size are read, so other columns can have any name. Empty input: no rows.
     """
     docs = cut(docs.select("key", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")))
     cells = cut(docs.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    targets = cut(source_targets(sizes).coalesce(1))
+    targets = cut(source_targets(cut(sizes)))
     solved = tilts(cells, targets.withColumnRenamed("source", "s"))
     x = F.col("size") / F.col("mean")
     full = F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12)

@@ -406,6 +406,41 @@ def test_targets_and_copies(spark):
     assert again == {r["key"]: r["copies"] for r in got}
 
 
+def test_rates_are_exponential(spark):
+    """Before rounding, a source's expected copies are min(3, exp(tilt * size / mean)) with one tilt, and give its target."""
+    from sheetwise.llm import mixing
+
+    rng = random.Random(6)
+    rows = [(s, rng.randint(1, 60), rng.randint(1, 9)) for s in ("a", "b", "c", None) for _ in range(30)]
+    cells = spark.createDataFrame(rows, "source string, size long, n long").groupBy("source", "size").agg(F.sum("n").alias("n"))
+    sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    targets = mixing.source_targets(sizes)
+    own = {}
+    for r in cells.collect():
+        own.setdefault(r["source"], []).append((r["size"], r["n"]))
+    solved = mixing.tilts(cells, targets.withColumnRenamed("source", "s")).collect()
+    assert {r["source"] for r in solved} == set(own)
+    for r in solved:
+        got = sum(n * s * min(3.0, np.exp(min(2.0, r["tilt"] * s / r["mean"]))) for s, n in own[r["source"]])
+        full = sum(3 * s * n for s, n in own[r["source"]])
+        assert abs(got - r["target"]) <= 1e-6 * r["target"] or r["target"] >= full * (1 - 1e-9)
+
+
+def test_many_sources(spark, monkeypatch):
+    from sheetwise.llm import mixing
+
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    df = spark.range(400).select(F.col("id").alias("key"), F.concat(F.lit("s"), (F.col("id") % 50).cast("string")).alias("source"), (F.col("id") % 37).alias("size"), F.lit("x").alias("target"), F.lit(1).alias("n"))
+    got = mix(df).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        target[r["source"]] = r["target"]
+        taken[r["source"]] += r["copies"] * (r["key"] % 37)
+        size[r["source"]] = r["source_size"]
+    assert len(got) == 400 and abs(sum(target.values()) - sum(size.values())) < 1e-6 * sum(size.values())
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+
+
 def test_mixing_odd_tables(spark):
     ddl = "key long, source string, size long"
     assert mix(spark.createDataFrame([], ddl)).count() == 0
