@@ -26,7 +26,7 @@ SHARE, CONSISTENT = 0.5, 2.11
 #: Rows that the least determinant finds within the 0.975 quantile of chi-square with 4 degrees give the final estimate, with its own factor.
 INNER, INNER_CONSISTENT = 11.14, 1.0645
 #: Concentration steps at most, from each start; they end when no determinant falls by more than this share any more.
-STEPS, SETTLED = 12, 1e-6
+STEPS, SETTLED = 12, 1e-3
 #: Starts from parts of a group, dealt by a hash of the statistics, besides those from the whole of it.
 PARTS = 4
 #: Groups up to which their estimates (about 700 bytes each) are broadcast; beyond, they are joined by shuffle.
@@ -149,7 +149,7 @@ def _starts(used: DataFrame) -> DataFrame:
 
 
 def _halves(used: DataFrame, now: DataFrame) -> DataFrame:
-    """(grp, start, sums): the sums over the nearest SHARE of each group's rows by each of its estimates.
+    """(grp, start, was, sums): the sums over the nearest SHARE of each group's rows by each of its estimates, and the determinants of these.
 
     Rows are binned by distance, an eighth of an octave wide, and a group's bins are summed from the nearest on. Of the bin in which SHARE is
     reached, every row counts with the same weight, such that just SHARE of the group's weight is taken. Binned sums are all that is
@@ -157,12 +157,12 @@ def _halves(used: DataFrame, now: DataFrame) -> DataFrame:
     """
     d = used.join(now, "grp").withColumn("e", F.explode("e"))
     of = lambda c: F.col(f"e.{c}")
-    binned = d.select("grp", of("start").alias("start"), *FEATURES, F.floor(8 * F.log2(_distance(of) + 2.0**-20)).cast("int").alias("bin")).groupBy("grp", "start", "bin").agg(*_moments())
+    binned = d.select("grp", of("start").alias("start"), *FEATURES, of("logdet").alias("was"), F.floor(8 * F.log2(_distance(of) + 2.0**-20)).cast("int").alias("bin")).groupBy("grp", "start", "bin").agg(F.first("was").alias("was"), *_moments())
     own = W.partitionBy("grp", "start")
     before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     room = SHARE * F.sum("n").over(own) - before
     weight = F.least(F.lit(1.0), F.col("room") / F.col("n"))
-    return binned.withColumn("room", room).where("room > 0").groupBy("grp", "start").agg(*[F.sum(F.col(c) * weight).alias(c) for c in _SUMS])
+    return binned.withColumn("room", room).where("room > 0").groupBy("grp", "start").agg(F.first("was").alias("was"), *[F.sum(F.col(c) * weight).alias(c) for c in _SUMS])
 
 
 def robust_estimates(used: DataFrame) -> DataFrame:
@@ -175,11 +175,10 @@ def robust_estimates(used: DataFrame) -> DataFrame:
     state = cut(_starts(used).withColumn("logdet", F.lit(None).cast("double")))
     small = state.select("grp").distinct().count() <= BROADCAST_GROUPS
     hint = F.broadcast if small else (lambda x: x)
-    packed = lambda st: hint(st.groupBy("grp").agg(F.collect_list(F.struct("start", *_ESTIMATE)).alias("e")))
+    packed = lambda st: hint(st.groupBy("grp").agg(F.collect_list(F.struct("start", "logdet", *_ESTIMATE)).alias("e")))
     live, done = state, None
     for _ in range(STEPS):
-        new = _factored(_halves(used, packed(live)), CONSISTENT).select("grp", "start", *_ESTIMATE, "logdet")
-        new = cut(new.join(live.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]))
+        new = cut(_factored(_halves(used, packed(live)), CONSISTENT).select("grp", "start", *_ESTIMATE, "logdet", "was"))
         over = F.coalesce(F.col("logdet") >= F.col("was") + F.log(F.lit(1 - SETTLED)), F.lit(False))
         ended = new.where(over).drop("was")
         done = ended if done is None else done.union(ended)
