@@ -164,13 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, tuple[float, float],
     expected = F.col("df") * (t / n)
     spread = expected * (1 - t / n) * (n - F.col("df")) / max(1, n - 1)
     telling = seen.where((spread <= 0) | (F.pow(F.col("toxic") - expected, 2) >= TELLING * spread))
-    vocabulary = cut((seen if telling.isEmpty() else telling).select("term", F.log((n + 1) / (F.col("df") + 1)).alias("idf")))
-    weighed = counted.join(vocabulary, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf")).where("w > 0").toPandas()
-    known = vocabulary.orderBy("term").toPandas()
-    place = {w: i for i, w in enumerate(known["term"])}
+    # As many rows as terms of the examples; numbers stand for them, so that no weight carries its word to the driver.
+    rated = (seen if telling.isEmpty() else telling).select("term", F.log((n + 1) / (F.col("df") + 1)).alias("idf"))
+    vocabulary = cut(rated.withColumn("k", (F.row_number().over(W.orderBy("term")) - 1).cast("int")))
+    weight = ((1 + F.log("tf")) * F.col("idf")).alias("w")
+    weighed = counted.join(vocabulary, "term").select("id", "k", weight).where("w > 0").toPandas()
+    known = vocabulary.orderBy("k").select("term", "idf").toPandas()
     none, vectors = (np.empty(0, int), np.empty(0)), {}
     for i, own in weighed.groupby("id"):
-        k, v = own["term"].map(place).to_numpy(), own["w"].to_numpy()
+        k, v = own["k"].to_numpy(), own["w"].to_numpy()
         by = np.argsort(k)
         vectors[i] = (k[by], v[by] / np.sqrt((v * v).sum()))
     index = Index(known["term"].tolist(), known["idf"].to_numpy(), [vectors.get(i, none) for i in train["id"]], train["label"].to_numpy())
