@@ -52,9 +52,10 @@ def problems(ops: DataFrame) -> DataFrame:
 
 
 def until_end(ops: DataFrame, is_end: Column) -> DataFrame:
-    """Each drawing's records up to its first end marker, which stays."""
-    before = W.partitionBy("drawing_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    return ops.withColumn("_ended", F.coalesce(F.sum(is_end.cast("int")).over(before), F.lit(0))).where("_ended = 0").drop("_ended")
+    """Each drawing's records up to its first end marker, which stays. Records without a place (seq null) all stay, and a marker among them ends nothing."""
+    first = ops.where(is_end).groupBy(F.col("drawing_id").alias("_drawing")).agg(F.min("seq").alias("_end"))
+    kept = ops.join(first, ops["drawing_id"].eqNullSafe(first["_drawing"]), "left")
+    return kept.where(F.col("_end").isNull() | F.col("seq").isNull() | (F.col("seq") <= F.col("_end"))).drop("_drawing", "_end")
 
 
 def split_valid(ops: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

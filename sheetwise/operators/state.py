@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Scopes deeper than this are an error of the input, not a reason to explode more rows.
-MAX_DEPTH = 64
+#: seq values of a drawing that one task takes at most, where an operator carries values from part to part.
+CHUNK = 100_000
 
 
 def _upto(*keys: str, order=("seq",)) -> W:
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
+def same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
+    """The rows whose keys are equal, nulls included; keys has the names in left and in right."""
+    parts = [left[a].eqNullSafe(right[b]) for a, b in keys.items()]
+    return reduce(lambda x, y: x & y, parts)
+
+
+def _before(rows: DataFrame, totals: dict[str, Column], over: dict, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """rows (with their part in _c) with what the parts before theirs come to: totals of each part, put together by over."""
+    first = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_c").agg(*[c.alias(f"_t{k}") for k, c in totals.items()])
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_c"])}
+    sums = sums.select(*[F.col(k).alias(n) for k, n in names.items()], *[over[k](F.col(f"_t{k}")).over(first).alias(f"_b{k}") for k in totals])
+    return rows.join(sums, same(rows, sums, names), "left").drop(*names.values()), [f"_b{k}" for k in totals]
+
+
 def running_sum(rows: DataFrame, value: dict[str, Column], keys: list[str], order: list[str], chunk: int | None = None) -> DataFrame:
     """rows with running sums. With chunk, a group is summed in parts of so many seq values, so that one huge group isn't one task's."""
     if not chunk:
         return rows.withColumns({k: F.sum(v).over(_upto(*keys, order=order)) for k, v in value.items()})
     rows = rows.withColumn("_c", F.floor(F.col(order[0]) / chunk))
-    totals = rows.groupBy(*keys, "_c").agg(*[F.sum(v).alias(f"_t{k}") for k, v in value.items()])
-    before = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_c", *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in value])
+    rows, before = _before(rows, {k: F.sum(v) for k, v in value.items()}, dict.fromkeys(value, F.sum), keys)
     part = rows.withColumns({k: F.sum(v).over(_upto(*keys, "_c", order=order)) for k, v in value.items()})
-    out = part.join(totals, [*keys, "_c"])
-    return out.withColumns({k: F.col(k) + F.col(f"_b{k}") for k in value}).drop("_c", *[f"_b{k}" for k in value])
+    return part.withColumns({k: F.coalesce(F.col(k) + F.col(f"_b{k}"), k, f"_b{k}") for k in value}).drop("_c", *before)
+
+
+def running_last(rows: DataFrame, value: dict[str, Column], keys: list[str], order: list[str], chunk: int | None = CHUNK) -> DataFrame:
+    """rows with the last value so far that is not null, by parts as in running_sum."""
+    if not chunk:
+        return rows.withColumns({k: F.last(v, ignorenulls=True).over(_upto(*keys, order=order)) for k, v in value.items()})
+    rows = rows.withColumn("_c", F.floor(F.col(order[0]) / chunk))
+    latest = {k: F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) for k, v in value.items()}
+    rows, before = _before(rows, latest, dict.fromkeys(value, lambda c: F.last(c, ignorenulls=True)), keys)
+    part = {k: F.coalesce(F.last(v, ignorenulls=True).over(_upto(*keys, "_c", order=order)), F.col(f"_b{k}")) for k, v in value.items()}
+    return rows.withColumns(part).drop("_c", *before)
 
 
 def to_absolute(points: DataFrame, centers: bool = False, chunk: int | None = None) -> DataFrame:
@@ -42,10 +67,10 @@ def to_absolute(points: DataFrame, centers: bool = False, chunk: int | None = No
     return pen.withColumns({"ax": place("ax", "x"), "ay": place("ay", "y")})
 
 
-def carry_state(ops: DataFrame, attrs: dict) -> DataFrame:
-    """Each attribute at its last set value in the drawing, else its default."""
-    w = _upto("drawing_id")
-    return ops.withColumns({a: F.coalesce(F.last(a, ignorenulls=True).over(w), F.lit(d)) for a, d in attrs.items()})
+def carry_state(ops: DataFrame, attrs: dict, chunk: int | None = CHUNK) -> DataFrame:
+    """Each attribute at its last set value in the drawing, else its default; a huge drawing is dealt out in parts of chunk seq values."""
+    carried = running_last(ops, {a: F.col(a) for a in attrs}, ["drawing_id"], ["seq"], chunk)
+    return carried.withColumns({a: F.coalesce(a, F.lit(d)) for a, d in attrs.items()})
 
 
 def _depths(ops: DataFrame) -> DataFrame:
@@ -68,37 +93,60 @@ def stack_audit(ops: DataFrame) -> DataFrame:
     )
 
 
-def _levels(ops: DataFrame) -> DataFrame:
-    """A row for each record and each level of its scope stack, with the place where that level was opened."""
-    d = _depths(ops)
-    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("depth") <= MAX_DEPTH, F.col("depth").cast("long")).otherwise(F.raise_error(F.lit("scopes too deep")).cast("long")))).alias("level"))
-    w = _upto("drawing_id", "epoch", "level")
-    opened = F.when((F.col("scope") == "save") & (F.col("depth") == F.col("level")), F.col("seq"))
-    return d.withColumn("opened", F.last(opened, ignorenulls=True).over(w))
+def _framed(ops: DataFrame) -> DataFrame:
+    """ops with opener, the seq of the save that opened the scope which each record lies in; null outside all scopes.
+
+    Of the records at one depth, those up to the next save that reaches this depth lie in the same scope.
+    """
+    opened = F.when(F.col("scope") == "save", F.col("seq"))
+    return _depths(ops).withColumn("opener", F.last(opened, ignorenulls=True).over(_upto("drawing_id", "epoch", "depth")))
+
+
+def _enclosing(framed: DataFrame, least: int, also: Column | None = None) -> DataFrame:
+    """A row for each save and each level from least to its depth; records of also come at their own level alone.
+
+    Only what opens scopes is repeated by level, not what lies in them.
+    """
+    depth, saved = F.col("depth").cast("long"), F.col("scope") == "save"
+    levels = F.when(saved, F.sequence(F.lit(least).cast("long"), depth)).otherwise(F.array(depth))
+    # scope is null for most records, and a null condition is not true.
+    return framed.where(saved if also is None else F.coalesce(saved, F.lit(False)) | also).withColumn("level", F.explode(levels))
+
+
+def _with_scope(framed: DataFrame, scopes: DataFrame) -> DataFrame:
+    """framed with the columns of scopes (_drawing, _opener and more) of the scope that each record lies in."""
+    return framed.join(scopes, framed["drawing_id"].eqNullSafe(scopes["_drawing"]) & (framed["opener"] == scopes["_opener"]), "left").drop("_drawing", "_opener")
+
+
+def _stacked(framed: DataFrame, of: Column, name: str) -> DataFrame:
+    """framed with an array of what of is at the saves of all open scopes, outermost first; null where none is open."""
+    v = _enclosing(framed, 1)
+    own = F.last(F.when(F.col("depth") == F.col("level"), F.struct(of.alias("v"))), ignorenulls=True).over(_upto("drawing_id", "epoch", "level"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("level", "_own"))), lambda x: x["_own"]["v"])
+    scopes = v.withColumn("_own", own).groupBy(F.col("drawing_id").alias("_drawing"), F.col("seq").alias("_opener")).agg(listed.alias(name))
+    return _with_scope(framed, scopes)
 
 
 def carry_scoped(ops: DataFrame, attr: str, default) -> DataFrame:
     """attr at the value in force: save keeps all, restore brings back what was, reset clears values and scopes.
 
-    A value set on a save belongs to what it opens. A value set at a level is in force until that level is opened anew or left; the deepest set value counts, being the
-    latest. No stack is walked: levels are exploded, and windows find the last setting of each.
+    A value set on a save belongs to what it opens. In force is the last value set in the record's own scope, else what
+    was in force where that scope was opened. No stack is walked: of the levels around each save, windows find the last setting.
     """
-    v = _levels(ops)
-    w = _upto("drawing_id", "epoch", "level")
-    setting = F.when(F.col(attr).isNotNull() & (F.col("depth") == F.col("level")), F.struct(F.col("seq").alias("at"), F.col(attr).alias("value")))
-    v = v.withColumn("_set", F.last(setting, ignorenulls=True).over(w))
-    live = F.when(F.col("opened").isNull() | (F.col("_set.at") >= F.col("opened")), F.col("_set"))
-    kept = v.groupBy("drawing_id", "seq").agg(F.max(live).alias("_s"), F.max("depth").alias("depth"))
-    return kept.select("drawing_id", "seq", "depth", F.coalesce("_s.value", F.lit(default)).alias(attr))
+    framed = _framed(ops)
+    setting = F.when(F.col(attr).isNotNull(), F.struct(F.col("seq").alias("at"), F.col(attr).alias("value")))
+    v = _enclosing(framed, 0, F.col(attr).isNotNull())
+    w, own = _upto("drawing_id", "epoch", "level"), F.col("depth") == F.col("level")
+    v = v.withColumn("_set", F.last(F.when(own, setting), ignorenulls=True).over(w)).withColumn("_opened", F.last(F.when(own & (F.col("scope") == "save"), F.col("seq")), ignorenulls=True).over(w))
+    live = F.when(F.col("_opened").isNull() | (F.col("_set.at") >= F.col("_opened")), F.col("_set"))
+    scopes = v.where("scope = 'save'").groupBy(F.col("drawing_id").alias("_drawing"), F.col("seq").alias("_opener")).agg(F.max(live).alias("_outer"))
+    here = framed.withColumn("_here", F.last(setting, ignorenulls=True).over(_upto("drawing_id", "epoch", "depth", "opener")))
+    return _with_scope(here, scopes).select("drawing_id", "seq", "depth", F.coalesce("_here.value", "_outer.value", F.lit(default)).alias(attr))
 
 
 def group_path(ops: DataFrame, name: str) -> DataFrame:
     """The names of the open groups of each record, outermost first, joined by slashes; the record that opens a group is inside it."""
-    v = _levels(ops).where("level > 0")
-    w = _upto("drawing_id", "epoch", "level")
-    opener = F.last(F.when((F.col("scope") == "save") & (F.col("depth") == F.col("level")), F.col(name)), ignorenulls=True).over(w)
-    parts = v.withColumn("_n", opener).groupBy("drawing_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "_n"))), lambda x: x["_n"]), "/").alias("path"))
-    return ops.select("drawing_id", "seq").join(parts, ["drawing_id", "seq"], "left").withColumn("path", F.coalesce("path", F.lit("")))
+    return _stacked(_framed(ops), F.col(name), "_names").select("drawing_id", "seq", F.coalesce(F.array_join("_names", "/"), F.lit("")).alias("path"))
 
 
 def inherit_matrix(elements: DataFrame, compose: bool = False) -> DataFrame:
@@ -108,11 +156,9 @@ def inherit_matrix(elements: DataFrame, compose: bool = False) -> DataFrame:
     """
     if not compose:
         return carry_scoped(elements, "matrix", None)
-    v = _levels(elements)
-    w = _upto("drawing_id", "epoch", "level")
-    own = F.last(F.when((F.col("scope") == "save") & (F.col("depth") == F.col("level")), F.struct("matrix")), ignorenulls=True).over(w)
-    open_ = v.withColumn("_m", own["matrix"]).groupBy("drawing_id", "seq").agg(F.sort_array(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct("level", "_m")))).alias("_l"), F.max("depth").alias("depth"))
-    return open_.select("drawing_id", "seq", "depth", F.when(F.size("_l") > 0, F.aggregate(F.transform("_l", lambda x: x["_m"]), F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))), lambda a, m: multiply(m, a))).alias("matrix"))
+    stacked = _stacked(_framed(elements), F.col("matrix"), "_m").withColumn("_m", F.filter("_m", lambda m: m.isNotNull()))
+    unit = F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)))
+    return stacked.select("drawing_id", "seq", "depth", F.when(F.size("_m") > 0, F.aggregate("_m", unit, lambda a, m: multiply(m, a))).alias("matrix"))
 
 
 def multiply(m: Column, n: Column) -> Column:
@@ -121,23 +167,24 @@ def multiply(m: Column, n: Column) -> Column:
     return F.array(a * n[0] + b * n[2], a * n[1] + b * n[3], c * n[0] + d * n[2], c * n[1] + d * n[3], e * n[0] + f * n[2] + n[4], e * n[1] + f * n[3] + n[5])
 
 
-def node_numbers(ops: DataFrame) -> DataFrame:
+def node_numbers(ops: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """ops (kind base, delta or auto; value) with node: a base sets it, a delta adds, auto adds 1; null before the first base."""
-    seg = ops.withColumn("_seg", F.sum((F.col("kind") == "base").cast("int")).over(_upto("drawing_id")))
-    step = F.when(F.col("kind").isin("base", "delta"), F.col("value")).when(F.col("kind") == "auto", 1).otherwise(0)
-    node = F.sum(step).over(_upto("drawing_id", "_seg"))
-    return seg.withColumn("node", F.when(F.col("_seg") > 0, node)).drop("_seg")
+    step = F.when(F.col("kind") == "delta", F.col("value")).when(F.col("kind") == "auto", 1).otherwise(0)
+    summed = running_sum(ops, {"_s": step}, ["drawing_id"], ["seq"], chunk)
+    # A base starts from its value less the steps before it.
+    from_ = F.when(F.col("kind") == "base", F.col("value") - F.col("_s"))
+    return running_last(summed, {"_from": from_}, ["drawing_id"], ["seq"], chunk).withColumn("node", F.col("_from") + F.col("_s")).drop("_s", "_from")
 
 
-def resolve_palette(ops: DataFrame) -> DataFrame:
+def resolve_palette(ops: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """ops with palette (array) where one is defined and idx where one is used: colour, the entry of the last palette before; null outside it."""
-    last = F.last("palette", ignorenulls=True).over(_upto("drawing_id"))
-    return ops.withColumn("_p", last).withColumn("colour", F.when(F.col("idx") >= 0, F.try_element_at("_p", (F.col("idx") + 1).cast("int")))).drop("_p")
+    found = running_last(ops, {"_p": F.col("palette")}, ["drawing_id"], ["seq"], chunk)
+    return found.withColumn("colour", F.when(F.col("idx") >= 0, F.try_element_at("_p", (F.col("idx") + 1).cast("int")))).drop("_p")
 
 
-def resolve_refs(ops: DataFrame, key: str, value: str) -> DataFrame:
+def resolve_refs(ops: DataFrame, key: str, value: str, chunk: int | None = CHUNK) -> DataFrame:
     """value as last defined for the record's key in its drawing; an empty or null value refers."""
-    return ops.withColumn(value, F.last(F.nullif(F.col(value), F.lit("")), ignorenulls=True).over(_upto("drawing_id", key)))
+    return running_last(ops, {value: F.nullif(F.col(value), F.lit(""))}, ["drawing_id", key], ["seq"], chunk)
 
 
 def path_vertices(paths: DataFrame, data: str = "data") -> DataFrame:

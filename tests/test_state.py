@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from sheetwise.operators import distribution as D
 from sheetwise.operators import state as ST
 
 
@@ -99,3 +102,62 @@ def test_composed_matrices(spark):
 def test_path_with_z_and_relative_moves(spark):
     df = spark.createDataFrame([(1, 1, "M 1,2 l 3,4 Z m 1,1 h 2 V 9.5")], "drawing_id long, shape_id long, data string")
     assert [(r["x"], r["y"]) for r in ST.path_vertices(df).orderBy("pt").collect()][:3] == [(1, 2), (4, 6), (1, 2)]
+
+
+@pytest.mark.parametrize("chunk", [None, 7])
+def test_carried_values_in_chunks(spark, chunk):
+    """Plain loops on drawings of several parts, one of them without an id."""
+    rng = random.Random(9)
+    rows = [(d, s, rng.choice(["base", "delta", "auto", "auto", None]), rng.randint(-9, 9), rng.choice([None, None, s]), rng.choice(["", None, f"n{s}"]), rng.randint(0, 2)) for d in (None, 1, 2) for s in range(60)]
+    df = spark.createDataFrame(rows, "drawing_id long, seq long, kind string, value long, attr long, name string, key int")
+    state, nodes, names = {}, {}, {}
+    now = {}
+    for d, s, kind, value, attr, name, key in rows:
+        node, last, named = now.setdefault(d, [None, -1, {}])
+        if kind == "base":
+            node = value
+        elif node is not None:
+            node += {"delta": value, "auto": 1, None: 0}[kind]
+        last, named[key] = last if attr is None else attr, name or named.get(key)
+        now[d] = [node, last, named]
+        state[d, s], nodes[d, s], names[d, s] = last, node, named[key]
+    by = lambda df, c: {(r["drawing_id"], r["seq"]): r[c] for r in df.collect()}
+    assert by(ST.carry_state(df, {"attr": -1}, chunk), "attr") == state
+    assert by(ST.node_numbers(df, chunk), "node") == nodes
+    assert by(ST.resolve_refs(df, "key", "name", chunk), "name") == names
+    colours = df.select("drawing_id", "seq", F.when(F.col("attr").isNotNull(), F.array("attr")).alias("palette"), F.lit(0).alias("idx"))
+    assert by(ST.resolve_palette(colours, chunk), "colour") == {k: None if v < 0 else v for k, v in state.items()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_group_paths_and_matrices(spark, seed):
+    rows, paths, near = [(d if d else None, s, scope, f"g{s}") for d, s, scope, _ in sequences(seed)], {}, {}
+    stacks = {}
+    for d, s, scope, name in rows:
+        stack = stacks.setdefault(d, [])
+        if scope == "save":
+            stack.append((name, s if s % 3 == 0 else None))
+        elif scope == "restore" and stack:
+            stack.pop()
+        elif scope == "reset":
+            stack.clear()
+        paths[d, s] = "/".join(n for n, _ in stack)
+        near[d, s] = next((m for _, m in reversed(stack) if m is not None), None)
+    df = spark.createDataFrame(rows, "drawing_id long, seq long, scope string, name string")
+    assert {(r["drawing_id"], r["seq"]): r["path"] for r in ST.group_path(df, "name").collect()} == paths
+    m = df.withColumn("matrix", F.when((F.col("scope") == "save") & (F.col("seq") % 3 == 0), F.col("seq")))
+    assert {(r["drawing_id"], r["seq"]): r["matrix"] for r in ST.inherit_matrix(m).collect()} == near
+
+
+def test_deep_scopes(spark):
+    n = 300
+    rows = [(1, s, "save" if s < n else "restore", s if s % 50 == 0 and s < n else None) for s in range(2 * n)]
+    df = spark.createDataFrame(rows, "drawing_id long, seq long, scope string, colour long")
+    got = {r["seq"]: (r["depth"], r["colour"]) for r in ST.carry_scoped(df, "colour", -1).collect()}
+    assert got[n - 1] == (n, 250) and got[2 * n - 1] == (0, -1)
+    assert all(got[s] == (2 * n - 1 - s, (2 * n - 2 - s) // 50 * 50) for s in range(n, 2 * n - 1))
+
+
+def test_until_end(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 1, "end"), (1, 2, "a"), (1, 3, "end"), (None, 0, "end"), (None, 1, "a"), (2, 0, "a")], "drawing_id long, seq long, op string")
+    assert {(r["drawing_id"], r["seq"]) for r in D.until_end(df, F.col("op") == "end").collect()} == {(1, 0), (1, 1), (None, 0), (2, 0)}
