@@ -206,13 +206,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             others = rated.join(best.select("bucket", F.col("one.comp").alias("c1")), "bucket").where("comp <> c1")
             heads = others.groupBy("bucket").agg(F.max(F.struct("d", "comp")).alias("t")).select("bucket", F.col("t.d").alias("h"), F.col("t.comp").alias("hc"))
             met = rated.join(heads, "bucket").where("comp <> hc")
+        # One row a class; that two are each other's heads is rare, and their pair is then confirmed twice.
         pairs = met.groupBy("rep").agg(F.max("h").alias("h")).select(F.col("rep"), (-F.col("h.o")).alias("head"))
-        return pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+        return pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
 
     links = cut(confirmed(towards_heads(None)))
     comps = cut(components(links))
-    links = cut(links.union(confirmed(towards_heads(comps))))
-    comps = cut(components(links))
+    # What is known of components stands for the links they come from.
+    stars = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    comps = cut(components(stars.union(cut(confirmed(towards_heads(comps))))))
 
     # What is left: buckets whose members lie in several components.
     comp = F.coalesce("comp", "rep")
@@ -241,7 +243,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # A cell holds 2 * CHUNK rows at most, about; a task gets whole cells.
     pairs = cells.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_across(percent), "a long, b long").distinct()
     more = cut(confirmed(cut(pairs)))
-    comps = comps if more.isEmpty() else cut(components(links.union(more)))
+    stars = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    comps = comps if more.isEmpty() else cut(components(stars.union(more)))
 
     # A component goes by the smallest id in it.
     linked = reps.join(comps.withColumnRenamed("id", "rep"), "rep").select("rep", "first", "comp")

@@ -452,3 +452,19 @@ def test_held_out_matches_crc(spark):
 
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_components(spark):
+    """A chain, a star, cycles, repeated edges and loops against plain searching."""
+    from sheetwise.llm.graph import components
+
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 540)] + [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(50)] + [(900, 901), (901, 900), (950, 950)]
+    root = {v: v for e in edges for v in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {v for a, b in edges if a != b for v in (a, b)}
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((v, root[v]) for v in linked)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
