@@ -23,7 +23,7 @@ PARITY = 2048
 CHUNK = 1024
 TASK_ROWS = 40_000
 #: Words whose hashes a task remembers.
-KNOWN = 500_000
+KNOWN = 200_000
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,12 +175,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     # One row a class: its first document's bands.
     tagged = prints.join(reps.select(F.col("digest").alias("d"), "first", "rep"), F.expr("digest = d AND id = first")).select("digest", "rep", "n", "sketch", "bands").dropDuplicates(["digest"])
-    banded = tagged.select("rep", "digest", F.explode("bands").alias("bucket"))
+    banded = tagged.select("rep", F.explode("bands").alias("bucket"))
     several = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket", "m")
-    members = stored(banded.join(several, "bucket").select("bucket", "rep", "digest", "m"), "members")
+    members = stored(banded.join(several, "bucket").select("bucket", "rep", "m"), "members")
     # How many partners a class has over all its buckets: what others were copied from has most.
     degrees = cut(members.groupBy("rep").agg(F.sum("m").alias("degree")))
-    needed = members.select("rep", "digest").distinct().join(reps.select("rep", F.col("first").alias("id")), "rep")
+    needed = degrees.select("rep").join(reps.select("rep", "digest", F.col("first").alias("id")), "rep")
     sets = stored(
         needed.hint("shuffle_hash").join(named, "id").select("rep", "digest", "text").mapInArrow(_sets(shingle), "id long, set binary").dropDuplicates(["id"]), "sets"
     )
