@@ -17,3 +17,26 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS r FROM n UNION SELECT edges.b, reach.r FROM reach JOIN edges ON edges.a = reach.id)
 SELECT n.doc_id, n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept FROM n JOIN reach ON reach.id = n.doc_id GROUP BY n.doc_id, n"""
+
+LEXICAL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS term FROM benchmark),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), c),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(t) * n) // l AS m FROM d, c WHERE len(t) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 50"""
+
+SPELLING = """WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+p AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM p, tbl),
+x AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS MATERIALIZED (SELECT DISTINCT word, left(word, i) || substr(word, i + 2) AS k FROM w, LATERAL (SELECT unnest(range(length(word))) AS i)),
+gap AS MATERIALIZED (SELECT word, left(word, i) || '*' || substr(word, i + 2) AS k FROM w, LATERAL (SELECT unnest(range(length(word))) AS i)),
+near AS (SELECT a.word, b.word AS near FROM gap a JOIN gap b ON a.k = b.k AND a.word <> b.word UNION SELECT cut.word, w.word FROM cut JOIN w ON w.word = cut.k UNION SELECT w.word, cut.word FROM cut JOIN w ON w.word = cut.k),
+best AS (SELECT near.word, count(*) AS n_near, max(w.n) AS m FROM near JOIN w ON w.word = near.near GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN m END AS form_n, CASE WHEN m >= 2 * w.n THEN (SELECT min(near.near) FROM near JOIN w v ON v.word = near.near WHERE near.word = w.word AND v.n = best.m) END AS form FROM w LEFT JOIN best ON best.word = w.word),
+g AS (WITH RECURSIVE reach AS (SELECT word, word AS here FROM f UNION ALL SELECT reach.word, f.form FROM reach JOIN f ON f.word = reach.here WHERE f.form IS NOT NULL) SELECT reach.word, here AS root FROM reach JOIN f ON f.word = reach.here WHERE f.form IS NULL)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN g ON g.word = f.word"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracles
+from .lexical import op13_dual_tree_search
 from .mixing import op7_entropy_mix
 from .near_dedup import op6_minmax_near_dedup
 from .neighbours import op1_one_bit_neighbours
@@ -12,6 +13,8 @@ from .quality import op3_mcd_quality
 from .repeats import op5_interval_tree_dedup
 from .secrets import op10_forest_secrets
 from .sharding import op2_byte_prefix_shards
+from .spelling import op12_spelling_trie
+from .token_files import op11_token_files
 from .toxicity import op9_knn_toxicity
 
 QUERIES = {
@@ -25,6 +28,14 @@ QUERIES = {
     "op8_transducer_pieces": op8_transducer_pieces,
     "op9_knn_toxicity": op9_knn_toxicity,
     "op10_forest_secrets": op10_forest_secrets,
+    "op11_token_files": op11_token_files,
+    "op12_spelling_trie": op12_spelling_trie,
+    "op13_dual_tree_search": op13_dual_tree_search,
 }
 
-ORACLES: dict[str, str] = {"op2_byte_prefix_shards": oracles.SHARDS, "op6_minmax_near_dedup": oracles.NEAR_DUPLICATES}
+ORACLES: dict[str, str] = {
+    "op2_byte_prefix_shards": oracles.SHARDS,
+    "op6_minmax_near_dedup": oracles.NEAR_DUPLICATES,
+    "op12_spelling_trie": oracles.SPELLING,
+    "op13_dual_tree_search": oracles.LEXICAL,
+}
