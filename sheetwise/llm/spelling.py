@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, parts, stored, table
 from .common import pieces as by_bytes
 
 #: Words that take part: code points and occurrences at least; and how much more frequent than a word its form is.
@@ -76,79 +78,167 @@ def word_counts(docs: DataFrame, noise: int = NOISE) -> DataFrame:
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _node(text: Column, n: Column) -> Column:
-    """The trie node that the first n symbols of a text lead to; the text begins with the name of its trie."""
-    return F.xxhash64(F.substring(text, F.lit(1), n + 1))
+def _shared(a: str, b: str) -> int:
+    """The number of symbols that two words begin with alike."""
+    if a == b[: len(a)]:
+        return len(a)
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # a[:low] is shared
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
 
 
-def edge_table(spelt: DataFrame) -> DataFrame:
-    """spelt (trie, word, text) -> the edges of the tries' compressed form: level, node, symbol, label, child, word.
+def _chains(shared: list[int]) -> list[tuple[int, ...]]:
+    """For each gap of a sorted run of words: the lengths, ascending, that words before it part at from the word after it.
 
-    text is the word as its trie spells it, with STOP at its end. Nodes are prefixes that words part at, by hash; an edge is all that
-    words share between two of them, under its first symbol, and level counts the nodes above. Edges to a word's end carry the word.
+    shared has what neighbours share. Of those lengths, the ones that count are the least so far, going back from the gap.
     """
-    named = spelt.select("word", F.concat("trie", "text").alias("t"), F.length("text").alias("len"))
-    at = F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("at")
-    steps = named.select("word", "t", "len", at).select("word", "t", "len", "at", _node(F.col("t"), F.col("at")).alias("node"), F.substring(F.col("t"), F.col("at") + 2, F.lit(1)).alias("symbol"))
-    forks = steps.groupBy("node").agg(F.min("symbol").alias("a"), F.max("symbol").alias("b")).where("a <> b").select("node")
-    # Where a word's own path has nodes: at the root, at forks, and at its end.
-    path = steps.where("at > 0").join(forks, "node", "left_semi").groupBy("t", "word", "len").agg(F.sort_array(F.collect_list("at")).alias("path"))
-    path = named.join(path.select("t", "path"), "t", "left").withColumn("path", F.concat(F.array(F.lit(0)), F.coalesce("path", F.array().cast("array<int>")), F.array("len")))
-    each = path.select("t", "word", "len", "path", F.explode(F.sequence(F.lit(0), F.size("path") - 2)).alias("level"))
-    a, b = F.get("path", F.col("level")), F.get("path", F.col("level") + 1)
-    label = F.substring(F.col("t"), a + 2, b - a)
-    ends = F.col("len") == b
-    return each.select(
-        "level", _node(F.col("t"), a).alias("node"), F.substring(label, 1, 1).alias("symbol"), label.alias("label"),
-        _node(F.col("t"), b).alias("child"), F.when(ends, F.col("word")).alias("word"),
-    ).distinct()
-
-
-def _rest(at: Column) -> Column:
-    """The label's length of symbols from a place of a state's text on."""
-    return F.substring(F.col("s.text"), at + 1, F.length("e.label"))
-
-
-def neighbours(words: DataFrame) -> DataFrame:
-    """words (word, distinct) -> word, near: all ordered pairs of words that differ by one code point inserted, deleted or replaced.
-
-    States (text, at, node, edits) start at the root of a trie and go down level by level, each step a join with the edges of that
-    level: without an edit along the word's own path, with one along what is left of the word after it. The edit is made where
-    word and neighbour first differ, so it needs branches of one node only, and only in the later half: a pair whose first difference lies in
-    the earlier half has its last one in the later half, and meets in the trie of reversed words. A state with one edit that
-    reaches a word's end has found a neighbour. Words may be of any length; no words: no pairs.
+    out, stack = [], []
+    for n in shared:
+        while stack and stack[-1] >= n:
+            stack.pop()
+        stack.append(n)
+        out.append(tuple(stack))
+    return out
+
+
+def _borders(sums: list[tuple]) -> dict[int, tuple]:
+    """part -> (chain from before, chain from behind, the word before it) for parts (part, first, last, chain from its end back, chain from its start on).
+
+    As many rows as partitions. A chain goes on into the next part with what lies below all that was passed.
+    """
+    sums = sorted(sums)
+    before, behind, prior = {}, {}, {}
+    for walk, out, own in ((sums, before, 3), (sums[::-1], behind, 4)):
+        chain: tuple = ()
+        for k, row in enumerate(walk):
+            if k:
+                last = walk[k - 1]
+                gap = _shared(last[2], row[1]) if own == 3 else _shared(row[2], last[1])
+                low = tuple(c for c in (*chain, *last[own]) if c < gap)
+                # What was passed in the part itself hides larger lengths beyond it.
+                least = min(last[own], default=None)
+                chain = tuple(sorted({c for c in low if c in last[own] or least is None or c < least} | {gap}))
+                if own == 3:
+                    prior[row[0]] = last[2]
+            out[row[0]] = chain
+    return {r[0]: (before[r[0]], behind[r[0]], prior.get(r[0])) for r in sums}
+
+
+def trie_tables(words: DataFrame, least: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """words (word, distinct, least symbols each) -> (starts, edges) of two tries in compressed form, of the words and of the reversed words.
+
+    edges (node, label, child, ends): nodes are prefixes that words part at, by hash; a label has all symbols up to the next one, the last of
+    a word being STOP. Parts of the sorted words find their nodes from what neighbours share; what the parts' borders hide from each
+    other passes through the driver, a few numbers a part. An edge is given once, by the first word that takes it. starts (text, at,
+    node): the states without an edit, which follow their own word, at its nodes in the later half. Nodes that no start reaches are left out.
     """
+    spark = words.sparkSession
     half = F.floor(F.length("word") / 2).cast("int")
-    forward = words.select("word", F.lit("f").alias("trie"), F.concat("word", F.lit(STOP)).alias("text"), half.alias("from"))
-    back = words.select("word", F.lit("b").alias("trie"), F.concat(F.reverse("word"), F.lit(STOP)).alias("text"), (F.length("word") - half).alias("from"))
-    spelt = cut(forward.union(back))
-    edges = cut(edge_table(spelt))
-    levels = edges.agg(F.max("level")).first()[0]
-    states = spelt.select("word", "text", "from", F.lit(0).alias("at"), F.xxhash64("trie").alias("node"), F.lit(0).alias("edits"))
-    found = None
-    for level in range(0 if levels is None else levels + 1):
-        e = edges.where(F.col("level") == level).drop("level").alias("e")
-        s = states.withColumn("symbol", F.substring(F.col("text"), F.col("at") + 1, F.lit(1))).alias("s")
-        size = F.length("e.label")
-        onward = lambda joined, at, edits: joined.select("s.word", "s.text", "s.from", at.alias("at"), F.col("e.child").alias("node"), F.lit(edits).alias("edits") if isinstance(edits, int) else edits, F.col("e.word").alias("near"))
-        same = s.join(e, (F.col("s.node") == F.col("e.node")) & (F.col("s.symbol") == F.col("e.symbol"))).where(_rest(F.col("s.at")) == F.col("e.label"))
-        same = onward(same, F.col("s.at") + size, F.col("s.edits"))
-        # The other branches: after how many of the word's and the label's symbols is the edit over?
-        turns = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(l).alias("l")) for w, l in ((1, 1), (0, 1), (1, 0))])
-        fork = s.where((F.col("edits") == 0) & (F.col("at") >= F.col("from"))).join(e, F.col("s.node") == F.col("e.node")).where(F.col("s.symbol") != F.col("e.symbol"))
-        fork = fork.withColumn("turn", F.explode(turns))
-        w, l = F.col("turn.w"), F.col("turn.l")
-        kept = ((w == 0) | (F.col("s.symbol") != STOP)) & ((l == 0) | (F.col("e.symbol") != STOP))
-        left = F.substring(F.col("e.label"), l + 1, size - l)
-        fork = fork.where(kept & (F.substring(F.col("s.text"), F.col("s.at") + w + 1, size - l) == left))
-        states = cut(same.union(onward(fork, F.col("s.at") + w + size - l, 1)))
-        ended = states.where("edits = 1 and near is not null").select("word", "near")
-        found = ended if found is None else found.union(ended)
-        states = states.where("near is null").drop("near")
-    if found is None:
-        return words.select("word", F.col("word").alias("near")).limit(0)
-    # Nodes are told apart by hash: what two nodes of one hash let through ends here.
-    return found.distinct().where(F.levenshtein("word", "near", 1) == 1)
+    forward = words.select(F.concat(F.lit("f"), "word", F.lit(STOP)).alias("t"), (half + 1).alias("from"))
+    back = words.select(F.concat(F.lit("b"), F.reverse("word"), F.lit(STOP)).alias("t"), (F.length("word") - half + 1).alias("from"))
+    ranged = cut(forward.union(back).repartitionByRange(parts(spark), "t").sortWithinPartitions("t"))
+
+    def read(batches):
+        t, at = [], []
+        for b in batches:
+            t += b.column(0).to_pylist()
+            at += b.column(1).to_pylist()
+        return t, at, [_shared(x, y) for x, y in zip(t, t[1:])]
+
+    def part() -> int:
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId()
+
+    def ends(batches):
+        t, _, shared = read(batches)
+        if t:
+            yield pd.DataFrame({"part": [part()], "first": [t[0]], "last": [t[-1]], "back": [list((_chains(shared) or [()])[-1])], "on": [list((_chains(shared[::-1]) or [()])[-1])]})
+
+    def pandas_ends(frames):
+        return ends(pa.RecordBatch.from_pandas(f, preserve_index=False) for f in frames)
+
+    sums = ranged.mapInPandas(pandas_ends, "part int, first string, last string, back array<int>, on array<int>").collect()
+    borders = spark.sparkContext.broadcast(_borders([tuple(r) for r in sums]))
+    top = least // 2 + 1
+
+    def build(batches):
+        from xxhash import xxh64_intdigest
+
+        t, start, shared = read(batches)
+        if not t:
+            return
+        before, behind, prior = borders.value[part()]
+        first = _shared(prior, t[0]) if prior else 0
+        left = _chains([*before, *shared])[len(before) :] if shared or before else []
+        right = _chains([*behind, *shared[::-1]])[len(behind) :][::-1] if shared or behind else []
+        node = lambda x: xxh64_intdigest(x.encode()) - 2**63
+        rows: list[list] = [[], [], [], [], [], []]
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.bool_()))], names=["text", "at", "node", "label", "child", "ends"])
+
+        for k, x in enumerate(t):
+            a = left[k - 1] if k else before
+            b = right[k] if k < len(t) - 1 else behind
+            path = sorted(n for n in {*a, *b} if n >= top)
+            new = shared[k - 1] if k else first
+            known = [node(x[:n]) for n in path]
+            for i, n in enumerate(path):
+                if n >= start[k]:
+                    for c, v in zip(rows, (x, n, known[i], None, None, None)):
+                        c.append(v)
+                to = path[i + 1] if i + 1 < len(path) else len(x)
+                if to > new:
+                    last = to == len(x)
+                    for c, v in zip(rows, (None, None, known[i], x[n:to], None if last else known[i + 1], last)):
+                        c.append(v)
+            if len(rows[0]) >= 20_000:
+                yield out()
+                for c in rows:
+                    c.clear()
+        yield out()
+
+    made = stored(ranged.mapInArrow(build, "text string, at int, node long, label string, child long, ends boolean"), "trie")
+    return made.where("text is not null").select("text", "at", "node"), made.where("label is not null").select("node", "label", "child", "ends")
+
+
+def neighbours(words: DataFrame, least: int = LENGTH) -> DataFrame:
+    """words (word, distinct, of least code points) -> word, near: all ordered pairs of words that differ by one code point inserted, deleted or replaced.
+
+    States (word, near, at, node) go down a trie level by level, each step a join with the edge table. Without an edit they follow their
+    own word, whose nodes are known from building the trie; at each of them every other branch takes the one edit, since it is made where word and near first differ. From there on near is fixed, and a
+    state lives as long as there are edges for it; at a word's end it has found a neighbour. Only the later half of a word is
+    edited: a pair that differs first in the earlier half of word meets in the trie of the reversed words. Words may be of any length; no words: no pairs.
+    """
+    spark = words.sparkSession
+    starts, edges = trie_tables(words, least)
+    edges = cut(edges.repartition(parts(spark), "node"))
+    symbol, first, size = F.substring("text", F.col("at") + 1, F.lit(1)), F.substring("label", 1, 1), F.length("label")
+    # An edit takes so many symbols of the word and gives so many of the label.
+    turn = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(l).alias("l")) for w, l in ((1, 1), (0, 1), (1, 0))])).alias("turn")
+    w, l = F.col("turn.w"), F.col("turn.l")
+    fork = starts.join(edges, "node").where(symbol != first).select("*", turn).where(((w == 0) | (symbol != STOP)) & ((l == 0) | (first != STOP)))
+    fork = fork.where(F.substring("text", F.col("at") + w + 1, size - l) == F.substring("label", l + 1, size - l))
+    near = F.concat(F.substring("text", F.lit(1), F.col("at")), F.substring("label", F.lit(1), l), F.substring(F.col("text"), F.col("at") + w + 1, F.length("text")))
+    states = stored(fork.select("text", near.alias("near"), (F.col("at") + size).alias("at"), F.col("child").alias("node"), "ends"), "states")
+    found = [states.where("ends")]
+    while True:
+        states = states.where("NOT ends").select("text", "near", "at", "node")
+        on = states.join(edges, "node").where(F.substring("near", F.col("at") + 1, size) == F.col("label"))
+        states = stored(on.select("text", "near", (F.col("at") + size).alias("at"), F.col("child").alias("node"), "ends"), "states")
+        if states.isEmpty():
+            break
+        found.append(states.where("ends"))
+    pairs = reduce(DataFrame.union, found).select(F.substring("text", 1, 1).alias("trie"), *[F.expr(f"substring({c}, 2, length({c}) - 2)").alias(c) for c in ("text", "near")])
+    # What the first trie finds too is its own; and nodes are told apart by hash: what two nodes of one hash let through ends here.
+    half = F.floor(F.length("text") / 2).cast("int")
+    early = F.substring(F.reverse("text"), F.lit(1), half) != F.substring(F.reverse("near"), F.lit(1), half)
+    own = pairs.where(((F.col("trie") == "f") | early) & (F.levenshtein("text", "near", 1) == 1))
+    turned = lambda c: F.when(F.col("trie") == "f", F.col(c)).otherwise(F.reverse(c)).alias
+    return own.select(turned("text")("word"), turned("near")("near"))
 
 
 def spelling_forms(counts: DataFrame, length: int = LENGTH, times: int = TIMES, ratio: int = RATIO) -> DataFrame:
@@ -159,7 +249,7 @@ def spelling_forms(counts: DataFrame, length: int = LENGTH, times: int = TIMES,
     No words: no rows.
     """
     words = stored(counts.where((F.length("word") >= length) & (F.col("n") >= times)).select("word", "n"), "words")
-    pairs = neighbours(words.select("word"))
+    pairs = neighbours(words.select("word"), length)
     rated = pairs.join(words.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
     best = rated.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("best"))
     own = words.join(best, "word", "left")
