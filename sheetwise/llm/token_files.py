@@ -20,13 +20,14 @@ from .common import pieces as by_bytes
 #: The file of public_tokenizers whose ids are written, and the id that ends each document.
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Bytes of text that are encoded at once, and words that a task remembers, at most twice as many.
-BYTES, KNOWN = 4_000_000, 300_000
+BYTES, KNOWN = 4_000_000, 500_000
 #: Bytes of a row group and of a page, and rows of a row group, at most.
 GROUP, PAGE, GROUP_ROWS = 32 << 20, 1 << 20, 100_000
 
 #: What may not be cut at blanks: a blank before white space, the mark used for cutting, what looks like an added token.
 _WHOLE = r" [\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -43,7 +44,7 @@ class Encoder:
         self.model = self.own.model
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.word = re.compile(rf"( ?[{_LETTER}]+)([!-/:-@\[-`{{-~]*)").fullmatch
+        self.letter = re.compile(rf"[{_LETTER}]+").fullmatch
         # Byte-level letters: printable bytes of Latin-1 stand for themselves, the others for the letters from 256 on.
         shown = {b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173}
         rest = [b for b in range(256) if b not in shown]
@@ -59,11 +60,13 @@ class Encoder:
             return got
         got = self.old.get(unit)
         if got is None:
-            m = self.word(unit)
-            if m and m[2]:
-                return self.unit(m[1]) + self.unit(m[2])
-            if m:
-                got = array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            word = unit.rstrip(_SIGNS)
+            ink = word[1:] if word[:1] == " " else word
+            if ink.isascii() and ink.isalpha() or self.letter(ink):
+                if len(word) < len(unit):
+                    return self.unit(word) + self.unit(unit[len(word) :])
+                shown = ink if ink.isascii() else ink.encode().decode("latin-1").translate(self.letters)
+                got = array("I", [t.id for t in self.model.tokenize("\u0120" + shown if len(ink) < len(word) else shown)]).tobytes()
             else:
                 a, line, b = unit.partition("\n")
                 if a and b and not a[-1].isspace() and not b[0].isspace():
@@ -156,7 +159,7 @@ def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", gro
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
-    w = tokens.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", group).option("parquet.block.row.count.limit", rows)
+    w = tokens.write.option("compression", "snappy").option("parquet.writer.version", "v2").option("parquet.block.size", group).option("parquet.block.row.count.limit", rows)
     w = w.option("parquet.page.size", page).option("parquet.page.row.count.limit", 1000).option("parquet.enable.dictionary", "false")
     w.option("parquet.enable.dictionary#ids.list.element", str(encoding == "dictionary").lower()).parquet(path)
 
