@@ -25,7 +25,9 @@ BYTES, KNOWN = 4_000_000, 500_000
 GROUP, PAGE, GROUP_ROWS = 32 << 20, 1 << 20, 100_000
 
 #: What may not be cut at blanks: a blank before white space, the mark used for cutting, what looks like an added token.
-_WHOLE = r" [\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
+_WHOLE = r" [\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\||\x01"
+#: A sign after a letter and before a blank is a piece of its own: it is set off by a blank and a mark that there was none.
+_SIGN, _APART = r"([A-Za-z])([!,.:;?]) ", "\\1 \x01\\2 "
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -82,7 +84,7 @@ class Encoder:
         """(ids of all texts one after the other, number of each text's ids); null as empty."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
-        words = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        words = pc.split_pattern(pc.replace_substring_regex(pc.if_else(pa.array(whole), "", texts), _SIGN, _APART), " ")
         ends = words.offsets.to_numpy().astype(np.int64)
         flat = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends -= ends[0]
@@ -94,7 +96,7 @@ class Encoder:
         used = np.zeros(len(distinct), bool)
         used[codes[codes < len(distinct)]] = True
         known, unit = self.now.get, self.unit
-        spelt = [(known(" " + w) or unit(" " + w)) if u else b"" for w, u in zip(distinct, used.tolist())] + [unit(distinct[k]) if distinct[k] else b"" for k in some[0].tolist()]
+        spelt = [(known(" " + w) or unit(" " + w if w[:1] != "\x01" else w[1:])) if u else b"" for w, u in zip(distinct, used.tolist())] + [unit(distinct[k]) if distinct[k] else b"" for k in some[0].tolist()]
         for k in np.flatnonzero(whole).tolist():
             codes[first[k]] = len(spelt)
             spelt.append(self.whole(texts[k].as_py()))
@@ -124,9 +126,9 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def encode_ordered(docs: DataFrame, spec: str, end: int = END) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, part, at, ids: each text's ids and the end id, in ascending doc_id order from part to part.
+    """docs (doc_id, text) -> doc_id, part, at, n, ids: each text's ids and the end id, in ascending doc_id order from part to part.
 
-    at counts the ids before a document in its part. Null doc_id comes first; documents of one id keep the order of the input. Null
+    at counts the ids before a document in its part, n its own, the end id included. Null doc_id comes first; documents of one id keep the order of the input. Null
     and empty texts: the end id alone. Long texts are encoded whole, repeated rows one by one.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"spec": spec})
@@ -141,7 +143,7 @@ def encode_ordered(docs: DataFrame, spec: str, end: int = END) -> DataFrame:
             ids = np.insert(ids, reach, end).astype(np.int32)
             offsets = np.concatenate([[0], reach + np.arange(1, len(n) + 1)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), lists], names=["doc_id", "part", "at", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n.astype(np.int32) + 1), lists], names=["doc_id", "part", "at", "n", "ids"])
             at += int(offsets[-1])
 
     # Places of rows part those that share an id, so that one id with very many rows is dealt out too.
@@ -149,7 +151,7 @@ def encode_ordered(docs: DataFrame, spec: str, end: int = END) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_first(), F.col("_at")]
     ranged = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    return ranged.mapInArrow(run, f"doc_id {kind}, part int, at long, ids array<int>")
+    return ranged.mapInArrow(run, f"doc_id {kind}, part int, at long, n int, ids array<int>")
 
 
 def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", group: int = GROUP, rows: int = GROUP_ROWS, page: int = PAGE) -> None:
@@ -171,7 +173,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True, least: int | N
     come from the lengths of the parts, one row each.
     """
     files = spark.read.parquet(path)
-    ends = files.groupBy("part").agg(F.max(F.col("at") + F.size("ids")).alias("n"))
+    ends = files.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n"))
     base = ends.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     some = files if least is None else files.where(F.col("doc_id") >= least)
     some = some if most is None else some.where(F.col("doc_id") <= most)
