@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import n_words, shared_dir, table
@@ -21,7 +21,12 @@ OWN = "_stage_"
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key of each row: its id and its text. Rows alike in both fare alike."""
-    return docs.withColumn(_name(docs, "key"), F.xxhash64("doc_id", "text"))
+    return docs.withColumn(_name(docs, "key"), _hash("doc_id", "text"))
+
+
+def _hash(*names: str) -> Column:
+    """A hash of columns in which a null and its place count, so that what moves from one column to another changes it."""
+    return F.xxhash64(*[F.col(n).isNull() for n in names], *names)
 
 
 def _name(docs: DataFrame, name: str) -> str:
@@ -78,14 +83,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source; elsewhere such rows share their copies, rounded up. Other columns are kept, whatever their names. Empty input: no rows.
     """
     k, c = _name(docs, "key"), _name(docs, "copies")
-    keyed = docs.withColumn(k, F.xxhash64("doc_id", "text", "source"))
+    keyed = docs.withColumn(k, _hash("doc_id", "text", "source"))
     taken = mix(keyed.select(F.col(k).alias("key"), "source", n_words(F.col("text")).alias("size"))).where("copies > 0")
     each = taken.groupBy(F.col("key").alias(k)).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias(c))
     return keyed.join(each, k).withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids: the text as SentencePiece ids. Null texts: null ids, no tokens. Empty input: no rows."""
+    """doc_id, source, n_tokens and ids: the text as SentencePiece ids. Null texts: null ids, no tokens.
+
+    Long texts are encoded whole, repeated rows one by one. Other columns, whatever their names, are left out. Empty input: no rows.
+    """
     coded = encode(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids")
 
