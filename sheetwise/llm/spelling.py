@@ -43,7 +43,7 @@ def _windows(raw: bytes):
 def word_counts(docs: DataFrame, noise: int = NOISE) -> DataFrame:
     """docs (doc_id, text) -> word, n: lower-cased (A-Z only) runs of letters and how often they occur.
 
-    noise: where it divides the crc32 of '<doc_id>:<run>', the run's code point at crc32 % length is deleted; 0: nowhere. Null
+    A null doc_id counts as empty, repeated rows count each. Other columns are not read. Empty input: no rows. noise: where it divides the crc32 of '<doc_id>:<run>', the run's code point at crc32 % length is deleted; 0: nowhere. Null
     texts have no words. Long texts are read in windows; a task hands on sums by word.
     """
 
