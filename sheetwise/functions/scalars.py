@@ -222,6 +222,34 @@ def decode_count(data: Column, encoding: str) -> Column:
     return F.when(first == 255, decode_int(data, 1, {"ff_u16": "u16", "ff_i32": "i32"}[encoding])).otherwise(first)
 
 
+#: Op codes of records that are a count and so many points, with the encodings of both. Fixed values.
+POINT_RECORDS = {0x10: ("zero_u16", "i16"), 0x14: ("zero_u16", "i16"), 0x70: ("ff_u16", "i32"), 0x74: ("zero_u16", "i32")}
+
+
+def decode_points(data: Column, encoding: str, kind: str = "i16") -> Column:
+    """A record of a count and so many points: count, points (x, y) and error.
+
+    The count takes 1 byte or, extended, 3 or 5, as decode_count has it. points is null and error tells why if the bytes have no whole count, the count is negative or
+    the length differs from what the count asks for.
+    """
+    n = LAYOUT[kind][0]
+    long = {"zero_u16": 3, "ff_u16": 3, "ff_i32": 5}[encoding]
+    start = F.when(decode_int(data, 0, "u8") == (0 if encoding == "zero_u16" else 255), long).otherwise(1)
+    none = F.array().cast("array<struct<x:bigint,y:bigint>>")
+
+    def record(r: Column) -> Column:
+        # Places are counted once a record, not once a point.
+        count, start, found = r["count"], r["start"], r["found"]
+        point = lambda i: F.struct(*[decode_int(data, (start + (2 * i + k) * n).cast("int"), kind).alias(c) for k, c in enumerate("xy")])
+        need = start + count * 2 * n
+        error = F.when(count.isNull(), "no whole count").when(count < 0, "negative count").when(found != need, F.format_string("expected %d bytes, found %d", need.cast("long"), found))
+        points = F.when(count == 0, none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), point))
+        return F.struct(count.alias("count"), F.when((count >= 0) & (found == need), points).alias("points"), error.alias("error"))
+
+    head = F.struct(decode_count(data, encoding).alias("count"), start.alias("start"), F.length(data).cast("long").alias("found"))
+    return F.get(F.transform(F.array(head), record), F.lit(0))
+
+
 _PAIR = r"\(\s*(-?[0-9]+)\s*,\s*(-?[0-9]+)\s*\)"
 #: What is sought in the text of each uncounted shape, and what a counted one needs. Fixed values.
 _SOUGHT = {"line": (_PAIR + r"\s*" + _PAIR, 4), "circle": (_PAIR + r"\s+(-?[0-9]+)", 3), "ellipse": (_PAIR + r"\s+(-?[0-9]+)\s*,\s*(-?[0-9]+)", 4)}

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import affine, transform_path
+from .kept import cut
+from .state import CHUNK, inherit_matrix
+
 #: Standard pages, width and height in points. Fixed values.
 PAGES = [
     ("Letter", 612, 792), ("Legal", 612, 1008), ("Tabloid", 792, 1224), ("A4", 595, 842), ("A3", 842, 1191), ("A2", 1191, 1684), ("A1", 1684, 2384),
@@ -19,25 +23,78 @@ def bbox(points: DataFrame, mode: str = "all") -> DataFrame:
 
     Points may carry role (vertex, start, end, center, position) and radius or extent w, h. mode: all takes every role and
     widens centres by radius and positions by extent; vertices takes vertex, start and end; anchors adds center and position
-    unwidened; relative is all, for points made absolute before; repaired undoes 32-bit wrap-around first.
+    unwidened; repaired undoes 32-bit wrap-around first; relative is all for points that move a pen (seq, kind, as to_absolute takes them).
     """
     has = set(points.columns)
+    if mode == "relative":
+        return _with_sizes(_relative_box(points))
     x, y = F.col("x"), F.col("y")
     if mode == "repaired":
         x, y = (F.when(c > 2_000_000_000, c - 2**32).otherwise(c) for c in (x, y))
     if "role" in has and mode == "vertices":
         points = points.where(F.col("role").isin("vertex", "start", "end"))
-    wide = mode in ("all", "relative", "repaired")
+    wide = mode in ("all", "repaired")
     r = F.coalesce("radius", F.lit(0)) if wide and "radius" in has else F.lit(0)
     w, h = (F.coalesce(c, F.lit(0)) if wide and c in has else F.lit(0) for c in ("w", "h"))
     box = points.groupBy("drawing_id").agg(
         F.min(x - r).alias("min_x"), F.max(x + r + w).alias("max_x"), F.min(y - r).alias("min_y"), F.max(y + r + h).alias("max_y"),
         F.count("*").alias("points"), F.count_distinct("shape_id").alias("shapes"),
     )
+    return _with_sizes(box)
+
+
+def _with_sizes(box: DataFrame) -> DataFrame:
     width, height = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
     return box.select("*", width.alias("width"), height.alias("height"), F.coalesce(F.try_divide(width, height), F.lit(0.0)).alias("aspect"))
 
 
+def _relative_box(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Boxes of points (drawing_id, shape_id, seq, pt, kind, x, y) whose places follow from a pen, by parts of a drawing.
+
+    A part gives its box up to its first origin from where the pen came in, its box after that, and where the pen goes; those compose, so no drawing
+    is sorted whole and no point is made absolute. Points may carry radius and w, h.
+    """
+    has = set(points.columns)
+    order = ["seq", "pt"]
+    extra = {k: F.coalesce(k, F.lit(0)) if k in has else F.lit(0) for k in ("radius", "w", "h")}
+    rows = points.withColumn("_g", F.struct("drawing_id", F.floor(F.col("seq") / chunk).alias("_c")))
+    w = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_e", F.count_if(F.col("kind") == "origin").over(w))
+    run = W.partitionBy("_g", "_e").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    moves = F.col("kind").isin("origin", "rel")
+    rows = rows.withColumns({f"_p{c}": F.sum(F.when(moves, F.col(c)).otherwise(0)).over(run) for c in "xy"})
+    at = {c: F.when(F.col("kind") == "abs", F.col(c)).when(moves, F.col(f"_p{c}")).otherwise(F.col(f"_p{c}") + F.col(c)) for c in "xy"}
+    floats = (F.col("_e") == 0) & (F.col("kind") != "abs")
+    sides = {"min_x": (F.min, at["x"] - extra["radius"]), "max_x": (F.max, at["x"] + extra["radius"] + extra["w"]), "min_y": (F.min, at["y"] - extra["radius"]), "max_y": (F.max, at["y"] + extra["radius"] + extra["h"])}
+    parts = rows.groupBy("_g").agg(
+        F.max("_e").alias("_n"), *[F.max_by(f"_p{c}", F.struct("_e", *order)).alias(f"_s{c}") for c in "xy"], F.count("*").alias("points"),
+        *[f(F.when(floats, v)).alias(f"_f{k}") for k, (f, v) in sides.items()], *[f(F.when(~floats, v)).alias(f"_a{k}") for k, (f, v) in sides.items()],
+    )
+    upto = lambda *more: W.partitionBy("_g.drawing_id", *more).orderBy("_g._c").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = parts.withColumn("_run", F.sum((F.col("_n") > 0).cast("int")).over(upto())).withColumns({f"_t{c}": F.sum(f"_s{c}").over(upto("_run")) for c in "xy"})
+    came = W.partitionBy("_g.drawing_id").orderBy("_g._c")
+    parts = parts.withColumns({f"_i{c}": F.coalesce(F.lag(f"_t{c}").over(came), F.lit(0)) for c in "xy"})
+    box = parts.groupBy(F.col("_g.drawing_id").alias("drawing_id")).agg(
+        *[f((F.least if f is F.min else F.greatest)(F.col(f"_f{k}") + F.col(f"_i{k[-1]}"), F.col(f"_a{k}"))).alias(k) for k, (f, _) in sides.items()], F.sum("points").alias("points")
+    )
+    shapes = points.groupBy(F.col("drawing_id").alias("_d")).agg(F.count_distinct("shape_id").alias("shapes"))
+    return box.join(shapes, box["drawing_id"].eqNullSafe(shapes["_d"])).drop("_d")
+
+
+def placed_elements(elements: DataFrame, compose: bool = False) -> DataFrame:
+    """Elements of pages, as read_elements gives them -> the drawn ones with depth, matrix in force, and data and origins under it.
+
+    The matrix is the nearest open canvas's that has one or, with compose, the product of all. Paths and origins under no matrix stay as they are.
+    """
+    marked = cut(elements.withColumn("drawing_id", F.struct("file", "page")))
+    force = inherit_matrix(marked.select("drawing_id", "seq", "scope", "matrix"), compose)
+    force = force.select(F.col("drawing_id").alias("_d"), F.col("seq").alias("_s"), "depth", F.col("matrix").alias("_m"))
+    drawn = marked.where("scope is null").drop("matrix").join(force, (F.col("drawing_id") == F.col("_d")) & (F.col("seq") == F.col("_s"))).withColumnRenamed("_m", "matrix")
+    x, y = affine(F.col("origin_x"), F.col("origin_y"), F.col("matrix"))
+    data = F.when(F.col("matrix").isNull(), F.col("data")).otherwise(transform_path(F.col("data"), F.col("matrix")))
+    return drawn.withColumns({"data": data, "origin_x": x, "origin_y": y}).drop("drawing_id", "_d", "_s", "scope")
+
+
 def to_origin(points: DataFrame) -> DataFrame:
     """Points moved so that each drawing's least x and y are 0."""
     least = points.groupBy("drawing_id").agg(F.min("x").alias("_x"), F.min("y").alias("_y"))

@@ -92,6 +92,21 @@ def contradictions(new: DataFrame, old: DataFrame) -> DataFrame:
     return both
 
 
+def contradiction_groups(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Who contradicts whom, a row for each subject, type and statement: new_claims and old_claims that state it, and contradicted, the old claims that its new ones contradict.
+
+    Claims with equal statements contradict the same ones: all of the key's that state something else. So groups of claims stand for their pairs, of which there are
+    new_claims x contradicted, and a key costs as many rows as it has statements. Claims belong to groups by those three columns; contradictions lists
+    the pairs of the claims that it is given. Null subjects, types and statements contradict nothing. subject may be an array subjects, as there; each element is a subject then.
+    """
+    keys = ["subject", "claim_type"]
+    listed = "subjects" in new.columns
+    each = [(x.withColumn("subject", F.explode(F.array_distinct("subjects"))) if listed else x).select(*keys, "statement", F.lit(k).alias("k")) for k, x in enumerate((new, old))]
+    groups = each[0].union(each[1]).dropna().groupBy(*keys, "statement").agg(F.count_if(F.col("k") == 0).alias("new_claims"), F.count_if(F.col("k") == 1).alias("old_claims"))
+    total = groups.groupBy(*keys).agg(F.sum("old_claims").alias("_all"))
+    return groups.join(total, keys).withColumn("contradicted", F.col("_all") - F.col("old_claims")).drop("_all").where((F.col("new_claims") > 0) & (F.col("contradicted") > 0))
+
+
 def first_contradictions(claims: DataFrame) -> DataFrame:
     """claims (claim, pos, subject, claim_type, statement) -> (claim, other): the first earlier claim that contradicts each one.
 

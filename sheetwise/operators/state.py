@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .kept import cut
+
 #: seq values of a drawing that one task takes at most, where an operator carries values from part to part.
 CHUNK = 100_000
 
@@ -22,37 +24,54 @@ def same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     return reduce(lambda x, y: x & y, parts)
 
 
-def _before(rows: DataFrame, totals: dict[str, Column], over: dict, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """rows (with their part in _c) with what the parts before theirs come to: totals of each part, put together by over."""
-    first = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, "_c").agg(*[c.alias(f"_t{k}") for k, c in totals.items()])
-    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_c"])}
-    sums = sums.select(*[F.col(k).alias(n) for k, n in names.items()], *[over[k](F.col(f"_t{k}")).over(first).alias(f"_b{k}") for k in totals])
-    return rows.join(sums, same(rows, sums, names), "left").drop(*names.values()), [f"_b{k}" for k in totals]
+def _parted(rows: DataFrame, keys: list[str], seq: str, chunk: int) -> DataFrame:
+    """rows with _g, what its part of chunk seq values goes by: one struct, whose equality holds for nulls too."""
+    return rows.withColumn("_g", F.struct(*keys, F.floor(F.col(seq) / chunk).alias("_c")))
+
+
+def _scanned(rows: DataFrame, within: dict[str, Column], totals: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """rows (with _g) with values running through their part, and what the parts before come to.
+
+    within: windows over _g. totals: aggregates of those over a part, a row each. carried: windows over a group's parts, in order. The rows are
+    dealt out by part once, for the windows, the totals and the join alike; only a row for each part goes further.
+    """
+    rows = rows.withColumns(within)
+    sums = rows.groupBy("_g").agg(*[c.alias(k) for k, c in totals.items()])
+    sums = sums.select(F.col("_g").alias("_p"), *[c.alias(k) for k, c in carried.items()])
+    return rows.join(sums, F.col("_g") == F.col("_p"), "left").drop("_p")
+
+
+def _parts(keys: list[str], upto: int = -1) -> W:
+    """The parts of a group before one, or up to it."""
+    return W.partitionBy(*[f"_g.{k}" for k in keys]).orderBy("_g._c").rowsBetween(W.unboundedPreceding, upto)
+
+
+def _part(*more: str, order: list[str]) -> W:
+    return W.partitionBy("_g", *more).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def running_sum(rows: DataFrame, value: dict[str, Column], keys: list[str], order: list[str], chunk: int | None = None) -> DataFrame:
-    """rows with running sums. With chunk, a group is summed in parts of so many seq values, so that one huge group isn't one task's."""
+def running_sum(rows: DataFrame, value: dict[str, Column], keys: list[str], order: list[str], chunk: int | None = CHUNK) -> DataFrame:
+    """rows with running sums. A group is summed in parts of chunk seq values, so that one huge group isn't one task's; without chunk, whole."""
     if not chunk:
         return rows.withColumns({k: F.sum(v).over(_upto(*keys, order=order)) for k, v in value.items()})
-    rows = rows.withColumn("_c", F.floor(F.col(order[0]) / chunk))
-    rows, before = _before(rows, {k: F.sum(v) for k, v in value.items()}, dict.fromkeys(value, F.sum), keys)
-    part = rows.withColumns({k: F.sum(v).over(_upto(*keys, "_c", order=order)) for k, v in value.items()})
-    return part.withColumns({k: F.coalesce(F.col(k) + F.col(f"_b{k}"), k, f"_b{k}") for k in value}).drop("_c", *before)
+    # Kept under other names first: a value may read the column that it replaces.
+    within = {f"_l{k}": F.sum(v).over(_part(order=order)) for k, v in value.items()}
+    totals = {f"_t{k}": F.sum(v) for k, v in value.items()}
+    out = _scanned(_parted(rows, keys, order[0], chunk), within, totals, {f"_b{k}": F.sum(f"_t{k}").over(_parts(keys)) for k in value})
+    return out.withColumns({k: F.coalesce(F.col(f"_l{k}") + F.col(f"_b{k}"), f"_l{k}", f"_b{k}") for k in value}).drop("_g", *[f"_{x}{k}" for k in value for x in "lb"])
 
 
 def running_last(rows: DataFrame, value: dict[str, Column], keys: list[str], order: list[str], chunk: int | None = CHUNK) -> DataFrame:
     """rows with the last value so far that is not null, by parts as in running_sum."""
     if not chunk:
         return rows.withColumns({k: F.last(v, ignorenulls=True).over(_upto(*keys, order=order)) for k, v in value.items()})
-    rows = rows.withColumn("_c", F.floor(F.col(order[0]) / chunk))
-    latest = {k: F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) for k, v in value.items()}
-    rows, before = _before(rows, latest, dict.fromkeys(value, lambda c: F.last(c, ignorenulls=True)), keys)
-    part = {k: F.coalesce(F.last(v, ignorenulls=True).over(_upto(*keys, "_c", order=order)), F.col(f"_b{k}")) for k, v in value.items()}
-    return rows.withColumns(part).drop("_c", *before)
+    within = {f"_l{k}": F.last(v, ignorenulls=True).over(_part(order=order)) for k, v in value.items()}
+    totals = {f"_t{k}": F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) for k, v in value.items()}
+    out = _scanned(_parted(rows, keys, order[0], chunk), within, totals, {f"_b{k}": F.last(f"_t{k}", ignorenulls=True).over(_parts(keys)) for k in value})
+    return out.withColumns({k: F.coalesce(f"_l{k}", f"_b{k}") for k in value}).drop("_g", *[f"_{x}{k}" for k in value for x in "lb"])
 
 
-def to_absolute(points: DataFrame, centers: bool = False, chunk: int | None = None) -> DataFrame:
+def to_absolute(points: DataFrame, centers: bool = False, chunk: int | None = CHUNK) -> DataFrame:
     """points (drawing_id, seq, pt, kind, x, y) with ax, ay, their absolute places.
 
     kind origin sets the pen; rel moves it by (x, y) and lies there; rel_center does so only with centers, and else lies
@@ -73,92 +92,127 @@ def carry_state(ops: DataFrame, attrs: dict, chunk: int | None = CHUNK) -> DataF
     return carried.withColumns({a: F.coalesce(a, F.lit(d)) for a, d in attrs.items()})
 
 
-def _depths(ops: DataFrame) -> DataFrame:
-    """ops (drawing_id, seq, scope in save, restore, reset or null) with epoch, s (running sum), depth and saved depth."""
-    ops = ops.withColumn("epoch", F.sum(F.when(F.col("scope") == "reset", 1).otherwise(0)).over(_upto("drawing_id")))
-    delta = F.when(F.col("scope") == "save", 1).when(F.col("scope") == "restore", -1).otherwise(0)
-    w = _upto("drawing_id", "epoch")
-    ops = ops.withColumn("delta", delta).withColumn("s", F.sum("delta").over(w))
-    return ops.withColumn("low", F.least(F.lit(0), F.min("s").over(w))).withColumn("depth", F.col("s") - F.col("low"))
+def _depths(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """ops (drawing_id, seq, scope in save, restore, reset or null) with epoch, low (the least running sum, at most 0) and depth.
 
-
-def stack_audit(ops: DataFrame) -> DataFrame:
-    """For each drawing: saves, restores, restores of an empty stack, saves never restored, and the greatest depth."""
-    d = _depths(ops)
-    w = W.partitionBy("drawing_id", "epoch").orderBy("seq")
-    d = d.withColumn("under", (F.coalesce(F.lag("low").over(w), F.lit(0)) - F.col("low")).cast("long")).withColumn("last", F.lead("seq").over(w).isNull())
-    return d.groupBy("drawing_id").agg(
-        F.count_if(F.col("scope") == "save").alias("saves"), F.count_if(F.col("scope") == "restore").alias("restores"), F.sum("under").alias("underflows"),
-        F.sum(F.when(F.col("last"), F.col("depth")).otherwise(0)).alias("unmatched"), F.max("depth").alias("max_depth"),
+    Parts of a drawing are scanned on their own. What one hands on is its number of resets, and since the last of them the sum of its steps and the
+    least running sum; those compose, and what comes before a part's first reset is moved by what was handed on.
+    """
+    saved, restored, reset = (F.coalesce(F.col("scope") == x, F.lit(False)) for x in ("save", "restore", "reset"))
+    order, at, far = ["seq"], ["drawing_id"], F.struct("_e", "seq")
+    rows = _parted(ops, at, "seq", chunk).withColumns({
+        "_e": F.count_if(reset).over(_part(order=order)), "delta": F.when(saved, 1).when(restored, -1).otherwise(0).cast("long"),
+    }).withColumn("_s", F.sum("delta").over(_part("_e", order=order)))
+    totals = {"_resets": F.max("_e"), "_sum": F.max_by("_s", far), "_low": F.min_by("_m", F.struct((-F.col("_e")).alias("e"), "_m"))}
+    sums = rows.withColumns({"_m": F.min("_s").over(_part("_e", order=order))}).groupBy("_g").agg(*[c.alias(k) for k, c in totals.items()])
+    # Parts since the last one with a reset, that one included, add up.
+    sums = sums.withColumn("_run", F.sum((F.col("_resets") > 0).cast("int")).over(_parts(at, 0)))
+    run = W.partitionBy("_g.drawing_id", "_run").orderBy("_g._c").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = sums.withColumn("_total", F.sum("_sum").over(run)).withColumn("_least", F.min(F.col("_total") - F.col("_sum") + F.least(F.lit(0), "_low")).over(run))
+    prior = W.partitionBy("_g.drawing_id").orderBy("_g._c")
+    sums = sums.select(F.col("_g").alias("_p"), F.coalesce(F.sum("_resets").over(_parts(at)), F.lit(0)).alias("_r"), *[F.coalesce(F.lag(c).over(prior), F.lit(0)).alias(k) for c, k in (("_total", "_s0"), ("_least", "_m0"))])
+    rows = rows.withColumn("_m", F.min("_s").over(_part("_e", order=order))).join(sums, F.col("_g") == F.col("_p"), "left")
+    on = F.col("_e") == 0
+    s = F.col("_s") + F.when(on, F.col("_s0")).otherwise(0)
+    low = F.least(F.lit(0), F.col("_m") + F.when(on, F.col("_s0")).otherwise(0), F.when(on, F.col("_m0")).otherwise(0))
+    rows = rows.withColumns({"epoch": F.col("_r") + F.col("_e"), "low": low, "depth": s - low})
+    return rows.drop("_e", "_s", "_m", "_p", "_r", "_s0", "_m0", "delta")
+
+
+def stack_audit(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """For each drawing: saves, restores, restores of an empty stack, saves never restored, and the greatest depth. Huge drawings are scanned by parts."""
+    each = _depths(ops, chunk).groupBy("drawing_id", "epoch").agg(
+        F.count_if(F.col("scope") == "save").alias("saves"), F.count_if(F.col("scope") == "restore").alias("restores"),
+        F.min("low").alias("low"), F.max_by("depth", "seq").alias("open"), F.max("depth").alias("deepest"),
+    )
+    return each.groupBy("drawing_id").agg(
+        F.sum("saves").alias("saves"), F.sum("restores").alias("restores"), F.sum(-F.col("low")).alias("underflows"), F.sum("open").alias("unmatched"), F.max("deepest").alias("max_depth"),
     )
 
 
-def _framed(ops: DataFrame) -> DataFrame:
-    """ops with opener, the seq of the save that opened the scope which each record lies in; null outside all scopes.
+def _framed(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """ops with depth, opener (the seq of the save that opened the scope which a record lies in; null outside all scopes) and outer.
 
-    Of the records at one depth, those up to the next save that reaches this depth lie in the same scope.
+    Saves come twice: with outer, for the place in the scope around them where they stand, and without, for the scope that they open. Of the
+    records of one level, those up to the next save that reaches this level lie in the same scope. A part takes the openers that its records lack
+    from the parts before: a row for each level that a part needs or opens, whatever the number of its records.
     """
-    opened = F.when(F.col("scope") == "save", F.col("seq"))
-    return _depths(ops).withColumn("opener", F.last(opened, ignorenulls=True).over(_upto("drawing_id", "epoch", "depth")))
-
-
-def _enclosing(framed: DataFrame, least: int, also: Column | None = None) -> DataFrame:
-    """A row for each save and each level from least to its depth; records of also come at their own level alone.
-
-    Only what opens scopes is repeated by level, not what lies in them.
+    rows = cut(_depths(ops, chunk)).withColumn("_save", F.coalesce(F.col("scope") == "save", F.lit(False)))
+    places = F.when(F.col("_save"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("outer", F.explode(places)).withColumn("level", F.col("depth") - F.col("outer").cast("int"))
+    opens = F.when(F.col("_save") & ~F.col("outer"), F.col("seq"))
+    rows = rows.withColumn("_own", F.last(opens, ignorenulls=True).over(_part("epoch", "level", order=["seq", "outer"])))
+    known = rows.where("level > 0").groupBy("_g", "epoch", "level").agg(F.max(opens).alias("_opened"), F.bool_or(F.col("_own").isNull()).alias("_lacks"))
+    w = W.partitionBy("_g.drawing_id", "epoch", "level").orderBy("_g._c").rowsBetween(W.unboundedPreceding, -1)
+    lent = known.withColumn("_lent", F.last("_opened", ignorenulls=True).over(w)).where("_lacks").select(F.col("_g").alias("_p"), F.col("epoch").alias("_pe"), F.col("level").alias("_pl"), "_lent")
+    rows = rows.join(lent, (F.col("_g") == F.col("_p")) & (F.col("epoch") == F.col("_pe")) & (F.col("level") == F.col("_pl")), "left")
+    return rows.withColumn("opener", F.coalesce("_own", "_lent")).drop("_own", "_lent", "_p", "_pe", "_pl", "_g", "_save", "low", "level")
+
+
+def _climb(scopes: DataFrame, fold, done) -> DataFrame:
+    """scopes (drawing_id, at, up, acc) -> drawing_id, at and acc of the scope and all around it that done does not cut off.
+
+    Pointers jump twice as far at each step: fold(outer acc, own acc) takes in what the scope pointed to has gathered, and its pointer. As many steps as
+    the logarithm of the depth, each a join of scopes alone; records take no part.
     """
-    depth, saved = F.col("depth").cast("long"), F.col("scope") == "save"
-    levels = F.when(saved, F.sequence(F.lit(least).cast("long"), depth)).otherwise(F.array(depth))
-    # scope is null for most records, and a null condition is not true.
-    return framed.where(saved if also is None else F.coalesce(saved, F.lit(False)) | also).withColumn("level", F.explode(levels))
+    rest = cut(scopes.withColumn("up", F.when(~done(F.col("acc")), F.col("up"))))
+    found = []
+    while True:
+        found.append(rest.where("up is null").select("drawing_id", "at", "acc"))
+        live = rest.where("up is not null")
+        if live.isEmpty():
+            return reduce(DataFrame.union, found)
+        outer = reduce(DataFrame.union, [*[f.withColumn("up", F.lit(None).cast("long")) for f in found], live.select("drawing_id", "at", "acc", "up")])
+        o = outer.select(F.col("drawing_id").alias("_d"), F.col("at").alias("_at"), F.col("acc").alias("_acc"), F.col("up").alias("_up"))
+        on = live.join(o, live["drawing_id"].eqNullSafe(o["_d"]) & (live["up"] == o["_at"]), "left")
+        acc = fold(F.col("_acc"), F.col("acc"))
+        rest = cut(on.select("drawing_id", "at", acc.alias("acc"), F.when(~done(acc), F.col("_up")).alias("up")))
 
 
 def _with_scope(framed: DataFrame, scopes: DataFrame) -> DataFrame:
-    """framed with the columns of scopes (_drawing, _opener and more) of the scope that each record lies in."""
-    return framed.join(scopes, framed["drawing_id"].eqNullSafe(scopes["_drawing"]) & (framed["opener"] == scopes["_opener"]), "left").drop("_drawing", "_opener")
+    """Records of framed with acc of the scope that each lies in. Those outside all scopes are dealt out evenly, and find none."""
+    records = framed.where("NOT outer").withColumn("_deal", F.when(F.col("opener").isNull(), F.pmod(F.xxhash64("seq"), F.lit(1024))).otherwise(0))
+    s = scopes.select(F.col("drawing_id").alias("_d"), F.col("at").alias("_at"), "acc", F.lit(0).cast("long").alias("_dealt"))
+    return records.join(s, records["drawing_id"].eqNullSafe(s["_d"]) & (records["opener"].eqNullSafe(s["_at"])) & (records["_deal"] == s["_dealt"]), "left").drop("_d", "_at", "_deal", "_dealt")
 
 
-def _stacked(framed: DataFrame, of: Column, name: str) -> DataFrame:
-    """framed with an array of what of is at the saves of all open scopes, outermost first; null where none is open."""
-    v = _enclosing(framed, 1)
-    own = F.last(F.when(F.col("depth") == F.col("level"), F.struct(of.alias("v"))), ignorenulls=True).over(_upto("drawing_id", "epoch", "level"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("level", "_own"))), lambda x: x["_own"]["v"])
-    scopes = v.withColumn("_own", own).groupBy(F.col("drawing_id").alias("_drawing"), F.col("seq").alias("_opener")).agg(listed.alias(name))
-    return _with_scope(framed, scopes)
+def _gathered(ops: DataFrame, own: Column, fold, chunk: int) -> DataFrame:
+    """Records with acc: own of the saves of all open scopes, folded from the outermost inwards; null where none is open."""
+    framed = cut(_framed(ops, chunk))
+    # opener of a save is itself where it opens, and the scope around it where it stands.
+    scopes = framed.where("outer").select("drawing_id", F.col("seq").alias("at"), F.col("opener").alias("up"), own.alias("acc"))
+    return _with_scope(framed, _climb(scopes, fold, lambda acc: F.lit(False)))
 
 
-def carry_scoped(ops: DataFrame, attr: str, default) -> DataFrame:
+def carry_scoped(ops: DataFrame, attr: str, default, chunk: int = CHUNK) -> DataFrame:
     """attr at the value in force: save keeps all, restore brings back what was, reset clears values and scopes.
 
     A value set on a save belongs to what it opens. In force is the last value set in the record's own scope, else what
-    was in force where that scope was opened. No stack is walked: of the levels around each save, windows find the last setting.
+    was in force where that scope was opened, found by pointers from scope to scope that stop at the first with a value. No stack is walked, and depth costs its logarithm.
     """
-    framed = _framed(ops)
-    setting = F.when(F.col(attr).isNotNull(), F.struct(F.col("seq").alias("at"), F.col(attr).alias("value")))
-    v = _enclosing(framed, 0, F.col(attr).isNotNull())
-    w, own = _upto("drawing_id", "epoch", "level"), F.col("depth") == F.col("level")
-    v = v.withColumn("_set", F.last(F.when(own, setting), ignorenulls=True).over(w)).withColumn("_opened", F.last(F.when(own & (F.col("scope") == "save"), F.col("seq")), ignorenulls=True).over(w))
-    live = F.when(F.col("_opened").isNull() | (F.col("_set.at") >= F.col("_opened")), F.col("_set"))
-    scopes = v.where("scope = 'save'").groupBy(F.col("drawing_id").alias("_drawing"), F.col("seq").alias("_opener")).agg(F.max(live).alias("_outer"))
-    here = framed.withColumn("_here", F.last(setting, ignorenulls=True).over(_upto("drawing_id", "epoch", "depth", "opener")))
-    return _with_scope(here, scopes).select("drawing_id", "seq", "depth", F.coalesce("_here.value", "_outer.value", F.lit(default)).alias(attr))
+    setting = F.when(~F.col("outer"), F.col(attr))
+    framed = cut(running_last(_framed(ops, chunk), {"_here": F.when(setting.isNotNull(), F.struct(setting.alias("v")))}, ["drawing_id", "epoch", "opener"], ["seq", "outer"], chunk))
+    scopes = framed.where("outer").select("drawing_id", F.col("seq").alias("at"), F.col("opener").alias("up"), F.col("_here").alias("acc"))
+    found = _with_scope(framed, _climb(scopes, lambda outer, own: F.coalesce(own, outer), lambda acc: acc.isNotNull()))
+    return found.select("drawing_id", "seq", "depth", F.coalesce("_here.v", "acc.v", F.lit(default)).alias(attr))
 
 
-def group_path(ops: DataFrame, name: str) -> DataFrame:
-    """The names of the open groups of each record, outermost first, joined by slashes; the record that opens a group is inside it."""
-    return _stacked(_framed(ops), F.col(name), "_names").select("drawing_id", "seq", F.coalesce(F.array_join("_names", "/"), F.lit("")).alias("path"))
+def group_path(ops: DataFrame, name: str, chunk: int = CHUNK) -> DataFrame:
+    """The names of the open groups of each record, outermost first, joined by slashes; the record that opens a group is inside it. Null names are left out."""
+    names = F.when(F.col(name).isNotNull(), F.array(F.col(name))).otherwise(F.array().cast("array<string>"))
+    found = _gathered(ops, names, lambda outer, own: F.concat(outer, own), chunk)
+    return found.select("drawing_id", "seq", F.coalesce(F.array_join("acc", "/"), F.lit("")).alias("path"))
 
 
-def inherit_matrix(elements: DataFrame, compose: bool = False) -> DataFrame:
+def inherit_matrix(elements: DataFrame, compose: bool = False, chunk: int = CHUNK) -> DataFrame:
     """The matrix of the nearest open canvas that has one. elements: scope save opens a canvas (with matrix or null), restore closes it.
 
-    compose multiplies the matrices of all open canvases, outermost first, instead.
+    compose multiplies the matrices of all open canvases, outermost first, instead; a canvas without one leaves what is around it as it is.
     """
     if not compose:
-        return carry_scoped(elements, "matrix", None)
-    stacked = _stacked(_framed(elements), F.col("matrix"), "_m").withColumn("_m", F.filter("_m", lambda m: m.isNotNull()))
-    unit = F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)))
-    return stacked.select("drawing_id", "seq", "depth", F.when(F.size("_m") > 0, F.aggregate("_m", unit, lambda a, m: multiply(m, a))).alias("matrix"))
+        return carry_scoped(elements, "matrix", None, chunk)
+    both = lambda outer, own: F.when(outer.isNull(), own).when(own.isNull(), outer).otherwise(multiply(own, outer))
+    return _gathered(elements, F.col("matrix"), both, chunk).select("drawing_id", "seq", "depth", F.col("acc").alias("matrix"))
 
 
 def multiply(m: Column, n: Column) -> Column:
@@ -214,7 +268,18 @@ def path_vertices(paths: DataFrame, data: str = "data") -> DataFrame:
     return out.withColumns(back).select("drawing_id", "shape_id", "pt", "cmd", "x", "y")
 
 
-def page_index(pages: DataFrame) -> DataFrame:
-    """Pages of each file in the order of path, from 0, with a break before all but the first."""
-    i = F.row_number().over(W.partitionBy("file").orderBy("path")) - 1
-    return pages.withColumn("index", i).withColumn("break_before", F.col("index") > 0)
+def page_index(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Pages of each file in the order of path, from 0, with a break before all but the first; equal paths in any order.
+
+    Pages are sorted in ranges over all files, and each range learns how many pages of its files the ranges before hold: one file may fill many tasks.
+    """
+    n = ranges or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("file").asc_nulls_first(), F.col("path").asc_nulls_first(), F.xxhash64(*pages.columns)]
+    ids = F.monotonically_increasing_id()
+    ranged = cut(pages.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", ids)).withColumn("_pid", F.shiftright("_id", 33))
+    held = ranged.groupBy("file", "_pid").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col("file").alias("_f"), F.col("_pid").alias("_p"), "_first", before.alias("_before"))
+    placed = ranged.join(held, ranged["file"].eqNullSafe(held["_f"]) & (ranged["_pid"] == held["_p"]))
+    out = placed.withColumn("index", F.col("_before") + F.col("_id") - F.col("_first"))
+    return out.withColumn("break_before", F.col("index") > 0).drop("_id", "_pid", "_f", "_p", "_first", "_before")

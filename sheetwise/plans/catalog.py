@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from ..operators import distribution as D
 from ..operators import geometry as G
 from ..operators import ledger as L
 from ..operators import state as ST
+from ..operators.kept import cut, shared_dir
 from ..sources import readers as R
 from . import views as V
 
@@ -47,6 +49,11 @@ RULES = f"cats AS (SELECT v_names.*, coalesce(category, 'Uncategorized') AS cate
 IMPL = f"impl AS (SELECT * FROM {values([(x,) for x in T.IMPLEMENTED])} i(type))"
 
 
+def whole(c):
+    """A doubled number in thousandths, as text."""
+    return F.when(F.abs(c) < 2e14, F.floor(c * 1000 + 0.5).cast("string")).otherwise("large")
+
+
 # Sources and sinks
 
 
@@ -57,7 +64,7 @@ def s1_scan_files(spark, sf_dir):
 
 @query()
 def s2_sniff_format(spark, sf_dir):
-    return R.sniff_format(R.scan_files(spark, sf_dir, "*.parquet", content=True)).select("name", "format")
+    return R.sniff_heads(R.scan_files(spark, sf_dir, "*.parquet")).select("name", "format")
 
 
 @query("SELECT page_id AS file, CAST(i - 1 AS BIGINT) AS ordinal, parts[i] AS member FROM (SELECT page_id, string_split(url, '/') AS parts FROM pages), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)")
@@ -77,6 +84,23 @@ def s4_ops_json_records(spark, sf_dir):
     return R.read_ops_json(spark, path, lines=True).select(F.col("opcode").alias("drawing_id"), F.col("count").alias("seq"), "type", p[0].alias("x"), p[1].alias("y"))
 
 
+@query("""SELECT drawing_id, seq, CASE WHEN seq % 97 = 5 THEN 'no op record' ELSE op END AS type, CASE WHEN seq % 97 <> 5 THEN dx END AS x, CASE WHEN seq % 97 <> 5 THEN dy END AS y FROM v_ops
+UNION ALL SELECT drawing_id, seq, 'text between records', NULL, NULL FROM v_ops WHERE seq % 89 = 3""", OPS)
+def s4_ops_json_split(spark, sf_dir):
+    # Files of whole arrays, told apart by their braces alone: some records don't parse, some are preceded by a stray number, names hold braces and quotes.
+    path = _scratch(spark, "arrays")
+    record = F.struct(F.col("drawing_id").alias("opcode"), F.col("seq").alias("count"), F.col("op").alias("type"), F.lit('a "}, {" \\\\').alias("opcode_name"), F.struct(F.col("dx").alias("x"), F.col("dy").alias("y")).alias("origin"))
+    broken = F.format_string('{"opcode": , "at": {"d": %d, "s": %d}}', F.col("drawing_id"), F.col("seq"))
+    text = F.when(F.col("seq") % 97 == 5, broken).otherwise(F.to_json(record))
+    text = F.when(F.col("seq") % 89 == 3, F.concat(F.format_string("%d.%d, ", F.col("drawing_id"), F.col("seq")), text)).otherwise(text)
+    ops = V.v_ops(spark, sf_dir).select("drawing_id", F.floor(F.col("seq") / 500).alias("part"), text.alias("r"))
+    ops.groupBy("drawing_id", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n "), F.lit("]")).alias("value")).select("value").write.text(path)
+    good, bad = R.split_ops_json(spark, path)
+    at = lambda k: F.when(F.col("error") == "no op record", F.regexp_extract("value", r'"d": (\d+), "s": (\d+)', k)).otherwise(F.split_part("value", F.lit("."), F.lit(k))).cast("long")
+    none = F.lit(None).cast("long")
+    return good.select(F.col("opcode").alias("drawing_id"), F.col("count").alias("seq"), "type", "origin.x", "origin.y").union(bad.select(at(1), at(2), "error", none, none))
+
+
 @query("""SELECT page_id, 'link' AS kind, CAST(i - 1 AS BIGINT) AS ord, l[i] AS value FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)
 UNION ALL SELECT page_id, 'heading', CAST(i - 1 AS BIGINT), l[i] FROM (SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS l FROM pages), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)""")
 def s5_markup(spark, sf_dir):
@@ -102,6 +126,30 @@ def s5_page_markup(spark, sf_dir):
     return row(m["pages"], "page", F.lit(0), whole("width"), whole("height")).union(row(m["paths"], "path", F.col("ord"), F.col("data"), F.col("name"))).union(row(m["glyphs"], "glyphs", F.col("ord"), F.col("unicode_string"), F.col("origin_x")))
 
 
+@query("""SELECT drawing_id AS file, shape_id AS page, pt, mode, depth, a, 'M' || printf('%.2f', CAST(a * x + c * y + e AS DOUBLE)) || ',' || printf('%.2f', CAST(b * x + d * y + f AS DOUBLE)) AS data, CAST(a * y + c * x + e AS BIGINT) AS origin_x, CAST(b * y + d * x + f AS BIGINT) AS origin_y FROM (
+ SELECT p.*, mode, CASE WHEN pt < 4 THEN 0 WHEN pt < 8 OR pt >= 28 THEN 1 WHEN pt < 16 OR pt >= 24 THEN 2 ELSE 3 END AS depth, CASE WHEN shape_id % 2 = 0 AND depth > 1 THEN 1 ELSE 0 END AS even FROM v_pts p, (VALUES ('near'), ('all')) m(mode)), LATERAL (
+ SELECT CASE WHEN depth = 0 THEN 1 WHEN depth = 3 THEN CASE mode WHEN 'near' THEN 0 ELSE 0 END WHEN mode = 'near' THEN CASE even WHEN 1 THEN 1 ELSE 2 END ELSE 2 END AS a, CASE WHEN depth = 3 THEN CASE mode WHEN 'near' THEN 1 ELSE 2 END ELSE 0 END AS b, CASE WHEN depth = 3 THEN CASE mode WHEN 'near' THEN -1 ELSE -2 END ELSE 0 END AS c,
+  CASE WHEN depth = 0 THEN 1 WHEN depth = 3 THEN 0 WHEN mode = 'near' THEN CASE even WHEN 1 THEN 1 ELSE 2 END ELSE 2 END AS d,
+  CASE WHEN depth = 0 THEN 0 WHEN depth = 3 THEN CASE mode WHEN 'near' THEN 3 ELSE 2 * (3 + 5 * even) + 10 END WHEN mode = 'near' THEN CASE even WHEN 1 THEN 5 ELSE 10 END ELSE 2 * 5 * even + 10 END AS e,
+  CASE WHEN depth = 0 THEN 0 WHEN depth = 3 THEN CASE mode WHEN 'near' THEN 4 ELSE 2 * (4 + 7 * even) - 20 END WHEN mode = 'near' THEN CASE even WHEN 1 THEN 7 ELSE -20 END ELSE 2 * 7 * even - 20 END AS f)""", PTS)
+def s5_placed_elements(spark, sf_dir):
+    # Pages with three canvases in one another: a matrix as attribute, one on even pages alone, one as property element. Comments and CDATA hold canvases that aren't.
+    t = lambda c: c.cast("string")
+    opened = F.when(F.col("shape_id") % 2 == 0, '<Canvas RenderTransform="1,0,0,1,5,7">').otherwise("<Canvas>")
+    before = lambda p: F.when(p["pt"] == 4, "<x:Canvas Name='a > b' RenderTransform='2, 0, 0, 2, 10, -20'><Canvas/>").when(p["pt"] == 8, opened).when(p["pt"] == 16, "<Canvas><Canvas.RenderTransform><MatrixTransform Matrix='0,1,-1,0,3,4'/></Canvas.RenderTransform>").when(p["pt"].isin(24, 28), "</Canvas>").otherwise("<![CDATA[<Canvas>]]>")
+    drawn = lambda p: F.concat(F.lit('<Path Data="M '), t(p["x"]), F.lit(","), t(p["y"]), F.lit("\" Fill='#"), t(p["pt"]), F.lit("'/><Glyphs OriginX='"), t(p["y"]), F.lit("' OriginY='"), t(p["x"]), F.lit("' Fill='#"), t(p["pt"]), F.lit("' UnicodeString='z'/>"))
+    xml = F.concat(F.lit("<FixedPage><!-- <Canvas> -->"), F.array_join(F.transform("p", lambda p: F.concat(before(p), drawn(p))), ""), F.lit("</x:Canvas></FixedPage>"))
+    e = R.read_elements(V.v_shapes(spark, sf_dir).select(F.col("drawing_id").alias("file"), F.col("shape_id").alias("page"), xml.alias("xml")))
+    out = []
+    for mode, compose in (("near", False), ("all", True)):
+        g = G.placed_elements(e, compose).withColumn("pt", F.expr("CAST(substring(fill, 2) AS BIGINT)"))
+        a = F.coalesce(F.get("matrix", F.lit(0)), F.lit(1.0)).cast("int").alias("a")
+        path = g.where("tag = 'Path'").select("file", "page", "pt", F.col("depth").cast("int").alias("depth"), a, F.regexp_replace("data", r"^M (-?\d+),(-?\d+)$", "M$1.00,$2.00").alias("data"))
+        text = g.where("tag = 'Glyphs'").select("file", "page", "pt", F.col("origin_x").cast("long").alias("origin_x"), F.col("origin_y").cast("long").alias("origin_y"))
+        out.append(path.join(text, ["file", "page", "pt"]).withColumn("mode", F.lit(mode)))
+    return out[0].union(out[1])
+
+
 @query("""SELECT p_partkey AS file, p_name AS page, CAST(p_size AS BIGINT) AS plot_order, p_size || '.5' AS paper_width, CASE WHEN p_size % 2 = 0 THEN 'mm' END AS paper_units, CAST(i AS BIGINT) AS ord, ['brand', 'type', 'brand'][i + 1] AS name, [p_brand, p_type, p_name][i + 1] AS value FROM part, (SELECT unnest(range(3)) AS i)""")
 def s6_descriptor_properties(spark, sf_dir):
     t = lambda c: F.col(c).cast("string")
@@ -136,11 +184,8 @@ def s8_report(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder where the session keeps shared files: that of checkpoints, or else the warehouse."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder where the session keeps shared files."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Projections, filters, predicates
@@ -284,6 +329,22 @@ def j8_contradictions(spark, sf_dir):
     return L.contradictions(c.where("claim % 2 = 1"), c.where("claim % 2 = 0")).select("new_claim", "old_claim", "subject", "claim_type", "new_statement", "old_statement")
 
 
+@query("""SELECT subject, claim_type, statement, new_claims, old_claims, CAST(o - old_claims AS BIGINT) AS contradicted FROM g JOIN (SELECT subject, claim_type, sum(old_claims) AS o FROM g GROUP BY ALL) USING (subject, claim_type) WHERE new_claims > 0 AND o > old_claims""",
+       CLAIMS, "g AS (SELECT subject, claim_type, statement, count(*) FILTER (claim % 2 = 1) AS new_claims, count(*) FILTER (claim % 2 = 0) AS old_claims FROM v_claims GROUP BY ALL)")
+def j8_contradiction_groups(spark, sf_dir):
+    c = V.v_claims(spark, sf_dir)
+    return L.contradiction_groups(c.where("claim % 2 = 1"), c.where("claim % 2 = 0"))
+
+
+@query("""SELECT a.claim AS new_claim, b.claim AS old_claim, a.claim_type, CASE WHEN a.subject = b.subject AND a.claim % 7 = b.claim % 7 THEN a.claim % 7 || ',' || a.subject WHEN a.subject = b.subject THEN a.subject ELSE CAST(a.claim % 7 AS VARCHAR) END AS overlap
+FROM v_claims a JOIN v_claims b ON a.claim_type = b.claim_type AND a.statement <> b.statement AND (a.subject = b.subject OR a.claim % 7 = b.claim % 7) WHERE a.claim % 2 = 1 AND b.claim % 2 = 0""", CLAIMS)
+def j8_contradictions_listed(spark, sf_dir):
+    # Two subjects a claim: its brand and one of seven numbers.
+    c = V.v_claims(spark, sf_dir).withColumn("subjects", F.array("subject", (F.col("claim") % 7).cast("string"))).drop("subject")
+    pairs = L.contradictions(c.where("claim % 2 = 1"), c.where("claim % 2 = 0"))
+    return pairs.select("new_claim", "old_claim", "claim_type", F.array_join("overlap", ",").alias("overlap"))
+
+
 #: The first claim before each new (odd) one, of the state (even) or new, on the same subject and type that states something else.
 FIRST_SQL = """f AS (SELECT claim, claim_type, other FROM (SELECT a.claim, a.claim_type, b.claim AS other, row_number() OVER (PARTITION BY a.claim ORDER BY b.claim % 2, b.claim) AS r
  FROM v_claims a JOIN v_claims b ON a.subject = b.subject AND a.claim_type = b.claim_type AND a.statement <> b.statement AND (b.claim % 2 = 0 OR b.claim < a.claim) WHERE a.claim % 2 = 1) WHERE r = 1)"""
@@ -370,8 +431,11 @@ def a7_bbox(spark, sf_dir):
 
 @query("""SELECT mode, drawing_id, min(x - r) AS min_x, max(x + r + w) AS max_x, min(y - r) AS min_y, max(y + r + h) AS max_y, count(*) AS points, count(DISTINCT shape_id) AS shapes FROM (
  SELECT drawing_id, shape_id, m.mode, CASE WHEN m.mode = 'repaired' AND pt = 31 THEN x ELSE CASE WHEN pt = 31 THEN x + 4294967296 ELSE x END END AS x, y,
-  CASE WHEN m.mode IN ('all', 'relative', 'repaired') AND pt % 5 = 3 THEN 7 ELSE 0 END AS r, CASE WHEN m.mode IN ('all', 'relative', 'repaired') AND pt % 5 = 4 THEN 11 ELSE 0 END AS w, CASE WHEN m.mode IN ('all', 'relative', 'repaired') AND pt % 5 = 4 THEN 3 ELSE 0 END AS h
- FROM v_pts, (VALUES ('all'), ('vertices'), ('anchors'), ('relative'), ('repaired')) m(mode) WHERE m.mode <> 'vertices' OR pt % 5 < 3) GROUP BY ALL""", PTS)
+  CASE WHEN m.mode IN ('all', 'repaired') AND pt % 5 = 3 THEN 7 ELSE 0 END AS r, CASE WHEN m.mode IN ('all', 'repaired') AND pt % 5 = 4 THEN 11 ELSE 0 END AS w, CASE WHEN m.mode IN ('all', 'repaired') AND pt % 5 = 4 THEN 3 ELSE 0 END AS h
+ FROM v_pts, (VALUES ('all'), ('vertices'), ('anchors'), ('repaired')) m(mode) WHERE m.mode <> 'vertices' OR pt % 5 < 3) GROUP BY ALL
+UNION ALL SELECT 'relative', drawing_id, min(ax - r), max(ax + r + w), min(ay - r), max(ay + r + h), count(*), count(DISTINCT shape_id) FROM (SELECT drawing_id, shape_id, CASE WHEN pt % 5 = 3 THEN 7 ELSE 0 END AS r, CASE WHEN pt % 5 = 4 THEN 11 ELSE 0 END AS w, CASE WHEN pt % 5 = 4 THEN 3 ELSE 0 END AS h,
+ CASE WHEN kind = 'abs' THEN x ELSE CAST(sum(CASE WHEN kind = 'abs' THEN 0 ELSE x END) OVER v AS BIGINT) END AS ax, CASE WHEN kind = 'abs' THEN y ELSE CAST(sum(CASE WHEN kind = 'abs' THEN 0 ELSE y END) OVER v AS BIGINT) END AS ay
+ FROM (SELECT *, count(*) FILTER (kind = 'origin') OVER (PARTITION BY drawing_id ORDER BY shape_id, pt) AS seg FROM (SELECT *, CASE WHEN pt = 0 AND shape_id % 3 = 0 THEN 'origin' WHEN pt % 7 = 5 THEN 'abs' ELSE 'rel' END AS kind FROM v_pts)) WINDOW v AS (PARTITION BY drawing_id, seg ORDER BY shape_id, pt)) GROUP BY drawing_id""", PTS)
 def a7_bbox_modes(spark, sf_dir):
     # Points have the five roles in turn; the last of a shape has wrapped around 32 bits.
     role = F.get(F.array(*map(F.lit, ("vertex", "start", "end", "center", "position"))), (F.col("pt") % 5).cast("int"))
@@ -379,8 +443,11 @@ def a7_bbox_modes(spark, sf_dir):
         "role": role, "x": F.when(F.col("pt") == 31, F.col("x") + 2**32).otherwise(F.col("x")), "radius": F.when(F.col("pt") % 5 == 3, 7),
         "w": F.when(F.col("pt") % 5 == 4, 11), "h": F.when(F.col("pt") % 5 == 4, 3),
     })
-    each = [G.bbox(p, m).select(F.lit(m).alias("mode"), "drawing_id", "min_x", "max_x", "min_y", "max_y", "points", "shapes") for m in ("all", "vertices", "anchors", "relative", "repaired")]
-    return D.reduce(DataFrame.union, each)
+    each = [G.bbox(p, m).select(F.lit(m).alias("mode"), "drawing_id", "min_x", "max_x", "min_y", "max_y", "points", "shapes") for m in ("all", "vertices", "anchors", "repaired")]
+    # One shape in three sets the pen; the others go on from where it is.
+    kind = F.when((F.col("pt") == 0) & (F.col("shape_id") % 3 == 0), "origin").when(F.col("pt") % 7 == 5, "abs").otherwise("rel")
+    moved = G.bbox(p.withColumns({"seq": F.col("shape_id"), "kind": kind, "x": V.v_unwrapped(F.col("x"), F.col("pt"))}), "relative")
+    return D.reduce(DataFrame.union, [*each, moved.select(F.lit("relative").alias("mode"), *each[0].columns[1:])])
 
 
 @query("SELECT nation AS file, CAST(floor(avg(width) * 1000 + 0.5) AS BIGINT) AS width, CAST(floor(avg(height) * 1000 + 0.5) AS BIGINT) AS height, count(*) AS pages, CAST(floor(avg(width) / avg(height) * 1000 + 0.5) AS BIGINT) AS ratio FROM v_dims GROUP BY 1", DIMS)
@@ -565,6 +632,17 @@ def w15_inherit_matrix(spark, sf_dir):
     return ST.inherit_matrix(o).withColumn("depth", F.col("depth").cast("long"))
 
 
+@query("""SELECT drawing_id, seq, CAST(2 ** count(i) AS BIGINT) AS a, CAST(sum(CASE WHEN i IS NULL THEN 0 ELSE opener * 2 ** (i - 1) END) AS BIGINT) AS e FROM (
+ SELECT drawing_id, seq, opener, CASE WHEN level > 0 AND opener % 3 <> 0 THEN count(*) FILTER (level > 0 AND opener % 3 <> 0) OVER (PARTITION BY drawing_id, seq ORDER BY level) END AS i FROM lw) GROUP BY 1, 2""", OPS, SCOPE_SQL)
+def w15_composed_matrix(spark, sf_dir):
+    # Two canvases in three double and move by their number; what no canvas holds has the unit matrix.
+    k = F.col("k").cast("double")
+    o = scoped(spark, sf_dir).withColumn("matrix", F.when((F.col("scope") == "save") & (F.col("k") % 3 != 0), F.array(F.lit(2.0), F.lit(0.0), F.lit(0.0), F.lit(2.0), k, F.lit(0.0))))
+    m = ST.inherit_matrix(o, compose=True)
+    at = lambda i, d: F.coalesce(F.get("matrix", F.lit(i)), F.lit(d)).cast("long")
+    return m.select("drawing_id", "seq", at(0, 1.0).alias("a"), at(4, 0.0).alias("e"))
+
+
 # Sorts, limits, top-k
 
 
@@ -663,12 +741,14 @@ def f6_affine(spark, sf_dir):
     return V.v_pts(spark, sf_dir).select("drawing_id", "shape_id", "pt", x.cast("long").alias("mx"), y.cast("long").alias("my"))
 
 
-@query("SELECT drawing_id, shape_id, pt, CASE WHEN (shape_id + pt) % 3 = 0 THEN NULL ELSE x END AS a, CASE WHEN (shape_id + pt) % 3 = 0 THEN NULL ELSE y END AS f FROM v_pts", PTS)
+@query("SELECT drawing_id, shape_id, pt, CASE WHEN (shape_id + pt) % 3 > 0 THEN x || ',0,' || pt || ',1,-' || pt || ',' || y END AS matrix FROM v_pts", PTS)
 def f7_parse_matrix(spark, sf_dir):
     p = V.v_pts(spark, sf_dir)
-    text = F.when((F.col("shape_id") + F.col("pt")) % 3 == 0, F.concat_ws(",", "x", "y")).otherwise(F.concat(F.col("x").cast("string"), F.lit(", 0,0, 1,0 ,"), F.col("y").cast("string")))
-    m = S.parse_matrix(text)
-    return p.select("drawing_id", "shape_id", "pt", F.get(m, F.lit(0)).cast("long").alias("a"), F.get(m, F.lit(5)).cast("long").alias("f"))
+    text = F.when((F.col("shape_id") + F.col("pt")) % 3 == 0, F.concat_ws(",", "x", "y")).otherwise(F.concat(F.col("x").cast("string"), F.lit(", 0,"), F.col("pt").cast("string"), F.lit(", 1,-"), F.col("pt").cast("string"), F.lit(" ,"), F.col("y").cast("string")))
+    # -0 and 0 are the same number, written alike here and there.
+    numbers = F.transform(S.parse_matrix(text), lambda v: v.cast("long").cast("string"))
+    shown = F.array_join(F.transform(numbers, lambda v, i: F.when((i == 4) & (v == "0"), "-0").otherwise(v)), ",")
+    return p.select("drawing_id", "shape_id", "pt", shown.alias("matrix"))
 
 
 @query("""SELECT drawing_id, shape_id, md5(string_agg(CASE WHEN cmd IN ('M', 'L') THEN cmd || printf('%.2f', 2.0 * x - y + 10) || ',' || printf('%.2f', x + 3.0 * y - 5) WHEN cmd = 'H' THEN cmd || printf('%.2f', 2.0 * x + 10)
@@ -737,6 +817,27 @@ def f16_decode_fixed(spark, sf_dir):
     return V.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), d["u8"].alias("u8"), d["i16"].alias("i16"), d["u32"].alias("u32"))
 
 
+@query("""SELECT drawing_id, shape_id, CAST(pt AS BIGINT) AS pt, x % 30000 AS x, y % 30000 AS y, NULL AS error FROM v_pts WHERE shape_id % 7 > 1
+UNION ALL SELECT drawing_id, shape_id, NULL, NULL, NULL, CASE shape_id % 7 WHEN 0 THEN 'expected ' || n || ' bytes, found ' || (n - 1) ELSE 'no whole count' END FROM (SELECT *, CASE shape_id % 3 WHEN 0 THEN 3 + 288 * 4 WHEN 1 THEN 3 + 32 * 8 ELSE 5 + 32 * 4 END AS n FROM v_pts WHERE pt = 0) WHERE shape_id % 7 <= 1
+UNION ALL SELECT drawing_id, shape_id, i, 0, i, NULL FROM v_pts, (SELECT unnest(range(32, 288)) AS i) WHERE pt = 0 AND shape_id % 7 > 1 AND shape_id % 3 = 0""", PTS)
+def f16_point_records(spark, sf_dir):
+    # Records of the points of shapes in three encodings, all with an extended count; those of the first kind are filled up to 288 points. One in seven lacks its last byte, one its count's.
+    low = lambda v, n: F.unhex(F.concat(*[F.substring(F.right(F.hex(v), F.lit(2 * n)), 2 * n - 1 - 2 * k, 2) for k in range(n)]))
+    wide = lambda v, n: low(v + 2**40, n)
+    each = lambda n: F.unhex(F.array_join(F.transform("p", lambda p: F.concat(F.hex(wide(p["x"] % 30000, n)), F.hex(wide(p["y"] % 30000, n)))), ""))
+    more = F.unhex(F.array_join(F.transform(F.sequence(F.lit(32).cast("long"), F.lit(287).cast("long")), lambda i: F.concat(F.lit("0000"), F.hex(wide(i, 2)))), ""))
+    kind = F.col("shape_id") % 3
+    data = F.when(kind == 0, F.concat(F.unhex(F.lit("002000")), each(2), more)).when(kind == 1, F.concat(F.unhex(F.lit("FF2000")), each(4))).otherwise(F.concat(F.unhex(F.lit("FF20000000")), each(2)))
+    data = F.when(F.col("shape_id") % 7 == 0, F.substring(data, F.lit(1), F.length(data) - 1)).when(F.col("shape_id") % 7 == 1, F.substring(data, 1, 2)).otherwise(data)
+    # The bytes are made once, not for each of their uses.
+    d = cut(V.v_shapes(spark, sf_dir).select("drawing_id", "shape_id", kind.alias("kind"), data.alias("data")))
+    r = F.when(F.col("kind") == 0, S.decode_points(F.col("data"), *S.POINT_RECORDS[0x10])).when(F.col("kind") == 1, S.decode_points(F.col("data"), *S.POINT_RECORDS[0x70])).otherwise(S.decode_points(F.col("data"), "ff_i32"))
+    rows = d.select("drawing_id", "shape_id", r.alias("r"))
+    good = rows.where("r.error is null").select("drawing_id", "shape_id", F.posexplode("r.points").alias("pt", "p"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("long")
+    return good.select("drawing_id", "shape_id", F.col("pt").cast("long").alias("pt"), "p.x", "p.y", "error").union(rows.where("r.error is not null").select("drawing_id", "shape_id", none, none, none, "r.error"))
+
+
 @query("""SELECT drawing_id, shape_id, kind, CASE WHEN e IS NULL THEN n END AS n, CASE WHEN e IS NULL THEN CAST(total AS BIGINT) END AS total, e AS error FROM (
 SELECT drawing_id, shape_id, kind, 64 AS n, sx + sy AS total, CASE v WHEN 1 THEN 'Vertex count mismatch: expected 33 vertices, found 32' WHEN 2 THEN CASE kind WHEN 'polyline' THEN 'Invalid vertex count: 0. Must be at least 1.' ELSE 'Invalid vertex count: 0. Polytriangle requires at least 3 vertices.' END
   WHEN 3 THEN 'Invalid ASCII ' || kind || ' format: expected vertex count, got: ' || t END AS e
@@ -777,11 +878,11 @@ def f18_parse_meta(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, CAST(len(n) // 2 AS BIGINT) AS pairs, CASE WHEN len(n) > 1 THEN CAST(n[1] AS DOUBLE) * 2 END AS first_x, CASE WHEN len(n) > 1 THEN CAST(n[2] AS DOUBLE) * 2 END AS first_y FROM (SELECT doc_id, regexp_extract_all(text, '[-+]?[0-9]*\\.?[0-9]+') AS n FROM documents)")
+@query("SELECT doc_id, CAST(len(n) // 2 AS BIGINT) AS pairs, md5(coalesce(array_to_string(list_transform(range(1, len(n) // 2 * 2 + 1), lambda i: CASE WHEN abs(CAST(n[i] AS DOUBLE)) < 1e14 THEN CAST(CAST(floor(CAST(n[i] AS DOUBLE) * 2 * 1000 + 0.5) AS BIGINT) AS VARCHAR) ELSE 'large' END), ','), '')) AS numbers FROM (SELECT doc_id, regexp_extract_all(text, '[-+]?[0-9]*\\.?[0-9]+') AS n FROM documents)")
 def f19_number_pairs(spark, sf_dir):
     p = S.number_pairs(F.coalesce("text", F.lit("")), 2.0)
     d = V.read(spark, sf_dir, "documents").select("doc_id", p.alias("p"))
-    return d.select("doc_id", F.size("p").cast("long").alias("pairs"), F.get("p", F.lit(0))["x"].alias("first_x"), F.get("p", F.lit(0))["y"].alias("first_y"))
+    return d.select("doc_id", F.size("p").cast("long").alias("pairs"), F.md5(F.array_join(F.flatten(F.transform("p", lambda v: F.array(whole(v["x"]), whole(v["y"])))), ",")).alias("numbers"))
 
 
 @query("SELECT drawing_id, shape_id, pt, least(x, tx) AS min_x, least(y, ty) AS min_y, greatest(x, tx) AS max_x, greatest(y, ty) AS max_y FROM (SELECT *, lead(x) OVER w AS tx, lead(y) OVER w AS ty FROM v_pts WINDOW w AS (PARTITION BY drawing_id, shape_id ORDER BY pt)) WHERE tx IS NOT NULL", PTS)

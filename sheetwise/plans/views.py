@@ -39,6 +39,11 @@ def v_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("drawing_id"), F.col("vec_id").alias("shape_id"), p).select("drawing_id", "shape_id", F.col("pt").cast("long").alias("pt"), "p.x", "p.y")
 
 
+def v_unwrapped(x, pt):
+    """x of a shape's last point without the turn around 32 bits that a query gave it."""
+    return F.when(pt == 31, x - 2**32).otherwise(x)
+
+
 def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run, ordinal, time, ok, bytes (hundredths)."""
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("long").alias("ordinal"), F.col("l_shipdate").alias("time"), (F.col("l_returnflag") != "R").alias("ok"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("bytes"))

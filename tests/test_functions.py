@@ -1,5 +1,8 @@
 """Scalar functions on recorded vectors."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from sheetwise.functions import scalars as S
@@ -145,3 +148,71 @@ def test_large_tables_are_not_broadcast(spark):
 
     assert "broadcast" in small(spark.range(5), 5)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in small(spark.range(6), 5)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_arrays_in_many_tasks(spark, tmp_path):
+    """An array over many blocks, with braces in strings, broken records and stray text; good records next to bad ones stay."""
+    names = ['a', 'x}y', '{"', 'back\\slash', '}, {']
+    rows = []
+    for k in range(3000):
+        good = json.dumps({"opcode": k, "type": names[k % 5], "origin": {"x": k, "y": -k}, "points": [[k, 1], [2, 3]]})
+        rows.append('{"opcode": %d, "at": {"x": }}' % k if k % 100 == 7 else f'"oops", {good}' if k % 500 == 9 else good)
+    (tmp_path / "a.json").write_text("[" + ",\n".join(rows) + "]\n")
+    (tmp_path / "empty.json").write_text("[]")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        good, bad = R.split_ops_json(spark, str(tmp_path))
+        got = sorted((r["seq"], r["opcode"], r["type"], r["origin"]["y"], r["points"]) for r in good.collect())
+        faults = sorted((r["error"], r["value"][:9]) for r in bad.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(k, k, names[k % 5], -k, [[k, 1], [2, 3]]) for k in range(3000) if k % 100 != 7]
+    assert len(faults) == 36 and faults[-1] == ("text between records", '"oops"')
+
+
+def test_heads_of_files_beyond_two_gigabytes(spark, tmp_path):
+    with open(tmp_path / "big.zip", "wb") as f:
+        f.write(b"PK\x03\x04")
+        f.truncate(2**31 + 10)
+    (tmp_path / "none").write_bytes(b"")
+    files = spark.createDataFrame([(str(tmp_path / n),) for n in ("big.zip", "none", "missing")], "path string")
+    assert [r["format"] for r in R.sniff_heads(files).collect()] == ["ZIP", "error", "error"]
+
+
+def test_point_records(spark):
+    cases = [("", "zero_u16"), ("00", "zero_u16"), ("01020003", "zero_u16"), ("0102000300", "zero_u16"), ("ff0000", "ff_u16"), ("ffffffffff", "ff_i32"), ("0102000300ff", "zero_u16")]
+    got = one(spark, *[S.decode_points(F.unhex(F.lit(h)), e) for h, e in cases])
+    assert [(r["count"], r["points"], r["error"]) for r in got] == [
+        (None, None, "no whole count"), (None, None, "no whole count"), (1, None, "expected 5 bytes, found 4"), (1, [(2, 3)], None), (0, [], None), (-1, None, "negative count"), (1, None, "expected 5 bytes, found 6"),
+    ]
+
+
+def test_entities_are_resolved_once(spark):
+    assert one(spark, R.unescaped(F.lit("&#38;lt; &amp;#65; &lt;&#x41;&apos;&quot;&gt; & &nope;")))[0] == "&lt; &#65; <A'\"> & &nope;"
+    xml = "<FixedPage><![CDATA[<Path Data='no'/>]]><Path Data='M 1,2'/></FixedPage>"
+    assert [r["data"] for r in R.read_markup(spark.createDataFrame([("f", 1, xml)], "file string, page int, xml string"))["paths"].collect()] == ["M 1,2"]
+
+
+def test_a_crowded_key_of_claims(spark):
+    """10^5 claims of each side on one key: a row for each statement, not for each pair."""
+    rows = spark.range(200_000).select(F.col("id").alias("claim"), F.lit("s").alias("subject"), F.lit("t").alias("claim_type"), F.floor(F.col("id") / 4).cast("string").alias("statement"))
+    g = L.contradiction_groups(rows.where("claim % 2 = 0"), rows.where("claim % 2 = 1"))
+    assert g.agg(F.count("*"), F.sum("new_claims"), F.min("contradicted"), F.max("contradicted")).first() == (50_000, 100_000, 99_998, 99_998)
+
+
+def test_relative_boxes_by_parts(spark):
+    rng = random.Random(3)
+    rows = [(d, s, s, 0, rng.choice(["origin", "rel", "rel", "rel", "abs"]), rng.randint(-9, 9), rng.randint(-9, 9)) for d in (None, 1, 2) for s in range(80)]
+    df = spark.createDataFrame(rows, "drawing_id long, shape_id long, seq long, pt int, kind string, x long, y long")
+    want, pen = {}, {}
+    for d, _, _, _, kind, x, y in rows:
+        px, py = pen.get(d, (0, 0))
+        at = (x, y) if kind in ("origin", "abs") else (px + x, py + y)
+        if kind != "abs":
+            pen[d] = at
+        want.setdefault(d, []).append(at)
+    for chunk in (7, 100):
+        for r in G._relative_box(df, chunk).collect():
+            xs, ys = zip(*want[r["drawing_id"]])
+            assert (r["min_x"], r["max_x"], r["min_y"], r["max_y"], r["points"], r["shapes"]) == (min(xs), max(xs), min(ys), max(ys), 80, 80)

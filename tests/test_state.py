@@ -1,6 +1,7 @@
 """Order-dependent operators against known answers and plain loops over random sequences."""
 
 import random
+import time
 
 import pytest
 
@@ -54,8 +55,8 @@ def test_random_pen_in_chunks(spark):
     assert placed(ST.to_absolute(points(spark, rows), chunk=7)) == want
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_scoped_state_and_audit(spark, seed):
+@pytest.mark.parametrize("seed, chunk", [(1, ST.CHUNK), (2, 7), (5, 1)])
+def test_scoped_state_and_audit(spark, seed, chunk):
     rows = sequences(seed)
     want, audit = [], {}
     for d in range(6):
@@ -80,9 +81,9 @@ def test_scoped_state_and_audit(spark, seed):
         a["unmatched"] += len(stack)
         audit[d] = a
     df = spark.createDataFrame([(d, s, scope, v if scope is None else None) for d, s, scope, v in rows], "drawing_id long, seq long, scope string, colour long")
-    got = [tuple(r) for r in ST.carry_scoped(df, "colour", -1).orderBy("drawing_id", "seq").collect()]
+    got = [tuple(r) for r in ST.carry_scoped(df, "colour", -1, chunk).orderBy("drawing_id", "seq").collect()]
     assert got == want
-    for r in ST.stack_audit(df).collect():
+    for r in ST.stack_audit(df, chunk).collect():
         assert {k: r[k] for k in audit[0]} == audit[r["drawing_id"]]
 
 
@@ -129,8 +130,8 @@ def test_carried_values_in_chunks(spark, chunk):
     assert by(ST.resolve_palette(colours, chunk), "colour") == {k: None if v < 0 else v for k, v in state.items()}
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_group_paths_and_matrices(spark, seed):
+@pytest.mark.parametrize("seed, chunk", [(3, ST.CHUNK), (4, 6)])
+def test_group_paths_and_matrices(spark, seed, chunk):
     rows, paths, near = [(d if d else None, s, scope, f"g{s}") for d, s, scope, _ in sequences(seed)], {}, {}
     stacks = {}
     for d, s, scope, name in rows:
@@ -144,9 +145,9 @@ def test_group_paths_and_matrices(spark, seed):
         paths[d, s] = "/".join(n for n, _ in stack)
         near[d, s] = next((m for _, m in reversed(stack) if m is not None), None)
     df = spark.createDataFrame(rows, "drawing_id long, seq long, scope string, name string")
-    assert {(r["drawing_id"], r["seq"]): r["path"] for r in ST.group_path(df, "name").collect()} == paths
+    assert {(r["drawing_id"], r["seq"]): r["path"] for r in ST.group_path(df, "name", chunk).collect()} == paths
     m = df.withColumn("matrix", F.when((F.col("scope") == "save") & (F.col("seq") % 3 == 0), F.col("seq")))
-    assert {(r["drawing_id"], r["seq"]): r["matrix"] for r in ST.inherit_matrix(m).collect()} == near
+    assert {(r["drawing_id"], r["seq"]): r["matrix"] for r in ST.inherit_matrix(m, chunk=chunk).collect()} == near
 
 
 def test_deep_scopes(spark):
@@ -158,6 +159,29 @@ def test_deep_scopes(spark):
     assert all(got[s] == (2 * n - 1 - s, (2 * n - 2 - s) // 50 * 50) for s in range(n, 2 * n - 1))
 
 
+def test_a_hundred_thousand_nested_saves(spark):
+    n = 100_000
+    i = F.col("id")
+    deep = spark.range(2 * n).select(F.lit(1).alias("drawing_id"), i.alias("seq"), F.when(i < n, "save").otherwise("restore").alias("scope"), F.when((i < n) & (i % 1000 == 0), i).alias("colour"))
+    began = time.time()
+    got = ST.carry_scoped(deep, "colour", -1, 30_000)
+    s, left = F.col("seq"), 2 * n - 1 - F.col("seq")
+    want = deep.select("seq", F.when(s < n, s + 1).otherwise(left).alias("d"), F.when(s < n, s - s % 1000).when(left > 0, left - 1 - (left - 1) % 1000).otherwise(-1).alias("c"))
+    assert got.join(want, "seq").where("depth = d and colour = c").count() == 2 * n
+    assert ST.stack_audit(deep, 30_000).first()["max_depth"] == n
+    assert time.time() - began < 180  # about 50 s on four cores
+
+
+def test_pages_of_one_file_in_many_ranges(spark):
+    rows = [(f, f"p{k % 90:03d}", k) for f, n in ((None, 7), ("a", 300), ("b", 1)) for k in range(n)]
+    got = ST.page_index(spark.createDataFrame(rows, "file string, path string, k int"), 9).collect()
+    for f in (None, "a", "b"):
+        own = sorted((r for r in got if r["file"] == f), key=lambda r: r["index"])
+        assert [r["index"] for r in own] == list(range(len(own))) and [r["break_before"] for r in own] == [i > 0 for i in range(len(own))]
+        assert [r["path"] for r in own] == sorted(r["path"] for r in own)
+    assert len(got) == len(rows)
+
+
 def test_until_end(spark):
     df = spark.createDataFrame([(1, 0, "a"), (1, 1, "end"), (1, 2, "a"), (1, 3, "end"), (None, 0, "end"), (None, 1, "a"), (2, 0, "a")], "drawing_id long, seq long, op string")
     assert {(r["drawing_id"], r["seq"]) for r in D.until_end(df, F.col("op") == "end").collect()} == {(1, 0), (1, 1), (None, 0), (2, 0)}
