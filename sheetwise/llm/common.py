@@ -65,12 +65,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def pieces(batches, text: int, most: int = 4_000_000):
-    """Arrow batches cut so that their text columns hold about most bytes, which bounds what a task has in memory."""
+def pieces(batches, text: int, most: int = 4_000_000, rows: int = 256):
+    """Arrow batches cut so that their text columns hold about most bytes in rows rows at most, which bounds what a task has in memory."""
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            n = min(256, batch.num_rows - at)
+            n = min(rows, batch.num_rows - at)
             while n > 1 and batch.column(text).slice(at, n).nbytes > most:
                 n //= 2
             yield batch.slice(at, n)

@@ -19,8 +19,8 @@ from .common import pieces as by_bytes
 
 #: The file of public_tokenizers whose ids are written, and the id that ends each document.
 VOCABULARY, END = "byte_bpe_50k.json", 2
-#: Bytes of text that are encoded at once, and words that a task remembers, at most twice as many.
-BYTES, KNOWN = 4_000_000, 500_000
+#: Bytes and rows of text that are encoded at once (a batch finds its distinct words, so short texts are taken together), and words that a task remembers, at most twice as many.
+BYTES, ROWS, KNOWN = 4_000_000, 100_000, 500_000
 #: Bytes of a row group and of a page, and rows of a row group, at most.
 GROUP, PAGE, GROUP_ROWS = 32 << 20, 1 << 20, 100_000
 
@@ -137,7 +137,7 @@ def encode_ordered(docs: DataFrame, spec: str, end: int = END) -> DataFrame:
         from pyspark import TaskContext
 
         enc, part, at = _encoder(shared.value), TaskContext.get().partitionId(), 0
-        for b in by_bytes(batches, 1, BYTES):
+        for b in by_bytes(batches, 1, BYTES, ROWS):
             ids, n = enc.batch(b.column(1).cast(pa.string()))
             reach = np.cumsum(n)
             ids = np.insert(ids, reach, end).astype(np.int32)
