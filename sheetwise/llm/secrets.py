@@ -27,7 +27,9 @@ _NAME = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9_.-]{{0,24}}?{NAMED}[A-Za-z0-9_.-]{{0,
 _VALUE = r"[^\s\"'`,;<>(){}\[\]]{6,}+"
 #: Runs of 16 and more of the characters that keys, tokens and hashes are written in.
 _RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
-CANDIDATE = f"{_NAME}{_VALUE}|{_RUN}"
+#: What stands for a password before the host of an address.
+_USER, _PASSWORD = r"://[^\s/:@]{0,64}+:", r"[^\s/@]{4,}+"
+CANDIDATE = f"{_USER}{_PASSWORD}(?=@)|{_NAME}{_VALUE}|{_RUN}"
 #: Parts of names and prose that random strings lack.
 DICTIONARY = (
     "the and for with that this from have not you all was are name file data test user value type class index list page image style "
@@ -59,14 +61,15 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
 def candidates(docs: DataFrame) -> DataFrame:
     """docs (key, text) -> key, start, end, value, before, after: a row for each candidate, with its neighbouring words.
 
-    A candidate is what is assigned to a secret's name, from 6 characters on, or else a run of 16 and more key characters.
+    A candidate is a password of 4 and more characters in an address, what is assigned to a secret's name, from 6 characters on, or else a run of 16 and
+    more key characters.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def rows(slices: Column) -> Column:
         def row(m: Column) -> Column:
-            named = F.regexp_extract(m["text"], f"^{_NAME}({_VALUE})$", 1)
-            value = F.when(named != "", named).otherwise(m["text"])
+            inner = F.when(m["text"].startswith("://"), F.regexp_extract(m["text"], f"^{_USER}({_PASSWORD})$", 1)).otherwise(F.regexp_extract(m["text"], f"^{_NAME}({_VALUE})$", 1))
+            value = F.when(inner != "", inner).otherwise(m["text"])
             start = m["end"] - F.length(value)
             return F.struct(
                 start.alias("start"), m["end"].alias("end"), value.alias("value"),
@@ -82,7 +85,7 @@ def planted(spark: SparkSession, seed: int = 0, forms: int = MADE) -> DataFrame:
     """(value, before, after, label): made-up findings whose labels are known because they were made so, forms of each kind.
 
     Secrets: digests, keys and passwords, assigned or not. Others: digests that surroundings name as such, names, paths, dates, card numbers,
-    placeholders, and code or prose that is assigned to a secret's name. Both kinds come in the same surroundings as well.
+    placeholders, and code or prose that is assigned to a secret's name. Both kinds come in the same surroundings as well, and in addresses.
     """
     i = F.col("i")
     base = spark.range(forms).select(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).alias("i"))
@@ -115,6 +118,8 @@ def planted(spark: SparkSession, seed: int = 0, forms: int = MADE) -> DataFrame:
     kinds = [(v, named, F.concat(quote, after), 1) for v in secrets] + [(v, plain, after, 1) for v in secrets[1:4]]
     kinds += [(v, plain, after, 0) for v in wording] + [(v, named, F.concat(quote, after), 0) for v in [*filler, *wording[:2]]]
     kinds += [(v, F.concat(plain, digest), after, 0) for v in (secrets[0], secrets[4])]
+    address = F.concat(plain, pick("h", ["postgres", "https", "redis", "amqp", "mysql"]), F.lit("://"), word("o"), F.lit(":"))
+    kinds += [(v, address, F.lit("@host"), 1) for v in (secrets[3], secrets[5], secrets[6])] + [(v, address, F.lit("@host"), 0) for v in filler[:2]]
     kinds += [(wording[2], F.lit("https://"), F.lit(".html"), 0), (wording[4], F.lit("card "), after, 0)]
     each = F.explode(F.array(*[F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(y).alias("label")) for v, b, a, y in kinds]))
     return base.select(each.alias("c")).select("c.*")

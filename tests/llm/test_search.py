@@ -137,3 +137,17 @@ def test_secrets_in_many_documents_stay_secrets(spark):
 def test_mixing_keeps_rows_apart_whose_nulls_differ(spark):
     docs = spark.createDataFrame([(1, "w " * 50, "en", None, 100), (1, None, "en", "w " * 50, 0), (2, "v " * 60, "en", "s", 120)], "doc_id long, text string, lang string, source string, n_chars long")
     assert all(r["text"] is not None for r in stages.mixing(spark, docs, "").collect())
+
+
+def test_passwords_in_addresses(spark):
+    rows = [
+        (1, "db postgres://bob:hunter2secret@db.host/main"), (2, "REDIS=redis://:Xk29vQz7Lp@cache:6379"), (3, "see http://host:8080/a@b and https://example.org/x"),
+        (4, "amqp://user:changeme@host"), (5, None), (6, "://u:" + "abc"), (7, "x " * 5000 + "mysql://root:T3st!9431pass@db"),
+    ]
+    found = secrets.candidates(spark.createDataFrame(rows, "key long, text string"))
+    plain = re.compile(r"://[^\s/:@]{0,64}:([^\s/@]{4,})(?=@)")
+    want = {(k, m[1], m.start(1)) for k, t in rows for m in plain.finditer(t or "")}
+    got = {(r["key"], r["value"], r["start"]) for r in found.where("before rlike '://[^ /@]*:$'").collect()}
+    assert got == want and {k for k, _, _ in want} == {1, 2, 4, 7}
+    flagged = {r["id"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "id long, text string")).where("n_secrets > 0").collect()}
+    assert flagged == {1, 2, 7}
