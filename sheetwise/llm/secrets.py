@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,7 +32,9 @@ _RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: What stands for a password before the host of an address.
 _USER, _PASSWORD = r"://[^\s/:@]{0,64}+:", r"[^\s/@]{4,}+"
 CANDIDATE = f"{_USER}{_PASSWORD}(?=@)|{_NAME}{_VALUE}|{_RUN}"
-#: Parts of names and prose that random strings lack.
+#: The most frequent words of the corpus that its dictionary takes, and their length.
+WORDS, WORD = 2000, r"(?<![\p{L}\p{N}_+/=-])\p{Ll}{3,12}+(?![\p{L}\p{N}_+/=-])"
+#: Parts of names and prose that random strings lack; what the corpus uses comes on top.
 DICTIONARY = (
     "the and for with that this from have not you all was are name file data test user value type class index list page image style "
     "key time date text line code http html main home node item path size color width block version number string table "
@@ -40,21 +44,43 @@ DICTIONARY = (
 FEATURES = ["length", "vowels", "dots", "digits", "uppers", "symbols", "hex", "distinct", "changes", "words", "path", "named", "assigned", "quoted", "harmless"]
 
 
-def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
-    """The numbers that the forest sees; shares are of the candidate's length."""
+def _tree(words: list[str]) -> str:
+    """A pattern for the longest of words at a place, with their beginnings shared; words hold letters only."""
+    rest = sorted({w for w in words if w})
+    if not rest:
+        return ""
+    branches = [head + _tree([w[1:] for w in group]) for head, group in groupby(rest, key=lambda w: w[0])]
+    return f"(?:{'|'.join(branches)})" + ("?" if "" in words else "")
+
+
+def dictionary(docs: DataFrame, found: DataFrame) -> list[str]:
+    """DICTIONARY and the WORDS most frequent words of docs (key, text), ties by code point; at most WORDS rows reach the driver.
+
+    What stands in a found value (value, before) after a secret's name or in an address is left out, so that a shared password is no word for being shared.
+    """
+    runs = lambda c, pattern: F.explode(F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))).alias("word")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = found.where(F.col("before").rlike(f"{NAMED}.{{0,24}}{ASSIGNED}") | F.col("before").rlike(f"{_USER}$"))
+    counted = docs.select(runs(text, WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    top = counted.join(kept.select(runs(F.col("value"), r"\p{Ll}{3,}+")).distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(WORDS)
+    return sorted({*DICTIONARY, *(r["word"] for r in top.collect())})
+
+
+def features(value: Column, before: Column, after: Column, known: list[str] = DICTIONARY) -> dict[str, Column]:
+    """The numbers that the forest sees; shares are of the candidate's length. known: the words of the dictionary."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")
-    known = F.lower(F.regexp_replace(value, f"(?i)(?:{'|'.join(sorted(DICTIONARY, key=len, reverse=True))})", ""))
+    left = F.regexp_replace(F.lower(value), _tree(known), "")
     return {
         "length": F.least(n, F.lit(200.0)), "vowels": share("(?i)[aeiou]"), "dots": share("[.:]"),
         "digits": share("[0-9]"), "uppers": share("[A-Z]"), "symbols": share("[^A-Za-z0-9]"), "hex": share("[0-9a-f]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
         "changes": share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
-        "words": 1 - F.length(known) / n,
+        "words": 1 - F.length(left) / n,
         "path": flag(value.contains("/") | before.rlike(r"[/\\.]$|://\S*$") | after.rlike(r"^[/\\.][a-z]")),
         "named": flag(before.rlike(NAMED)), "assigned": flag(before.rlike(ASSIGNED)),
-        "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")), "harmless": flag(before.rlike(HARMLESS)),
+        "quoted": flag(before.rlike("[\"'`]\\z") & after.rlike("^[\"'`]")), "harmless": flag(before.rlike(HARMLESS)),
     }
 
 
@@ -81,8 +107,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.explode(let(sliced(text), rows)).alias("c")).select("key", "c.*")
 
 
-def planted(spark: SparkSession, seed: int = 0, forms: int = MADE) -> DataFrame:
-    """(value, before, after, label): made-up findings whose labels are known because they were made so, forms of each kind.
+def planted(spark: SparkSession, seed: int = 0, forms: int = MADE, known: list[str] = DICTIONARY) -> DataFrame:
+    """(value, before, after, label): made-up findings whose labels are known because they were made so, forms of each kind, of words of known.
 
     Secrets: digests, keys and passwords, assigned or not. Others: digests that surroundings name as such, names, paths, dates, card numbers,
     placeholders, and code or prose that is assigned to a secret's name. Both kinds come in the same surroundings as well, and in addresses.
@@ -91,7 +117,7 @@ def planted(spark: SparkSession, seed: int = 0, forms: int = MADE) -> DataFrame:
     base = spark.range(forms).select(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).alias("i"))
     num = lambda k, n: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n)).cast("int")
     pick = lambda k, xs: F.get(F.array(*map(F.lit, xs)), num(k, len(xs)))
-    word = lambda k: pick(k, DICTIONARY)
+    word = lambda k: F.get(F.split(F.lit(" ".join(known)), " "), num(k, len(known)))
     raw = lambda k: F.base64(F.unhex(F.sha2(F.concat(i, F.lit(k)), 256)))
     secret_name = pick("n", ["token", "api_key", "secret", "password", "AWS_SECRET_ACCESS_KEY", "client-key", "db_passwd", "access_key", "auth_token"])
     sign = pick("s", [" = ", "=", ": ", ":", " : "])
@@ -125,7 +151,7 @@ def planted(spark: SparkSession, seed: int = 0, forms: int = MADE) -> DataFrame:
     return base.select(each.alias("c")).select("c.*")
 
 
-def labelled_findings(found: DataFrame) -> DataFrame:
+def labelled_findings(found: DataFrame, known: list[str] = DICTIONARY) -> DataFrame:
     """(value, before, after, label): planted findings, and found values (key, value, before, after) that are wording of the corpus.
 
     Wording has no digit, stands in several surroundings and never follows a secret's name. How often a value is copied is no ground for a
@@ -135,17 +161,17 @@ def labelled_findings(found: DataFrame) -> DataFrame:
         F.count_distinct("before", "after").alias("kinds"), F.bool_or(F.col("before").rlike(NAMED)).alias("named"), F.min(F.struct("before", "after")).alias("one")
     )
     own = plain.where((F.col("kinds") >= SURROUNDINGS) & ~F.col("named")).select("value", "one.before", "one.after", F.lit(0).alias("label"))
-    return own.union(planted(found.sparkSession))
+    return own.union(planted(found.sparkSession, known=known))
 
 
-def fit_forest(labelled: DataFrame) -> RandomForestClassificationModel:
+def fit_forest(labelled: DataFrame, known: list[str] = DICTIONARY) -> RandomForestClassificationModel:
     """A forest from labelled findings (value, before, after, label 0 or 1): of each class the FINDINGS of smallest hash, so that reruns agree."""
     rows = labelled.where("label in (0, 1)")
     sample = None
     for y in (0, 1):
         own = rows.where(F.col("label") == y).orderBy(F.xxhash64("value", "before", "after"), "value", "before", "after").limit(FINDINGS)
         sample = own if sample is None else sample.union(own)
-    data = sample.select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after")).items()])
+    data = sample.select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after"), known).items()])
     data = cut(data.repartition(1).sortWithinPartitions("label", *FEATURES))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label")
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data))
@@ -160,8 +186,9 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
     """
     keyed = docs.select("id", "text", F.xxhash64("id", "text").alias("key"))
     found = cut(candidates(keyed.select("key", "text")).distinct())
-    model = fit_forest(labelled if labelled is not None else labelled_findings(found))
-    rated = found.select("key", "start", "end", *[c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after")).items()])
+    known = dictionary(docs, found)
+    model = fit_forest(labelled if labelled is not None else labelled_findings(found, known), known)
+    rated = found.select("key", "start", "end", *[c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after"), known).items()])
     rated = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rated))
     score = F.round(F.get(vector_to_array("probability"), F.lit(1)), 4)
     per = rated.select("key", "start", "end", score.alias("score")).groupBy("key").agg(

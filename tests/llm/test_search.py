@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sheetwise.llm import lexical, oracles, queries, secrets, spelling, stages, token_files
 
@@ -151,3 +152,54 @@ def test_passwords_in_addresses(spark):
     assert got == want and {k for k, _, _ in want} == {1, 2, 4, 7}
     flagged = {r["id"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "id long, text string")).where("n_secrets > 0").collect()}
     assert flagged == {1, 2, 7}
+
+
+def plain_candidates(text):
+    """(start, end, value, before, after) of each candidate, by Python's own patterns."""
+    for m in re.finditer(secrets.CANDIDATE, text, re.A):
+        pattern = f"{secrets._USER}({secrets._PASSWORD})" if m[0].startswith("://") else f"{secrets._NAME}({secrets._VALUE})"
+        inner = re.fullmatch(pattern, m[0], re.A)
+        value = inner[1] if inner else m[0]
+        start, end = m.end() - len(value), m.end()
+        yield start, end, value, text[max(0, start - secrets.REACH) : start], text[end : end + secrets.REACH]
+
+
+def plain_features(value, before, after, known):
+    """The forest's numbers by loops over characters."""
+    n = len(value)
+    kinds = ["a" if c in "abcdefghijklmnopqrstuvwxyz" else "A" if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else "0" if c in "0123456789" else "." for c in value]
+    covered, at, low = 0, 0, value.lower()
+    while at < n:
+        step = max((len(w) for w in known if low.startswith(w, at)), default=0)
+        covered, at = covered + step, at + max(step, 1)
+    has = lambda pattern, t: float(bool(re.search(pattern, t, re.A)))
+    quote = before[-1:] in ('"', "'", "`") and after[:1] in ('"', "'", "`")
+    path = "/" in value or has(r"[/\\.]$|://\S*$", before) or has(r"^[/\\.][a-z]", after)
+    changes = sum((a, b) in {("a", "A"), ("a", "0"), ("A", "0"), ("0", "a"), ("0", "A")} for a, b in zip(kinds, kinds[1:]))
+    return [
+        min(n, 200), sum(c in "aeiouAEIOU" for c in value) / n, sum(c in ".:" for c in value) / n, kinds.count("0") / n, kinds.count("A") / n, kinds.count(".") / n,
+        sum(c in "0123456789abcdef" for c in value) / n, len(set(value)) / min(n, 64), changes / n, covered / n, float(path), has(secrets.NAMED, before),
+        has(secrets.ASSIGNED, before), float(quote), has(secrets.HARMLESS, before),
+    ]
+
+
+def test_secret_candidates_and_features_by_loops(spark):
+    rng = random.Random(7)
+    bits = ["token", "API_KEY", "db_password", " = ", "=", ": ", ":", '"', "'", "`", " ", "\n", "://", "user", "@", "host/", "sha1 ", "pwd", "aZ09" * 5, "hunter2!x", "page", "é😀", ".html", "a/b", "0f" * 20, "(", ";"]
+    texts = [None, "", "x" * 9000 + ' token="abc9!defg"'] + ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(400)]
+    known = ["pag", "page", "host", "hunter", "token", "ing"]
+    found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "key long, text string"))
+    seen = found.select("*", *[c.alias(f"f_{k}") for k, c in secrets.features(F.col("value"), F.col("before"), F.col("after"), known).items()]).collect()
+    want = sorted((k, *c) for k, t in enumerate(texts) for c in plain_candidates(t or ""))
+    assert sorted((r["key"], r["start"], r["end"], r["value"], r["before"], r["after"]) for r in seen) == want and len(want) > 500
+    for r in seen:
+        assert [r[f"f_{k}"] for k in secrets.FEATURES] == pytest.approx(plain_features(r["value"], r["before"], r["after"], known)), r
+
+
+def test_dictionary_of_the_corpus(spark):
+    rows = [(1, "Zebra zebra quagga, xy quagga"), (2, 'my password = "quagga77" zebra'), (3, None), (4, "x_zebra zebra9 é")]
+    docs = spark.createDataFrame(rows, "key long, text string")
+    words = set(secrets.dictionary(docs, secrets.candidates(docs)))
+    # What is a password somewhere is no word; short runs and parts of names aren't either.
+    assert words == {*secrets.DICTIONARY, "zebra", "password"}
+    assert set(secrets.dictionary(docs.where("key > 9"), secrets.candidates(docs.where("key > 9")))) == set(secrets.DICTIONARY)
