@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.functions import scalars as S
@@ -216,3 +217,34 @@ def test_relative_boxes_by_parts(spark):
         for r in G._relative_box(df, chunk).collect():
             xs, ys = zip(*want[r["drawing_id"]])
             assert (r["min_x"], r["max_x"], r["min_y"], r["max_y"], r["points"], r["shapes"]) == (min(xs), max(xs), min(ys), max(ys), 80, 80)
+
+
+@pytest.mark.parametrize("listed", [False, True])
+def test_contradictions_in_blocks(spark, monkeypatch, listed):
+    # Crowded keys cut into many blocks give each pair once; claims without subject, type or statement none. No plan shuffles pairs.
+    monkeypatch.setattr(L, "SIDE", 3)
+    rng = random.Random(5)
+    pick = lambda xs: rng.choice([*xs, None]) if rng.random() < 0.2 else rng.choice(xs)
+    kind = "array<string>" if listed else "string"
+    sides = []
+    for start in (0, 100):
+        sides.append([(start + i % 25, [pick("abc") for _ in range(rng.randrange(4))] if listed else pick("ab"), pick("tu"), pick("xyz")) for i in range(30)])
+    dfs = [spark.createDataFrame(x, f"claim long, {'subjects' if listed else 'subject'} {kind}, claim_type string, statement string") for x in sides]
+    want = {}
+    for n in sides[0]:
+        for o in sides[1]:
+            if n[2] and n[2] == o[2] and n[3] and o[3] and n[3] != o[3]:
+                shared = [s for s in (set(n[1]) & set(o[1]) if listed else {n[1]} & {o[1]}) if s]
+                if shared and listed:
+                    want.setdefault((n[0], o[0], n[2], n[3], o[3]), set()).update(shared)
+                elif shared:
+                    want.setdefault((n[0], o[0], n[2], n[3], o[3], n[1]), []).append(1)
+    found = L.contradictions(*dfs)
+    key = ["new_claim", "old_claim", "claim_type", "new_statement", "old_statement"]
+    if listed:
+        got = [(tuple(r[k] for k in key), r["overlap"]) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == {k: sorted(v) for k, v in want.items()}
+    else:
+        assert sorted(tuple(r[k] for k in [*key, "subject"]) for r in found.collect()) == sorted(k for k, v in want.items() for _ in v)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Aggregate" not in plan[: plan.index("Join")]
