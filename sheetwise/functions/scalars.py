@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -289,45 +290,58 @@ def parse_ascii_geom(kind: str, s: Column) -> Column:
     return F.struct(F.when(error.isNull(), nums).alias("values"), error.alias("error"))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def parse_meta(name: str, s: Column) -> Column:
     """The fields of a metadata text, null where it is malformed.
 
     PlotInfo: show or hide, rotation, unit mm or in, paper, printable area, six numbers. Units: a quoted name and six numbers. InkedArea: just
     four points in brackets. View: two points, or a quoted name. NamedView: two points and a name. Others: a value, quoted or not.
+    Texts, tokens and matches are each computed once; who takes several fields should keep the struct in a column of its own first.
     """
     body = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\)+$", "") if name != "InkedArea" else s
-    tokens = F.split(F.regexp_replace(body, r"^\s+|\s+$", ""), r"\s+")
     numbers = lambda ts: F.transform(ts, lambda x: x.try_cast("double"))
     whole = lambda ns, n: (F.size(ns) == n) & F.forall(ns, lambda x: x.isNotNull())
     if name == "PlotInfo":
-        flag, unit = F.lower(F.get(tokens, F.lit(0))), F.lower(F.get(tokens, F.lit(2)))
-        ns = numbers(F.concat(F.slice(tokens, 2, 1), F.slice(tokens, 4, 12)))
-        num = lambda i: F.get(ns, F.lit(i))
-        fine = flag.isin("show", "hide") & unit.isin("mm", "in") & whole(ns, 13)
-        return F.when(fine, F.struct(
-            (flag == "show").alias("show"), num(0).alias("rotation"), unit.alias("unit"), num(1).alias("width"), num(2).alias("height"),
-            F.slice(ns, 4, 4).alias("area"), F.slice(ns, 8, 6).alias("matrix"),
-        ))
+
+        def plot(p: Column) -> Column:
+            flag, unit, ns = p["flag"], p["unit"], p["ns"]
+            num = lambda i: F.get(ns, F.lit(i))
+            fine = flag.isin("show", "hide") & unit.isin("mm", "in") & whole(ns, 13)
+            return F.when(fine, F.struct(
+                (flag == "show").alias("show"), num(0).alias("rotation"), unit.alias("unit"), num(1).alias("width"), num(2).alias("height"),
+                F.slice(ns, 4, 4).alias("area"), F.slice(ns, 8, 6).alias("matrix"),
+            ))
+
+        parts = lambda ts: F.struct(F.lower(F.get(ts, F.lit(0))).alias("flag"), F.lower(F.get(ts, F.lit(2))).alias("unit"), numbers(F.concat(F.slice(ts, 2, 1), F.slice(ts, 4, 12))).alias("ns"))
+        return bound(bound(F.split(F.regexp_replace(body, r"^\s+|\s+$", ""), r"\s+"), parts), plot)
     if name == "Units":
-        ns = numbers(F.split(F.regexp_extract(body, r'^"[^"]*"\s*(.*?)\s*$', 1), r"\s+"))
-        return F.when(body.rlike(r'^"[^"]*"') & whole(ns, 6), F.struct(F.regexp_extract(body, r'^"([^"]*)"', 1).alias("name"), ns.alias("matrix")))
+        parts = lambda b: F.struct(b.alias("b"), numbers(F.split(F.regexp_extract(b, r'^"[^"]*"\s*(.*?)\s*$', 1), r"\s+")).alias("ns"))
+        return bound(bound(body, parts), lambda p: F.when(p["b"].rlike(r'^"[^"]*"') & whole(p["ns"], 6), F.struct(F.regexp_extract(p["b"], r'^"([^"]*)"', 1).alias("name"), p["ns"].alias("matrix"))))
     if name == "InkedArea":
-        xs, ys = (F.regexp_extract_all(s, F.lit(_PAIR), F.lit(k)) for k in (1, 2))
-        return F.when(F.size(xs) == 4, F.zip_with(xs, ys, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))))
+        xy = F.struct(*[F.regexp_extract_all(s, F.lit(_PAIR), F.lit(k)).alias(c) for k, c in ((1, "x"), (2, "y"))])
+        return bound(xy, lambda p: F.when(F.size(p["x"]) == 4, F.zip_with(p["x"], p["y"], lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))))
     if name in ("View", "NamedView"):
         point = r"(-?[0-9]+)\s*,\s*(-?[0-9]+)"
         named = r"(?:'([^']*)'|\"([^\"]*)\"|(\S+))"
         pattern = rf"^\s*{point}\s+{point}" + (rf"\s+{named}" if name == "NamedView" else "") + r"\s*$"
-        at = lambda k: F.regexp_extract(body, pattern, k).try_cast("long")
-        box = F.when(body.rlike(pattern), F.array(*[at(k) for k in range(1, 5)]))
-        if name == "NamedView":
-            own = F.concat(*[F.regexp_extract(body, pattern, k) for k in (5, 6, 7)])
-            return F.when(box.isNotNull(), F.struct(box.alias("box"), own.alias("name")))
         quoted = r"^\s*(?:'([^']*)'|\"([^\"]*)\")\s*$"
-        own = F.when(body.rlike(quoted), F.concat(F.regexp_extract(body, quoted, 1), F.regexp_extract(body, quoted, 2)))
-        return F.when(box.isNotNull() | own.isNotNull(), F.struct(box.alias("box"), own.alias("name")))
+
+        def box(b: Column) -> Column:
+            return F.when(b.rlike(pattern), F.array(*[F.regexp_extract(b, pattern, k).try_cast("long") for k in range(1, 5)]))
+
+        def own(b: Column) -> Column:
+            if name == "NamedView":
+                return F.concat(*[F.regexp_extract(b, pattern, k) for k in (5, 6, 7)])
+            return F.when(b.rlike(quoted), F.concat(F.regexp_extract(b, quoted, 1), F.regexp_extract(b, quoted, 2)))
+
+        some = lambda v: v["box"].isNotNull() if name == "NamedView" else v["box"].isNotNull() | v["name"].isNotNull()
+        return bound(bound(body, lambda b: F.struct(box(b).alias("box"), own(b).alias("name"))), lambda v: F.when(some(v), v))
     quoted = r"^(?:\"([^\"]*)\"|'([^']*)').*$"
-    return F.nullif(F.when(body.rlike(quoted), F.concat(F.regexp_extract(body, quoted, 1), F.regexp_extract(body, quoted, 2))).otherwise(F.trim(body)), F.lit(""))
+    return bound(body, lambda b: F.nullif(F.when(b.rlike(quoted), F.concat(F.regexp_extract(b, quoted, 1), F.regexp_extract(b, quoted, 2))).otherwise(F.trim(b)), F.lit("")))
 
 
 def number_pairs(s: Column, scale: float = 1.0) -> Column:

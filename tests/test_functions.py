@@ -248,3 +248,10 @@ def test_contradictions_in_blocks(spark, monkeypatch, listed):
         assert sorted(tuple(r[k] for k in [*key, "subject"]) for r in found.collect()) == sorted(k for k, v in want.items() for _ in v)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_metadata_texts_are_parsed_once(spark):
+    meta = S.parse_meta("PlotInfo", F.concat(F.lit("show 90 mm 5.5 20 0 0 5 6 1 0 0 1 0 "), F.col("id").cast("string"), F.lit(")")))
+    rows = spark.range(2).select(meta.alias("m")).select("m.show", "m.unit", "m.width", F.col("m.matrix")[5].alias("f"), F.col("m.area")[1].alias("b"))
+    assert [tuple(r) for r in rows.collect()] == [(True, "mm", 5.5, float(i), 0.0) for i in range(2)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
