@@ -214,14 +214,26 @@ def read_html(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found(r'<a href="([^"]*)"', "href"), found(r"<h1>([^<]*)</h1>", "heading")
 
 
+#: A character that no XML text may hold, whatever its version.
+BETWEEN = "\uffff"
+
+
 def read_descriptor(files: DataFrame) -> dict[str, DataFrame]:
-    """files (file, xml) -> page (name, plot order), its first paper, and all name and value properties, repeated names included."""
-    one = lambda tag, a: F.nullif(F.xpath_string("xml", F.lit(f"(//*[local-name()='{tag}'])[1]/@{a}")), F.lit(""))
+    """files (file, xml) -> page (name, plot order), its first paper, and all name and value properties, repeated names included.
+
+    An XML text is parsed anew by each path that is sought in it, which is what a descriptor costs. So all single values come from one path, and what
+    was found is kept: three parses a file, however many of the tables are used. Files are dealt to all tasks first, since a table of short texts has few splits.
+    """
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [f"string((//*[local-name()='{tag}'])[1]/@{a})" for tag, a in (("Page", "name"), ("Page", "plotOrder"), *[("Paper", a) for a in ("width", "height", "units", "color")])]
     all_ = lambda a: F.xpath("xml", F.lit(f"//*[local-name()='Property']/@{a}"))
+    single = F.split(F.xpath_string("xml", F.lit("concat(" + f", '{BETWEEN}', ".join(at) + ")")), BETWEEN, -1)
+    found = cut(files.repartition(n, "file").select("file", single.alias("single"), F.arrays_zip(all_("name").alias("name"), all_("value").alias("value")).alias("p")))
+    one = lambda i: F.nullif(F.get("single", F.lit(i)), F.lit(""))
     return {
-        "page": files.select("file", one("Page", "name").alias("name"), one("Page", "plotOrder").try_cast("double").alias("plot_order")),
-        "paper": files.select("file", *[one("Paper", a).alias(f"paper_{a}") for a in ("width", "height", "units", "color")]),
-        "properties": files.select("file", F.posexplode(F.arrays_zip(all_("name").alias("name"), all_("value").alias("value"))).alias("ord", "p")).select("file", "ord", "p.name", "p.value"),
+        "page": found.select("file", one(0).alias("name"), one(1).try_cast("double").alias("plot_order")),
+        "paper": found.select("file", *[one(i).alias(f"paper_{a}") for i, a in enumerate(("width", "height", "units", "color"), 2)]),
+        "properties": found.select("file", F.posexplode("p").alias("ord", "p")).select("file", "ord", "p.name", "p.value"),
     }
 
 

@@ -255,3 +255,13 @@ def test_metadata_texts_are_parsed_once(spark):
     rows = spark.range(2).select(meta.alias("m")).select("m.show", "m.unit", "m.width", F.col("m.matrix")[5].alias("f"), F.col("m.area")[1].alias("b"))
     assert [tuple(r) for r in rows.collect()] == [(True, "mm", 5.5, float(i), 0.0) for i in range(2)]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_descriptor_parses_each_text_three_times(spark):
+    # Values may be empty, hold entities or be missing; what was parsed is kept, so that no table of the result parses again.
+    xml = '<a xmlns:e="urn:e"><e:Page name="&lt;p&gt; , " plotOrder=""/><e:Paper units="mm"/><e:Paper width="9"/><e:Property name="x" value=""/><e:Property name="x" value="2"/></a>'
+    d = R.read_descriptor(spark.createDataFrame([("f", xml), ("g", "<b/>"), ("h", None)], "file string, xml string"))
+    assert sorted(tuple(r) for r in d["page"].collect()) == [("f", "<p> , ", None), ("g", None, None), ("h", None, None)]
+    assert sorted(tuple(r) for r in d["paper"].collect()) == [("f", None, None, "mm", None), ("g", None, None, None, None), ("h", None, None, None, None)]
+    assert sorted(tuple(r) for r in d["properties"].collect()) == [("f", 0, "x", ""), ("f", 1, "x", "2")]
+    assert all("xpath" not in t._jdf.queryExecution().optimizedPlan().toString() for t in d.values())
