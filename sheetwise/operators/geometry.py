@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import affine, transform_path
 from .kept import cut
-from .state import CHUNK, inherit_matrix
+from .state import CHUNK, framed, inherit_matrix
 
 #: Standard pages, width and height in points. Fixed values.
 PAGES = [
@@ -81,13 +81,20 @@ def _relative_box(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return box.join(shapes, box["drawing_id"].eqNullSafe(shapes["_d"])).drop("_d")
 
 
-def placed_elements(elements: DataFrame, compose: bool = False) -> DataFrame:
+def element_scopes(elements: DataFrame) -> DataFrame:
+    """The canvases that elements lie in, for placed_elements."""
+    return framed(elements.select(F.struct("file", "page").alias("drawing_id"), "seq", "scope", "matrix"))
+
+
+def placed_elements(elements: DataFrame, compose: bool = False, scopes: DataFrame | None = None) -> DataFrame:
     """Elements of pages, as read_elements gives them -> the drawn ones with depth, matrix in force, and data and origins under it.
 
     The matrix is the nearest open canvas's that has one or, with compose, the product of all. Paths and origins under no matrix stay as they are.
+    Who wants both gives elements that are kept and their element_scopes, so that neither is computed twice.
     """
-    marked = cut(elements.withColumn("drawing_id", F.struct("file", "page")))
-    force = inherit_matrix(marked.select("drawing_id", "seq", "scope", "matrix"), compose)
+    marked = elements.withColumn("drawing_id", F.struct("file", "page"))
+    marked = cut(marked) if scopes is None else marked
+    force = inherit_matrix(marked.select("drawing_id", "seq", "scope", "matrix") if scopes is None else scopes, compose)
     force = force.select(F.col("drawing_id").alias("_d"), F.col("seq").alias("_s"), "depth", F.col("matrix").alias("_m"))
     drawn = marked.where("scope is null").drop("matrix").join(force, (F.col("drawing_id") == F.col("_d")) & (F.col("seq") == F.col("_s"))).withColumnRenamed("_m", "matrix")
     x, y = affine(F.col("origin_x"), F.col("origin_y"), F.col("matrix"))

@@ -135,8 +135,10 @@ def _framed(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     Saves come twice: with outer, for the place in the scope around them where they stand, and without, for the scope that they open. Of the
     records of one level, those up to the next save that reaches this level lie in the same scope. A part takes the openers that its records lack
-    from the parts before: a row for each level that a part needs or opens, whatever the number of its records.
+    from the parts before: a row for each level that a part needs or opens, whatever the number of its records. Rows that come with their opener stay as they are.
     """
+    if "opener" in ops.columns:
+        return ops
     rows = cut(_depths(ops, chunk)).withColumn("_save", F.coalesce(F.col("scope") == "save", F.lit(False)))
     places = F.when(F.col("_save"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     rows = rows.withColumn("outer", F.explode(places)).withColumn("level", F.col("depth") - F.col("outer").cast("int"))
@@ -149,6 +151,11 @@ def _framed(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.withColumn("opener", F.coalesce("_own", "_lent")).drop("_own", "_lent", "_p", "_pe", "_pl", "_g", "_save", "low", "level")
 
 
+def framed(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The scopes of ops, kept. carry_scoped, group_path and inherit_matrix take them in place of ops, so that several values need them found only once."""
+    return cut(_framed(ops, chunk))
+
+
 def _climb(scopes: DataFrame, fold, done) -> DataFrame:
     """scopes (drawing_id, at, up, acc) -> drawing_id, at and acc of the scope and all around it that done does not cut off.
 
@@ -178,7 +185,7 @@ def _with_scope(framed: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def _gathered(ops: DataFrame, own: Column, fold, chunk: int) -> DataFrame:
     """Records with acc: own of the saves of all open scopes, folded from the outermost inwards; null where none is open."""
-    framed = cut(_framed(ops, chunk))
+    framed = ops if "opener" in ops.columns else cut(_framed(ops, chunk))
     # opener of a save is itself where it opens, and the scope around it where it stands.
     scopes = framed.where("outer").select("drawing_id", F.col("seq").alias("at"), F.col("opener").alias("up"), own.alias("acc"))
     return _with_scope(framed, _climb(scopes, fold, lambda acc: F.lit(False)))

@@ -139,10 +139,11 @@ def s5_placed_elements(spark, sf_dir):
     before = lambda p: F.when(p["pt"] == 4, "<x:Canvas Name='a > b' RenderTransform='2, 0, 0, 2, 10, -20'><Canvas/>").when(p["pt"] == 8, opened).when(p["pt"] == 16, "<Canvas><Canvas.RenderTransform><MatrixTransform Matrix='0,1,-1,0,3,4'/></Canvas.RenderTransform>").when(p["pt"].isin(24, 28), "</Canvas>").otherwise("<![CDATA[<Canvas>]]>")
     drawn = lambda p: F.concat(F.lit('<Path Data="M '), t(p["x"]), F.lit(","), t(p["y"]), F.lit("\" Fill='#"), t(p["pt"]), F.lit("'/><Glyphs OriginX='"), t(p["y"]), F.lit("' OriginY='"), t(p["x"]), F.lit("' Fill='#"), t(p["pt"]), F.lit("' UnicodeString='z'/>"))
     xml = F.concat(F.lit("<FixedPage><!-- <Canvas> -->"), F.array_join(F.transform("p", lambda p: F.concat(before(p), drawn(p))), ""), F.lit("</x:Canvas></FixedPage>"))
-    e = R.read_elements(V.v_shapes(spark, sf_dir).select(F.col("drawing_id").alias("file"), F.col("shape_id").alias("page"), xml.alias("xml")))
-    out = []
+    # Markup is parsed and scopes are found once for both modes, and elements are placed once for paths and texts.
+    e = cut(R.read_elements(V.v_shapes(spark, sf_dir).select(F.col("drawing_id").alias("file"), F.col("shape_id").alias("page"), xml.alias("xml"))))
+    scopes, out = G.element_scopes(e), []
     for mode, compose in (("near", False), ("all", True)):
-        g = G.placed_elements(e, compose).withColumn("pt", F.expr("CAST(substring(fill, 2) AS BIGINT)"))
+        g = cut(G.placed_elements(e, compose, scopes)).withColumn("pt", F.expr("CAST(substring(fill, 2) AS BIGINT)"))
         a = F.coalesce(F.get("matrix", F.lit(0)), F.lit(1.0)).cast("int").alias("a")
         path = g.where("tag = 'Path'").select("file", "page", "pt", F.col("depth").cast("int").alias("depth"), a, F.regexp_replace("data", r"^M (-?\d+),(-?\d+)$", "M$1.00,$2.00").alias("data"))
         text = g.where("tag = 'Glyphs'").select("file", "page", "pt", F.col("origin_x").cast("long").alias("origin_x"), F.col("origin_y").cast("long").alias("origin_y"))

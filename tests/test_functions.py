@@ -265,3 +265,14 @@ def test_descriptor_parses_each_text_three_times(spark):
     assert sorted(tuple(r) for r in d["paper"].collect()) == [("f", None, None, "mm", None), ("g", None, None, None, None), ("h", None, None, None, None)]
     assert sorted(tuple(r) for r in d["properties"].collect()) == [("f", 0, "x", ""), ("f", 1, "x", "2")]
     assert all("xpath" not in t._jdf.queryExecution().optimizedPlan().toString() for t in d.values())
+
+
+def test_scopes_are_found_once_for_both_modes(spark):
+    from sheetwise.operators.kept import cut
+
+    xml = "<Canvas RenderTransform='2,0,0,2,0,0'><Canvas RenderTransform='1,0,0,1,5,7'><Path Data='M 1,2' Fill='a'/></Canvas><Glyphs OriginX='3' OriginY='4' Fill='b'/></Canvas><Path Data='M 1,2' Fill='c'/>"
+    e = cut(R.read_elements(spark.createDataFrame([("f", i, xml) for i in range(3)], "file string, page long, xml string")))
+    scopes = G.element_scopes(e)
+    rows = lambda df: sorted(str(r) for r in df.select("file", "page", "seq", "depth", "matrix", "data", "origin_x").collect())
+    for compose in (False, True):
+        assert rows(G.placed_elements(e, compose, scopes)) == rows(G.placed_elements(e, compose))
