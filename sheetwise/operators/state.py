@@ -50,14 +50,18 @@ def _part(*more: str, order: list[str]) -> W:
     return W.partitionBy("_g", *more).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def running_sum(rows: DataFrame, value: dict[str, Column], keys: list[str], order: list[str], chunk: int | None = CHUNK) -> DataFrame:
-    """rows with running sums. A group is summed in parts of chunk seq values, so that one huge group isn't one task's; without chunk, whole."""
+def running_sum(rows: DataFrame, value: dict[str, Column], keys: list[str], order: list[str], chunk: int | None = CHUNK, part: Column | None = None) -> DataFrame:
+    """rows with running sums. A group is summed in parts of chunk seq values, so that one huge group isn't one task's; without chunk, whole.
+
+    part gives the parts instead, where order's first column has too many rows of one value: it must ascend with order.
+    """
     if not chunk:
         return rows.withColumns({k: F.sum(v).over(_upto(*keys, order=order)) for k, v in value.items()})
     # Kept under other names first: a value may read the column that it replaces.
     within = {f"_l{k}": F.sum(v).over(_part(order=order)) for k, v in value.items()}
     totals = {f"_t{k}": F.sum(v) for k, v in value.items()}
-    out = _scanned(_parted(rows, keys, order[0], chunk), within, totals, {f"_b{k}": F.sum(f"_t{k}").over(_parts(keys)) for k in value})
+    parted = _parted(rows, keys, order[0], chunk) if part is None else rows.withColumn("_g", F.struct(*keys, part.alias("_c")))
+    out = _scanned(parted, within, totals, {f"_b{k}": F.sum(f"_t{k}").over(_parts(keys)) for k in value})
     return out.withColumns({k: F.coalesce(F.col(f"_l{k}") + F.col(f"_b{k}"), f"_l{k}", f"_b{k}") for k in value}).drop("_g", *[f"_{x}{k}" for k in value for x in "lb"])
 
 

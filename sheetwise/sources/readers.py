@@ -19,6 +19,8 @@ OPS_SCHEMA = (
     + ",bytes_read:bigint,error:string,error_type:string>"
 )
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
+#: Pieces of a block that are summed together; a power of 2, as the numbers of rows of a split begin at a multiple of 2 ** 33.
+PIECES = 1 << 15
 #: First bytes of files and what they tell. Fixed values.
 HEADS = [(b"(DWF V", "DWF"), (b"(W2D V", "W2D"), (b"PK", "ZIP"), (b"PAR1", "PARQUET")]
 
@@ -93,7 +95,7 @@ def split_ops_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """(records, quarantine) of files that hold JSON arrays of op records, of any size.
 
     Files are read in pieces up to each closing brace, by all tasks that their blocks give. Sums that run through the blocks tell which braces stand in
-    strings and which one ends a record, so no task sees more than a block or a record. records: file, seq (the place in the file) and the
+    strings and which one ends a record, by parts of PIECES pieces, so no sum holds a whole block. records: file, seq (the place in the file) and the
     record's fields. quarantine: file, seq, value, error, for records that don't parse and for what stands between records; the
     records around them are kept. A record whose braces don't match takes what follows up to their match with it.
     """
@@ -102,17 +104,17 @@ def split_ops_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     )
     plain = F.regexp_replace("value", r"\\.", "")
     quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
-    keys, order = ["file"], ["block", "row"]
-    rows = cut(running_sum(pieces.withColumn("_q", quotes), {"_quotes": F.col("_q")}, keys, order, 1))
+    keys, order, part = ["file"], ["block", "row"], F.struct("block", F.floor(F.col("row") / PIECES).alias("at"))
+    rows = cut(running_sum(pieces.withColumn("_q", quotes), {"_quotes": F.col("_q")}, keys, order, part=part))
     inside = (F.col("_quotes") - F.col("_q")) % 2 == 1
     bare = F.regexp_replace(F.when(inside, F.regexp_replace(plain, '^[^"]*"?', "")).otherwise(plain), '"[^"]*("|$)', "")
     opens = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
     # What follows the last record of a file has no brace of its own.
     blank = F.col("value").rlike(r"^[\s,\[\]]*$") & ~inside
     rows = rows.withColumn("_close", (F.col("_quotes") % 2 == 0).cast("long")).withColumn("_step", opens - F.col("_close"))
-    rows = cut(running_sum(rows, {"_depth": F.col("_step")}, keys, order, 1))
+    rows = cut(running_sum(rows, {"_depth": F.col("_step")}, keys, order, part=part))
     rows = rows.withColumn("_end", ((F.col("_depth") <= 0) & (F.col("_close") == 1)).cast("long"))
-    rows = running_sum(rows, {"_ends": F.col("_end")}, keys, order, 1).where(~blank | (F.col("_depth") >= 0))
+    rows = running_sum(rows, {"_ends": F.col("_end")}, keys, order, part=part).where(~blank | (F.col("_depth") >= 0))
     piece = F.struct("block", "row", F.concat("value", F.lit("}")).alias("v"))
     texts = rows.groupBy("file", (F.col("_ends") - F.col("_end")).alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["v"]), "").alias("text"))
     stray = F.regexp_extract("text", r"^([^{]*)", 1)

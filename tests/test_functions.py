@@ -276,3 +276,14 @@ def test_scopes_are_found_once_for_both_modes(spark):
     rows = lambda df: sorted(str(r) for r in df.select("file", "page", "seq", "depth", "matrix", "data", "origin_x").collect())
     for compose in (False, True):
         assert rows(G.placed_elements(e, compose, scopes)) == rows(G.placed_elements(e, compose))
+
+
+def test_arrays_summed_in_parts_of_a_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "PIECES", 4)
+    text = lambda i: '{"opcode": %d, "opcode_name": "a } { %d", "origin": {"x": %d, "y": 1}}' % (i, i, i) if i % 7 else '{"opcode": , "at": {"d": %d}}' % i
+    for k in range(2):
+        (tmp_path / f"{k}.json").write_text("[" + ",\n".join(text(i) for i in range(100 * k, 100 * k + 50)) + "]")
+    good, bad = R.split_ops_json(spark, str(tmp_path))
+    ids = [i for k in range(2) for i in range(100 * k, 100 * k + 50)]
+    assert sorted((r["seq"], r["opcode"], r["origin"]["x"]) for r in good.collect()) == sorted((i % 100, i, i) for i in ids if i % 7)
+    assert sorted(r["value"] for r in bad.collect()) == sorted(text(i) for i in ids if i % 7 == 0)
