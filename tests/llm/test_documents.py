@@ -1,8 +1,10 @@
 """Operators on documents against brute force, on awkward rows and on the smallest table."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -468,3 +470,22 @@ def test_components(spark):
     got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
     assert sorted(got) == sorted((v, root[v]) for v in linked)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("way", ["cut", "stored"])
+def test_kept_tables_leave_no_shuffle_files(spark, way):
+    """A kept table needs its shuffles no more; over a long chain of steps they would fill the disk."""
+    from sheetwise.llm.common import CLEANUP, cut, stored
+
+    tops = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for top in tops for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = cut(counts) if way == "cut" else stored(counts, "counts")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(r["k"] for r in kept.collect()) == list(range(7))
+    assert spark.conf.get(CLEANUP, None) == setting
+    assert counts.count() == 7  # the input can still be used
