@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
@@ -19,24 +18,27 @@ from .common import pieces as by_bytes
 
 #: The file of public_tokenizers whose ids are written, and the id that ends each document.
 VOCABULARY, END = "byte_bpe_50k.json", 2
-#: Bytes and rows of text that are encoded at once (a batch finds its distinct words, so short texts are taken together), and words that a task remembers, at most twice as many.
-BYTES, ROWS, KNOWN = 4_000_000, 100_000, 500_000
+#: Bytes and rows of text that are encoded at once (a batch finds its distinct words, so short texts are taken together), words that a task remembers and their mean bytes, at most.
+BYTES, ROWS, KNOWN, WORD = 8_000_000, 100_000, 500_000, 64
 #: Bytes of a row group and of a page, and rows of a row group, at most.
 GROUP, PAGE, GROUP_ROWS = 32 << 20, 1 << 20, 100_000
 
-#: What may not be cut at blanks: a blank before white space, the mark used for cutting, what looks like an added token.
-_WHOLE = r" [\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\||\x01"
-#: A sign after a letter and before a blank is a piece of its own: it is set off by a blank and a mark that there was none.
-_SIGN, _APART = r"([A-Za-z])([!,.:;?]) ", "\\1 \x01\\2 "
+#: White space and letters of Latin-1, as classes.
+_WHITE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What may not be cut at blanks: a blank before white space, the mark used for cutting, what looks like an added token.
+_WHOLE = rf" [{_WHITE}]|<\||\x01"
+#: A line's end between ink, and signs after a letter and before a blank, are pieces of their own: they are set off by blanks and marks that there were none.
+_MARK = "\x01"
+_LINE, _LINES = rf"([^{_WHITE}])\n([^{_WHITE}])", "\\1 \x01\n \x01\\2"
+_SIGN, _APART = rf"([{_LETTER}])([!-/:-@\[-`{{-~]+) ", "\\1 \x01\\2 "
 
 
 class Encoder:
     """A byte-level BPE tokenizer that encodes batches of texts by their distinct words.
 
     The byte-level pattern always breaks before a blank that ink follows, so a text's ids are those of its words, each with the
-    blank before it. Equal words of a batch are encoded once, by the library; texts that can't be cut so are encoded whole.
+    blank before it. The library encodes words that are not known yet; texts that can't be cut so are encoded whole.
     """
 
     def __init__(self, spec: str):
@@ -44,70 +46,85 @@ class Encoder:
 
         self.own = Tokenizer.from_str(spec)
         self.model = self.own.model
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.letter = re.compile(rf"[{_LETTER}]+").fullmatch
-        # Byte-level letters: printable bytes of Latin-1 stand for themselves, the others for the letters from 256 on.
+        # Byte-level letters: printable bytes of Latin-1 stand for themselves, the others for the letters from 256 on. Line's ends part words here.
         shown = {b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173}
-        rest = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def unit(self, unit: str) -> bytes:
-        """Ids of a piece that the pattern breaks before and after. So it does between a word and the signs after it, and around a line's end."""
-        got = self.now.get(unit)
-        if got is not None:
-            return got
-        got = self.old.get(unit)
-        if got is None:
-            word = unit.rstrip(_SIGNS)
-            ink = word[1:] if word[:1] == " " else word
-            if ink.isascii() and ink.isalpha() or self.letter(ink):
-                if len(word) < len(unit):
-                    return self.unit(word) + self.unit(unit[len(word) :])
-                shown = ink if ink.isascii() else ink.encode().decode("latin-1").translate(self.letters)
-                got = array("I", [t.id for t in self.model.tokenize("\u0120" + shown if len(ink) < len(word) else shown)]).tobytes()
-            else:
-                a, line, b = unit.partition("\n")
-                if a and b and not a[-1].isspace() and not b[0].isspace():
-                    return self.unit(a) + self.unit(line) + self.unit(b)
-                got = self.whole(unit)
-        if len(unit) <= 64:
-            if len(self.now) >= KNOWN:
-                self.now, self.old = {}, self.now
-            self.now[unit] = got
-        return got
-
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of each text's ids); null as empty."""
+        self.letters = np.arange(256, dtype="<u2")
+        self.letters[[b for b in range(256) if b not in shown]] = 256 + np.arange(256 - len(shown))
+        self.letters[10] = 10
+        #: What is known: words, the number of their ids, these one after the other, and how often each word was met.
+        self.words, self.size, self.ids, self.met = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of each text's ids), by the library, a text at a time."""
+        return _joined(self.own.encode(t, add_special_tokens=False).ids for t in texts)
+
+    def spelt(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As whole, for words: marked ones as they are, others with a blank before them. Letters alone are one piece, which the model splits."""
+        plain = pc.match_substring_regex(words, f"^{_MARK}?[{_LETTER}]+$").to_numpy(zero_copy_only=False)
+        units = pc.replace_substring_regex(pc.replace_substring_regex(words, "^", " "), f"^ {_MARK}", "")
+        joined = "\n".join(units.filter(pa.array(plain)).to_pylist()).encode()
+        shown = self.letters[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le")
+        split = self.model.tokenize
+        some, n = _joined([t.id for t in split(x)] for x in (shown.split("\n") if plain.any() else ()))
+        rest, m = self.whole(units.filter(pa.array(~plain)).to_pylist())
+        size = np.zeros(len(words), np.int32)
+        size[plain], size[~plain] = n, m
+        ids, of = np.zeros(size.sum(), np.uint32), np.repeat(plain, size)
+        ids[of], ids[~of] = some, rest
+        return ids, size
+
+    def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of each text's ids); null as empty. end: an id after each text."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
-        words = pc.split_pattern(pc.replace_substring_regex(pc.if_else(pa.array(whole), "", texts), _SIGN, _APART), " ")
+        # A text's first word has no blank before it.
+        cut = pc.binary_join_element_wise(_MARK, pc.if_else(pa.array(whole), "", texts), "")
+        words = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring_regex(cut, _LINE, _LINES), _SIGN, _APART), " ")
         ends = words.offsets.to_numpy().astype(np.int64)
-        flat = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        flat = words.values.slice(ends[0], ends[-1] - ends[0])
         ends -= ends[0]
-        distinct, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
-        # A text's first word has no blank before it: those get codes of their own.
-        first = ends[:-1]
-        some = np.unique(codes[first], return_inverse=True)
-        codes[first] = len(distinct) + some[1]
-        used = np.zeros(len(distinct), bool)
-        used[codes[codes < len(distinct)]] = True
-        known, unit = self.now.get, self.unit
-        spelt = [(known(" " + w) or unit(" " + w if w[:1] != "\x01" else w[1:])) if u else b"" for w, u in zip(distinct, used.tolist())] + [unit(distinct[k]) if distinct[k] else b"" for k in some[0].tolist()]
-        for k in np.flatnonzero(whole).tolist():
-            codes[first[k]] = len(spelt)
-            spelt.append(self.whole(texts[k].as_py()))
-        size = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        n, coded = len(self.words), pa.concat_arrays([self.words, flat]).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy()[n:], coded.dictionary
+        ids, size = self.spelt(distinct.slice(n))
+        self.words, self.size, self.ids = distinct, np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        self.met = np.bincount(codes, minlength=len(distinct)) + np.pad(self.met, (0, len(size)))
+        ids, size = [self.ids], [self.size]
+        odd = np.flatnonzero(whole)
+        if len(odd):
+            more = self.whole(texts.take(pa.array(odd)).to_pylist())
+            codes = codes.copy()
+            codes[ends[odd]] = len(distinct) + np.arange(len(odd))
+            ids.append(more[0])
+            size.append(more[1])
+        if end is not None:
+            codes, ends = np.insert(codes, ends[1:], len(distinct) + len(odd)), ends + np.arange(len(ends))
+            ids.append(np.array([end], np.uint32))
+            size.append(np.ones(1, np.int32))
+        ids, size = np.concatenate(ids), np.concatenate(size)
         each = size[codes]
-        reach = np.cumsum(each)
-        pool = np.frombuffer(b"".join(spelt), "<u4")
-        ids = pool[np.repeat(start[codes] - (reach - each), each) + np.arange(reach[-1] if len(reach) else 0)]
-        before = np.concatenate([[0], reach])
-        return ids, before[ends[1:]] - before[ends[:-1]]
+        reach = np.concatenate([[0], np.cumsum(each)])
+        start = np.cumsum(size) - size
+        out = ids[np.repeat(start[codes] - reach[:-1], each) + np.arange(reach[-1])]
+        self._forget()
+        return out, reach[ends[1:]] - reach[ends[:-1]]
+
+    def _forget(self) -> None:
+        """If too much is known, words that were met once, or are long, go."""
+        if len(self.words) <= KNOWN and self.words.nbytes <= KNOWN * WORD:
+            return
+        keep = (self.met > 1) & (pc.binary_length(self.words).to_numpy() <= WORD)
+        keep &= np.cumsum(keep) <= KNOWN // 2
+        self.words, self.ids = self.words.filter(pa.array(keep)), self.ids[np.repeat(keep, self.size)]
+        self.size, self.met = self.size[keep], np.zeros(keep.sum(), np.int64)
+
+
+def _joined(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and the number of each."""
+    ids, n = array("I"), array("i")
+    for own in lists:
+        ids.fromlist(own)
+        n.append(len(own))
+    return np.array(ids, np.uint32), np.array(n, np.int32)
 
 
 def _encoder(shared: dict) -> Encoder:
@@ -138,12 +155,10 @@ def encode_ordered(docs: DataFrame, spec: str, end: int = END) -> DataFrame:
 
         enc, part, at = _encoder(shared.value), TaskContext.get().partitionId(), 0
         for b in by_bytes(batches, 1, BYTES, ROWS):
-            ids, n = enc.batch(b.column(1).cast(pa.string()))
-            reach = np.cumsum(n)
-            ids = np.insert(ids, reach, end).astype(np.int32)
-            offsets = np.concatenate([[0], reach + np.arange(1, len(n) + 1)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n.astype(np.int32) + 1), lists], names=["doc_id", "part", "at", "n", "ids"])
+            ids, n = enc.batch(b.column(1).cast(pa.string()), end)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n.astype(np.int32)), lists], names=["doc_id", "part", "at", "n", "ids"])
             at += int(offsets[-1])
 
     # Places of rows part those that share an id, so that one id with very many rows is dealt out too.

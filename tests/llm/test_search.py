@@ -57,6 +57,41 @@ def test_token_files_read_some(spark, tmp_path):
     assert token_files.encode_ordered(rows(spark, []), token_files.vocabulary()).count() == 0
 
 
+def test_known_words_take_no_call_each():
+    """Words are looked up all together: a batch of known words makes as few Python calls as one of a single word."""
+    import sys
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = pa.array([" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(100)) + "." for _ in range(50)])
+    enc, calls = token_files.Encoder(token_files.vocabulary()), Counter()
+    first = enc.batch(texts)
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    again = enc.batch(texts)
+    sys.setprofile(None)
+    assert all((x == y).all() for x, y in zip(first, again))
+    assert calls["c_call"] + calls["call"] < 1000, calls
+
+
+@pytest.mark.parametrize("known", [0, 40, 500_000])
+def test_cut_words_follow_the_library(monkeypatch, known):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "KNOWN", known)
+    own, enc, rng = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY)), token_files.Encoder(token_files.vocabulary()), random.Random(4)
+    signs = ["a", "The", "re", "é", "ß", "×", "Ā", "漢", "😀", "12", "'s", "'t", " ", " ", " ", "\n", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u180e", ".", ",", "***", "$", "[", "]", "~", "^", "<", "|", "\x01", "\x00", "\xad", "½", "\u0301", "<|endoftext|>"]
+    for _ in range(8):
+        texts = [None, *("".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for some in ([*rng.sample(signs, rng.randint(1, 9)), " ", "a"] for _ in range(250)))]
+        ids, n = enc.batch(pa.array(texts), 2)
+        ends = n.cumsum().tolist()
+        for t, at, to in zip(texts, [0, *ends], ends):
+            assert ids[at:to].tolist() == own.encode(t or "", add_special_tokens=False).ids + [2], t
+    assert known == 500_000 or len(enc.words) <= known
+
+
 def near(words):
     return {(a, b) for a in words for b in words if a != b and abs(len(a) - len(b)) < 2 and edit(a, b)}
 
