@@ -23,6 +23,8 @@ NAME_BYTES = 2_000_000
 DEPTHS = 3
 #: Windows of a passage that are hashed at a time.
 WINDOWS = 200_000
+#: Columns of runs.
+RUNS = "id long, doc long, name long, place long, digest long"
 #: Symbols that the first ranks of suffixes are made of, nine bits each.
 SYMBOLS = 7
 
@@ -364,14 +366,14 @@ def _removed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in (total, gone, spans)), pa.array(left, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_stretches(docs: DataFrame, width: int = 400, depth: int = 0) -> DataFrame:
+def repeated_stretches(docs: DataFrame, width: int = 400, depth: int = 0, found: DataFrame | None = None) -> DataFrame:
     """docs (id, text) -> (id, doc, x, y): stretches whose every byte lies in a width-byte string that starts elsewhere too.
 
     doc is a hash of the document's text. Stretches of one document may overlap. Passages that too many others share a
     name with are documents themselves, one depth further down, where another hash names their windows: stretches that all
-    of them have become one passage there, and the rest comes under many names.
+    of them have become one passage there, and the rest comes under many names. found: the runs of docs, where the caller has named them.
     """
-    found = stored(docs.mapInArrow(_scan(width, depth), "id long, doc long, name long, place long, digest long"), "runs")
+    found = stored(docs.mapInArrow(_scan(width, depth), RUNS) if found is None else found, "runs")
     # Most names occur once, in a run that doesn't repeat within itself: nothing of theirs goes further.
     shared = found.groupBy("name").agg(F.count("*").alias("n"), F.max(F.col("place") % 2).alias("inner")).where("n > 1 OR inner = 1").select("name")
     found = stored(found.join(shared.hint("shuffle_hash"), "name", "left_semi"), "shared")
@@ -430,11 +432,15 @@ def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     other columns can have any name. Empty input: no rows.
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return with_stretches(docs, width).select("id", "text", "m").mapInArrow(_pick, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def with_stretches(docs: DataFrame, width: int) -> DataFrame:
+    """docs (id, text as bytes) -> (k, id, text, m): a key of id that is never null, and the stretches of the texts under it."""
     cover = repeated_stretches(docs, width).groupBy("id", "doc").agg(F.collect_list(F.struct("x", "y")).alias("c"))
     # Different texts under one id are told apart in _removed's input by their hash.
     lists = cover.groupBy(_key(F.col("id")).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("doc", "c"))).alias("m"))
-    joined = docs.withColumn("k", _key(F.col("id"))).join(lists.hint("shuffle_hash"), "k", "left").select("id", "text", "m")
-    return joined.mapInArrow(_pick, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.withColumn("k", _key(F.col("id"))).join(lists.hint("shuffle_hash"), "k", "left")
 
 
 def _pick(batches):

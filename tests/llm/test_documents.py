@@ -17,7 +17,9 @@ from sheetwise.llm import near_dedup as near_dedup_module
 from sheetwise.llm import quality, repeats
 from sheetwise.llm.mixing import mix
 from sheetwise.llm.near_dedup import near_duplicates, op6_minmax_near_dedup
+from sheetwise.llm.passages import without_repeats_and_shared_words
 from sheetwise.llm.pii import PATTERNS, find_pii, joined, op4_checked_pii, redacted
+from sheetwise.llm.queries import QUERIES
 from sheetwise.llm.repeats import without_repeats
 from sheetwise.llm.sharding import shard_by_bytes
 from sheetwise.llm.stages import near_dedup
@@ -259,6 +261,39 @@ def test_query_follows_brute_force(spark, texts):
     assert got == brute_repeats(list(texts.items()), 400)
 
 
+def brute_shared_words(rows, w):
+    texts = [WORD.findall(t or "") for _, t in rows]
+    strings = [[tuple(x[p : p + w]) for p in range(len(x) - w + 1)] for x in texts]
+    held = Counter(s for own in strings for s in set(own))
+    return [len({k for s, p in {s: p for p, s in reversed(list(enumerate(own)))}.items() if held[s] > 1 for k in range(p, p + w)}) for own in strings]
+
+
+@pytest.mark.parametrize("most, depths", [(2_000_000, 3), (1, 1), (1, 0)])
+def test_words_of_shared_passages(spark, monkeypatch, most, depths):
+    monkeypatch.setattr(repeats, "NAME_BYTES", most)
+    monkeypatch.setattr(repeats, "DEPTHS", depths)
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abéü") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    p, q, twice = text(51), text(80), text(60)
+    rows = [
+        (0, f"{text(30)} {p} {text(9)}"), (1, f"{p.replace(' ', chr(10))}\t{text(20)}"), (2, " ".join(p.split()[:50])), (3, f"{text(5)} {q} {text(70)} {q}"),
+        (4, " ".join(q.split()[7:70])), (4, " ".join(q.split()[20:])), (5, f"{twice} {text(40)} {twice}"), (6, "a " * 3000), (7, "b a " + "a " * 60), (8, None), (9, ""),
+        (None, text(60)), (10, p + "x"), (11, p[1:]), (12, text(200)), (12, text(200)), (13, twice[:40]), (14, "c d " * 300), (14, "c d " * 300),
+    ]
+    got = sorted(map(tuple, without_repeats_and_shared_words(frame(spark, rows)).collect()), key=str)
+    assert [r[:5] for r in got] == brute_repeats(rows, 400)
+    assert Counter((r[0], r[1], r[5]) for r in got) == Counter((d, len((t or "").encode()), n) for (d, t), n in zip(rows, brute_shared_words(rows, 51)))
+    assert without_repeats_and_shared_words(frame(spark, [])).count() == 0
+
+
+def test_registered_query_tells_shared_passages_shorter_than_400_bytes(spark, texts):
+    got = sorted(map(tuple, QUERIES["op5_interval_tree_dedup"](spark, SF).collect()), key=str)
+    rows = list(texts.items())
+    assert [r[:5] for r in got] == brute_repeats(rows, 400)
+    want = dict(zip(texts, brute_shared_words(rows, 51)))
+    assert {r[0]: r[5] for r in got} == want and any(r[5] and not r[2] for r in got)
+
+
 def test_maximal_groups_have_all_occurrences():
     texts = [b"xxABCDEFGHyy", b"zABCDEFGHq", b"ABCDEq"]
     text, at, groups = repeats.suffix_intervals(texts, [len(t) - 3 for t in texts], 4)
