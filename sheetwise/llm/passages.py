@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +42,15 @@ def codes(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed((sums[y] - sums[x]) * down[x]) >> _U(36), np.searchsorted(x, ends)
 
 
-def segments(texts: pa.Array, words: int = WORDS) -> list[list[tuple[int, bytes]]]:
+def _raw(texts: pa.Array) -> list:
+    return [t.as_buffer() if t.is_valid else b"" for t in texts]
+
+
+def segments(raw: list, words: int = WORDS) -> list[list[tuple[int, bytes]]]:
     """(first word, codes as bytes) for each text: the stretches whose strings of so many words are all there for the first time.
 
     A code's first byte alone has its high bit set, so that strings of codes are equal only where whole words are.
     """
-    raw = [t.as_buffer() if t.is_valid else b"" for t in texts]
     c, ends = codes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw], dtype=np.int64))
     out: list[list[tuple[int, bytes]]] = [[] for _ in raw]
     if len(c) < words:
@@ -81,7 +83,7 @@ def _coded(words: int):
     def make(batches):
         for batch in pieces(batches, 1, BATCH):
             ids, texts = [], []
-            for i, own in zip(batch.column(0).to_pylist(), segments(batch.column(1), words)):
+            for i, own in zip(batch.column(0).to_pylist(), segments(_raw(batch.column(1)), words)):
                 ids += [i] * len(own)
                 texts += [c for _, c in own]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
@@ -95,7 +97,7 @@ def _named(words: int):
     def make(batches):
         for batch in pieces(batches, 1, BATCH):
             ids, texts = [], []
-            for i, own in zip(batch.column(0).to_pylist(), segments(batch.column(1), words)):
+            for i, own in zip(batch.column(0).to_pylist(), segments(_raw(batch.column(1)), words)):
                 ids += [i] * len(own)
                 texts += [c for _, c in own]
             if not ids:
@@ -125,9 +127,10 @@ def _with_words(words: int):
     def make(batches):
         for batch in pieces(batches, 1, BATCH):
             shared = []
-            asked = pc.if_else(pc.is_valid(batch.column(3)), batch.column(1), pa.scalar(None, pa.binary()))
-            for own, m in zip(segments(asked, words), batch.column(3).to_pylist()):
-                cover, m = [], dict(m or ())
+            lists = [dict(m or ()) for m in batch.column(3).to_pylist()]
+            asked = [t if m else b"" for t, m in zip(_raw(batch.column(1)), lists)]
+            for own, m in zip(segments(asked, words), lists):
+                cover = []
                 for first, c in own:
                     # Stretches may begin or end within a code.
                     found = ((first - s["x"] // -CODE, first + s["y"] // CODE) for s in m.get(_text_hash(c), ()))

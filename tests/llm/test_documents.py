@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.llm import near_dedup as near_dedup_module
-from sheetwise.llm import quality, repeats
+from sheetwise.llm import passages, quality, repeats
 from sheetwise.llm.mixing import mix
 from sheetwise.llm.near_dedup import near_duplicates, op6_minmax_near_dedup
 from sheetwise.llm.passages import without_repeats_and_shared_words
@@ -268,8 +268,9 @@ def brute_shared_words(rows, w):
     return [len({k for s, p in {s: p for p, s in reversed(list(enumerate(own)))}.items() if held[s] > 1 for k in range(p, p + w)}) for own in strings]
 
 
-@pytest.mark.parametrize("most, depths", [(2_000_000, 3), (1, 1), (1, 0)])
-def test_words_of_shared_passages(spark, monkeypatch, most, depths):
+@pytest.mark.parametrize("most, depths, batch", [(2_000_000, 3, 500_000), (2_000_000, 3, 1), (1, 1, 2000), (1, 0, 500_000)])
+def test_words_of_shared_passages(spark, monkeypatch, most, depths, batch):
+    monkeypatch.setattr(passages, "BATCH", batch)
     monkeypatch.setattr(repeats, "NAME_BYTES", most)
     monkeypatch.setattr(repeats, "DEPTHS", depths)
     rng = random.Random(4)
