@@ -250,6 +250,23 @@ def test_contradictions_in_blocks(spark, monkeypatch, listed):
     assert "RepartitionByExpression" in plan and "Aggregate" not in plan[: plan.index("Join")]
 
 
+@pytest.mark.parametrize("listed", [False, True])
+def test_crowded_contradictions_shuffle_no_copies(spark, listed):
+    # One key with 12,002 claims a side, nearly all of one statement: lists of claims are dealt to blocks, not each claim to all of them. Claims without a number stay.
+    side = lambda start, odd: spark.range(start, start + 12_000).select("id", F.lit("p").alias("statement")).union(spark.createDataFrame([(start + 12_000, odd), (None, odd)], "id long, statement string"))
+    kept = lambda x: x.select(F.col("id").alias("claim"), F.array(F.lit("s"), F.lit("t")).alias("subjects") if listed else F.lit("s").alias("subject"), F.lit("x").alias("claim_type"), "statement")
+    found = L.contradictions(kept(side(0, "q")), kept(side(100_000, "q")))
+    sc = spark.sparkContext
+    sc.setJobGroup(f"crowded-{listed}", "")
+    rows = found.agg(F.count("*"), F.count("new_claim"), F.count("old_claim"), F.count_distinct("new_claim", "old_claim")).first()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup(f"crowded-{listed}")
+    stages = {k for j in jobs for k in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    dealt = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages if sc.statusTracker().getStageInfo(k))
+    assert tuple(rows) == (48_000, 36_000, 36_000, 24_000) and dealt < 60_000
+
+
 def test_metadata_texts_are_parsed_once(spark):
     meta = S.parse_meta("PlotInfo", F.concat(F.lit("show 90 mm 5.5 20 0 0 5 6 1 0 0 1 0 "), F.col("id").cast("string"), F.lit(")")))
     rows = spark.range(2).select(meta.alias("m")).select("m.show", "m.unit", "m.width", F.col("m.matrix")[5].alias("f"), F.col("m.area")[1].alias("b"))
